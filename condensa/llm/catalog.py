@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid
+from . import bpe, langid, mixing, sharding
 
 _MODULES = {
+    "op4_sharding": sharding,
     "op6_byte_level_bpe": bpe,
+    "op8_mixing": mixing,
     "op10_language_id": langid,
 }
 
