@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, sharding
+from . import bpe, extraction, hashing, langid, maxscore, mixing, sharding
 
 _MODULES = {
+    "op1_html_extraction": extraction,
     "op4_sharding": sharding,
+    "op5_exact_top_k": maxscore,
     "op6_byte_level_bpe": bpe,
+    "op7_nearest_neighbours": hashing,
     "op8_mixing": mixing,
     "op10_language_id": langid,
 }
