@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, extraction, hashing, langid, maxscore, mixing, sharding
+from . import bpe, chosenpath, extraction, hashing, langid, maxscore, mixing, sharding, spans
 
 _MODULES = {
     "op1_html_extraction": extraction,
+    "op3_sentence_spans": spans,
     "op4_sharding": sharding,
     "op5_exact_top_k": maxscore,
     "op6_byte_level_bpe": bpe,
     "op7_nearest_neighbours": hashing,
     "op8_mixing": mixing,
+    "op9_jaccard_join": chosenpath,
     "op10_language_id": langid,
 }
 

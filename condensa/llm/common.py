@@ -52,7 +52,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     for k, base in enumerate((_B, _B_INV)):
         have = _powers[k]
         while len(have) <= n:
-            step = have[-1] * base
+            step = have[-1:] * base
             have = np.concatenate((have, have * step))
         _powers[k] = have
     return _powers[0], _powers[1]

@@ -45,9 +45,9 @@ def _place(name: str, attributes: str, around: int) -> int:
     """1 inside an article, -1 in what surrounds articles, 0 unclaimed."""
     if name in _ASIDE or around < 0 or name == "header" and around <= 0:
         return -1
-    if attributes:
+    if attributes and name not in ("html", "body"):
         names = " ".join(x.strip("\"'") for x in _NAMED.findall(attributes))
-        if _HIDDEN.search(attributes) or names and _NOISE.search(names):
+        if _HIDDEN.search(attributes) or names and name not in _ARTICLE and _NOISE.search(names):
             return -1
         if names and _BODY.search(names):
             return 1
