@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chosenpath, extraction, hashing, langid, maxscore, mixing, sharding, spans
+from . import bpe, chosenpath, extraction, hashing, langid, maxscore, mixing, sharding, spans, suffixes
 
 _MODULES = {
     "op1_html_extraction": extraction,
+    "op2_suffix_array": suffixes,
     "op3_sentence_spans": spans,
     "op4_sharding": sharding,
     "op5_exact_top_k": maxscore,
