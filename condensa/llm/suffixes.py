@@ -54,7 +54,7 @@ def windows(data: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tup
 
 
 class SuffixArray:
-    """Order of the suffixes at some places of a text, and their common prefixes up to 128 bytes."""
+    """Order of the suffixes at some places of a text, and their common prefixes."""
 
     def __init__(self, text: np.ndarray, starts: np.ndarray, until: np.ndarray):
         """until[p]: the end of the string that p is in; no prefix reads beyond it."""
@@ -67,7 +67,7 @@ class SuffixArray:
             key = (key << np.uint64(9)) | np.where(left > k, padded[k : k + n], 0).astype(np.uint64)
         self.ranks = [(7, self._ranked(key))]
         span = 7
-        while span < LENGTH:
+        while span < left.max(initial=0):
             rank = self.ranks[-1][1]
             far = np.minimum(np.arange(n) + span, n - 1)
             second = np.where(left > span, rank[far] + 1, 0)
