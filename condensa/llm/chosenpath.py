@@ -263,6 +263,18 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, limi
     )
 
 
+def keep_first(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all their columns, that are the first of the class of connected texts.
+
+    Of rows with one doc_id one stays; a row with a null doc_id stays unless its text
+    is in a class of others.
+    """
+    kept = join(docs, words, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.struct("*").alias("row"))
+    named = rows.join(kept, F.col("own_id") == F.col("kept_id"), "left_semi").dropDuplicates(["own_id"])
+    return named.unionByName(rows.where("own_id is null")).select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
 

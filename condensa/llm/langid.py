@@ -14,8 +14,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import table
 
@@ -163,22 +164,15 @@ class Mixture:
 _CHUNK = 1 << 20
 
 
-def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and langs (the language set) of each row of docs.
-
-    Null, empty and letterless texts are `und` with score 0, as is every text when
-    no language could be learned. Texts are read whole. Repeated rows each give a
-    row; a null doc_id isn't held out and nothing is learned from it; an empty
-    table gives no rows; other columns are left out. Ties go to the first language
-    by name. Prediction has no shuffle.
-    """
+def predicted(docs: DataFrame, carry: Column, sample: int = SAMPLE) -> DataFrame:
+    """carry (a struct of columns of docs), lang_pred, score and langs of each row of docs."""
     langs, logp = learn(docs, sample)
     model = docs.sparkSession.sparkContext.broadcast((langs, logp))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixture = Mixture(*model.value)
         for batch in batches:
-            texts = [x or "" for x in batch.column(2).to_pylist()]
+            texts = [x or "" for x in batch.column(1).to_pylist()]
             end = np.cumsum([len(x) for x in texts])
             got: list[tuple[str, float, list[str]]] = []
             while len(got) < len(texts):
@@ -186,12 +180,33 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 b = max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + _CHUNK, "right")))
                 got += mixture.infer(texts[a:b])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.list_(pa.string()))],
-                ["doc_id", "held_out", "lang_pred", "score", "langs"],
+                [batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.list_(pa.string()))],
+                ["carry", "lang_pred", "score", "langs"],
             )
 
+    rows = docs.select(carry.alias("carry"), "text")
+    schema = StructType([rows.schema["carry"], *StructType.fromDDL("lang_pred string, score double, langs array<string>").fields])
+    return rows.mapInArrow(run, schema)
+
+
+def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and langs (the language set) of each row of docs.
+
+    Null, empty and letterless texts are `und` with score 0, as is every text when
+    no language could be learned. Texts are read whole. Repeated rows each give a
+    row; a null doc_id isn't held out and nothing is learned from it; an empty
+    table gives no rows; other columns are left out. Ties go to the first language
+    by name. Prediction has no shuffle.
+    """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    return docs.select(F.col("doc_id").cast("long"), held.alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double, langs array<string>")
+    carry = F.struct(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"))
+    return predicted(docs, carry, sample).select("carry.doc_id", "carry.held_out", "lang_pred", "score", "langs")
+
+
+def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
+    """The rows of docs, all their columns, in whose text a language was found with at least
+    that proportion; null, empty and letterless texts go."""
+    return predicted(docs, F.struct("*")).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("carry.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,5 +97,13 @@ def mix(docs: DataFrame, shards: int = 8, seed: int = 17, lanes: int = 1024) ->
     return both.selectExpr("doc_id", "size", "source_size", "target", f"case when size = 0 or seats = 0 then 0L else {passes} end taken")
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all their columns, each as often as the mix takes it: the words taken
+    over its words, rounded. Rows without words stay once."""
+    times = mix(docs).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max(F.expr("if(size = 0, 1, cast(round(taken / size) as int))")).alias("times"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.struct("*").alias("row"))
+    return rows.join(times, F.expr("own_id <=> mixed_id")).where("times > 0").select("row", F.explode(F.expr("sequence(1, times)"))).select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))

@@ -21,8 +21,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .chosenpath import _groups
 from .common import Hashes, mix, table, utf8
@@ -183,17 +184,21 @@ def repeated(docs: DataFrame) -> DataFrame:
     return runs.join(again, "minimiser")
 
 
-def packed(docs: DataFrame) -> DataFrame:
+def packed(docs: DataFrame, carry: Column | None = None) -> DataFrame:
+    """doc_id, the compressed text, and carry (a struct of columns of docs), if given."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if t is None else pack(t) for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["doc_id", "packed"])
+            texts = pa.array([None if t is None else pack(t) for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, *batch.columns[2:]], ["doc_id", "packed", "carry"][: batch.num_columns])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, packed binary")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *([] if carry is None else [carry.alias("carry")]))
+    return rows.mapInArrow(run, StructType([*StructType.fromDDL("doc_id bigint, packed binary").fields, *rows.schema.fields[2:]]))
 
 
-def removed_windows(docs: DataFrame) -> DataFrame:
-    """doc_id, packed (text), and runs and firsts: the windows met again, and those of them that
+def removed_windows(docs: DataFrame, carry: Column | None = None) -> DataFrame:
+    """doc_id, packed (text), carry if given, and runs and firsts: the windows met again, and those of them that
     are the first of their kind, each as start * 256 + number."""
     usable = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
     by_doc = repeated(usable).groupBy("doc_id").agg(F.collect_list(F.struct("place", "minimiser", "hot")).alias("runs"))
@@ -258,7 +263,8 @@ def removed_windows(docs: DataFrame) -> DataFrame:
     firsts = strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(scan, "doc_id bigint, place bigint")
     firsts = firsts.groupBy("doc_id").agg(F.collect_list("place").alias("firsts"))
     met = by_doc.select("doc_id", F.expr("runs.place").alias("runs"))
-    return texts.join(met, "doc_id", "left").join(firsts, "doc_id", "left").select("doc_id", "packed", "runs", "firsts")
+    rows = packed(docs, carry)
+    return rows.join(met, "doc_id", "left").join(firsts, "doc_id", "left").select("doc_id", "packed", "runs", "firsts", *rows.columns[2:])
 
 
 def covered(size: int, runs: list[int] | None, firsts: list[int] | None, length: int = LENGTH) -> np.ndarray:
@@ -312,6 +318,34 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     return removed_windows(docs).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>")
 
 
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all their columns, with texts without the repeated bytes.
+
+    A character of which a byte goes, goes whole; n_chars, if there is one, is counted
+    anew. A text of which nothing but white space is left goes with its row.
+    """
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    carry = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            texts: list[str | None] = []
+            for text, runs, firsts in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                data = np.frombuffer(unpack(text), np.uint8) if text is not None else np.zeros(0, np.uint8)
+                gone = covered(len(data), runs, firsts)
+                left = data[~gone].tobytes().decode("utf-8", "ignore") if text is not None else None
+                texts.append(left)
+            lost = [bool(r) and not (t or "").strip() for t, r in zip(texts, batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(4), pa.array(texts, pa.string()), pa.array(lost, pa.bool_())], ["carry", "text", "lost"])
+
+    rows = removed_windows(docs, carry)
+    schema = StructType([rows.schema["carry"], *StructType.fromDDL("text string, lost boolean").fields])
+    out = rows.mapInArrow(run, schema).where("not lost")
+    columns = [F.col("text") if c == "text" else F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"carry.`{c}`") for c in docs.columns]
+    return out.select(*columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents")).drop("spans")
 
