@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Hashes, mix, table, utf8
+from .common import Hashes, checkpoint, mix, table, utf8
 
 RUN, MIN_WORDS = 3, 12
 _MARK = np.zeros(256, bool)
@@ -76,8 +76,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([columns[0], columns[1], pa.array(ids), columns[2].cast(pa.int32())], ["a", "b", "doc_id", "first"])
 
     spans = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "a bigint, b bigint, doc_id bigint, first int")
+    # written, so that both sides of the join are dealt out for it, and a hot side can be split
     origin = spans.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first")).alias("origin")).where("n > 1").select("a", "b", "origin")
-    return spans.join(origin, ["a", "b"]).where("struct(doc_id, first) <> origin").select("doc_id", "first")
+    return spans.join(checkpoint(origin), ["a", "b"]).where("struct(doc_id, first) <> origin").select("doc_id", "first")
 
 
 def remove_spans(docs: DataFrame) -> DataFrame:

@@ -25,8 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .chosenpath import _groups
-from .common import Hashes, mix, table, utf8
+from .common import Hashes, checkpoint, table, utf8
 
 LENGTH, ANCHOR = 100, 24
 #: Strings of a minimiser above which its windows go by their own hash instead.
@@ -43,15 +42,15 @@ def windows(data: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tup
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     value = Hashes(data).windows(anchor)
     width = length - anchor + 1
-    least, place, have = value, np.arange(len(value), dtype=np.int32), 1
+    # the upper bits of the hash, then the place: the least is the leftmost of equals
+    low = np.uint64((1 << max(24, len(value).bit_length())) - 1)
+    least, have = (value & ~low) | np.arange(len(value), dtype=np.uint64), 1
     while have < width:
         step = min(have, width - have)
-        later = least[step:] < least[:-step]
-        place = np.where(later, place[step:], place[:-step])
         least = np.minimum(least[:-step], least[step:])
         have += step
-    first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-    return least[first].view(np.int64), first, np.diff(np.append(first, n))
+    first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    return value[(least[first] & low).astype(np.int64)].view(np.int64), first, np.diff(np.append(first, n))
 
 
 class SuffixArray:
@@ -145,27 +144,21 @@ def _copies(texts: list[bytes], doc: np.ndarray, start: np.ndarray, least: int)
         yield depth, order[members], int(order[first])
 
 
-def _first_windows(rows: pa.Table, least: int, anywhere: bool = False) -> Iterator[tuple[int, int, int]]:
-    """(doc_id, first, n) runs of windows that no earlier equal window precedes, from strings
-    (text, doc_id, start), by one suffix array; equal strings are first reduced to the earliest."""
-    earliest: dict[bytes, tuple[int, int]] = {}
-    for t, d, s in zip(*(rows.column(k).to_pylist() for k in ("text", "doc_id", "start"))):
-        if t not in earliest or (d, s) < earliest[t]:
-            earliest[t] = (d, s)
-    texts = list(earliest)
-    doc, start = (np.array([v[k] for v in earliest.values()], np.int64) for k in (0, 1))
+def _first_windows(strings: list[tuple[bytes, int, int]], least: int) -> Iterator[tuple[int, int, int]]:
+    """(doc_id, first, n) runs of windows that no earlier equal window precedes, from distinct
+    strings (text, doc_id, start) of some buckets, by one suffix array."""
+    texts = [x[0] for x in strings]
+    doc, start = (np.array([x[k] for x in strings], np.int64) for k in (1, 2))
     size = np.array([len(t) for t in texts])
     fresh = np.ones(int(size.sum()), bool)
-    if len(texts) > 1:
-        for depth, members, first in _copies(texts, doc, start, least):
-            for p in members[members != first].tolist():
-                fresh[p : p + depth - least + 1] = False
+    for depth, members, first in _copies(texts, doc, start, least):
+        for p in members[members != first].tolist():
+            fresh[p : p + depth - least + 1] = False
     begin = np.cumsum(size) - size
-    for k in range(len(texts)):
-        own = fresh[begin[k] : begin[k] + size[k] - least + 1]
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
-        for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist()):
-            yield int(doc[k]), int(start[k]) + a, b - a
+    edge = np.repeat(size - least + 1, size) > np.arange(int(size.sum())) - np.repeat(begin, size)
+    change = np.flatnonzero(np.diff(np.concatenate(([0], (fresh & edge).view(np.int8), [0])))).reshape(-1, 2)
+    own = np.searchsorted(begin, change[:, 0], "right") - 1
+    return zip(doc[own].tolist(), (start[own] + change[:, 0] - begin[own]).tolist(), (change[:, 1] - change[:, 0]).tolist())
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -180,7 +173,8 @@ def repeated(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(ids), pa.array((start << 8) | n)], ["minimiser", "doc_id", "place"])
 
     runs = docs.mapInArrow(run, "minimiser bigint, doc_id bigint, place bigint")
-    again = runs.groupBy("minimiser").agg(F.count("*").alias("n")).where("n > 1").select("minimiser", F.expr(f"n > {HOT}").alias("hot"))
+    # written, so that both sides of the join are dealt out for it, and a hot side can be split
+    again = checkpoint(runs.groupBy("minimiser").agg(F.count("*").alias("n")).where("n > 1").select("minimiser", F.expr(f"n > {HOT}").alias("hot")))
     return runs.join(again, "minimiser")
 
 
@@ -201,74 +195,98 @@ def removed_windows(docs: DataFrame, carry: Column | None = None) -> DataFrame:
     """doc_id, packed (text), carry if given, and runs and firsts: the windows met again, and those of them that
     are the first of their kind, each as start * 256 + number."""
     usable = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
+    same = usable.select("doc_id", F.xxhash64("text").alias("a"), F.md5(F.col("text").cast("binary")).alias("b"))
+    # of equal texts the first stays and the others go whole: their strings needn't travel
+    original = checkpoint(same.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("doc_id").alias("original")).where("n > 1").drop("n"))
+    copies = same.join(original, ["a", "b"]).where("doc_id <> original").select("doc_id").distinct().withColumn("copy", F.lit(True))
     by_doc = repeated(usable).groupBy("doc_id").agg(F.collect_list(F.struct("place", "minimiser", "hot")).alias("runs"))
-    texts = packed(docs)
+    rows = packed(docs, carry).join(by_doc, "doc_id", "left").join(copies, "doc_id", "left")
+    wide = len(rows.columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
                 earliest: dict[tuple[int, bytes], tuple[int, int]] = {}
-
-                def keep(bucket: int, text: bytes, doc: int, start: int) -> None:
-                    old = earliest.get((bucket, text))
-                    if old is None or (doc, start) < old:
-                        earliest[bucket, text] = (doc, start)
-
-                for doc, text, runs in zip(*(part.column(k).to_pylist() for k in range(3))):
-                    text = unpack(text)
-                    hashes = None
-                    for r in runs:
-                        start, n = r["place"] >> 8, r["place"] & 255
-                        if r["hot"]:
-                            if hashes is None:
-                                hashes = Hashes(np.frombuffer(text, np.uint8)).windows(LENGTH).view(np.int64)
-                            for k in range(start, start + n):
-                                keep(int(hashes[k]), text[k : k + LENGTH], doc, k)
-                        else:
-                            keep(r["minimiser"], text[start : start + n - 1 + LENGTH], doc, start)
+                lists = part.column(wide - 2)
+                at = np.concatenate(([0], np.cumsum(np.array(lists.value_lengths().fill_null(0)))))
+                flat = lists.flatten()
+                place, minimiser = (flat.field(k).to_numpy() for k in (0, 1))
+                hot = flat.field(2).to_numpy(zero_copy_only=False).astype(bool)
+                for k, (doc, text, copy) in enumerate(zip(*(part.column(c).to_pylist() for c in (0, 1, wide - 1)))):
+                    if copy or at[k] == at[k + 1]:
+                        continue
+                    text, own = unpack(text), slice(at[k], at[k + 1])
+                    p = place[own][~hot[own]]
+                    found = [(b, text[s : s + n], s) for b, s, n in zip(minimiser[own][~hot[own]].tolist(), (p >> 8).tolist(), ((p & 255) + LENGTH - 1).tolist())]
+                    if hot[own].any():
+                        hashes = Hashes(np.frombuffer(text, np.uint8)).windows(LENGTH).view(np.int64)
+                        for q in place[own][hot[own]].tolist():
+                            found += [(int(hashes[s]), text[s : s + LENGTH], s) for s in range(q >> 8, (q >> 8) + (q & 255))]
+                    for bucket, string, s in found:
+                        old = earliest.get((bucket, string))
+                        if old is None or (doc, s) < old:
+                            earliest[bucket, string] = (doc, s)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in earliest], pa.int64()), pa.array([k[1] for k in earliest], pa.binary()), pa.array([v[0] for v in earliest.values()], pa.int64()), pa.array([v[1] for v in earliest.values()], pa.int64())],
+                    [pa.array([x[0] for x in earliest], pa.int64()), pa.array([x[1] for x in earliest], pa.binary()), pa.array([x[0] for x in earliest.values()], pa.int64()), pa.array([x[1] for x in earliest.values()], pa.int64())],
                     ["bucket", "text", "doc_id", "start"],
                 )
 
-    strings = texts.where("packed is not null").join(by_doc, "doc_id").select("doc_id", "packed", "runs").mapInArrow(cut, "bucket bigint, text binary, doc_id bigint, start bigint")
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int]] = []
-        wait: list[pa.Table] = []
-        held = 0
+        wait: list[tuple[bytes, int, int]] = []
+        group: dict[bytes, tuple[int, int]] = {}
+        held, now = 0, None
 
         def flushed() -> pa.RecordBatch:
             doc, start, n = (np.array([x[k] for x in out], np.int64) for k in range(3))
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start << 8 | n)], ["doc_id", "place"])
 
-        for rows in _groups(batches, 1):
-            if len(rows) == 1:
-                out.append((rows["doc_id"][0].as_py(), rows["start"][0].as_py(), len(rows["text"][0].as_py()) - LENGTH + 1))
+        def closed() -> None:
+            """The strings of a bucket: one has only first windows, several meet in a suffix array."""
+            nonlocal held
+            if len(group) == 1:
+                (text, (doc, start)), = group.items()
+                out.append((doc, start, len(text) - LENGTH + 1))
             else:
-                wait.append(rows)
-                held += rows["text"].nbytes
+                wait.extend((t, *v) for t, v in group.items())
+                held += sum(map(len, group))
+            group.clear()
             if held > _CHUNK:
-                out.extend(_first_windows(pa.concat_tables(wait), LENGTH))
-                wait, held = [], 0
+                out.extend(_first_windows(wait, LENGTH))
+                wait.clear()
+                held = 0
+
+        for batch in batches:
+            for bucket, text, doc, start in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if bucket != now:
+                    if group:
+                        closed()
+                    now = bucket
+                old = group.get(text)
+                if old is None or (doc, start) < old:
+                    group[text] = (doc, start)
             if len(out) > 50_000:
                 yield flushed()
+        if group:
+            closed()
         if wait:
-            out.extend(_first_windows(pa.concat_tables(wait), LENGTH))
+            out.extend(_first_windows(wait, LENGTH))
         yield flushed()
 
+    strings = rows.mapInArrow(cut, "bucket bigint, text binary, doc_id bigint, start bigint")
     firsts = strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(scan, "doc_id bigint, place bigint")
     firsts = firsts.groupBy("doc_id").agg(F.collect_list("place").alias("firsts"))
-    met = by_doc.select("doc_id", F.expr("runs.place").alias("runs"))
-    rows = packed(docs, carry)
-    return rows.join(met, "doc_id", "left").join(firsts, "doc_id", "left").select("doc_id", "packed", "runs", "firsts", *rows.columns[2:])
+    return rows.join(firsts, "doc_id", "left").select("doc_id", "packed", F.expr("runs.place").alias("runs"), "firsts", "copy", *rows.columns[2 : wide - 2])
 
 
-def covered(size: int, runs: list[int] | None, firsts: list[int] | None, length: int = LENGTH) -> np.ndarray:
-    """Which of size bytes lie in a window that is met again and not the first of its kind."""
+def covered(size: int, runs: list[int] | None, firsts: list[int] | None, copy: bool | None, length: int = LENGTH) -> np.ndarray:
+    """Which of size bytes lie in a window that is met again and not the first of its kind; of a
+    whole copy all do, if it has a window."""
+    if copy:
+        return np.full(size, size >= length)
     change = np.zeros(size + 1, np.int64)
     if runs:
         for places, sign in ((runs, 1), (firsts or [], -1)):
@@ -300,9 +318,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             size, lost, count, digest, spans = [], [], [], [], []
-            for text, runs, firsts in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+            for text, runs, firsts, copy in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4))):
                 data = np.frombuffer(unpack(text) if text is not None else b"", np.uint8)
-                gone = covered(len(data), runs, firsts)
+                gone = covered(len(data), runs, firsts, copy)
                 found = _spans(gone)
                 size.append(len(data))
                 lost.append(int(gone.sum()))
@@ -331,13 +349,13 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             texts: list[str | None] = []
-            for text, runs, firsts in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+            for text, runs, firsts, copy in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4))):
                 data = np.frombuffer(unpack(text), np.uint8) if text is not None else np.zeros(0, np.uint8)
-                gone = covered(len(data), runs, firsts)
+                gone = covered(len(data), runs, firsts, copy)
                 left = data[~gone].tobytes().decode("utf-8", "ignore") if text is not None else None
                 texts.append(left)
             lost = [bool(r) and not (t or "").strip() for t, r in zip(texts, batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(4), pa.array(texts, pa.string()), pa.array(lost, pa.bool_())], ["carry", "text", "lost"])
+            yield pa.RecordBatch.from_arrays([batch.column(5), pa.array(texts, pa.string()), pa.array(lost, pa.bool_())], ["carry", "text", "lost"])
 
     rows = removed_windows(docs, carry)
     schema = StructType([rows.schema["carry"], *StructType.fromDDL("text string, lost boolean").fields])
