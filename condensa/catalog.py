@@ -1,17 +1,457 @@
-"""Every query of the library by name, with the SQL that gives the same rows."""
+"""Every query of the library by name, with the SQL that gives the same rows.
+
+Each runs over the whole of its tables; limits are there only where they are the
+feature (the latest n, a page, the best k).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import chats, dedup, ranking, relational as R
+from .plans import rewrite as plan
+from .sources import io
+
+FLAGSHIP = "rewrite_documents"
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+_SENT = r"list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]*'), lambda s: trim(s, ' ')), lambda s: length(s) > 0)"
+_TOK = "regexp_extract_all(lower(text), '[a-z0-9'']+')"
+_SIG = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' ')"
+_SQUEEZE = r"trim(regexp_replace(lower({0}), '[ \t\n\r\f]+', ' ', 'g'), ' ')"
+_NTOK = "CAST(greatest(len(regexp_extract_all({0}, '[A-Za-z0-9_'']+')), 1) AS BIGINT)"
+
+
+def _query(table: str, sql: str | None = None) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """Registers a function of the named tables (by spaces)."""
+
+    def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(*[io.table(spark, sf_dir, t) for t in table.split()])
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- histories and telemetry
+
+
+@_query("events", "SELECT event_id, ts, user_id, event_type, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
+def recent_history(events):
+    return R.latest(events.select("event_id", "ts", "user_id", "event_type", "value"), 50, "ts", "event_id")
+
+
+@_query("events", "SELECT event_id, user_id, event_type, value FROM events WHERE event_id = 42")
+def point_lookup(events):
+    return events.where("event_id = 42").select("event_id", "user_id", "event_type", "value")
+
+
+@_query("events", "SELECT event_id, user_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) rank FROM events) WHERE rank <= 5")
+def tenant_recent_topn(events):
+    return R.latest_of_each(events, "user_id", 5, "ts", "event_id").select("event_id", "user_id", "rank")
+
+
+@_query("events", "SELECT count(*) AS n, round(sum(greatest(value - 10, 0)), 4) AS saved, round(avg(value), 6) AS avg_value, round(avg(nullif(event_id % 7, 0)), 6) AS avg_similarity, round(sum(value) / 1e6 * 0.015 * 30, 8) AS savings FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 500)")
+def history_rollup(events):
+    rows = R.latest(events, 500, "ts", "event_id")
+    return rows.agg(F.count("*").alias("n"), F.round(F.sum(F.greatest(F.col("value") - 10, F.lit(0.0))), 4).alias("saved"), F.round(F.avg("value"), 6).alias("avg_value"), F.round(F.avg(F.expr("nullif(event_id % 7, 0)")), 6).alias("avg_similarity"), F.round(F.sum("value") / 1e6 * 0.015 * 30, 8).alias("savings"))
+
+
+@_query("events", "SELECT strftime(d.day, '%Y-%m-%d') AS day, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT unnest(generate_series(DATE '2024-01-28', DATE '2024-02-03', INTERVAL 1 DAY)) AS day) d LEFT JOIN (SELECT CAST(ts AS DATE) AS day, count(*) n FROM events GROUP BY 1) e ON CAST(d.day AS DATE) = e.day")
+def daily_trend_zero_filled(events):
+    daily = events.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    return R.zero_filled_days(daily, "day", "2024-02-03", 7).select(F.col("day").cast("string").alias("day"), "n")
+
+
+@_query("events orders", "SELECT e.event_id, e.event_type, o.o_custkey FROM events e JOIN orders o ON e.event_id = o.o_orderkey WHERE e.user_id = 7 ORDER BY e.ts DESC, e.event_id DESC LIMIT 100")
+def recent_telemetry_join(events, orders):
+    joined = events.where("user_id = 7").join(orders, events.event_id == orders.o_orderkey)
+    return R.latest(joined, 100, "ts", "event_id").select("event_id", "event_type", "o_custkey")
+
+
+@_query("events", "SELECT event_type, round(avg(coalesce(CASE WHEN event_id % 3 = 0 THEN value END, CASE WHEN value > 0 THEN (event_id % 50) / value ELSE 0 END)), 6) AS avg_utility, round(avg(value), 6) AS avg_duration, count(*) AS n FROM events GROUP BY event_type")
+def pass_utility_priors(events):
+    out = R.utility_priors(events, "event_type", F.when(F.col("event_id") % 3 == 0, F.col("value")), F.col("event_id") % 50, F.col("value"))
+    return out.withColumn("avg_utility", F.round("avg_utility", 6)).withColumn("avg_duration", F.round("avg_duration", 6))
+
+
+@_query("events", "SELECT user_id, round(list_sort(list(value))[CAST(round(0.95 * (count(*) - 1)) AS INTEGER) + 1], 2) AS p95, round(list_sort(list(value))[CAST(round(0.99 * (count(*) - 1)) AS INTEGER) + 1], 2) AS p99, round(avg(CASE WHEN value < 10 THEN 1.0 ELSE 0.0 END), 6) AS failure_rate FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) r FROM events) WHERE r <= 500 AND value > 0 GROUP BY user_id")
+def tenant_latency_percentiles(events):
+    rows = R.latest_of_each(events, "user_id", 500, "ts", "event_id").where("value > 0")
+    return rows.groupBy("user_id").agg(F.round(R.index_percentile(F.col("value"), 0.95), 2).alias("p95"), F.round(R.index_percentile(F.col("value"), 0.99), 2).alias("p99"), F.round(F.avg(F.when(F.col("value") < 10, 1.0).otherwise(0.0)), 6).alias("failure_rate"))
+
+
+@_query("events", "SELECT round(avg(s), 4) AS avg_run, round(max(s), 4) AS max_run, avg(s) <= 600 AS latency_ok FROM (SELECT user_id, CAST(ts AS DATE) d, sum(value) s FROM events GROUP BY 1, 2)")
+def telemetry_baseline(events):
+    runs = events.groupBy("user_id", F.to_date("ts").alias("d")).agg(F.sum("value").alias("s"))
+    return runs.agg(F.round(F.avg("s"), 4).alias("avg_run"), F.round(F.max("s"), 4).alias("max_run"), (F.avg("s") <= plan.LATENCY_MS).alias("latency_ok"))
+
+
+@_query("events", "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS pass_order, greatest(CAST(floor(value) AS BIGINT) - event_id % 20, 0) AS saved, CASE WHEN floor(value) > 0 THEN round(greatest(floor(value) - event_id % 20, 0) / floor(value) * 100, 4) ELSE 0 END AS reduction FROM events")
+def pass_metrics(events):
+    before, after = F.floor("value"), F.col("event_id") % 20
+    saved = F.greatest(before - after, F.lit(0))
+    order = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return events.select("event_id", order.alias("pass_order"), saved.alias("saved"), F.when(before > 0, F.round(saved / before * 100, 4)).otherwise(0.0).alias("reduction"))
+
+
+@_query("events", "SELECT event_type, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+def profiler_steps(events):
+    return events.groupBy("event_type").agg(F.round(F.sum("value"), 4).alias("total"))
+
+
+@_query("events", "SELECT event_id, value <= 600 AS latency_ok, coalesce(nullif(event_id % 5, 0) / 4.0 >= 0.82, false) AS similarity_ok, floor(value) >= 20 AS savings_ok FROM events")
+def guardrails(events):
+    similarity = F.expr("nullif(event_id % 5, 0) / 4.0D")
+    return events.select("event_id", (F.col("value") <= plan.LATENCY_MS).alias("latency_ok"), F.coalesce(similarity >= plan.SIMILARITY, F.lit(False)).alias("similarity_ok"), (F.floor("value") >= plan.SAVED_TOKENS).alias("savings_ok"))
+
+
+@_query("events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) >= 50")
+def json_props_filter(events):
+    k = F.get_json_object("props", "$.k").cast("int")
+    return events.select("event_id", k.alias("k")).where("k >= 50")
+
+
+@_query("events", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 21599999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS n FROM events")
+def sliding_rate_window(events):
+    return R.windowed_count(events, "user_id", "ts", 6 * 3600).select("event_id", "n")
+
+
+@_query("events", "SELECT event_id, CASE WHEN event_type = 'click' AND value > 50 OR event_type = 'view' AND value > 80 THEN 'failed' ELSE event_type END AS status FROM events")
+def stale_job_reaper(events):
+    return R.reaped(events, F.col("event_type"), F.col("value"), {"click": 50, "view": 80}).select("event_id", "status")
+
+
+@_query("events", "SELECT user_id, arg_max(event_type, ts) AS state, max(ts) AS updated_at FROM events GROUP BY user_id")
+def job_latest_state(events):
+    return events.groupBy("user_id").agg(F.max_by("event_type", "ts").alias("state"), F.max("ts").alias("updated_at"))
+
+
+@_query("events", "SELECT e.event_type, e.avg_value FROM (SELECT event_type, round(avg(value), 6) avg_value, round(max(value), 6) m FROM events GROUP BY 1) e, (SELECT round(avg(value), 6) a, round(max(value), 6) b FROM events WHERE event_type = 'click') c WHERE e.avg_value >= c.a AND e.m <= c.b")
+def pareto_filter(events):
+    kinds = events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("avg_value"), F.round(F.max("value"), 6).alias("m"))
+    base = kinds.where("event_type = 'click'").select(F.col("avg_value").alias("a"), F.col("m").alias("b"))
+    return kinds.join(F.broadcast(base), (F.col("avg_value") >= F.col("a")) & (F.col("m") <= F.col("b"))).select("event_type", "avg_value")
+
+
+# --- usage, mappings and other tables
+
+
+@_query("orders", "SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS period, count(*) AS calls, max(o_orderdate) AS last FROM orders GROUP BY 1, 2")
+def usage_by_period(orders):
+    return orders.groupBy("o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("period")).agg(F.count("*").alias("calls"), F.max("o_orderdate").alias("last"))
+
+
+@_query("orders", "SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS period, strftime(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH, '%Y-%m-%d') AS until, count(*) AS calls FROM orders GROUP BY 1, 2 ORDER BY period DESC LIMIT 24")
+def usage_history(orders):
+    month = F.to_date(F.date_trunc("month", "o_orderdate"))
+    months = orders.groupBy(month.cast("string").alias("period"), F.add_months(month, 1).cast("string").alias("until")).agg(F.count("*").alias("calls"))
+    return R.latest(months, 24, "period")
+
+
+@_query("customer nation", "SELECT coalesce(n_name, 'ui') AS source, count(*) AS calls FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 5 <> 0) n ON c_nationkey = n_nationkey GROUP BY 1")
+def usage_breakdown_left_join(customer, nation):
+    keys = nation.where("n_nationkey % 5 <> 0").select("n_nationkey", "n_name")
+    return customer.join(keys, customer.c_nationkey == keys.n_nationkey, "left").groupBy(F.coalesce("n_name", F.lit("ui")).alias("source")).agg(F.count("*").alias("calls"))
+
+
+@_query("customer orders", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN true ELSE coalesce(n, 0) < c_acctbal / 500 END AS allowed, CASE WHEN c_acctbal < 0 THEN -1 ELSE greatest(CAST(floor(c_acctbal / 500) AS BIGINT) - coalesce(n, 0), 0) END AS remaining FROM customer LEFT JOIN (SELECT o_custkey, count(*) n FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+def quota_check(customer, orders):
+    used = orders.groupBy("o_custkey").agg(F.count("*").alias("n"))
+    rows = customer.join(used, customer.c_custkey == used.o_custkey, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    free = F.col("c_acctbal") < 0
+    return rows.select("c_custkey", F.when(free, True).otherwise(F.col("n") < F.col("c_acctbal") / 500).alias("allowed"), F.when(~free, F.greatest(F.floor(F.col("c_acctbal") / 500) - F.col("n"), F.lit(0))).otherwise(-1).alias("remaining"))
+
+
+@_query("customer", "SELECT c_custkey, c_name FROM customer ORDER BY lower(c_name), c_custkey LIMIT 20 OFFSET 40")
+def paged_listing(customer):
+    return customer.select("c_custkey", "c_name").orderBy(F.lower("c_name"), "c_custkey").offset(40).limit(20)
+
+
+@_query("customer", "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1 ORDER BY n")
+def plan_catalog(customer):
+    return customer.where("c_acctbal > 0").groupBy("c_mktsegment").agg(F.count("*").alias("n")).orderBy("n")
+
+
+@_query("nation customer", "SELECT n_nationkey FROM nation WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9900)")
+def delete_guard(nation, customer):
+    return nation.join(customer.where("c_acctbal > 9900"), F.col("c_nationkey") == F.col("n_nationkey"), "left_anti").select("n_nationkey")
+
+
+@_query("customer orders", "SELECT c.c_custkey, coalesce(o.o_orderkey, -1) AS o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_orderstatus = 'O' WHERE c.c_mktsegment = 'BUILDING'")
+def two_step_lookup(customer, orders):
+    active = orders.where("o_orderstatus = 'O'").select("o_custkey", "o_orderkey")
+    return customer.where("c_mktsegment = 'BUILDING'").join(active, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("o_orderkey", F.lit(-1)).alias("o_orderkey"))
+
+
+@_query("part", "SELECT coalesce(b.k, o.k) AS k, coalesce(o.v, b.v) AS v FROM (SELECT p_partkey k, lower(p_type) v FROM part WHERE p_partkey % 2 = 0 AND p_size <> 7) b FULL JOIN (SELECT p_partkey k, lower(p_brand) v FROM part WHERE p_partkey % 3 = 0) o ON b.k = o.k")
+def mapping_override_merge(part):
+    base = part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("k"), F.lower("p_type").alias("v"))
+    own = part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("k"), F.lower("p_brand").alias("v"))
+    return R.override(base, part.where("p_size = 7").select(F.col("p_partkey").alias("k")), own, "k", "v")
+
+
+@_query("orders", "SELECT o_custkey AS k, round(sum(o_totalprice), 2) AS amount FROM orders GROUP BY 1")
+def upsert_accumulate(orders):
+    rows = orders.select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("amount"), "o_orderkey")
+    out = R.accumulate(rows.where("o_orderkey % 2 = 0"), rows.where("o_orderkey % 2 <> 0"), "k", "amount")
+    return out.select("k", F.round("amount", 2).alias("amount"))
+
+
+@_query("part", "SELECT lower(p_name) AS k, arg_max(p_partkey, p_partkey) AS v FROM part GROUP BY 1")
+def upsert_replace(part):
+    rows = part.groupBy("p_name").agg(F.max("p_partkey").alias("v")).select(F.col("p_name").alias("k"), "v")
+    old = rows.select("k", (F.col("v") * 0).alias("v"))
+    return R.replace(old, rows, "k").groupBy(F.lower("k").alias("k")).agg(F.max("v").alias("v"))
+
+
+@_query("part", "SELECT p_partkey, p_size FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 0 FROM part WHERE p_partkey % 2 <> 0 AND p_partkey % 3 = 0")
+def insert_if_absent(part):
+    old = part.where("p_partkey % 2 = 0").select("p_partkey", "p_size")
+    return R.insert_absent(old, part.where("p_partkey % 3 = 0").select("p_partkey", F.lit(0).alias("p_size")), "p_partkey")
+
+
+@_query("part supplier", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT s_suppkey FROM supplier)")
+def bulk_delete(part, supplier):
+    return part.join(supplier, F.col("p_partkey") == F.col("s_suppkey"), "left_anti").select("p_partkey")
+
+
+@_query("part", "SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey DESC) r FROM part) WHERE r = 1")
+def partial_unique_upsert(part):
+    return R.evict(part, "p_brand", 1, "p_retailprice", "p_partkey").select("p_brand", "p_partkey")
+
+
+@_query("part", "SELECT p_partkey AS id, p_name AS name, CAST('active' AS VARCHAR) AS status, CAST(0 AS BIGINT) AS used FROM part")
+def migration_copy(part):
+    return part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("active").alias("status"), F.lit(0).cast("long").alias("used"))
+
+
+@_query("documents", f"SELECT source, phrase, n FROM (SELECT source, phrase, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, phrase DESC) r FROM (SELECT source, phrase, count(*) n FROM (SELECT source, unnest({_TOK}) phrase FROM documents) WHERE length(phrase) > 3 GROUP BY 1, 2)) WHERE r <= 20")
+def phrase_topn_evict(documents):
+    used = documents.select("source", F.explode(T.tokens(F.col("text"))).alias("phrase")).where("length(phrase) > 3").groupBy("source", "phrase").agg(F.count("*").alias("n"))
+    return R.evict(used, "source", 20, "n", "phrase")
+
+
+@_query("lineitem", "SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS avg_q, list_sort(list(l_quantity))[CAST(floor(count(*) * 0.5) AS INTEGER) + 1] AS p50, list_sort(list(l_quantity))[CAST(floor(count(*) * 0.95) AS INTEGER) + 1] AS p95 FROM lineitem GROUP BY 1")
+def benchmark_aggregation(lineitem):
+    # the value at floor(n * p), from counts of each value: the values of a group never meet in one place
+    counts = lineitem.groupBy("l_returnflag", "l_quantity").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("l_returnflag")
+    rows = counts.withColumn("upto", F.sum("c").over(w.orderBy("l_quantity"))).withColumn("n", F.sum("c").over(w))
+    at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.col("n") * p), F.col("l_quantity")))
+    return rows.groupBy("l_returnflag").agg(F.max("n").alias("n"), F.round(F.sum(F.col("l_quantity") * F.col("c")) / F.max("n"), 6).alias("avg_q"), at(0.5).alias("p50"), at(0.95).alias("p95"))
+
+
+# --- text functions and classification
+
+_CASE = r"""CASE WHEN length(trim(t, ' ')) = 0 THEN 'general_prose'
+  WHEN regexp_matches(trim(t, ' '), '^[\[{]') AND regexp_matches(trim(t, ' '), '[\]}]$') AND contains(t, '"') THEN 'json'
+  WHEN length(text) < 100 THEN 'short'
+  WHEN len(regexp_extract_all(t, '[{};]|=>|->|==')) >= 3 OR len(regexp_extract_all(t, '\b(?:def|class|import|function|return|const|public)\b')) >= 2 THEN 'code'
+  WHEN len(regexp_extract_all(t, '(?:^|\n)(?:user|assistant|system|User|Assistant|System):')) >= 2 THEN 'dialogue'
+  WHEN regexp_matches(t, '\b(?:GET|POST|PUT|DELETE) /|\b[Ee]ndpoint\b') THEN 'technical_doc'
+  WHEN len(regexp_extract_all(t, '(?:^|\n)(?:#{1,6} |[-*] |```)')) >= 5 THEN 'markdown'
+  WHEN length(text) > 15000 THEN 'heavy_document' ELSE 'general_prose' END"""
+_HEAD = "CASE WHEN length(text) > 2000 THEN substr(text, 1, 666) || substr(text, CAST(floor(length(text) / 2.0) AS INTEGER) - 333, 666) || substr(text, length(text) - 665, 666) ELSE text END t"
+
+
+@_query("documents", f"SELECT doc_id, {_CASE} AS kind FROM (SELECT doc_id, text, {_HEAD} FROM documents)")
+def classify_documents(documents):
+    return documents.select("doc_id", T.content_class(F.col("text")).alias("kind"))
+
+
+@_query("pages", f"SELECT page_id, {_CASE} AS kind FROM (SELECT page_id, html AS text, {_HEAD.replace('text', 'html')} FROM pages)")
+def classify_pages(pages):
+    return pages.select("page_id", T.content_class(F.col("html")).alias("kind"))
+
+
+@_query("documents", f"SELECT bin, count(*) AS n, CAST(sum(t) AS BIGINT) AS tokens FROM (SELECT t, CASE WHEN t < 512 THEN 'xs' WHEN t < 2048 THEN 'sm' WHEN t < 8192 THEN 'md' WHEN t < 16384 THEN 'lg' ELSE 'xl' END bin FROM (SELECT {_NTOK.format('text')} t FROM documents)) GROUP BY bin")
+def token_bin_histogram(documents):
+    n = documents.select(T.n_tokens(F.col("text")).alias("t"))
+    return n.groupBy(T.token_bin(F.col("t")).alias("bin")).agg(F.count("*").alias("n"), F.sum("t").alias("tokens"))
+
+
+@_query("documents", "SELECT doc_id, round(-sum(c / n * log2(c / n)), 6) AS entropy FROM (SELECT doc_id, p, CAST(count(*) AS DOUBLE) c, CAST(any_value(len) - 1 AS DOUBLE) n FROM (SELECT doc_id, len(c) len, c[i] || c[i + 1] p FROM (SELECT doc_id, c, unnest(range(1, len(c))) i FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') c FROM documents))) GROUP BY doc_id, p) GROUP BY doc_id")
+def char_bigram_entropy(documents):
+    chars = documents.where(F.length("text") > 1).select("doc_id", F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)).alias("c"))
+    rows = chars.select("doc_id", (F.size("c") - 1).cast("double").alias("n"), F.explode(F.expr("zip_with(slice(c, 1, size(c) - 1), slice(c, 2, size(c) - 1), (x, y) -> x || y)")).alias("p"))
+    counts = rows.groupBy("doc_id", "n", "p").agg(F.count("*").alias("c"))
+    return counts.groupBy("doc_id").agg(F.round(F.sum(-(F.col("c") / F.col("n")) * F.log2(F.col("c") / F.col("n"))), 6).alias("entropy"))
+
+
+@_query("documents", f"SELECT doc_id, round(CASE WHEN len(s) > 0 THEN 1 - len(list_distinct(s)) / CAST(len(s) AS DOUBLE) ELSE 0 END, 6) AS redundancy FROM (SELECT doc_id, list_filter(list_transform({_SENT}, lambda x: {_SIG.format('x')}), lambda x: length(x) > 0) s FROM documents)")
+def sentence_redundancy(documents):
+    return dedup.redundancy(documents).select("doc_id", F.round("redundancy", 6).alias("redundancy"))
+
+
+@_query("documents", r"SELECT doc_id, regexp_replace(text, '(^|[ \t\n])(?:(?:[Tt]he|[Aa]n?)[ \t]+)+', '\1', 'g') AS text FROM documents")
+def article_removal(documents):
+    return documents.select("doc_id", T.without_articles(F.col("text")).alias("text"))
+
+
+@_query("documents", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\.{2,}', '.', 'g'), '[ \t]+([,:;])', '\1', 'g'), '([,:;])[ \t]+', '\1 ', 'g') AS text FROM documents")
+def punctuation_compress(documents):
+    return documents.select("doc_id", T.tight_punctuation(F.col("text")).alias("text"))
+
+
+@_query("documents", r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+\n', e'\n', 'g'), '\n{3,}', e'\n\n', 'g'), '[ \t]{2,}', ' ', 'g'), ' ') AS text FROM documents")
+def whitespace_normalise(documents):
+    return documents.select("doc_id", T.tidy_space(F.col("text")).alias("text"))
+
+
+@_query("documents", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\b([0-9]{1,9}),([0-9]{3})\b', '\1\2', 'g'), '\b([0-9]{1,9}),([0-9]{3})\b', '\1\2', 'g'), '\b([0-9]{1,9}),([0-9]{3})\b', '\1\2', 'g') AS text FROM documents")
+def thousands_separator(documents):
+    return documents.select("doc_id", T.plain_numbers(F.col("text")).alias("text"))
+
+
+@_query("documents")
+def consecutive_duplicates(documents):
+    return documents.select("doc_id", T.no_echo(F.col("text")).alias("text"))
+
+
+@_query("documents", "SELECT doc_id, regexp_matches(text, '(?i)\\b(?:must|never|always|shall|required|only|at least|at most|do not|should)\\b') AS has_constraint FROM documents")
+def constraint_cues(documents):
+    return documents.select("doc_id", T.has_constraint(F.col("text")).alias("has_constraint"))
+
+
+_SIM = r"""WITH p AS (SELECT doc_id, text a, regexp_replace(text, '(^|[ \t\n])(?:(?:[Tt]he|[Aa]n?)[ \t]+)+', '\1', 'g') b FROM documents),
+ q AS (SELECT doc_id, a, b, list_distinct(TOKA) ta, list_distinct(TOKB) tb, len(SENTA) sa, len(SENTB) sb FROM p),
+ r AS (SELECT doc_id, round(0.7 * CASE WHEN len(ta) = 0 OR len(tb) = 0 THEN 0 ELSE len(list_intersect(ta, tb)) / CAST(len(list_distinct(list_concat(ta, tb))) AS DOUBLE) END
+  + 0.15 * CASE WHEN greatest(length(a), length(b)) = 0 THEN 1 ELSE least(length(a), length(b)) / CAST(greatest(length(a), length(b)) AS DOUBLE) END
+  + 0.15 * CASE WHEN greatest(sa, sb) = 0 THEN 1 ELSE least(sa, sb) / CAST(greatest(sa, sb) AS DOUBLE) END, 6) AS similarity FROM q)
+SELECT doc_id, similarity, similarity >= 0.82 AS kept FROM r""".replace("TOKA", _TOK.replace("text", "a")).replace("TOKB", _TOK.replace("text", "b")).replace("SENTA", _SENT.replace("(text,", "(a,")).replace("SENTB", _SENT.replace("(text,", "(b,"))
+
+
+@_query("documents", _SIM)
+def lexical_similarity_guard(documents):
+    score = F.round(T.similarity(F.col("text"), T.without_articles(F.col("text"))), 6)
+    return documents.select("doc_id", score.alias("similarity"), (score >= plan.SIMILARITY).alias("kept"))
+
+
+@_query("documents")
+def rewrite_documents(documents):
+    return plan.rewrite(documents)
+
+
+# --- deduplication
+
+
+@_query("documents", f"SELECT doc_id, CASE WHEN len(p) >= 8 THEN array_to_string(list_filter(p, lambda x, i: length({_SQUEEZE.format('x')}) = 0 OR list_position(k, {_SQUEEZE.format('x')}) = i), e'\\n') ELSE text END AS text FROM (SELECT doc_id, text, p, list_transform(p, lambda x: {_SQUEEZE.format('x')}) k FROM (SELECT doc_id, text, string_split(text, e'\\n') p FROM documents))")
+def exact_line_dedup(documents):
+    return dedup.lines(documents).select("doc_id", "text")
+
+
+@_query("documents", f"SELECT doc_id, CASE WHEN len(p) > len(list_distinct(k)) THEN array_to_string(list_filter(p, lambda x, i: list_position(k, {_SQUEEZE.format('x')}) = i), ' ') ELSE text END AS text FROM (SELECT doc_id, text, p, list_transform(p, lambda x: {_SQUEEZE.format('x')}) k FROM (SELECT doc_id, text, {_SENT} p FROM documents))")
+def exact_sentence_dedup(documents):
+    return dedup.sentences(documents).select("doc_id", "text")
+
+
+@_query("documents", f"SELECT doc_id, pair, count(*) AS n FROM (SELECT doc_id, s[i] || ' ' || s[i + 1] AS pair FROM (SELECT doc_id, s, unnest(range(1, len(s))) i FROM (SELECT doc_id, list_transform({_SENT}, lambda x: {_SQUEEZE.format('x')}) s FROM documents))) GROUP BY 1, 2 HAVING count(*) > 1")
+def sentence_pair_dedup(documents):
+    return dedup.sentence_pairs(documents)
+
+
+@_query("documents", f"SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id, array_to_string(t[i : i + 4], ' ') gram FROM (SELECT doc_id, t, unnest(range(1, len(t) - 3)) i FROM (SELECT doc_id, {_TOK} t FROM documents) WHERE len(t) >= 5)) GROUP BY 1, 2 HAVING count(*) > 1")
+def ngram_repeats(documents):
+    return dedup.repeated_ngrams(documents)
+
+
+@_query("documents", "SELECT md5(text) AS digest, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def doc_exact_duplicates(documents):
+    return dedup.exact_groups(documents)
+
+
+@_query("documents", f"""WITH t AS (SELECT doc_id, {_TOK} t FROM documents), g AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) g FROM t WHERE len(t) > 1),
+ u AS (SELECT min(doc_id) doc_id, g FROM g GROUP BY g), e AS (SELECT doc_id, len(g) n, unnest(g) x FROM u)
+SELECT a, b, round(similarity, 6) AS similarity FROM (SELECT p.doc_id a, q.doc_id b, count(*) / CAST(any_value(p.n) + any_value(q.n) - count(*) AS DOUBLE) similarity FROM e p JOIN e q ON p.x = q.x AND p.doc_id < q.doc_id GROUP BY 1, 2) WHERE similarity >= 0.8""")
+def near_dup_pairs(documents):
+    return dedup.bigram_pairs(documents).withColumn("similarity", F.round("similarity", 6))
+
+
+@_query("documents", f"""WITH s AS (SELECT doc_id, unnest(range(0, len(s))) pos, unnest(s) x FROM (SELECT doc_id, {_SENT} s FROM documents)),
+ t AS (SELECT doc_id, pos, list_distinct({_TOK.replace('text', 'x')}) t FROM s), u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) r FROM t WHERE len(t) >= 3)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, round(max(score), 6) AS score FROM (SELECT b.doc_id, b.pos, 0.7 * len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) + 0.3 * least(len(a.t), len(b.t)) / greatest(len(a.t), len(b.t)) score
+ FROM u a JOIN u b ON a.doc_id = b.doc_id AND b.r - a.r BETWEEN 1 AND 8) WHERE score >= 0.9 GROUP BY 1, 2""")
+def near_dup_lookback(documents):
+    return dedup.lookback(documents)
+
+
+# --- ranking, chunks, chats
+
+
+@_query("documents benchmark", f"""WITH d AS (SELECT doc_id, len(t) len, unnest(t) token FROM (SELECT doc_id, {_TOK} t FROM documents)), f AS (SELECT doc_id, token, len, count(*) tf FROM d GROUP BY 1, 2, 3),
+ s AS (SELECT count(*) n, avg(l) mean FROM (SELECT len({_TOK}) l FROM documents) WHERE l > 0), q AS (SELECT DISTINCT item_id, token FROM (SELECT item_id, unnest({_TOK}) token FROM benchmark)), e AS (SELECT token, count(*) df FROM f GROUP BY 1),
+ r AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len / mean))), 6) score FROM q JOIN e USING (token) JOIN f USING (token), s GROUP BY 1, 2)
+SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) rank FROM r) WHERE rank <= 10""")
+def bm25_rank(documents, benchmark):
+    return ranking.bm25(documents, benchmark)
+
+
+@_query("documents benchmark", f"""WITH d AS (SELECT doc_id, token, count(*) / CAST(any_value(len) AS DOUBLE) tf FROM (SELECT doc_id, len(t) len, unnest(t) token FROM (SELECT doc_id, {_TOK} t FROM documents)) GROUP BY 1, 2),
+ c AS (SELECT count(*) n FROM documents WHERE len({_TOK}) > 0), i AS (SELECT token, ln((n + 1) / CAST(count(*) + 1 AS DOUBLE)) + 1 idf FROM d, c GROUP BY token, n),
+ q AS (SELECT item_id, token, count(*) / CAST(any_value(len) AS DOUBLE) tf FROM (SELECT item_id, len(t) len, unnest(t) token FROM (SELECT item_id, {_TOK} t FROM benchmark)) GROUP BY 1, 2),
+ dw AS (SELECT doc_id, token, tf * idf w FROM d JOIN i USING (token)), qw AS (SELECT item_id, token, tf * idf v FROM q JOIN i USING (token)),
+ dn AS (SELECT doc_id, sqrt(sum(w * w)) a FROM dw GROUP BY 1), qn AS (SELECT item_id, sqrt(sum(v * v)) b FROM qw GROUP BY 1),
+ r AS (SELECT item_id, doc_id, round(sum(v * w) / (any_value(a) * any_value(b)), 6) score FROM qw JOIN dw USING (token) JOIN dn USING (doc_id) JOIN qn USING (item_id) GROUP BY 1, 2)
+SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) rank FROM r) WHERE rank <= 10""")
+def tfidf_rank(documents, benchmark):
+    return ranking.tfidf(documents, benchmark)
+
+
+@_query("documents", f"SELECT doc_id, round(sum(CASE WHEN r <= 12 THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE), 6) AS score FROM (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) r FROM (SELECT doc_id, token, count(*) n FROM (SELECT doc_id, unnest({_TOK}) token FROM documents) WHERE length(token) > 2 GROUP BY 1, 2)) GROUP BY doc_id")
+def luhn_rank(documents):
+    return ranking.luhn(documents).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@_query("embeddings", "SELECT vec_id, CAST(vec_id // 64 AS BIGINT) AS lane, CAST(sum(cut) OVER (PARTITION BY vec_id // 64 ORDER BY vec_id) AS BIGINT) AS run FROM (SELECT vec_id, CASE WHEN p IS NULL OR list_sum(list_transform(list_zip(v, p), lambda x: x[1] * x[2])) < 0.1 THEN 1 ELSE 0 END cut FROM (SELECT vec_id, v, lag(v) OVER (PARTITION BY vec_id // 64 ORDER BY vec_id) p FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) v FROM embeddings)))")
+def semantic_groups(embeddings):
+    return ranking.adjacent_groups(embeddings)
+
+
+@_query("documents")
+def greedy_chunks(documents):
+    return ranking.packed_chunks(documents)
+
+
+@_query("documents", f"SELECT doc_id, CAST(i AS INTEGER) AS chunk, array_to_string(t[i * 180 + 1 : i * 180 + 200], ' ') AS text FROM (SELECT doc_id, t, unnest(range(0, (len(t) - 1) // 180 + 1)) i FROM (SELECT doc_id, {_TOK} t FROM documents) WHERE len(t) > 0)")
+def fixed_chunks(documents):
+    return ranking.fixed_chunks(documents)
+
+
+@_query("documents", f"""SELECT doc_id, CAST(pos AS INTEGER) AS pos, {_NTOK.format('x')} AS n_tokens, round(0.45 * (1 - pos / CAST(count(*) OVER (PARTITION BY doc_id) AS DOUBLE)) + 0.15 / count(*) OVER (PARTITION BY doc_id, {_SIG.format('x')}) + CASE WHEN regexp_matches(x, '(?i)\\b(?:must|never|always|shall|required|only|at least|at most|do not|should)\\b') THEN 0.3 ELSE 0 END + 1e-9, 6) AS score
+FROM (SELECT doc_id, unnest(range(0, len(s))) pos, unnest(s) x FROM (SELECT doc_id, {_SENT} s FROM documents))""")
+def sentence_scores(documents):
+    return ranking.sentence_scores(documents)
+
+
+@_query("documents")
+def budgeted_sentences(documents):
+    return ranking.within_budget(ranking.sentence_scores(documents))
+
+
+_TURNS = r"SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS place, count(*) OVER (PARTITION BY conv_id) AS n, round(CASE role WHEN 'system' THEN 3 WHEN 'developer' THEN 2.5 WHEN 'user' THEN 2 WHEN 'tool' THEN 1.5 ELSE 1 END + 1.5 * len(regexp_extract_all(text, '(?i)\b(?:must|never|always|should|required|please)\b')) + 1 + 1.5 * row_number() OVER (PARTITION BY conv_id ORDER BY turn) / CAST(count(*) OVER (PARTITION BY conv_id) AS DOUBLE), 6) AS score FROM conversations"
+
+
+@_query("conversations", _TURNS)
+def turn_scores(conversations):
+    return chats.turn_scores(conversations)
+
 
-FLAGSHIP = "recent_history"
+@_query("conversations", f"SELECT conv_id, turn, role, score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) r FROM ({_TURNS})) WHERE n <= 5 OR r <= greatest(4, floor(n * 0.4)) OR role = 'system' OR place = n")
+def history_keep_top(conversations):
+    return chats.kept_turns(conversations)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
