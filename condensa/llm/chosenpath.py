@@ -27,8 +27,9 @@ from .common import checkpoint, mix, shingles, table, utf8
 from .components import components
 
 WORDS, THRESHOLD, RUNS = 5, 0.8, 12
-#: Members of a bucket that are compared at once, and of the sketch that rules out pairs far apart.
-LIMIT, SKETCH = 128, 32
+#: Members above which a bucket is split, about as many as a block of a larger one has, and hashes
+#: of the sketch that rules out pairs far apart.
+LIMIT, BLOCK, SKETCH = 128, 512, 32
 #: Similarity by the sketch (SKETCH smallest hashes) below which a pair isn't compared; at the
 #: threshold itself this loses less than one pair in a million.
 _FAR = 0.4
@@ -65,17 +66,17 @@ def sets(docs: DataFrame, words: int, threshold: float) -> DataFrame:
                     other = mix(tokens + _ODD[0])
                     keys.append(f"{int(tokens.sum(dtype=np.uint64)):016x}{int(other.sum(dtype=np.uint64)):016x}")
                     a, b = choices(tokens, threshold)
-                    s = np.sort(np.partition(other, SKETCH - 1)[:SKETCH] if len(other) > SKETCH else other) >> np.uint64(1)
+                    s = np.sort(np.partition(other, SKETCH - 1)[:SKETCH] if len(other) > SKETCH else other) >> np.uint64(33)
                 first.append(a)
                 second.append(b)
-                sketch.append(s.astype(np.int64))
+                sketch.append(s.astype(np.int32))
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(first, kind), pa.array(second, kind), pa.array(sketch, kind)],
+                [batch.column(0), pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(first, kind), pa.array(second, kind), pa.array(sketch, pa.list_(pa.int32()))],
                 ["doc_id", "key", "size", "first", "second", "sketch"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, key string, size bigint, first array<bigint>, second array<bigint>, sketch array<bigint>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, key string, size bigint, first array<bigint>, second array<bigint>, sketch array<int>")
 
 
 def buckets(reps: DataFrame, limit: int) -> DataFrame:
@@ -128,10 +129,10 @@ def _common(lists: list[np.ndarray], weight: bool = False) -> np.ndarray:
     return out
 
 
-def candidates(reps: DataFrame, met: DataFrame, threshold: float, limit: int) -> DataFrame:
+def candidates(reps: DataFrame, met: DataFrame, threshold: float, block: int) -> DataFrame:
     """bucket, i, j (a task), id and partners: the pairs to compare in each task."""
     own = met.groupBy("id").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
-    blocks = F.expr(f"cast(if(n <= {limit}, 1, ceil(n / {limit * 3 // 4})) as int)")
+    blocks = F.ceil(F.col("n") / block).cast("int")
     rows = met.withColumn("blocks", blocks).withColumn("block", F.expr("cast(pmod(xxhash64(id, bucket), blocks) as int)"))
     rows = rows.select("bucket", "id", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "block")
@@ -239,7 +240,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, threshold: float) ->
     return ordered.mapInArrow(run, "a bigint, b bigint, links bigint")
 
 
-def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, limit: int = LIMIT) -> DataFrame:
+def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id, rep_id and n_links of each row of docs.
 
     Texts with equal sets of runs of words are one class, named by its smallest doc_id,
@@ -254,7 +255,7 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, limi
     reps = all_sets.where("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("size", "first", "second", "sketch")])
     reps = checkpoint(reps)
     met = checkpoint(buckets(reps, limit))
-    found = checkpoint(verified(docs, candidates(reps, met, threshold, limit), words, threshold))
+    found = checkpoint(verified(docs, candidates(reps, met, threshold, block), words, threshold))
     groups = components(found.where("b is not null"))
     counts = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("n_links"))
     classes = reps.select("key", "id").join(counts, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
