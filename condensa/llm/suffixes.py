@@ -31,7 +31,7 @@ LENGTH, ANCHOR = 100, 24
 #: Strings of a minimiser above which its windows go by their own hash instead.
 HOT = 2000
 #: Bytes of text for which one suffix array is built.
-_CHUNK = 1 << 21
+_CHUNK = 1 << 19
 
 
 def windows(data: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,8 +81,8 @@ class SuffixArray:
     def _ranked(key: np.ndarray) -> np.ndarray:
         order = np.argsort(key)
         sorted_key = key[order]
-        rank = np.empty(len(key), np.int64)
-        rank[order] = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1])))
+        rank = np.empty(len(key), np.int32)
+        rank[order] = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1], dtype=np.int32)))
         return rank
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
