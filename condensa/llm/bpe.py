@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, utf8
+from .common import table
 
 _NONE = np.int64(2**62)
 
@@ -28,7 +29,7 @@ class Bpe:
     """One vocabulary of ranks, and a bounded memory of pieces of text already encoded."""
 
     #: Pieces kept; beyond them the memory starts anew. Only speed depends on it.
-    KEEP = 600_000
+    KEEP = 100_000
 
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
@@ -211,7 +212,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
         bpe = tokenizer(path, pattern)
         for batch in batches:
             at = 0
-            size = np.cumsum([len(x) for x in utf8(batch.column(1))])
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
             while at < batch.num_rows:
                 end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + _CHUNK, "right")))
                 part = batch.slice(at, end - at)

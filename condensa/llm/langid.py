@@ -78,7 +78,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
 class Mixture:
     """Infers the languages of texts; keeps a bounded memory of words' likelihoods."""
 
-    KEEP, ROUNDS = 500_000, 6
+    KEEP, ROUNDS = 100_000, 6
 
     def __init__(self, langs: list[str], logp: np.ndarray):
         self.langs, self.logp = langs, logp
