@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import chats, dedup, ranking, relational as R
+from .operators import chats, dedup, ranking, relational as R, structure
 from .plans import rewrite as plan
 from .sources import io
 
@@ -449,6 +449,80 @@ def history_keep_top(conversations):
     return chats.kept_turns(conversations)
 
 
+@_query("conversations", f"SELECT conv_id, turn, {_CASE} AS kind FROM (SELECT conv_id, turn, text, {_HEAD} FROM conversations)")
+def classify_conversations(conversations):
+    return conversations.select("conv_id", "turn", T.content_class(F.col("text")).alias("kind"))
+
+
+@_query("conversations", """SELECT conv_id, n, round(greatest((CASE WHEN n > 50 THEN 0.25 WHEN n > 20 THEN 0.3 ELSE 0.4 END)::DOUBLE * (CASE WHEN mean < 50 THEN 1.2 ELSE 1 END)::DOUBLE, CASE WHEN system THEN 0.3 ELSE 0 END, CASE WHEN n > 8 THEN 8 / n::DOUBLE ELSE 0.5 END), 6) AS ratio
+FROM (SELECT conv_id, count(*) n, floor(avg(len(regexp_extract_all(text, '[^ \\t\\n]+')))) mean, bool_or(role = 'system') system FROM conversations GROUP BY 1)""")
+def history_keep_ratio(conversations):
+    return chats.keep_ratios(conversations).withColumn("ratio", F.round("ratio", 6))
+
+
+# --- more ranking, protection and structure
+
+
+@_query("documents", f"""WITH s AS (SELECT doc_id, len(list_filter(s, lambda t: len(t) > 0)) n, unnest(range(0, len(s))) pos, unnest(s) t FROM (SELECT doc_id, list_transform({_SENT}, lambda x: {_TOK.replace('text', 'x')}) s FROM documents)),
+ f AS (SELECT doc_id, n, pos, len, token, count(*) c FROM (SELECT doc_id, n, pos, len(t) len, unnest(t) token FROM s) GROUP BY ALL),
+ w AS (SELECT *, c / CAST(len AS DOUBLE) * (ln((n + 1) / CAST(count(*) OVER (PARTITION BY doc_id, token) + 1 AS DOUBLE)) + 1) w FROM f),
+ u AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, pos)) u FROM w), a AS (SELECT *, sum(u) OVER (PARTITION BY doc_id, token) a FROM u)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, round(greatest(sum(u * a) - 1, 0), 4) AS score FROM a GROUP BY 1, 2""")
+def lexrank_rank(documents):
+    return ranking.lexrank(documents).withColumn("score", F.round("score", 4))
+
+
+@_query("embeddings", "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 20")
+def embedding_topk(embeddings):
+    return ranking.nearest_sections(embeddings, embeddings.where("vec_id = 0").first()["embedding"], 20)
+
+
+@_query("documents", f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, round(CASE WHEN count(*) > 1 THEN least((ln(sum(c)) - sum(c * ln(c)) / sum(c)) / ln(count(*)), 1) ELSE 0 END, 6) AS entropy FROM (SELECT doc_id, pos, token, count(*) c FROM (SELECT doc_id, pos, unnest({_TOK.replace('text', 'x')}) token FROM (SELECT doc_id, unnest(range(0, len(s))) pos, unnest(s) x FROM (SELECT doc_id, {_SENT} s FROM documents))) GROUP BY 1, 2, 3) GROUP BY 1, 2")
+def sentence_entropy(documents):
+    return ranking.sentence_entropy(documents).withColumn("entropy", F.round("entropy", 6))
+
+
+@_query("documents", f"SELECT token, round(ln((n + 1) / CAST(count(*) + 1 AS DOUBLE)) + 1, 6) AS idf FROM (SELECT doc_id, unnest(list_distinct({_TOK})) token FROM documents), (SELECT count(*) n FROM documents WHERE len({_TOK}) > 0) GROUP BY token, n")
+def idf_weights(documents):
+    return ranking.idf_weights(documents).withColumn("idf", F.round("idf", 6))
+
+
+_PARA = r"list_filter(list_transform(regexp_split_to_array(text, '\n[ \t]*\n'), lambda x: trim(x, ' ')), lambda x: length(x) > 0)"
+
+
+@_query("documents", f"SELECT doc_id, CASE WHEN len(f) < len(p) THEN array_to_string(f, e'\\n\\n') ELSE text END AS text FROM (SELECT doc_id, text, p, list_filter(p, lambda x, i: length(x) < 100 OR list_position(k, {_SQUEEZE.format('x')}) = i) f FROM (SELECT doc_id, text, p, list_transform(p, lambda x: CASE WHEN length(x) >= 100 THEN {_SQUEEZE.format('x')} ELSE '' END) k FROM (SELECT doc_id, text, {_PARA} p FROM documents)))")
+def verbatim_block_dedup(documents):
+    return dedup.blocks(documents).select("doc_id", "text")
+
+
+@_query("documents", f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, regexp_matches(x, '{structure.HEADER}') AS is_header FROM (SELECT doc_id, unnest(range(0, len(p))) pos, unnest(p) x FROM (SELECT doc_id, {_PARA} p FROM documents))")
+def header_sections(documents):
+    return structure.sections(documents).select("doc_id", "pos", "is_header")
+
+
+@_query("documents", f"SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(text, '{structure.PROTECTED}'))) AS INTEGER) AS n_spans, regexp_replace(text, '{structure.PROTECTED}', '⟦⟧', 'g') AS masked, text AS restored FROM documents")
+def protect_restore(documents):
+    rows = structure.protect(documents.select("doc_id", "text"))
+    return rows.select("doc_id", F.size("spans").alias("n_spans"), F.regexp_replace("masked", structure.MARK, "⟦⟧").alias("masked"), structure.restore(F.col("masked"), F.col("spans")).alias("restored"))
+
+
+@_query("documents", f"SELECT doc_id, label, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{structure.LABEL}', 1)) AS label FROM documents) GROUP BY 1, 2 HAVING count(*) >= 2")
+def repeated_labels(documents):
+    return structure.repeated_labels(documents)
+
+
+@_query("events", "SELECT event_id, CAST(json(props) AS VARCHAR) AS props FROM events")
+def json_minify(events):
+    return events.select("event_id", structure.minified(F.col("props")).alias("props"))
+
+
+@_query("events", """WITH r AS (SELECT user_id, event_id a, event_id + CAST(floor(value) AS BIGINT) z FROM events), f AS (SELECT *, CASE WHEN a <= max(z) OVER (PARTITION BY user_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END fresh FROM r)
+SELECT user_id, min(a) AS first, max(z) AS last FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY a, z ROWS UNBOUNDED PRECEDING) g FROM f) GROUP BY user_id, g""")
+def range_merge(events):
+    rows = events.select("user_id", F.col("event_id").alias("first"), (F.col("event_id") + F.floor("value")).alias("last"))
+    return structure.merged_ranges(rows, "user_id", "first", "last")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -25,3 +25,12 @@ def kept_turns(turns: DataFrame, least: int = 4, ratio: float = 0.4) -> DataFram
     scored = turn_scores(turns).withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "turn")))
     keep = (F.col("n") <= 5) | (F.col("rank") <= F.greatest(F.lit(least), F.floor(F.col("n") * ratio))) | (F.col("role") == "system") | (F.col("place") == F.col("n"))
     return scored.where(keep).select("conv_id", "turn", "role", "score")
+
+
+def keep_ratios(turns: DataFrame) -> DataFrame:
+    """The share of turns that a chat keeps, by its length, mean words of a turn and system turns."""
+    words = F.coalesce(F.regexp_count("text", F.lit(r"[^ \t\n]+")), F.lit(0))
+    chats = turns.groupBy("conv_id").agg(F.count("*").alias("n"), F.floor(F.avg(words)).alias("mean"), F.max((F.col("role") == "system").cast("int")).alias("system"))
+    base = F.when(F.col("n") > 50, 0.25).when(F.col("n") > 20, 0.3).otherwise(0.4) * F.when(F.col("mean") < 50, 1.2).otherwise(1.0)
+    least = F.greatest(F.when(F.col("system") == 1, 0.3).otherwise(0.0), F.when(F.col("n") > 8, 8 / F.col("n")).otherwise(0.5))
+    return chats.select("conv_id", "n", F.greatest(base, least).alias("ratio"))

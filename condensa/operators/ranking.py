@@ -93,3 +93,40 @@ def within_budget(scored: DataFrame, share: float = 0.55) -> DataFrame:
     rows = scored.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("key"), "pos", "n_tokens"))).alias("s"), F.sum("n_tokens").alias("total"))
     kept = F.expr(f"aggregate(s, struct(cast(array() as array<int>) as pos, 0L as used), (acc, x) -> if(acc.used + x.n_tokens <= floor({share} * total), struct(array_append(acc.pos, x.pos) as pos, acc.used + x.n_tokens as used), acc))")
     return rows.withColumn("k", kept).select("doc_id", F.explode(F.sort_array("k.pos")).alias("pos"))
+
+
+def lexrank(docs: DataFrame) -> DataFrame:
+    """Each sentence's sum of tf-idf cosines to the other sentences of its document.
+
+    The sum of cosines is the product with the sum of the unit vectors, so no pairs are
+    formed. All windows follow the one shuffle by document."""
+    s = docs.repartition("doc_id").select("doc_id", F.transform(T.sentences(F.col("text")), T.tokens).alias("s"))
+    s = s.select("doc_id", F.size(F.filter("s", lambda t: F.size(t) > 0)).alias("n"), F.posexplode("s").alias("pos", "t")).where("size(t) > 0")
+    tf = s.select("doc_id", "n", "pos", F.size("t").alias("len"), F.explode("t").alias("token")).groupBy("doc_id", "n", "pos", "len", "token").agg(F.count("*").alias("c"))
+    same = Window.partitionBy("doc_id", "token")
+    w = tf.withColumn("w", F.col("c") / F.col("len") * (F.log((F.col("n") + 1) / (F.count("*").over(same) + 1)) + 1))
+    u = w.withColumn("u", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id", "pos"))))
+    return u.withColumn("all", F.sum("u").over(same)).groupBy("doc_id", "pos").agg(F.greatest(F.sum(F.col("u") * F.col("all")) - 1, F.lit(0.0)).alias("score"))
+
+
+def nearest_sections(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
+    """The k vectors of largest cosine to one query vector; those without a length are left out."""
+    v, q = F.col("embedding").cast("array<double>"), F.array(*map(F.lit, map(float, query)))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    size = F.sqrt(dot(v, v) * dot(q, q))
+    return vectors.select("vec_id", F.round(F.when(size > 0, dot(v, q) / size), 6).alias("score")).where("score is not null").orderBy(F.desc("score"), "vec_id").limit(k)
+
+
+def sentence_entropy(docs: DataFrame) -> DataFrame:
+    """Entropy of a sentence's words over that of as many equally frequent ones; 0 for one word."""
+    s = docs.repartition("doc_id").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
+    c = s.select("doc_id", "pos", F.explode(T.tokens(F.col("s"))).alias("token")).groupBy("doc_id", "pos", "token").agg(F.count("*").alias("c"))
+    bits = F.log(F.sum("c")) - F.sum(F.col("c") * F.log("c")) / F.sum("c")
+    return c.groupBy("doc_id", "pos").agg(F.when(F.count("*") > 1, F.least(bits / F.log(F.count("*")), F.lit(1.0))).otherwise(0.0).alias("entropy"))
+
+
+def idf_weights(docs: DataFrame) -> DataFrame:
+    """token and ln((1 + n) / (1 + df)) + 1, over texts with a token."""
+    tf, stats = _postings(docs, "doc_id")
+    n = stats.first()["n"]
+    return tf.groupBy("token").agg(F.count("*").alias("df")).select("token", (F.log((F.lit(float(n)) + 1) / (F.col("df") + 1)) + 1).alias("idf"))

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from condensa.functions import text as T
-from condensa.operators import dedup, ranking
+from condensa.operators import chats, dedup, ranking, structure
 from condensa.plans import rewrite
 from condensa.sources import io
 from condensa.streaming import sinks
@@ -64,3 +64,28 @@ def test_streams(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_protected_spans_come_back(spark):
+    texts = ['see https://a.b/c?d=1 and "two words" or "two words", 3.14 [2]', "```x = 1```7⟦0⟧", "", None, "plain"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = structure.protect(docs).withColumn("back", structure.restore(F.col("masked"), F.col("spans"))).orderBy("doc_id").collect()
+    assert [r["back"] for r in rows] == texts
+    assert rows[0]["masked"] == "see ⟦0⟧ and ⟦1⟧ or ⟦1⟧, ⟦2⟧ ⟦3⟧" and rows[1]["masked"] == "⟦0⟧⟦1⟧⟦2⟧"
+
+
+def test_structure(spark):
+    ranges = spark.createDataFrame([(1, 0, 5), (1, 5, 6), (1, 8, 9), (1, 1, 2), (2, 0, 1)], "k int, a int, z int")
+    assert sorted(map(tuple, structure.merged_ranges(ranges, "k", "a", "z").collect())) == [(1, 0, 6), (1, 8, 9), (2, 0, 1)]
+    assert one(spark, structure.minified, '{"a" : [1, 2] }') == '{"a":[1,2]}' and one(spark, structure.minified, "no {") == "no {"
+    docs = spark.createDataFrame([(1, "Name: a\nName: b\nOther: c\n\nplain"), (2, None)], "doc_id long, text string")
+    assert [tuple(r) for r in structure.repeated_labels(docs).collect()] == [(1, "Name", 2)]
+    assert [r["is_header"] for r in structure.sections(docs).orderBy("pos").collect()] == [True, False]
+
+
+def test_ranking_of_sentences(spark):
+    docs = spark.createDataFrame([(1, "a b. a b. c d.")], "doc_id long, text string")
+    assert [round(r["score"], 6) for r in ranking.lexrank(docs).orderBy("pos").collect()] == [1.0, 1.0, 0.0]
+    assert [r["entropy"] for r in ranking.sentence_entropy(docs).collect()] == [1.0] * 3
+    turns = spark.createDataFrame([(1, "user", "a b")] * 10, "conv_id long, role string, text string")
+    assert chats.keep_ratios(turns).first()["ratio"] == 0.8
