@@ -66,6 +66,14 @@ def quotas(targets: DataFrame, shards: int, block: Column) -> DataFrame:
     return given.selectExpr("source", "place", "shard", "sure + won as until").selectExpr("source", "place", "shard", "until", "until - coalesce(lag(until) over (partition by place order by shard), 0) as quota")
 
 
+def planned(targets: DataFrame, shards: int) -> DataFrame:
+    """source, source_size, target, block, seats and blocks (REPEAT passes of the source), one row a source."""
+    # blocks shrink for small sources' sake, to a two-hundredth of the smallest target
+    block = F.expr(f"greatest(1L, least({BLOCK}L, cast(min(case when target > 0 then target end) over () / 200 as bigint)))")
+    taken = quotas(targets, shards, block).groupBy("place").agg(F.sum("quota").alias("seats"))
+    return targets.withColumn("block", block).join(taken, "place", "left").selectExpr("source", "source_size", "target", "block", "coalesce(seats, 0) seats", f"cast(ceil(source_size * {REPEAT} / block) as bigint) blocks")
+
+
 def mix(docs: DataFrame, shards: int = 8, seed: int = 17, lanes: int = 1024) -> DataFrame:
     """doc_id, size, source_size, target and taken of each row of docs.
 
@@ -82,10 +90,7 @@ def mix(docs: DataFrame, shards: int = 8, seed: int = 17, lanes: int = 1024) ->
     rows = rows.repartition("source", "lane")
     sums = rows.groupBy("source", "lane").agg(F.sum("size").alias("lane_size"))
     by_source = targets(sums.groupBy("source").agg(F.sum("lane_size").alias("source_size")))
-    # blocks shrink for small sources' sake, to a two-hundredth of the smallest target
-    block = F.expr(f"greatest(1L, least({BLOCK}L, cast(min(case when target > 0 then target end) over () / 200 as bigint)))")
-    taken = quotas(by_source, shards, block).groupBy("place").agg(F.sum("quota").alias("seats"))
-    plan = by_source.withColumn("block", block).join(taken, "place", "left").selectExpr("source", "source_size", "target", "block", "coalesce(seats, 0) seats", f"cast(ceil(source_size * {REPEAT} / block) as bigint) blocks")
+    plan = planned(by_source, shards)
     start = sums.selectExpr("source", "lane", "coalesce(sum(lane_size) over (partition by source order by lane rows between unbounded preceding and 1 preceding), 0) lane_start")
     lanes_plan = start.join(F.broadcast(plan), start["source"].eqNullSafe(plan["source"])).select(start["source"], "lane", "lane_start", "source_size", "target", "block", "seats", "blocks")
     placed = rows.withColumn("inside", F.expr("sum(size) over (partition by source, lane order by order, doc_id, size rows between unbounded preceding and current row) - size"))
@@ -97,12 +102,30 @@ def mix(docs: DataFrame, shards: int = 8, seed: int = 17, lanes: int = 1024) ->
     return both.selectExpr("doc_id", "size", "source_size", "target", f"case when size = 0 or seats = 0 then 0L else {passes} end taken")
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all their columns, each as often as the mix takes it: the words taken
-    over its words, rounded. Rows without words stay once."""
-    times = mix(docs).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max(F.expr("if(size = 0, 1, cast(round(taken / size) as int))")).alias("times"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.struct("*").alias("row"))
-    return rows.join(times, F.expr("own_id <=> mixed_id")).where("times > 0").select("row", F.explode(F.expr("sequence(1, times)"))).select("row.*")
+def mixed(docs: DataFrame, shards: int = 8, seed: int = 17, lanes: int = 64) -> DataFrame:
+    """The rows of docs, all their columns, each 0 to REPEAT times, so that a source gives the
+    words of its seats. Rows without words stay once.
+
+    Rows of a source are numbered from short to long, seeded among like sizes, and the
+    share the seats have of its words is rounded cumulatively over these numbers: any
+    run of rows has its share of repeats within one, so the words are off by about
+    the longest document at most, and long documents have the same share as short
+    ones. Rows are numbered each by itself, repeated and null doc_ids too. A cell is
+    a lane by hash of a source's rows of about one size (a sixteenth of an octave),
+    so a large source is numbered in many tasks.
+    """
+    rows = docs.select(F.struct("*").alias("row"), "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), *docs.columns).alias("order"))
+    octave, lane = F.expr("if(size = 0, -1, cast(floor(16 * log2(size)) as int))"), F.pmod(F.col("order"), F.lit(lanes)).cast("int")
+    rows = rows.withColumn("cell", F.struct("source", octave.alias("octave"), lane.alias("lane"))).drop("source")  # as one key, null sources meet
+    sums = rows.groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("cell_size"))
+    plan = planned(targets(sums.groupBy("cell.source").agg(F.sum("cell_size").alias("source_size"))), shards)
+    plan = plan.selectExpr("source plan_source", f"if(source_size = 0, 0D, least(seats * block / source_size, {REPEAT}D)) share")
+    start = sums.where("cell.octave >= 0").selectExpr("cell", "coalesce(sum(n) over (partition by cell.source order by cell.octave, cell.lane rows between unbounded preceding and 1 preceding), 0) start")
+    starts = start.join(F.broadcast(plan), F.expr("cell.source <=> plan_source")).select("cell", "start", "share")
+    placed = rows.where("size > 0").withColumn("inside", F.expr("row_number() over (partition by cell order by size, order)"))
+    both = placed.join(starts, "cell").selectExpr("row", "share", "start + inside as number")
+    times = both.selectExpr("row", "cast(floor(share * number + 0.5D) - floor(share * (number - 1) + 0.5D) as int) times").where("times > 0")
+    return times.select("row", F.explode(F.expr("sequence(1, times)"))).select("row.*").unionByName(rows.where("size = 0").select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,6 +133,22 @@ def test_mix_targets_and_taken(spark):
     assert out.sort_values("doc_id").reset_index(drop=True).equals(again.sort_values("doc_id").reset_index(drop=True))
 
 
+@pytest.mark.parametrize("words", [1, 300, 3000])
+def test_mixed_gives_each_source_its_target(spark, words):
+    from pyspark.sql import functions as F
+
+    # c has weight 1 and a fifth of the words: its target is about a quarter of its size
+    docs = spark.range(500).selectExpr("if(id < 30, null, id div 2) doc_id", f"repeat('word ', int({words} * (1 + id * 37 % 100 / 100))) text", "case when id % 50 < 34 then 'a' when id % 50 < 40 then 'b' when id % 50 < 49 then 'c' end source")
+    docs = docs.unionByName(docs.selectExpr("doc_id", "' ' text", "source").limit(3))
+    sizes = docs.groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("source_size"))
+    want = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
+    out = mixing.mixed(docs).withColumn("size", mixing.n_words(F.col("text"))).cache()
+    got = {r["source"]: r["words"] for r in out.groupBy("source").agg(F.sum("size").alias("words")).collect()}
+    assert len(want) == 4 and all(abs(got.get(s, 0) - t) <= 2 * words + 0.01 * t for s, t in want.items())
+    assert out.where("size = 0").count() == 3
+    assert mixing.mixed(docs.where("false")).count() == 0
+
+
 def test_sainte_lague(spark):
     rows = spark.createDataFrame([("a", 0, 53.0), ("b", 1, 24.0), ("c", 2, 23.0)], "source string, place int, target double")
     from pyspark.sql import functions as F
