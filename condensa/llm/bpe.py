@@ -23,6 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 _NONE = np.int64(2**62)
+#: A space beside other white space, and the place before a space that stands alone.
+_TOUCHING = regex.compile(r"\s | \s")
+_ALONE = regex.compile(r"(?<=\S)(?= \S)")
 
 
 class Bpe:
@@ -167,10 +170,12 @@ class Bpe:
         return [gathered(self.ids, self.at[i], self.len[i]) for i in (np.array(k, np.int64) for k in index)]
 
     def pieces(self, text: str) -> list[str]:
-        """Cuts of text that no match of the pattern crosses: before single spaces, where
-        white space can only go to what follows; texts with other spaces go by their matches."""
-        if not self.by_space or "  " in text or text[-1:] == " ":
+        """Cuts of text that no match of the pattern crosses: before single spaces with other
+        characters than white space, of any kind, on both sides; these can only go to what follows."""
+        if not self.by_space:
             return self.find(text)
+        if _TOUCHING.search(text):
+            return _ALONE.split(text)
         head, *rest = text.split(" ")
         return [head, *[" " + x for x in rest]]
 

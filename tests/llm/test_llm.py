@@ -64,6 +64,16 @@ def test_bpe_ids(tik, text):
     assert own.decode(ids) == text.encode()
 
 
+def test_bpe_ids_where_white_space_of_several_kinds_touches(tik):
+    own = bpe.tokenizer(*tokenizer())
+    rng = np.random.default_rng(5)
+    nbsp = "\u00a0"
+    texts = [f"a {nbsp} {nbsp}", f"a {nbsp} {nbsp} {nbsp} b c", f"one two{nbsp} {nbsp} \n three \n\n four ", " ", "", " a", "a\n b", "a \n"]
+    texts += ["".join(rng.choice(list(f"ab1.   {nbsp}{nbsp}\n\t\u2003'"), 30)) for _ in range(2000)]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert ids.tolist() == tik.encode_ordinary(text), text
+
+
 def test_bpe_query(spark, tik):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     for r in catalog.queries()["op6_byte_level_bpe"](spark, DATA).collect():
