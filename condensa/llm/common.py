@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space, the separators of words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,16 +19,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, ``spark.checkpoint.dir``; an error where the session
+    names none, as a folder of the driver's own can't be read elsewhere."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage into the cluster's shared folder (``spark.checkpoint.dir``); a
-    folder of this process's own is set only where the session names none."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    """Cuts lineage into the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def twinned(docs: DataFrame) -> DataFrame:
+    """Adds twin: 0, or the number of a row's text among the different texts of its doc_id.
+
+    doc_id and twin name a document: equal rows are one, different texts under one
+    doc_id several, in a repeatable order. Only ids and digests are shuffled, unless
+    there are such ids.
+    """
+    digest = F.xxhash64("text")
+    ids = docs.where("doc_id is not null").select("doc_id", digest.alias("digest"))
+    several = checkpoint(ids.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high"))
+    if several.isEmpty():
+        return docs.withColumn("twin", F.lit(0).cast("long"))
+    texts = ids.join(several.select("doc_id"), "doc_id", "left_semi").distinct()
+    numbers = texts.withColumn("number", F.expr("row_number() over (partition by doc_id order by digest) - 1L"))
+    rows = docs.withColumn("digest", digest).join(numbers, ["doc_id", "digest"], "left").withColumn("twin", F.coalesce("number", F.lit(0)).cast("long"))
+    return rows.select(*docs.columns, "twin")
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """rows with text compressed, as packed; null stays null."""
+    at, names = rows.columns.index("text"), ["packed" if c == "text" else c for c in rows.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            columns = list(batch.columns)
+            columns[at] = pa.array([None if t is None else pack(t) for t in batch.column(at).cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    kinds = [StructType.fromDDL("packed binary")[0] if f.name == "text" else f for f in rows.schema.fields]
+    return rows.mapInArrow(run, StructType(kinds))
+
+
 def n_words(text: Column) -> Column:
     """Number of runs without ASCII white space; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

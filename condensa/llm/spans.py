@@ -1,13 +1,19 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of three consecutive sentences is hashed, runs are joined over the whole
+Every run of several consecutive sentences is hashed, runs are joined over the whole
 table, and a sentence goes where any run over it also stands earlier: in a document
 with a smaller id, or earlier in the same document.
 
-A sentence is text up to a full stop, exclamation or question mark or line end, with
-the marks and blank lines that follow. Runs compare without those and without white
-space at sentence ends. A run of fewer than MIN_WORDS words says too little to be a
-copy and isn't compared; a text of fewer than three sentences is one run.
+A sentence is text up to a full stop, exclamation or question mark, comma, semicolon,
+colon or line end (ASCII, full-width and some other scripts' marks), with the marks
+and blank lines that follow. Commas count since a passage pasted into running text
+continues a sentence: only the part up to its first mark is then not its own. Runs
+compare without those marks and without white space at sentence ends.
+
+The run at a sentence is the shortest of two sentences or more that has WORDS words, or
+BYTES bytes for scripts without spaces; as every sentence has a word, no run is longer
+than WORDS sentences. The last run of a text is the shortest that ends with it. A
+text without such a run is one run, whole, however short.
 """
 
 from __future__ import annotations
@@ -16,21 +22,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Hashes, checkpoint, mix, table, utf8
+from .common import Hashes, checkpoint, mix, packed, table, twinned, utf8
 
-RUN, MIN_WORDS = 3, 12
-_MARK = np.zeros(256, bool)
-_MARK[[10, 33, 46, 63]] = True
+RUN, WORDS, BYTES = 2, 16, 120
+#: The marks that end a sentence.
+MARKS = "\n.!?,;:。！？，、；：।؟،"
 _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
+_ONE_BYTE = np.zeros(256, bool)
+_ONE_BYTE[[ord(c) for c in MARKS if ord(c) < 128]] = True
+_LONGER = [c.encode() for c in MARKS if ord(c) > 127]
+
+
+def _marked(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to marks."""
+    mark = _ONE_BYTE[data]
+    if (data > 127).any():
+        for code in _LONGER:
+            k = len(code)
+            if len(data) >= k:
+                at = np.flatnonzero(data[: len(data) - k + 1] == code[0])
+                for i in range(1, k):
+                    at = at[data[at + i] == code[i]]
+                for i in range(k):
+                    mark[at + i] = True
+    return mark
 
 
 def sentences(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start of each sentence (the first is 0), begin and end of what is compared, and its words."""
-    mark = _MARK[data]
+    mark = _marked(data)
     gap = _GAP[data]
     solid = ~(mark | gap)
     edge = np.flatnonzero(np.diff(np.concatenate(([True], mark, [True])).astype(np.int8)))
@@ -48,91 +73,128 @@ def sentences(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return start, first, last, words[end] - words[begin]
 
 
+def run_ends(words: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First sentence of each run, and the one after its last, for sentences of so many words and bytes."""
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    w, b = (np.concatenate(([0], np.cumsum(x))) for x in (words, size))
+    reach = lambda total, least: np.searchsorted(total, total[:-1] + least)
+    end = np.maximum(np.minimum(reach(w, WORDS), reach(b, BYTES)), np.arange(n) + RUN)
+    first = np.flatnonzero(end <= n)
+    end = end[first]
+    if not len(first):
+        return np.zeros(1, np.int64), np.full(1, n)
+    # the shortest run that ends the text, if it isn't there
+    last = min(n - RUN, max(int(np.searchsorted(w, w[n] - WORDS, "right")), int(np.searchsorted(b, b[n] - BYTES, "right"))) - 1)
+    if not ((first == last) & (end == n)).any():
+        first, end = np.append(first, last), np.append(end, n)
+    return first, end
+
+
 def runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes of each run compared, and its first sentence."""
+    """Two hashes of each run, and its first sentence and number of sentences as first * 32 + number;
+    a longer run, a whole text, has the number 0."""
     _, first, last, words = sentences(data)
-    n = len(first)
-    if not n:
+    start, end = run_ends(words, last - first)
+    if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    one = Hashes(data).of(first, last)
-    size = min(RUN, n)
-    a, b, total = np.zeros(n - size + 1, np.uint64), np.zeros(n - size + 1, np.uint64), np.zeros(n - size + 1, np.int64)
-    for k in range(size):
-        part = one[k : n - size + 1 + k]
-        a, b = mix(a + part), mix(b * np.uint64(0x9E3779B97F4A7C15) + (part ^ np.uint64(0xD6E8FEB86659FD93)))
-        total += words[k : n - size + 1 + k]
-    keep = np.flatnonzero((total >= MIN_WORDS) | (n < RUN))
-    return a[keep].view(np.int64), b[keep].view(np.int64), keep
+    one, size = Hashes(data).of(first, last), end - start
+    a, b = size.astype(np.uint64), np.zeros(len(start), np.uint64)
+    for k in range(int(size.max())):
+        more = np.flatnonzero(size > k)
+        part = one[start[more] + k]
+        a[more] = mix(a[more] + part)
+        b[more] = mix(b[more] * np.uint64(0x9E3779B97F4A7C15) + (part ^ np.uint64(0xD6E8FEB86659FD93)))
+    return a.view(np.int64), b.view(np.int64), start * 32 + np.where(size < 32, size, 0)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id and first (sentence) of each run that stands earlier too."""
+def repeated_spans(rows: DataFrame) -> DataFrame:
+    """doc_id, twin and span (first sentence and number) of each run that stands earlier too, for
+    rows of doc_id, text and twin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [runs(np.frombuffer(t, np.uint8)) for t in utf8(batch.column(1))]
-            ids = np.repeat(batch.column(0).to_numpy(), [len(f[0]) for f in found])
-            columns = [pa.array(np.concatenate([f[k] for f in found])) for k in range(3)] if found else [pa.array([], pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([columns[0], columns[1], pa.array(ids), columns[2].cast(pa.int32())], ["a", "b", "doc_id", "first"])
+            if found:
+                n = [len(f[0]) for f in found]
+                a, b, span = (np.concatenate([f[k] for f in found]) for k in range(3))
+                place = np.repeat(batch.column(2).to_numpy(), n) << 40 | span
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(place)], ["a", "b", "doc_id", "place"])
 
-    spans = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "a bigint, b bigint, doc_id bigint, first int")
+    spans = rows.where("doc_id is not null and text is not null").select("doc_id", "text", "twin").mapInArrow(run, "a bigint, b bigint, doc_id bigint, place bigint")
     # written, so that both sides of the join are dealt out for it, and a hot side can be split
-    origin = spans.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first")).alias("origin")).where("n > 1").select("a", "b", "origin")
-    return spans.join(checkpoint(origin), ["a", "b"]).where("struct(doc_id, first) <> origin").select("doc_id", "first")
+    origin = spans.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("origin")).where("n > 1").select("a", "b", "origin")
+    again = spans.join(checkpoint(origin), ["a", "b"]).where("struct(doc_id, place) <> origin")
+    return again.selectExpr("doc_id", "place >> 40 as twin", "place & 1099511627775 as span")
 
 
 def remove_spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n_removed and the text left, of each row of docs.
 
-    Null and empty texts have no sentences and stay. Rows of one doc_id are one
-    document, so exact repeats of a row stay alike; rows with a null doc_id take no
-    part and stay whole. Copies keep only the first's sentences. Texts are compared
-    whole; an empty table gives no rows; other columns are left out. The runs are
-    counted before they meet, so one that holds a third of all rows is summed in
-    many tasks, and the join back leaves its rows to be split.
+    Null and empty texts, and texts of marks alone, have no sentences and stay. Equal rows
+    are one document and stay alike; different texts under one doc_id are documents in
+    the order of their hashes; rows with a null doc_id take no part and stay whole.
+    Copies keep only the first's sentences. Texts are compared whole, however long; an
+    empty table gives no rows; other columns are left out. The runs are counted before
+    they meet, so one that holds a third of all rows is summed in many tasks, and the
+    join back leaves its rows to be split.
     """
-    removed = repeated_spans(docs).groupBy("doc_id").agg(F.collect_set("first").alias("firsts"))
+    rows = twinned(docs.select(F.col("doc_id").cast("long"), "text"))
+    removed = repeated_spans(rows).groupBy("doc_id", "twin").agg(F.collect_set("span").alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             total, gone, left = [], [], []
-            for text, firsts in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+            for pack, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                text = None if pack is None else unpack(pack)
                 data = np.frombuffer(text or b"", np.uint8)
                 start = sentences(data)[0]
                 cut = np.zeros(len(start), bool)
-                for k in firsts or ():
-                    cut[k : k + RUN] = True
+                for span in spans or ():
+                    cut[span >> 5 : (span >> 5) + (span & 31) if span & 31 else None] = True
                 bounds = np.append(start, len(data)).tolist()
                 total.append(len(start))
                 gone.append(int(cut.sum()))
                 left.append(text if text is None or not cut.any() else b"".join(text[bounds[k] : bounds[k + 1]] for k in np.flatnonzero(~cut).tolist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.binary()).cast(pa.string())], ["doc_id", "n_sentences", "n_removed", "text"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(removed, "doc_id", "left").select("doc_id", "text", "firsts")
-    return rows.mapInArrow(run, "doc_id bigint, n_sentences bigint, n_removed bigint, text string")
+    out = packed(rows).join(removed, ["doc_id", "twin"], "left").select("doc_id", "packed", "spans")
+    return out.mapInArrow(run, "doc_id bigint, n_sentences bigint, n_removed bigint, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_spans(table(spark, sf_dir, "documents"))
 
 
-SQL = r"""
+_M = "".join(MARKS).replace("\n", r"\n")
+_FRAME = "PARTITION BY doc_id ORDER BY i ROWS BETWEEN {0} PRECEDING AND {1} FOLLOWING"
+_ENOUGH = f"(sum(w) OVER ({_FRAME}) >= {WORDS} OR sum(b) OVER ({_FRAME}) >= {BYTES})"
+_AHEAD = " ".join(f"WHEN i + {k - 1} <= n AND {_ENOUGH.format(0, k - 1)} THEN {k}" for k in range(RUN, WORDS + 1))
+_BACK = " ".join(f"WHEN n - {k} >= 0 AND {_ENOUGH.format(k - 1, 0)} THEN {k}" for k in range(RUN, WORDS + 1))
+
+SQL = rf"""
 WITH p AS (
-  SELECT doc_id, text, regexp_extract_all(text, '[^.!?\n]*[^.!?\s][^.!?\n]*[.!?\n]*(?:\s*[.!?\n]+)*') parts FROM documents
+  SELECT doc_id, text, regexp_extract_all(text, '[^{_M}]*[^{_M}\s][^{_M}]*[{_M}]*(?:\s*[{_M}]+)*') parts FROM documents
 ), c AS (
-  SELECT doc_id, text, parts, len(parts) n, list_transform(parts, lambda x: trim(regexp_extract(x, '[^.!?\n]*[^.!?\s][^.!?\n]*'), e' \t\r\f\x0b')) cores FROM p
+  SELECT doc_id, text, parts, len(parts) n, list_transform(parts, lambda x: trim(regexp_extract(x, '[^{_M}]*[^{_M}\s][^{_M}]*'), e' \t\r\f\x0b')) cores FROM p
+), u AS (
+  SELECT doc_id, n, cores, unnest(range(1, n + 1)) i, unnest(list_transform(cores, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))) w, unnest(list_transform(cores, lambda x: strlen(x))) b FROM c
 ), r AS (
-  SELECT doc_id, n, unnest(range(1, greatest(1, n - 2) + 1)) i, cores FROM c WHERE n > 0
-), k AS (
-  SELECT doc_id, n, i, array_to_string(cores[i : least(n, i + 2)], e'\x01') AS body FROM r
+  SELECT doc_id, n, i, cores, CASE {_AHEAD} END k, CASE WHEN i = n THEN CASE {_BACK} END END z FROM u
+), a AS (
+  SELECT doc_id, i, k, cores FROM r WHERE k IS NOT NULL
+  UNION
+  SELECT doc_id, i - z + 1, z, cores FROM r WHERE z IS NOT NULL
+  UNION
+  SELECT doc_id, 1, n, cores FROM r WHERE i = n AND z IS NULL
 ), s AS (
-  SELECT doc_id, i, body, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) place FROM k
-  WHERE n < 3 OR len(regexp_extract_all(body, '[^\x01\x20\x09-\x0D]+')) >= 12
+  SELECT doc_id, i, k, row_number() OVER (PARTITION BY array_to_string(cores[i : i + k - 1], e'\x01') ORDER BY doc_id, i, k) place FROM a
 ), g AS (
-  SELECT doc_id, list_distinct(flatten(list([i, i + 1, i + 2]))) gone FROM s WHERE place > 1 GROUP BY doc_id
+  SELECT doc_id, list_distinct(flatten(list(range(i, i + k)))) gone FROM s WHERE place > 1 GROUP BY doc_id
 )
-SELECT c.doc_id, CAST(n AS BIGINT) n_sentences,
-  CAST(CASE WHEN gone IS NULL THEN 0 ELSE len(list_filter(gone, lambda x: x <= n)) END AS BIGINT) n_removed,
+SELECT c.doc_id, CAST(n AS BIGINT) n_sentences, CAST(coalesce(len(gone), 0) AS BIGINT) n_removed,
   CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_filter(parts, lambda x, i: NOT list_contains(gone, i)), ''), '') END AS text
 FROM c LEFT JOIN g ON c.doc_id = g.doc_id
 """
