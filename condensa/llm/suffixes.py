@@ -25,13 +25,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Hashes, checkpoint, table, utf8
+from .common import Hashes, checkpoint, packed, table, twinned, utf8
 
 LENGTH, ANCHOR = 100, 24
 #: Strings of a minimiser above which its windows go by their own hash instead.
 HOT = 2000
 #: Bytes of text for which one suffix array is built.
 _CHUNK = 1 << 19
+#: Bits of a place's start and number of windows; the document's twin is above them.
+_PLACE = 40
+_START = (1 << _PLACE) - 1
 
 
 def windows(data: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,15 +165,17 @@ def _first_windows(strings: list[tuple[bytes, int, int]], least: int) -> Iterato
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, minimiser, start, n and hot: the runs of windows whose minimiser occurs again."""
+    """doc_id, minimiser, place (twin, start and n as bits) and hot: the runs of windows whose minimiser
+    occurs again, for rows of doc_id, text and twin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [windows(np.frombuffer(t, np.uint8)) for t in utf8(batch.column(1))]
             if found:
-                ids = np.repeat(batch.column(0).to_numpy(), [len(f[0]) for f in found])
+                count = [len(f[0]) for f in found]
+                ids, twin = (np.repeat(batch.column(k).to_numpy(), count) for k in (0, 2))
                 m, start, n = (np.concatenate([f[k] for f in found]) for k in range(3))
-                yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(ids), pa.array((start << 8) | n)], ["minimiser", "doc_id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(ids), pa.array((twin << _PLACE) | (start << 8) | n)], ["minimiser", "doc_id", "place"])
 
     runs = docs.mapInArrow(run, "minimiser bigint, doc_id bigint, place bigint")
     # written, so that both sides of the join are dealt out for it, and a hot side can be split
@@ -178,30 +183,19 @@ def repeated(docs: DataFrame) -> DataFrame:
     return runs.join(again, "minimiser")
 
 
-def packed(docs: DataFrame, carry: Column | None = None) -> DataFrame:
-    """doc_id, the compressed text, and carry (a struct of columns of docs), if given."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            texts = pa.array([None if t is None else pack(t) for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), texts, *batch.columns[2:]], ["doc_id", "packed", "carry"][: batch.num_columns])
-
-    rows = docs.select(F.col("doc_id").cast("long"), "text", *([] if carry is None else [carry.alias("carry")]))
-    return rows.mapInArrow(run, StructType([*StructType.fromDDL("doc_id bigint, packed binary").fields, *rows.schema.fields[2:]]))
-
-
 def removed_windows(docs: DataFrame, carry: Column | None = None) -> DataFrame:
-    """doc_id, packed (text), carry if given, and runs and firsts: the windows met again, and those of them that
-    are the first of their kind, each as start * 256 + number."""
-    usable = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    same = usable.select("doc_id", F.xxhash64("text").alias("a"), F.md5(F.col("text").cast("binary")).alias("b"))
+    """doc_id, packed (text), runs and firsts, the windows met again and those of them that are the
+    first of their kind, each as start * 256 + number, copy, and carry if given."""
+    named = twinned(docs.select(F.col("doc_id").cast("long"), "text", *([] if carry is None else [carry.alias("carry")])))
+    usable = named.where("doc_id is not null and text is not null").select("doc_id", "text", "twin")
+    same = usable.select("doc_id", "twin", F.xxhash64("text").alias("a"), F.md5(F.col("text").cast("binary")).alias("b"))
     # of equal texts the first stays and the others go whole: their strings needn't travel
-    original = checkpoint(same.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("doc_id").alias("original")).where("n > 1").drop("n"))
-    copies = same.join(original, ["a", "b"]).where("doc_id <> original").select("doc_id").distinct().withColumn("copy", F.lit(True))
-    by_doc = repeated(usable).groupBy("doc_id").agg(F.collect_list(F.struct("place", "minimiser", "hot")).alias("runs"))
-    rows = packed(docs, carry).join(by_doc, "doc_id", "left").join(copies, "doc_id", "left")
-    wide = len(rows.columns)
+    original = checkpoint(same.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "twin")).alias("original")).where("n > 1").drop("n"))
+    copies = same.join(original, ["a", "b"]).where("struct(doc_id, twin) <> original").select("doc_id", "twin").distinct().withColumn("copy", F.lit(True))
+    # sets, since equal rows of one document give the same runs
+    by_doc = repeated(usable).groupBy("doc_id", F.shiftright("place", _PLACE).alias("twin")).agg(F.collect_set(F.struct("place", "minimiser", "hot")).alias("runs"))
+    document = ["doc_id", "twin"]
+    rows = packed(named).join(by_doc, document, "left").join(copies, document, "left").select("doc_id", "packed", "runs", "copy", *([] if carry is None else ["carry"]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -209,25 +203,26 @@ def removed_windows(docs: DataFrame, carry: Column | None = None) -> DataFrame:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
                 earliest: dict[tuple[int, bytes], tuple[int, int]] = {}
-                lists = part.column(wide - 2)
+                lists = part.column(2)
                 at = np.concatenate(([0], np.cumsum(np.array(lists.value_lengths().fill_null(0)))))
                 flat = lists.flatten()
                 place, minimiser = (flat.field(k).to_numpy() for k in (0, 1))
                 hot = flat.field(2).to_numpy(zero_copy_only=False).astype(bool)
-                for k, (doc, text, copy) in enumerate(zip(*(part.column(c).to_pylist() for c in (0, 1, wide - 1)))):
+                for k, (doc, text, copy) in enumerate(zip(*(part.column(c).to_pylist() for c in (0, 1, 3)))):
                     if copy or at[k] == at[k + 1]:
                         continue
                     text, own = unpack(text), slice(at[k], at[k + 1])
-                    p = place[own][~hot[own]]
+                    twin = int(place[at[k]]) >> _PLACE << _PLACE - 8
+                    p = place[own][~hot[own]] & _START
                     found = [(b, text[s : s + n], s) for b, s, n in zip(minimiser[own][~hot[own]].tolist(), (p >> 8).tolist(), ((p & 255) + LENGTH - 1).tolist())]
                     if hot[own].any():
                         hashes = Hashes(np.frombuffer(text, np.uint8)).windows(LENGTH).view(np.int64)
-                        for q in place[own][hot[own]].tolist():
+                        for q in (place[own][hot[own]] & _START).tolist():
                             found += [(int(hashes[s]), text[s : s + LENGTH], s) for s in range(q >> 8, (q >> 8) + (q & 255))]
                     for bucket, string, s in found:
                         old = earliest.get((bucket, string))
-                        if old is None or (doc, s) < old:
-                            earliest[bucket, string] = (doc, s)
+                        if old is None or (doc, twin + s) < old:
+                            earliest[bucket, string] = (doc, twin + s)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[0] for x in earliest], pa.int64()), pa.array([x[1] for x in earliest], pa.binary()), pa.array([x[0] for x in earliest.values()], pa.int64()), pa.array([x[1] for x in earliest.values()], pa.int64())],
                     ["bucket", "text", "doc_id", "start"],
@@ -278,8 +273,11 @@ def removed_windows(docs: DataFrame, carry: Column | None = None) -> DataFrame:
 
     strings = rows.mapInArrow(cut, "bucket bigint, text binary, doc_id bigint, start bigint")
     firsts = strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(scan, "doc_id bigint, place bigint")
-    firsts = firsts.groupBy("doc_id").agg(F.collect_list("place").alias("firsts"))
-    return rows.join(firsts, "doc_id", "left").select("doc_id", "packed", F.expr("runs.place").alias("runs"), "firsts", "copy", *rows.columns[2 : wide - 2])
+    firsts = firsts.groupBy("doc_id", F.shiftright("place", _PLACE).alias("first_twin")).agg(F.collect_set(F.col("place").bitwiseAND(_START)).alias("firsts"))
+    twin = F.shiftright(F.get("runs.place", F.lit(0)), _PLACE)
+    starts = F.transform("runs", lambda r: r["place"].bitwiseAND(_START))
+    met = rows.withColumn("twin", twin).join(firsts.withColumnRenamed("first_twin", "twin"), document, "left")
+    return met.select("doc_id", "packed", starts.alias("runs"), "firsts", "copy", *rows.columns[4:])
 
 
 def covered(size: int, runs: list[int] | None, firsts: list[int] | None, copy: bool | None, length: int = LENGTH) -> np.ndarray:
@@ -308,10 +306,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans of each row of docs.
 
     spans are the maximal removed runs as start and end in bytes. Null and empty texts
-    have no bytes; texts under LENGTH bytes lose none. Rows of one doc_id are one
-    document, so repeats of a row stay alike; rows with a null doc_id take no part and
-    stay whole. Of equal windows the first, by doc_id and place, stays. An empty table
-    gives no rows; other columns are left out; texts are read whole.
+    have no bytes; texts under LENGTH bytes lose none. Equal rows are one document, so
+    they stay alike; different texts under one doc_id are documents in the order of
+    their hashes; rows with a null doc_id take no part and stay whole. Of equal windows
+    the first, by document and place, stays. An empty table gives no rows; other
+    columns are left out; texts are read whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,21 +339,24 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     """The rows of docs, all their columns, with texts without the repeated bytes.
 
     A character of which a byte goes, goes whole; n_chars, if there is one, is counted
-    anew. A text of which nothing but white space is left goes with its row.
+    anew. A text of which nothing but white space is left goes with its row; a text
+    that was null, empty or blank before stays. Equal rows stay alike, rows with a null
+    doc_id whole; an empty table stays empty. Other columns may have any names.
     """
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    carry = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others])
+    carry = F.struct(*[F.col(f"`{c}`") for c in others])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             texts: list[str | None] = []
+            lost = []
             for text, runs, firsts, copy in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4))):
                 data = np.frombuffer(unpack(text), np.uint8) if text is not None else np.zeros(0, np.uint8)
                 gone = covered(len(data), runs, firsts, copy)
                 left = data[~gone].tobytes().decode("utf-8", "ignore") if text is not None else None
                 texts.append(left)
-            lost = [bool(r) and not (t or "").strip() for t, r in zip(texts, batch.column(2).to_pylist())]
+                lost.append(bool(gone.any()) and not (left or "").strip())
             yield pa.RecordBatch.from_arrays([batch.column(5), pa.array(texts, pa.string()), pa.array(lost, pa.bool_())], ["carry", "text", "lost"])
 
     rows = removed_windows(docs, carry)
