@@ -195,7 +195,7 @@ def removed_windows(docs: DataFrame, carry: Column | None = None) -> DataFrame:
     # sets, since equal rows of one document give the same runs
     by_doc = repeated(usable).groupBy("doc_id", F.shiftright("place", _PLACE).alias("twin")).agg(F.collect_set(F.struct("place", "minimiser", "hot")).alias("runs"))
     document = ["doc_id", "twin"]
-    rows = packed(named).join(by_doc, document, "left").join(copies, document, "left").select("doc_id", "packed", "runs", "copy", *([] if carry is None else ["carry"]))
+    rows = packed(named).join(by_doc, document, "left").join(copies, document, "left").select("doc_id", "packed", "runs", "copy", "twin", *([] if carry is None else ["carry"]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -273,11 +273,10 @@ def removed_windows(docs: DataFrame, carry: Column | None = None) -> DataFrame:
 
     strings = rows.mapInArrow(cut, "bucket bigint, text binary, doc_id bigint, start bigint")
     firsts = strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(scan, "doc_id bigint, place bigint")
-    firsts = firsts.groupBy("doc_id", F.shiftright("place", _PLACE).alias("first_twin")).agg(F.collect_set(F.col("place").bitwiseAND(_START)).alias("firsts"))
-    twin = F.shiftright(F.get("runs.place", F.lit(0)), _PLACE)
+    firsts = firsts.groupBy("doc_id", F.shiftright("place", _PLACE).alias("twin")).agg(F.collect_set(F.col("place").bitwiseAND(_START)).alias("firsts"))
     starts = F.transform("runs", lambda r: r["place"].bitwiseAND(_START))
-    met = rows.withColumn("twin", twin).join(firsts.withColumnRenamed("first_twin", "twin"), document, "left")
-    return met.select("doc_id", "packed", starts.alias("runs"), "firsts", "copy", *rows.columns[4:])
+    # the texts stay where the first join dealt them out by document
+    return rows.join(firsts, document, "left").select("doc_id", "packed", starts.alias("runs"), "firsts", "copy", *rows.columns[5:])
 
 
 def covered(size: int, runs: list[int] | None, firsts: list[int] | None, copy: bool | None, length: int = LENGTH) -> np.ndarray:
