@@ -9,11 +9,11 @@ the logarithm of the number of words.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -24,7 +24,7 @@ from .common import table
 SAMPLE = 2000
 #: Slots of the table of n-grams; n-grams are bytes of lower-case words with a space at each end.
 SLOTS, N = 1 << 15, 3
-_NOT_LETTER = re.compile(r"[\W\d_]+")
+_NOT_LETTER = regex.compile(r"\P{L}+")
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -46,6 +46,11 @@ def normal(piece: str) -> str:
     return piece.lower() if piece.isalpha() else _NOT_LETTER.sub(" ", piece.lower()).strip()
 
 
+def hash_limit(sample: int, n: int) -> int:
+    """The 63-bit hash up to which about `sample` of n rows lie."""
+    return (2**63 - 1) * min(sample, n) // n
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages, and the log probability of each slot in each, from about `sample`
     documents a language with a text and a lang whose crc32(doc_id as text) mod 4 is not 2.
@@ -53,12 +58,12 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
     Counts are summed before they reach the driver, which gets a table of a fixed size.
     """
     rows = docs.select(F.col("doc_id").cast("string").alias("id"), "text", "lang").where("id is not null and text is not null and lang is not null and crc32(cast(id as binary)) % 4 <> 2")
-    rate = {r["lang"]: min(1.0, sample / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs = sorted(rate)
+    most = {r["lang"]: hash_limit(sample, r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(most)
     if not langs:
         return [], np.zeros((SLOTS, 0), np.float32)
-    limit = F.create_map(*[F.lit(x) for k, v in rate.items() for x in (k, int(v * 1_000_000))])
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < limit[F.col("lang")])
+    limit = F.create_map(*[F.lit(x) for kv in most.items() for x in kv])
+    chosen = rows.where(F.shiftrightunsigned(F.xxhash64("id"), 1) <= limit[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(langs), SLOTS), np.int64)
@@ -78,7 +83,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
 class Mixture:
     """Infers the languages of texts; keeps a bounded memory of words' likelihoods."""
 
-    KEEP, ROUNDS = 100_000, 6
+    KEEP = 100_000
+    #: A document's proportions have settled when none moves by more in a round; the rounds only guard the loop.
+    SETTLED, ROUNDS = 1e-3, 1000
 
     def __init__(self, langs: list[str], logp: np.ndarray):
         self.langs, self.logp = langs, logp
@@ -115,14 +122,24 @@ class Mixture:
         return [(i := np.array(x, np.int64))[self.is_word[i]] for x in out]
 
     def _em(self, like: np.ndarray, doc: np.ndarray, at: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Proportions, and the log likelihood of each document; a share of 0 stays 0."""
+        """Proportions once they have settled, and the log likelihood of each document; a share of 0 stays 0."""
         top = like.max(1, keepdims=True)
         p = np.exp(np.maximum(like - top, -60))
-        count = np.diff(np.append(at, len(doc)))[:, None]
+        count = np.diff(np.append(at, len(doc)))
+        share = share.copy()
+        live, q, own, begin = np.arange(len(at)), p, doc, at  # documents still moving, and their words
         for _ in range(self.ROUNDS):
-            part = p * share[doc]
+            part = q * share[own]
             part /= np.maximum(part.sum(1, keepdims=True), 1e-30)
-            share = np.add.reduceat(part, at, axis=0) / count
+            new = np.add.reduceat(part, begin, axis=0) / count[live][:, None]
+            moving = np.abs(new - share[live]).max(1) > self.SETTLED
+            share[live] = new
+            if not moving.any():
+                break
+            if not moving.all():
+                word = np.repeat(moving, count[live])
+                live, q, own = live[moving], q[word], own[word]
+                begin = np.cumsum(count[live]) - count[live]
         total = np.add.reduceat(np.log(np.maximum((p * share[doc]).sum(1), 1e-30)) + top[:, 0], at)
         return share, total
 
@@ -136,14 +153,16 @@ class Mixture:
         n = np.array([len(rows[k]) for k in full])
         at, doc = np.cumsum(n) - n, np.repeat(np.arange(len(full)), n)
         like, width = self.table[np.concatenate([rows[k] for k in full])], len(self.langs)
-        share, _ = self._em(like, doc, at, np.full((len(full), width), 1 / width, np.float32))
+        share, full_total = self._em(like, doc, at, np.full((len(full), width), 1 / width, np.float32))
         order = np.argsort(-share, axis=1, kind="stable")
         single = np.add.reduceat(like, at, axis=0, dtype=np.float64)
         best = np.take_along_axis(single, order[:, :1], 1)[:, 0]
         chosen = np.zeros_like(share)
         np.put_along_axis(chosen, order[:, :1], 1, 1)
         for size in range(2, width + 1):
-            more = np.flatnonzero(np.take_along_axis(share, order[:, size - 1 : size], 1)[:, 0] > 0.005)
+            # all languages together bound what any set of them reaches; the one unit is for proportions still moving
+            cost = 0.5 * (size - 1) * np.log(n) + (size - 1) * 4
+            more = np.flatnonzero(full_total + 1 - cost > best)
             if not len(more):
                 break
             word = np.isin(doc, more)
@@ -151,7 +170,7 @@ class Mixture:
             start = np.zeros((len(more), width), np.float32)
             np.put_along_axis(start, order[more, :size], 1 / size, 1)
             part, total = self._em(like[word], d, np.cumsum(n[more]) - n[more], start)
-            score = total - 0.5 * (size - 1) * np.log(n[more]) - (size - 1) * 4
+            score = total - cost[more]
             wins = score > best[more]
             best[more[wins]] = score[wins]
             chosen[more[wins]] = part[wins]
@@ -205,7 +224,9 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows of docs, all their columns, in whose text a language was found with at least
-    that proportion; null, empty and letterless texts go."""
+    that proportion; null, empty and letterless texts go, as do all if no language could be
+    learned. Equal rows and null doc_ids are judged each by the text; an empty table stays
+    empty; other columns may have any names."""
     return predicted(docs, F.struct("*")).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("carry.*")
 
 
