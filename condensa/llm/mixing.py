@@ -5,7 +5,8 @@ cut into blocks of equal numbers of words. Blocks are allocated to sources by
 highest quotients target / (2 k + 1), for growing numbers of seats, one step of
 growth per output shard; the method never takes a seat back as the number grows,
 so the differences are each shard's integer quota of each source. A seeded
-permutation of a source's blocks then says which blocks each shard takes.
+permutation of a source's blocks then deals them: the first of the permuted order are the
+first shard's quota, the next the second's, until the source's seats are used up.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ WEIGHTS = (5, 2, 1)
 TOTAL, REPEAT = 1.5, 2
 #: The largest block, in words; smaller ones where a source's target would be coarse.
 BLOCK = 256
-#: A prime above any number of blocks of a source, so that multiplying by it permutes them.
-_STEP = 2_147_483_647
+#: Primes above any number of blocks of a source, so that multiplying by them permutes the blocks.
+_PRIMES = (2**61 - 1, 2**60 - 93)
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -57,8 +58,9 @@ def quotas(targets: DataFrame, shards: int, block: Column) -> DataFrame:
     rows = rows.where("target > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     rows = rows.withColumn("seats", F.expr(f"cast(round(all / block * (shard + 1) / {shards}) as bigint)"))
     # seats that every divisor near all / seats gives, and those that none can give
-    sure = "case when seats > sources / 2D then cast(floor(target * (seats - sources / 2D) / all + 0.5D) as bigint) else 0L end"
-    most = "cast(floor(target * (seats + sources / 2D) / all + 0.5D) as bigint) + 1"
+    # the hundredth is for rounding of doubles at many seats
+    sure = "case when seats > sources / 2D then greatest(0L, cast(floor(target * (seats - sources / 2D) / all + 0.49D) as bigint)) else 0L end"
+    most = "cast(floor(target * (seats + sources / 2D) / all + 0.51D) as bigint) + 1"
     rows = rows.selectExpr("*", f"{sure} sure", f"{most} most").withColumn("free", F.expr("seats - sum(sure) over (partition by shard)"))
     open_seats = rows.select("*", F.expr("explode(filter(sequence(sure, most), k -> k > sure))").alias("k")).withColumn("quotient", F.expr("target / (2 * k - 1)"))
     ranked = open_seats.withColumn("rank", F.expr("row_number() over (partition by shard order by quotient desc, place)"))
@@ -66,19 +68,30 @@ def quotas(targets: DataFrame, shards: int, block: Column) -> DataFrame:
     return given.selectExpr("source", "place", "shard", "sure + won as until").selectExpr("source", "place", "shard", "until", "until - coalesce(lag(until) over (partition by place order by shard), 0) as quota")
 
 
-def planned(targets: DataFrame, shards: int) -> DataFrame:
-    """source, source_size, target, block, seats and blocks (REPEAT passes of the source), one row a source."""
+def planned(targets: DataFrame, shards: int, seed: int) -> DataFrame:
+    """source, source_size, target, block, seats, blocks (REPEAT passes of the source), untils (the
+    seats given out after each shard), step and shift (of the permutation), one row a source."""
     # blocks shrink for small sources' sake, to a two-hundredth of the smallest target
     block = F.expr(f"greatest(1L, least({BLOCK}L, cast(min(case when target > 0 then target end) over () / 200 as bigint)))")
-    taken = quotas(targets, shards, block).groupBy("place").agg(F.sum("quota").alias("seats"))
-    return targets.withColumn("block", block).join(taken, "place", "left").selectExpr("source", "source_size", "target", "block", "coalesce(seats, 0) seats", f"cast(ceil(source_size * {REPEAT} / block) as bigint) blocks")
+    taken = quotas(targets, shards, block).groupBy("place").agg(F.max("until").alias("seats"), F.sort_array(F.collect_list(F.struct("shard", "until"))).alias("untils"))
+    rows = targets.withColumn("block", block).join(taken, "place", "left").selectExpr("source", "source_size", "target", "block", "coalesce(seats, 0) seats", f"cast(ceil(source_size * {REPEAT} / block) as bigint) blocks", "untils.until untils")
+    # a product of powers of the primes, so coprime to the number of blocks; decimals, as products of two longs overflow
+    factors = [_PRIMES[0]] * (1 + seed % 7) + [_PRIMES[1]] * (seed // 7 % 5)
+    step = f"aggregate(array({', '.join(f'{x}L' for x in factors)}), 1L, (acc, x) -> {_product('acc', 'x')})"
+    return rows.selectExpr("*", f"if(blocks > 0, {step}, 0L) step", f"if(blocks > 0, pmod(xxhash64({seed}, source), blocks), 0L) shift")
+
+
+def _product(a: str, b: str) -> str:
+    """a * b modulo blocks."""
+    return f"cast(pmod(cast({a} as decimal(19, 0)) * cast({b} as decimal(19, 0)), cast(blocks as decimal(19, 0))) as bigint)"
 
 
 def mix(docs: DataFrame, shards: int = 8, seed: int = 17, lanes: int = 1024) -> DataFrame:
-    """doc_id, size, source_size, target and taken of each row of docs.
+    """doc_id, size, source_size, target, taken and pieces of each row of docs.
 
     size counts words (null: 0); taken counts the words the mix takes, repeats too,
-    at most REPEAT times size. A null source is one source, the last; sources
+    at most REPEAT times size; pieces says which shard takes how many words of the row
+    in which block. A null source is one source, the last; sources
     without words have target 0 and give nothing. Repeated rows are taken each by
     itself; rows alike in all that is read are interchangeable. Null doc_ids take
     part; an empty table gives no rows; other columns are left out. Positions in a
@@ -90,16 +103,19 @@ def mix(docs: DataFrame, shards: int = 8, seed: int = 17, lanes: int = 1024) ->
     rows = rows.repartition("source", "lane")
     sums = rows.groupBy("source", "lane").agg(F.sum("size").alias("lane_size"))
     by_source = targets(sums.groupBy("source").agg(F.sum("lane_size").alias("source_size")))
-    plan = planned(by_source, shards)
+    plan = planned(by_source, shards, seed)
     start = sums.selectExpr("source", "lane", "coalesce(sum(lane_size) over (partition by source order by lane rows between unbounded preceding and 1 preceding), 0) lane_start")
-    lanes_plan = start.join(F.broadcast(plan), start["source"].eqNullSafe(plan["source"])).select(start["source"], "lane", "lane_start", "source_size", "target", "block", "seats", "blocks")
+    lanes_plan = start.join(F.broadcast(plan), start["source"].eqNullSafe(plan["source"])).select(start["source"], "lane", "lane_start", "source_size", "target", "block", "seats", "blocks", "untils", "step", "shift")
     placed = rows.withColumn("inside", F.expr("sum(size) over (partition by source, lane order by order, doc_id, size rows between unbounded preceding and current row) - size"))
-    both = placed.alias("d").join(lanes_plan.alias("p"), F.expr("d.source <=> p.source and d.lane = p.lane")).selectExpr("d.doc_id", "d.size", "p.source_size", "p.target", "p.block", "p.seats", "p.blocks", "p.lane_start + d.inside as begin")
+    both = placed.alias("d").join(lanes_plan.alias("p"), F.expr("d.source <=> p.source and d.lane = p.lane")).selectExpr("d.doc_id", "d.size", "p.source_size", "p.target", "p.block", "p.seats", "p.blocks", "p.untils", "p.step", "p.shift", "p.lane_start + d.inside as begin")
+    # the blocks a row lies in, their places in the permuted order, and of those below the seats the shard
     overlap = "greatest(0L, least((k + 1) * block, {a} + size) - greatest(k * block, {a}))"
-    chosen = f"pmod(k * pmod({_STEP}L, blocks) + {seed}, blocks) < seats"
-    taken_in = "aggregate(sequence({a} div block, ({a} + size - 1) div block), 0L, (acc, k) -> acc + if(" + chosen + ", " + overlap + ", 0L))"
-    passes = " + ".join(taken_in.format(a=f"(begin + {i} * source_size)") for i in range(REPEAT))
-    return both.selectExpr("doc_id", "size", "source_size", "target", f"case when size = 0 or seats = 0 then 0L else {passes} end taken")
+    place = f"pmod({_product('k', 'step')} + shift, blocks)"
+    blocks_in = "transform(sequence({a} div block, ({a} + size - 1) div block), k -> struct(k as block, " + place + " as place, " + overlap + " as words))"
+    passes = ", ".join(blocks_in.format(a=f"(begin + {i} * source_size)") for i in range(REPEAT))
+    taken = f"transform(filter(concat({passes}), x -> x.place < seats), x -> struct(size(filter(untils, u -> u <= x.place)) as shard, x.block, x.words))"
+    out = both.selectExpr("doc_id", "size", "source_size", "target", f"case when size = 0 or seats = 0 then array() else {taken} end pieces")
+    return out.selectExpr("doc_id", "size", "source_size", "target", "aggregate(pieces, 0L, (acc, x) -> acc + x.words) taken", "pieces")
 
 
 def mixed(docs: DataFrame, shards: int = 8, seed: int = 17, lanes: int = 64) -> DataFrame:
@@ -112,13 +128,14 @@ def mixed(docs: DataFrame, shards: int = 8, seed: int = 17, lanes: int = 64) ->
     the longest document at most, and long documents have the same share as short
     ones. Rows are numbered each by itself, repeated and null doc_ids too. A cell is
     a lane by hash of a source's rows of about one size (a sixteenth of an octave),
-    so a large source is numbered in many tasks.
+    so a large source is numbered in many tasks. Null texts have no words; an empty table
+    stays empty; other columns may have any names.
     """
-    rows = docs.select(F.struct("*").alias("row"), "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), *docs.columns).alias("order"))
+    rows = docs.select(F.struct("*").alias("row"), "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in docs.columns]).alias("order"))
     octave, lane = F.expr("if(size = 0, -1, cast(floor(16 * log2(size)) as int))"), F.pmod(F.col("order"), F.lit(lanes)).cast("int")
     rows = rows.withColumn("cell", F.struct("source", octave.alias("octave"), lane.alias("lane"))).drop("source")  # as one key, null sources meet
     sums = rows.groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("cell_size"))
-    plan = planned(targets(sums.groupBy("cell.source").agg(F.sum("cell_size").alias("source_size"))), shards)
+    plan = planned(targets(sums.groupBy("cell.source").agg(F.sum("cell_size").alias("source_size"))), shards, seed)
     plan = plan.selectExpr("source plan_source", f"if(source_size = 0, 0D, least(seats * block / source_size, {REPEAT}D)) share")
     start = sums.where("cell.octave >= 0").selectExpr("cell", "coalesce(sum(n) over (partition by cell.source order by cell.octave, cell.lane rows between unbounded preceding and 1 preceding), 0) start")
     starts = start.join(F.broadcast(plan), F.expr("cell.source <=> plan_source")).select("cell", "start", "share")
