@@ -130,7 +130,11 @@ def _shard(key: Column, cuts: list[int]) -> Column:
     return out
 
 
-def shard(docs: DataFrame, shards: int = 16, lanes: int = 512) -> DataFrame:
+#: Rows that one lane of a shard numbers, about.
+LANE = 100_000
+
+
+def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """Shard and slot of each row of docs, under the law `bytes`.
 
     A row's size is its text's UTF-8 bytes plus 1; null texts are equal to each
@@ -143,8 +147,10 @@ def shard(docs: DataFrame, shards: int = 16, lanes: int = 512) -> DataFrame:
     Other columns are left out.
     """
     rows = keyed(docs)
-    groups = checkpoint(rows.groupBy("key").agg(F.sum("size").alias("bytes")))
-    part = (groups.agg(F.sum("bytes")).first()[0] or 0) // (shards * LARGE)
+    groups = checkpoint(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
+    total, n = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    part, lanes = total // (shards * LARGE), n // (shards * LANE) + 1
+    groups = groups.drop("n")
     large = groups.where(F.col("bytes") > part).orderBy(F.desc("bytes"), "key").collect() if part else []
     schema = "key bigint, first bigint"
     named = docs.sparkSession.createDataFrame([(r["key"], k - len(large)) for k, r in enumerate(large)], schema)
@@ -153,9 +159,9 @@ def shard(docs: DataFrame, shards: int = 16, lanes: int = 512) -> DataFrame:
     placed = rows.select("doc_id", "size", "text_crc32", _shard(F.col("at"), cuts).cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id", "key"), F.lit(lanes)).cast("int").alias("lane"))
     counts = placed.groupBy("shard", "lane").agg(F.count("*").alias("n"))
     lane_order = "partition by shard order by lane rows between unbounded preceding and 1 preceding"
-    offsets = counts.select("shard", "lane", F.expr(f"coalesce(sum(n) over ({lane_order}), 0)").alias("before"))  # at most shards x lanes rows
+    offsets = counts.select("shard", "lane", F.expr(f"coalesce(sum(n) over ({lane_order}), 0)").alias("before"))  # dealt out as the rows are, so only these move
     numbered = placed.withColumn("place", F.expr("row_number() over (partition by shard, lane order by doc_id, text_crc32, size) - 1"))
-    return numbered.join(F.broadcast(offsets), ["shard", "lane"]).select(
+    return numbered.join(offsets, ["shard", "lane"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
 
