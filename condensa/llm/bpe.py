@@ -5,7 +5,8 @@ positions: a leaf holds the rank of the pair that starts there, an inner node
 the smaller of its children, ties to the left, so the root is the next merge.
 A merge changes at most two pairs, each a walk from a leaf to the root. Trees of
 one height are kept as the rows of one array and advance together, so a step of
-the loop makes one merge in every word that still has one.
+the loop makes one merge in every word that still has one; a few long words are merged
+one after another, each in a tree of its own, as there is little to advance together.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ class Bpe:
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = sorted({(ranks[t[:k]] * self.n + ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks})
         self.key, self.rank = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
+        self._known: dict[int, int] | None = None
         self.token_len = np.zeros(self.n, np.int64)
         for t, r in ranks.items():
             self.token_len[r] = len(t)
@@ -120,6 +122,59 @@ class Bpe:
         kept = token >= 0
         return token[kept].astype(np.int32), kept.reshape(n, size).sum(1)
 
+    def merge_one(self, word: bytes) -> np.ndarray:
+        """The ids of one word; a tree node holds rank * size + place."""
+        n = len(word)
+        size = 1 << max(1, (n - 1).bit_length())
+        none, own = int(_NONE), self.byte[np.frombuffer(word, np.uint8)]
+        rank = self.pair_rank(own[:-1], own[1:])
+        level = np.full(size, _NONE)
+        level[: n - 1] = np.where(rank < _NONE, rank * size + np.arange(n - 1), _NONE)
+        levels = [level]
+        while len(level) > 1:
+            level = np.minimum(level[::2], level[1::2])
+            levels.append(level)
+        tree = [none, *np.concatenate(levels[::-1]).tolist()]
+        token, after, before, known = own.tolist(), list(range(1, n + 1)), list(range(-1, n - 1)), self.known
+
+        def put(place: int, value: int) -> None:
+            k = place + size
+            tree[k] = value
+            while k > 1:
+                other = tree[k ^ 1]
+                k >>= 1
+                if other < value:
+                    value = other
+                if tree[k] == value:
+                    break
+                tree[k] = value
+
+        def pair_at(left: int, right: int) -> int:
+            found = known.get(token[left] * self.n + token[right])
+            return none if found is None else found * size + left
+
+        while (best := tree[1]) < none:
+            p = best % size
+            q = after[p]
+            token[p], token[q] = best // size, -1
+            far = after[p] = after[q]
+            put(q, none)
+            if far < n:
+                before[far] = p
+                put(p, pair_at(p, far))
+            else:
+                put(p, none)
+            if before[p] >= 0:
+                put(before[p], pair_at(before[p], p))
+        return np.array([t for t in token if t >= 0], np.int32)
+
+    @property
+    def known(self) -> dict[int, int]:
+        """Ranks by pair, made when the first long word comes."""
+        if self._known is None:
+            self._known = dict(zip(self.key.tolist(), self.rank.tolist()))
+        return self._known
+
     def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all words, and where each word's begin and how many they are."""
         raw = [w.encode("utf-8") for w in words]
@@ -130,7 +185,11 @@ class Bpe:
             block = max(1, (1 << 17) >> h)
             for b in range(0, len(ks), block):
                 part = ks[b : b + block]
-                ids, n = self.merge([raw[k] for k in part.tolist()])
+                if h > 5 and len(part) < 16:
+                    found = [self.merge_one(raw[k]) for k in part.tolist()]
+                    ids, n = np.concatenate(found), np.array([len(x) for x in found])
+                else:
+                    ids, n = self.merge([raw[k] for k in part.tolist()])
                 at[part] = total + np.cumsum(n) - n
                 length[part] = n
                 total += len(ids)
