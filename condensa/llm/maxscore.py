@@ -12,15 +12,22 @@ sum and the bounds left are competitive.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .vectors import best, grid_search, usable
+from .vectors import best, grid_search, matrix, sampled, usable
 
 #: Rows whose postings are traversed together.
 BLOCK = 1024
+#: Rows scored first, at most, whose k-th best is where every shard's threshold starts.
+FIRST = 2048
+#: A threshold that every score meets.
+_NONE = -(2**62)
 
 
 class Postings:
@@ -33,11 +40,9 @@ class Postings:
         self.lists = [np.flatnonzero(rows[:, j] * s > 0) for s in (1, -1) for j in range(wide)]
         self.bound = np.array([self.size[ids, t % wide].max(initial=0) for t, ids in enumerate(self.lists)])
 
-    def search(self, query: np.ndarray, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows that may score at least floor, with their exact scores; all rows if floor is None."""
+    def search(self, query: np.ndarray, floor: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that score at least floor, with their exact scores."""
         wide = len(query)
-        if floor is None:
-            return np.arange(len(self.rows)), self.rows @ query
         terms = np.flatnonzero(query)
         terms = np.where(query[terms] > 0, terms, wide + terms)
         weight = np.abs(query[terms % wide])
@@ -76,14 +81,39 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     to the smaller vec_id. Null vec_ids, and vectors null, empty or with null or
     non-finite components, take no part; a shorter vector counts as filled with
     zeros; an empty table gives no rows; other columns are left out.
-    """
 
-    def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, query_rows: np.ndarray):
-        rows, query_rows = (np.floor(scale * a).astype(np.int64) for a in (rows, query_rows))
+    A query's threshold starts from the k-th best of at most FIRST rows, one sample for
+    all shards, so that none has to score its first rows without one.
+    """
+    index, asked = usable(vectors), usable(queries)
+    n = index.count()
+    first = vectors.sparkSession.sparkContext.broadcast(sampled(index, FIRST))
+    whole = lambda a: np.floor(scale * a).astype(np.int64)
+
+    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rows = first.value
+        rows = whole(rows)
+        for batch in batches:
+            q = whole(matrix(batch.column(1)))
+            wide = max(q.shape[1], rows.shape[1])
+            q, x = (np.pad(a, ((0, 0), (0, wide - a.shape[1]))) for a in (q, rows))
+            out = np.full(len(q), _NONE)
+            if len(ids):
+                for part in range(0, len(q), 256):
+                    score = q[part : part + 256] @ x.T
+                    score[batch.column(0).to_numpy()[part : part + 256, None] == ids[None]] = _NONE
+                    if len(ids) >= k:
+                        out[part : part + 256] = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], ["vec_id", "embedding", "floor"])
+
+    asked = asked.mapInArrow(floors, "vec_id bigint, embedding array<double>, floor bigint")
+
+    def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, query_rows: np.ndarray, floors: np.ndarray):
+        rows, query_rows = whole(rows), whole(query_rows)
         blocks = [Postings(rows[b : b + BLOCK]) for b in range(0, len(rows), BLOCK)]
         out = []
-        for q, query in zip(query_ids, query_rows):
-            have, score, floor = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        for q, query, floor in zip(query_ids, query_rows, floors.tolist()):
+            have, score = np.zeros(0, np.int64), np.zeros(0, np.int64)
             for b, postings in enumerate(blocks):
                 at, s = postings.search(query, floor)
                 new = ids[b * BLOCK + at]
@@ -91,11 +121,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
                 have, score = np.concatenate((have, new[own])), np.concatenate((score, s[own]))
                 top = best(have, score, k)
                 have, score = have[top], score[top]
-                floor = int(score[-1]) if len(score) == k else None
+                if len(score) == k:
+                    floor = max(floor, int(score[-1]))
             out.append((np.full(len(have), q), have, score))
         return tuple(np.concatenate(x) for x in zip(*out))
 
-    return grid_search(usable(vectors), usable(queries), k, "bigint", 4096, 512, search)
+    return grid_search(index, asked, k, "bigint", n, search)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,20 +30,30 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
-def grid_search(index: DataFrame, queries: DataFrame, k: int, score: str, rows_a_shard: int, queries_a_block: int, search: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
-    """Each query's k best rows, by blocks of queries against shards of the index.
+#: Most rows of a shard and queries of a block; both stay in a task's memory, so the larger they
+#: are the fewer copies travel.
+SHARD, BLOCK = 32_768, 32_768
+#: Rows below which a shard isn't cut further for the sake of more tasks.
+LEAST = 1024
 
-    search(ids, rows, query_ids, query_rows) returns query ids, row ids and scores: at
-    least the shard's k best for each query. A task holds one shard and one block, both
-    of bounded size; the shards' lists are merged by rank. Higher scores go first, ties
-    to the smaller vec_id.
+
+def grid_search(index: DataFrame, queries: DataFrame, k: int, score: str, n: int, search: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """Each query's k best of the n rows of the index, by blocks of queries against shards of the index.
+
+    index has vec_id and embedding, queries also floor, a number for search.
+    search(ids, rows, query_ids, query_rows, floors) returns query ids, row ids and
+    scores: at least the shard's k best for each query. A task holds one shard and one
+    block, both of bounded size; the shards' lists are merged by rank. Up to BLOCK
+    queries the index moves once. Higher scores go first, ties to the smaller vec_id.
     """
     queries = queries.dropDuplicates(["vec_id"])
-    n, m = index.count(), queries.count()
-    shards, blocks = max(1, -(-n // rows_a_shard)), max(1, -(-m // queries_a_block))
-    spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = index.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), spread.alias("block"), "vec_id", "embedding")
-    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "embedding")
+    blocks = max(1, -(-queries.count() // BLOCK))
+    tasks = 2 * index.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, -(-n // SHARD), min(tasks // blocks, -(-n // LEAST)))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    hashed = lambda count: F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")
+    left = index.select(hashed(shards).alias("shard"), every(blocks).alias("block"), "vec_id", "embedding")
+    right = queries.select(every(shards).alias("shard"), hashed(blocks).alias("block"), "vec_id", "embedding", "floor")
 
     def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
         names, kinds = ["query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.int64() if score == "bigint" else pa.float64()]
@@ -52,7 +62,7 @@ def grid_search(index: DataFrame, queries: DataFrame, k: int, score: str, rows_a
         x, q = matrix(rows["embedding"]), matrix(asked["embedding"])
         wide = max(x.shape[1], q.shape[1])
         x, q = (np.pad(a, ((0, 0), (0, wide - a.shape[1]))) for a in (x, q))
-        got = search(rows["vec_id"].to_numpy(), x, asked["vec_id"].to_numpy(), q)
+        got = search(rows["vec_id"].to_numpy(), x, asked["vec_id"].to_numpy(), q, asked["floor"].to_numpy())
         return pa.Table.from_arrays([pa.array(a, t) for a, t in zip(got, kinds)], names)
 
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(run, f"query_id bigint, vec_id bigint, score {score}")
@@ -60,6 +70,14 @@ def grid_search(index: DataFrame, queries: DataFrame, k: int, score: str, rows_a
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def sampled(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of at most so many rows, those of the smallest hashes."""
+    found = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("vec_id", "embedding").collect()
+    lists = [r["embedding"] for r in found]
+    wide = max(map(len, lists), default=1)
+    return np.array([r["vec_id"] for r in found], np.int64), np.array([x + [0.0] * (wide - len(x)) for x in lists]).reshape(len(lists), wide)
+
+
 def best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to smaller ids."""
     if len(score) > 4 * k:
