@@ -1,13 +1,14 @@
 """N-gram Jaccard join by chosen paths.
 
 Texts are sets of hashed runs of five words. A set chooses a token when the token's
-hash is below 1 / (threshold * size): similar sets choose alike, and a pair at the
-threshold expects to share one choice. Sets that share a choice are a bucket; a
-bucket over the size limit is split once more on further shared tokens. Buckets that
-are small enough then are compared within themselves, larger ones block against
-block, so that nothing is dropped. All of it is repeated with other hashes, RUNS
-times, until a pair at the threshold is missed less than once in a thousand: a run
-finds it with probability 0.63 in a small bucket, 0.47 in one split again.
+hash is below SHARED / (threshold * size): similar sets choose alike, and a pair at the
+threshold expects to share SHARED choices. Sets that share a choice are a bucket; a
+bucket over the size limit is split on further shared tokens, and its parts again,
+LEVELS steps deep. Buckets that are small are compared within themselves, those still
+large at the end, groups alike in nearly all tokens, block against block, so that
+nothing is dropped. All of it is repeated with other hashes, RUNS times, until a pair at
+the threshold is missed less than once in a thousand: a run finds it with probability
+0.71 in a bucket of the first step, 0.59, 0.52 and 0.48 in those of the next.
 
 Equal sets are one class from the start. A pair of classes that shares several
 buckets is compared only in the smallest-numbered of them.
@@ -23,23 +24,26 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, mix, shingles, table, utf8
+from .common import checkpoint, mix, packed, shingles, table, twinned, utf8
 from .components import components
 
 WORDS, THRESHOLD, RUNS = 5, 0.8, 12
+LEVELS, SHARED = 4, 1.25
 #: Members above which a bucket is split, about as many as a block of a larger one has, and hashes
 #: of the sketch that rules out pairs far apart.
-LIMIT, BLOCK, SKETCH = 128, 512, 32
+LIMIT, BLOCK, SKETCH = 128, 256, 32
 #: Similarity by the sketch (SKETCH smallest hashes) below which a pair isn't compared; at the
 #: threshold itself this loses less than one pair in a million.
 _FAR = 0.4
 
-_ODD = mix(np.arange(1, 2 * RUNS + 1, dtype=np.uint64)) | np.uint64(1)
+_ODD = mix(np.arange(1, LEVELS * RUNS + 1, dtype=np.uint64)) | np.uint64(1)
+#: Numbers from here on stand for documents without a doc_id of their own: null ones, and further texts of one doc_id.
+_OTHERS = 1 << 62
 
 
-def choices(tokens: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens chosen on the first and on the second step, numbered by their run in the low four bits."""
-    limit = np.uint64(min(2**64 - 1, int(2**64 / (threshold * len(tokens)))))
+def choices(tokens: np.ndarray, threshold: float) -> list[np.ndarray]:
+    """Tokens chosen on each step, numbered by their run in the low four bits."""
+    limit = np.uint64(min(2**64 - 1, int(SHARED * 2**64 / (threshold * len(tokens)))))
     at, run = [], []
     for k in range(0, len(tokens), 4096):
         i, r = np.nonzero(tokens[k : k + 4096, None] * _ODD[None] < limit)
@@ -47,47 +51,51 @@ def choices(tokens: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarra
         run.append(r)
     i, r = np.concatenate(at), np.concatenate(run)
     key = (mix(tokens[i] ^ _ODD[r]) & ~np.uint64(15)) | (r % RUNS).astype(np.uint64)
-    return key[r < RUNS].view(np.int64), key[r >= RUNS].view(np.int64)
+    return [key[r // RUNS == level].view(np.int64) for level in range(LEVELS)]
 
 
 def sets(docs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """doc_id, its set's key (null without words), size, choices and sketch."""
+    """doc_id, id, the set's key (null without words), size, choices by step and sketch, for rows of
+    doc_id, id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, first, second, sketch = [], [], [], [], []
-            for text in utf8(batch.column(1)):
+            keys, sizes, chosen, sketch = [], [], [], []
+            for text in utf8(batch.column(2)):
                 tokens = shingles(text, words)
                 sizes.append(len(tokens))
                 if not len(tokens):
                     keys.append(None)
-                    a = b = s = np.zeros(0, np.int64)
+                    steps, s = [np.zeros(0, np.int64)] * LEVELS, np.zeros(0, np.int64)
                 else:
                     other = mix(tokens + _ODD[0])
                     keys.append(f"{int(tokens.sum(dtype=np.uint64)):016x}{int(other.sum(dtype=np.uint64)):016x}")
-                    a, b = choices(tokens, threshold)
+                    steps = choices(tokens, threshold)
                     s = np.sort(np.partition(other, SKETCH - 1)[:SKETCH] if len(other) > SKETCH else other) >> np.uint64(33)
-                first.append(a)
-                second.append(b)
+                chosen.append(steps)
                 sketch.append(s.astype(np.int32))
-            kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(first, kind), pa.array(second, kind), pa.array(sketch, pa.list_(pa.int32()))],
-                ["doc_id", "key", "size", "first", "second", "sketch"],
+                [batch.column(0), batch.column(1), pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(chosen, pa.list_(pa.list_(pa.int64()))), pa.array(sketch, pa.list_(pa.int32()))],
+                ["doc_id", "id", "key", "size", "chosen", "sketch"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, key string, size bigint, first array<bigint>, second array<bigint>, sketch array<int>")
+    return docs.mapInArrow(run, "doc_id bigint, id bigint, key string, size bigint, chosen array<array<bigint>>, sketch array<int>")
 
 
 def buckets(reps: DataFrame, limit: int) -> DataFrame:
     """bucket, id and n (members) of the buckets that are left to compare."""
-    first = reps.select("id", F.explode("first").alias("bucket"))
-    n = first.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    met = first.join(n, "bucket")
-    large = met.where(F.col("n") > limit).select("id", "bucket").join(reps.select("id", "second"), "id")
-    second = large.select("id", F.explode(F.expr("transform(filter(second, x -> x & 15 = bucket & 15), x -> xxhash64(bucket, x))")).alias("bucket"))
-    m = second.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    return met.where(F.col("n") <= limit).unionByName(second.join(m, "bucket"))
+    at = reps.select("id", F.explode(F.col("chosen")[0]).alias("bucket"))
+    out = None
+    for level in range(LEVELS):
+        n = at.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+        met = checkpoint(at.join(n, "bucket"))
+        small = met if level == LEVELS - 1 else met.where(F.col("n") <= limit)
+        out = small if out is None else out.unionByName(small)
+        if level == LEVELS - 1 or met.where(F.col("n") > limit).isEmpty():
+            return out
+        large = met.where(F.col("n") > limit).select("id", "bucket").join(reps.select("id", F.col("chosen")[level + 1].alias("step")), "id")
+        # a part keeps its run's number in the low four bits
+        at = large.select("id", F.explode(F.expr("transform(filter(step, x -> x & 15 = bucket & 15), x -> xxhash64(bucket, x) & -16 | bucket & 15)")).alias("bucket"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -189,11 +197,6 @@ def candidates(reps: DataFrame, met: DataFrame, threshold: float, block: int) ->
 def verified(docs: DataFrame, pairs: DataFrame, words: int, threshold: float) -> DataFrame:
     """a, b, links: exact links, as a count for a, or with b as a link that joins two groups of a task."""
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t) for t in utf8(batch.column(1))], pa.binary())], ["id", "packed"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         out: list[list] = [[], [], []]
@@ -234,8 +237,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, threshold: float) ->
                 out = [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b", "links"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null").mapInArrow(packed, "id bigint, packed binary")
-    rows = pairs.join(texts, "id").select("bucket", "i", "j", "id", "partners", "packed")
+    rows = pairs.join(packed(docs.select("id", "text")), "id").select("bucket", "i", "j", "id", "partners", "packed")
     ordered = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return ordered.mapInArrow(run, "a bigint, b bigint, links bigint")
 
@@ -247,33 +249,54 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, limi
     rep_id. n_links is the number of other classes at least as similar as the
     threshold, and class_id the smallest doc_id of all classes that links connect.
     A text of fewer words than a run is one run; a null, empty or blank text has
-    none, links to nothing and is its own class. Rows of one doc_id are one document;
-    a null doc_id gets the class of its text's copies, if any, and else null. An empty
-    table gives no rows; other columns are left out. Texts are read whole.
+    none, links to nothing and is its own class. Equal rows are one document; different
+    texts under one doc_id are several; texts with a null doc_id take part, and a class
+    of them alone has a null class_id. An empty table gives no rows; other columns
+    are left out. Texts are read whole.
     """
-    all_sets = checkpoint(sets(docs, words, threshold))
-    reps = all_sets.where("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("size", "first", "second", "sketch")])
+    named = classes(numbered(docs.select(F.col("doc_id").cast("long"), "text")), words, threshold, limit, block)
+    doc_ids = named.where(F.col("id") >= _OTHERS).select(F.col("id").alias("number"), F.col("doc_id").alias("of")).distinct()
+    for c in ("class_id", "rep_id"):
+        named = named.join(doc_ids, F.col(c) == F.col("number"), "left").withColumn(c, F.when(F.col(c) < _OTHERS, F.col(c)).otherwise(F.col("of"))).drop("number", "of")
+    return named.select("doc_id", "class_id", "rep_id", "n_links")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """Adds id: the doc_id, or a number from _OTHERS on by hash for a null one or a further text of one."""
+    rows = twinned(docs)
+    other = F.lit(_OTHERS) + F.shiftrightunsigned(F.xxhash64("doc_id", "twin", "text"), 3)
+    return rows.withColumn("id", F.when(F.col("doc_id").isNotNull() & (F.col("twin") == 0), F.col("doc_id")).otherwise(other)).drop("twin")
+
+
+def classes(docs: DataFrame, words: int, threshold: float, limit: int, block: int) -> DataFrame:
+    """doc_id, id, class_id, rep_id and n_links of each row of doc_id, id and text, classes by id."""
+    all_sets = checkpoint(sets(docs.select("doc_id", "id", "text"), words, threshold))
+    reps = all_sets.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("size", "chosen", "sketch")])
     reps = checkpoint(reps)
-    met = checkpoint(buckets(reps, limit))
+    met = buckets(reps, limit)
     found = checkpoint(verified(docs, candidates(reps, met, threshold, block), words, threshold))
     groups = components(found.where("b is not null"))
-    counts = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("n_links"))
-    classes = reps.select("key", "id").join(counts, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
-    return all_sets.select("doc_id", "key").join(classes, "key", "left").select(
-        "doc_id", F.coalesce("component", "id", "doc_id").alias("class_id"), F.coalesce("id", "doc_id").alias("rep_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    counts = found.where("b is null").groupBy(F.col("a").alias("rep_id")).agg(F.sum("links").alias("n_links"))
+    each = reps.select("key", F.col("id").alias("rep_id")).join(counts, "rep_id", "left").join(groups.withColumnRenamed("node", "rep_id"), "rep_id", "left")
+    return all_sets.select("doc_id", "id", "key").join(each, "key", "left").select(
+        "doc_id", "id", F.coalesce("component", "rep_id", "id").alias("class_id"), F.coalesce("rep_id", "id").alias("rep_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all their columns, that are the first of the class of connected texts.
 
-    Of rows with one doc_id one stays; a row with a null doc_id stays unless its text
-    is in a class of others.
+    A class is what links connect, so a row may go that is linked to the one that stays
+    only by way of others. The first has the smallest doc_id; of texts with a null doc_id
+    the one of the smallest hash stays, if no other is in its class. Equal rows are one
+    document, of which one row stays, the one of the smallest hash where other columns
+    differ; different texts under one doc_id are told apart. Null, empty and blank
+    texts are each their own class. An empty table stays empty; other columns may have
+    any names.
     """
-    kept = join(docs, words, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.struct("*").alias("row"))
-    named = rows.join(kept, F.col("own_id") == F.col("kept_id"), "left_semi").dropDuplicates(["own_id"])
-    return named.unionByName(rows.where("own_id is null")).select("row.*")
+    rows = numbered(docs.select(F.col("doc_id").cast("long"), "text", F.struct("*").alias("row"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("order")))
+    kept = classes(rows, words, threshold, LIMIT, BLOCK).where("id = class_id").select("id").distinct()
+    return rows.select("id", "row", "order").join(kept, "id", "left_semi").groupBy("id").agg(F.min_by("row", "order").alias("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
