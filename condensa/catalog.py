@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import discourse, profiles
 from .functions import text as T
-from .operators import chats, dedup, ranking, relational as R, structure
+from .operators import chats, dedup, notation, phrases, ranking, relational as R, structure
 from .plans import rewrite as plan
 from .sources import io
 
@@ -21,7 +22,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
-_SENT = r"list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]*'), lambda s: trim(s, ' ')), lambda s: length(s) > 0)"
+#: Sentences, replacement of matches m, and the like, in SQL.
+_SENT = r"list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])[ \t\n\r\f]+', '\1' || chr(10), 'g'), '\n+'), lambda s: trim(s, e' \t\r\f')), lambda s: length(s) > 0)"
+_REPLACED = "CASE WHEN regexp_matches({t}, '{p}') THEN array_to_string(list_transform(list_zip(string_split_regex({t}, '{p}'), regexp_extract_all({t}, '{p}')), lambda z: concat(z[1], {new})), '') ELSE {t} END"
 _TOK = "regexp_extract_all(lower(text), '[a-z0-9'']+')"
 _SIG = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' ')"
 _SQUEEZE = r"trim(regexp_replace(lower({0}), '[ \t\n\r\f]+', ' ', 'g'), ' ')"
@@ -129,9 +132,9 @@ def stale_job_reaper(events):
     return R.reaped(events, F.col("event_type"), F.col("value"), {"click": 50, "view": 80}).select("event_id", "status")
 
 
-@_query("events", "SELECT user_id, arg_max(event_type, ts) AS state, max(ts) AS updated_at FROM events GROUP BY user_id")
+@_query("events", "SELECT user_id, event_type AS state, ts AS updated_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) r FROM events) WHERE r = 1")
 def job_latest_state(events):
-    return events.groupBy("user_id").agg(F.max_by("event_type", "ts").alias("state"), F.max("ts").alias("updated_at"))
+    return events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.max("ts").alias("updated_at"))
 
 
 @_query("events", "SELECT e.event_type, e.avg_value FROM (SELECT event_type, round(avg(value), 6) avg_value, round(max(value), 6) m FROM events GROUP BY 1) e, (SELECT round(avg(value), 6) a, round(max(value), 6) b FROM events WHERE event_type = 'click') c WHERE e.avg_value >= c.a AND e.m <= c.b")
@@ -306,7 +309,7 @@ def whitespace_normalise(documents):
     return documents.select("doc_id", T.tidy_space(F.col("text")).alias("text"))
 
 
-@_query("documents", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\b([0-9]{1,9}),([0-9]{3})\b', '\1\2', 'g'), '\b([0-9]{1,9}),([0-9]{3})\b', '\1\2', 'g'), '\b([0-9]{1,9}),([0-9]{3})\b', '\1\2', 'g') AS text FROM documents")
+@_query("documents", f"SELECT doc_id, {_REPLACED.format(t='text', p=T.THOUSANDS, new="regexp_replace(regexp_replace(z[2], '[ ,_]', '', 'g'), '^0+([0-9])', '\\1')")} AS text FROM documents")
 def thousands_separator(documents):
     return documents.select("doc_id", T.plain_numbers(F.col("text")).alias("text"))
 
@@ -316,22 +319,26 @@ def consecutive_duplicates(documents):
     return documents.select("doc_id", T.no_echo(F.col("text")).alias("text"))
 
 
-@_query("documents", "SELECT doc_id, regexp_matches(text, '(?i)\\b(?:must|never|always|shall|required|only|at least|at most|do not|should)\\b') AS has_constraint FROM documents")
+_CUE = T.CUE.replace("'", "''")
+
+
+@_query("documents", f"SELECT doc_id, CAST(sum(CASE WHEN regexp_matches(x, '{_CUE}') THEN 1 ELSE 0 END) AS BIGINT) AS cued, CAST(sum(CASE WHEN regexp_matches(x, '{T.CONSTRAINT.replace(chr(39), chr(39) * 2)}') THEN 1 ELSE 0 END) AS BIGINT) AS constrained FROM (SELECT doc_id, unnest({_SENT}) x FROM documents) GROUP BY 1")
 def constraint_cues(documents):
-    return documents.select("doc_id", T.has_constraint(F.col("text")).alias("has_constraint"))
+    x = documents.select("doc_id", F.explode(T.sentences(F.col("text"))).alias("x"))
+    return x.groupBy("doc_id").agg(F.count_if(T.has_cue(F.col("x"))).alias("cued"), F.count_if(T.has_constraint(F.col("x"))).alias("constrained"))
 
 
 _SIM = r"""WITH p AS (SELECT doc_id, text a, regexp_replace(text, '(^|[ \t\n])(?:(?:[Tt]he|[Aa]n?)[ \t]+)+', '\1', 'g') b FROM documents),
- q AS (SELECT doc_id, a, b, list_distinct(TOKA) ta, list_distinct(TOKB) tb, len(SENTA) sa, len(SENTB) sb FROM p),
- r AS (SELECT doc_id, round(0.7 * CASE WHEN len(ta) = 0 OR len(tb) = 0 THEN 0 ELSE len(list_intersect(ta, tb)) / CAST(len(list_distinct(list_concat(ta, tb))) AS DOUBLE) END
-  + 0.15 * CASE WHEN greatest(length(a), length(b)) = 0 THEN 1 ELSE least(length(a), length(b)) / CAST(greatest(length(a), length(b)) AS DOUBLE) END
-  + 0.15 * CASE WHEN greatest(sa, sb) = 0 THEN 1 ELSE least(sa, sb) / CAST(greatest(sa, sb) AS DOUBLE) END, 6) AS similarity FROM q)
-SELECT doc_id, similarity, similarity >= 0.82 AS kept FROM r""".replace("TOKA", _TOK.replace("text", "a")).replace("TOKB", _TOK.replace("text", "b")).replace("SENTA", _SENT.replace("(text,", "(a,")).replace("SENTB", _SENT.replace("(text,", "(b,"))
+ q AS (SELECT doc_id, a, b, list_distinct(regexp_extract_all(lower(a), '[a-z0-9_]+')) ta, list_distinct(regexp_extract_all(lower(b), '[a-z0-9_]+')) tb,
+  greatest(len(regexp_extract_all(a, '[.!?]')), 1) sa, greatest(len(regexp_extract_all(b, '[.!?]')), 1) sb FROM p),
+ r AS (SELECT doc_id, round(CASE WHEN len(ta) = 0 OR len(tb) = 0 THEN 0 ELSE 0.7::DOUBLE * len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb)))
+  + 0.15::DOUBLE * least(length(b) / CAST(length(a) AS DOUBLE), 1) + 0.15::DOUBLE * least(sb / CAST(sa AS DOUBLE), 1) END + 1e-9, 3) AS similarity FROM q)
+SELECT doc_id, similarity, similarity >= 0.82 AS kept FROM r"""
 
 
 @_query("documents", _SIM)
 def lexical_similarity_guard(documents):
-    score = F.round(T.similarity(F.col("text"), T.without_articles(F.col("text"))), 6)
+    score = T.similarity(F.col("text"), T.without_articles(F.col("text")))
     return documents.select("doc_id", score.alias("similarity"), (score >= plan.SIMILARITY).alias("kept"))
 
 
@@ -375,31 +382,42 @@ def near_dup_pairs(documents):
     return dedup.bigram_pairs(documents).withColumn("similarity", F.round("similarity", 6))
 
 
-@_query("documents", f"""WITH s AS (SELECT doc_id, unnest(range(0, len(s))) pos, unnest(s) x FROM (SELECT doc_id, {_SENT} s FROM documents)),
- t AS (SELECT doc_id, pos, list_distinct({_TOK.replace('text', 'x')}) t FROM s), u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) r FROM t WHERE len(t) >= 3)
-SELECT doc_id, CAST(pos AS INTEGER) AS pos, round(max(score), 6) AS score FROM (SELECT b.doc_id, b.pos, 0.7 * len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) + 0.3 * least(len(a.t), len(b.t)) / greatest(len(a.t), len(b.t)) score
- FROM u a JOIN u b ON a.doc_id = b.doc_id AND b.r - a.r BETWEEN 1 AND 8) WHERE score >= 0.9 GROUP BY 1, 2""")
+@_query("documents")
 def near_dup_lookback(documents):
-    return dedup.lookback(documents)
+    return dedup.kept_sentences(documents)
+
+
+@_query("documents")
+def minhash_near_documents(documents):
+    return dedup.near_documents(documents).withColumn("similarity", F.round("similarity", 6))
+
+
+@_query("documents", f"""WITH w AS (SELECT doc_id, string_split({_SQUEEZE.format('text')}, ' ') w FROM documents),
+ g AS (SELECT doc_id, i - 1 f, array_to_string(w[i : i + 19], ' ') g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) i FROM w WHERE len(w) >= 20)),
+ a AS (SELECT doc_id, f FROM (SELECT *, min(f) OVER (PARTITION BY doc_id, g) o FROM g) WHERE f >= o + 20)
+SELECT doc_id, count(*) AS n, min(f) AS first FROM a GROUP BY 1""")
+def repeated_word_windows(documents):
+    return dedup.window_counts(documents)
 
 
 # --- ranking, chunks, chats
 
 
 @_query("documents benchmark", f"""WITH d AS (SELECT doc_id, len(t) len, unnest(t) token FROM (SELECT doc_id, {_TOK} t FROM documents)), f AS (SELECT doc_id, token, len, count(*) tf FROM d GROUP BY 1, 2, 3),
- s AS (SELECT count(*) n, avg(l) mean FROM (SELECT len({_TOK}) l FROM documents) WHERE l > 0), q AS (SELECT DISTINCT item_id, token FROM (SELECT item_id, unnest({_TOK}) token FROM benchmark)), e AS (SELECT token, count(*) df FROM f GROUP BY 1),
- r AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len / mean))), 6) score FROM q JOIN e USING (token) JOIN f USING (token), s GROUP BY 1, 2)
+ s AS (SELECT count(*) n, avg(l) mean FROM (SELECT len({_TOK}) l FROM documents) WHERE l > 0), q AS (SELECT item_id, token, count(*) q FROM (SELECT item_id, unnest({_TOK}) token FROM benchmark) GROUP BY 1, 2), e AS (SELECT token, count(*) df FROM f GROUP BY 1),
+ r AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len / mean)) * q / (q + 1)), 6) score FROM q JOIN e USING (token) JOIN f USING (token), s GROUP BY 1, 2)
 SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) rank FROM r) WHERE rank <= 10""")
 def bm25_rank(documents, benchmark):
     return ranking.bm25(documents, benchmark)
 
 
 @_query("documents benchmark", f"""WITH d AS (SELECT doc_id, token, count(*) / CAST(any_value(len) AS DOUBLE) tf FROM (SELECT doc_id, len(t) len, unnest(t) token FROM (SELECT doc_id, {_TOK} t FROM documents)) GROUP BY 1, 2),
- c AS (SELECT count(*) n FROM documents WHERE len({_TOK}) > 0), i AS (SELECT token, ln((n + 1) / CAST(count(*) + 1 AS DOUBLE)) + 1 idf FROM d, c GROUP BY token, n),
+ c AS (SELECT CAST(count(*) AS DOUBLE) n FROM documents WHERE len({_TOK}) > 0), f AS (SELECT token, count(*) df FROM d GROUP BY 1),
  q AS (SELECT item_id, token, count(*) / CAST(any_value(len) AS DOUBLE) tf FROM (SELECT item_id, len(t) len, unnest(t) token FROM (SELECT item_id, {_TOK} t FROM benchmark)) GROUP BY 1, 2),
- dw AS (SELECT doc_id, token, tf * idf w FROM d JOIN i USING (token)), qw AS (SELECT item_id, token, tf * idf v FROM q JOIN i USING (token)),
- dn AS (SELECT doc_id, sqrt(sum(w * w)) a FROM dw GROUP BY 1), qn AS (SELECT item_id, sqrt(sum(v * v)) b FROM qw GROUP BY 1),
- r AS (SELECT item_id, doc_id, round(sum(v * w) / (any_value(a) * any_value(b)), 6) score FROM qw JOIN dw USING (token) JOIN dn USING (doc_id) JOIN qn USING (item_id) GROUP BY 1, 2)
+ i AS (SELECT item_id, token, tf, ln((n + 2) / (coalesce(df, 0) + 2)) + 1 idf, ln((n + 2) / (coalesce(df, 0) + 1)) + 1 plain FROM q LEFT JOIN f USING (token), c),
+ s AS (SELECT doc_id, sum((tf * (ln((n + 2) / (df + 1)) + 1)) ** 2) sq FROM d JOIN f USING (token), c GROUP BY 1),
+ v AS (SELECT item_id, sqrt(sum((tf * idf) ** 2)) b FROM i GROUP BY 1),
+ r AS (SELECT item_id, doc_id, round(sum(i.tf * idf * d.tf * idf) / (sqrt(any_value(sq) + sum(d.tf ** 2 * (idf ** 2 - plain ** 2))) * any_value(b)), 6) score FROM i JOIN d USING (token) JOIN s USING (doc_id) JOIN v USING (item_id) GROUP BY 1, 2)
 SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) rank FROM r) WHERE rank <= 10""")
 def tfidf_rank(documents, benchmark):
     return ranking.tfidf(documents, benchmark)
@@ -410,7 +428,7 @@ def luhn_rank(documents):
     return ranking.luhn(documents).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@_query("embeddings", "SELECT vec_id, CAST(vec_id // 64 AS BIGINT) AS lane, CAST(sum(cut) OVER (PARTITION BY vec_id // 64 ORDER BY vec_id) AS BIGINT) AS run FROM (SELECT vec_id, CASE WHEN p IS NULL OR list_sum(list_transform(list_zip(v, p), lambda x: x[1] * x[2])) < 0.1 THEN 1 ELSE 0 END cut FROM (SELECT vec_id, v, lag(v) OVER (PARTITION BY vec_id // 64 ORDER BY vec_id) p FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) v FROM embeddings)))")
+@_query("embeddings", "SELECT vec_id, CAST(sum(cut) OVER (ORDER BY vec_id) AS BIGINT) AS run FROM (SELECT vec_id, CASE WHEN p IS NULL OR list_sum(list_transform(list_zip(v, p), lambda x: x[1] * x[2])) < 0.6 THEN 1 ELSE 0 END cut FROM (SELECT vec_id, v, lag(v) OVER (ORDER BY vec_id) p FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) v FROM embeddings)))")
 def semantic_groups(embeddings):
     return ranking.adjacent_groups(embeddings)
 
@@ -425,28 +443,110 @@ def fixed_chunks(documents):
     return ranking.fixed_chunks(documents)
 
 
-@_query("documents", f"""SELECT doc_id, CAST(pos AS INTEGER) AS pos, {_NTOK.format('x')} AS n_tokens, round(0.45 * (1 - pos / CAST(count(*) OVER (PARTITION BY doc_id) AS DOUBLE)) + 0.15 / count(*) OVER (PARTITION BY doc_id, {_SIG.format('x')}) + CASE WHEN regexp_matches(x, '(?i)\\b(?:must|never|always|shall|required|only|at least|at most|do not|should)\\b') THEN 0.3 ELSE 0 END + 1e-9, 6) AS score
-FROM (SELECT doc_id, unnest(range(0, len(s))) pos, unnest(s) x FROM (SELECT doc_id, {_SENT} s FROM documents))""")
+_CON = T.CONSTRAINT.replace("'", "''")
+_SCORES = f"""SELECT doc_id, pos, n_tokens, protected, s, round(0.45::DOUBLE * len(list_intersect(s, q)) / len(q) + CASE WHEN protected THEN 0.3 ELSE 0 END::DOUBLE + 0.15::DOUBLE / count(*) OVER (PARTITION BY doc_id, s) + 0.1::DOUBLE * e + 1e-9, 6) AS score
+ FROM (SELECT doc_id, pos, n_tokens, protected, s, ['and', 'from', 'the', 'with'] q, CASE WHEN len(s) > 1 THEN least(list_sum(list_transform(s, lambda x: -(len(list_filter(t, lambda y: y = x)) / CAST(len(t) AS DOUBLE)) * ln(len(list_filter(t, lambda y: y = x)) / CAST(len(t) AS DOUBLE)))) / ln(len(s)), 1) ELSE 0 END e
+  FROM (SELECT doc_id, pos, {_NTOK.format('x')} n_tokens, regexp_matches(x, '{_CON}') OR regexp_matches(x, '__[A-Za-z0-9_]+_[0-9]+__') protected, {_TOK.replace('text', 'x')} t, list_sort(list_distinct({_TOK.replace('text', 'x')})) s
+   FROM (SELECT doc_id, unnest(range(0, len(s))) pos, unnest(s) x FROM (SELECT doc_id, {_SENT} s FROM documents))))"""
+_ASKED = "the and from with"
+
+
+@_query("documents", f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, n_tokens, protected, score FROM ({_SCORES})")
 def sentence_scores(documents):
-    return ranking.sentence_scores(documents)
+    return ranking.sentence_scores(documents, _ASKED).drop("set", "size")
+
+
+@_query("documents", f"""SELECT doc_id, n_sentences, total, round(least(0.95, greatest(0.2, 0.7 + CASE WHEN dense >= 0.2 THEN 0.1 WHEN dense >= 0.1 THEN 0.05 ELSE 0 END - CASE WHEN again >= 0.35 AND dense <= 0.18 THEN 0.12 WHEN again >= 0.22 AND dense <= 0.12 THEN 0.07 ELSE 0 END))::DOUBLE, 6) AS ratio
+FROM (SELECT doc_id, count(*) n_sentences, CAST(sum(n_tokens) AS BIGINT) total, count(*) FILTER (protected) / CAST(count(*) AS DOUBLE) dense, 1 - count(DISTINCT s) / CAST(count(*) AS DOUBLE) again FROM ({_SCORES}) GROUP BY 1)""")
+def budget_ratios(documents):
+    return ranking.budget_ratios(ranking.sentence_scores(documents, _ASKED), True)
 
 
 @_query("documents")
 def budgeted_sentences(documents):
-    return ranking.within_budget(ranking.sentence_scores(documents))
+    scored = ranking.sentence_scores(documents, _ASKED)
+    return ranking.within_budget(scored, ranking.budget_ratios(scored, True))
+
 
+_SECTIONS = f"SELECT doc_id, unnest(range(0, len(s))) pos, unnest(s) x FROM (SELECT doc_id, {_SENT} s FROM documents)"
 
-_TURNS = r"SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS place, count(*) OVER (PARTITION BY conv_id) AS n, round(CASE role WHEN 'system' THEN 3 WHEN 'developer' THEN 2.5 WHEN 'user' THEN 2 WHEN 'tool' THEN 1.5 ELSE 1 END + 1.5 * len(regexp_extract_all(text, '(?i)\b(?:must|never|always|should|required|please)\b')) + 1 + 1.5 * row_number() OVER (PARTITION BY conv_id ORDER BY turn) / CAST(count(*) OVER (PARTITION BY conv_id) AS DOUBLE), 6) AS score FROM conversations"
+
+def _scored_sections(documents):
+    s = documents.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "x")).withColumn("set", F.array_distinct(T.tokens(F.col("x"))))
+    return s.select("doc_id", "pos", "set", F.round(F.size("set") / (F.size("set") + 10.0), 6).alias("score"))
+
+
+@_query("documents")
+def mmr_sections(documents):
+    return ranking.mmr_order(_scored_sections(documents))
 
 
-@_query("conversations", _TURNS)
+@_query("documents", f"""WITH r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) - 1 p, greatest(1, count(*) OVER (PARTITION BY doc_id) // 3) t FROM (SELECT doc_id, pos, len({_TOK.replace('text', 'x')}) n FROM ({_SECTIONS}))),
+ a AS (SELECT *, CASE WHEN p % 2 = 0 THEN (t + 1) // 2 - 1 - p // 2 ELSE (t + 1) // 2 + (p - 1) // 2 END i FROM r)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN p >= t THEN p WHEN i < t // 2 THEN i - 1000000000 ELSE i + 1000000000 END) - 1 AS INTEGER) AS place FROM a""")
+def attention_order(documents):
+    s = documents.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "x")).withColumn("n", F.size(T.tokens(F.col("x"))))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "pos")) - 1
+    return ranking.attention_order(s.withColumn("place", place))
+
+
+@_query("documents benchmark", f"""WITH r AS (SELECT item_id, item_id * 3 AS doc_id FROM benchmark UNION SELECT item_id, item_id + 7 FROM benchmark), f AS (SELECT item_id, unnest(range(item_id, item_id + 10)) doc_id FROM benchmark)
+SELECT item_id, count(f.doc_id) AS hits, count(*) AS n, count(f.doc_id) / CAST(count(*) AS DOUBLE) AS recall FROM r LEFT JOIN f USING (item_id, doc_id) GROUP BY 1""")
+def ranking_recall(documents, benchmark):
+    ranked = benchmark.select("item_id", F.explode(F.expr("sequence(item_id, item_id + 11)")).alias("doc_id")).withColumn("rank", F.col("doc_id") - F.col("item_id") + 1)
+    relevant = benchmark.selectExpr("item_id", "item_id * 3 doc_id").unionByName(benchmark.selectExpr("item_id", "item_id + 7 doc_id"))
+    return ranking.recall_at(ranked, relevant, 10, "item_id", "doc_id")
+
+
+_WORDS = "|".join(T.literal(w) for w in sorted(T.DIRECTIVES, key=lambda x: (-len(x), x)))
+_TURNS = rf"SELECT conv_id, turn, role, text, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS place, count(*) OVER (PARTITION BY conv_id) AS n, round(CASE lower(role) WHEN 'system' THEN 3 WHEN 'developer' THEN 2.5 WHEN 'user' THEN 2 WHEN 'tool' THEN 1.5 ELSE 1 END + 1.5 * len(regexp_extract_all(text, '(?i)\b(?:{_WORDS})\b')) + 1 + 1.5 * row_number() OVER (PARTITION BY conv_id ORDER BY turn) / CAST(count(*) OVER (PARTITION BY conv_id) AS DOUBLE), 6) AS score FROM conversations"
+
+
+@_query("conversations", f"SELECT conv_id, turn, role, place, n, score FROM ({_TURNS})")
 def turn_scores(conversations):
     return chats.turn_scores(conversations)
 
 
-@_query("conversations", f"SELECT conv_id, turn, role, score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) r FROM ({_TURNS})) WHERE n <= 5 OR r <= greatest(4, floor(n * 0.4)) OR role = 'system' OR place = n")
+_RATIO = """SELECT conv_id, n, greatest((CASE WHEN n > 50 THEN 0.25 WHEN n > 20 THEN 0.3 ELSE 0.4 END)::DOUBLE * (CASE WHEN mean < 50 THEN 1.2 ELSE 1 END)::DOUBLE, CASE WHEN system THEN 0.3 ELSE 0 END, CASE WHEN n > 8 THEN 8 / n::DOUBLE ELSE 0.5 END) AS ratio
+FROM (SELECT conv_id, count(*) n, floor(avg(len(regexp_extract_all(text, '[^ \\t\\n]+')))) mean, bool_or(lower(role) = 'system') system FROM conversations GROUP BY 1)"""
+_KEPT = f"""WITH t AS (SELECT a.*, greatest(4, floor(a.n * ratio + 1e-9)) k, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) r, lower(role) = 'user' u, lower(role) = 'assistant' s FROM ({_TURNS}) a JOIN ({_RATIO}) b USING (conv_id)),
+ l AS (SELECT *, CASE WHEN u AND coalesce(last_value(CASE WHEN u OR s THEN s END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) THEN 1 ELSE 0 END b FROM t),
+ e AS (SELECT *, CASE WHEN u OR s THEN sum(b) OVER (PARTITION BY conv_id ORDER BY turn) END x, max(CASE WHEN u THEN place END) OVER (PARTITION BY conv_id) lu FROM l),
+ f AS (SELECT *, max(CASE WHEN u THEN place END) OVER (PARTITION BY conv_id, x) eu, min(CASE WHEN s THEN place END) OVER (PARTITION BY conv_id, x) fr FROM e),
+ o AS (SELECT *, coalesce(r <= k OR lower(role) = 'system' OR place = n OR place = lu OR (x IS NOT NULL AND eu = lu AND place = fr), false) own FROM f),
+ p AS (SELECT *, n <= 5 OR k >= n OR own OR coalesce(x IS NOT NULL AND bool_or(own) OVER (PARTITION BY conv_id, x) AND eu IS NOT NULL AND fr IS NOT NULL AND (place = eu OR place = fr), false) kept FROM o)
+SELECT conv_id, turn, role, text, score, kept FROM p"""
+
+
+@_query("conversations", f"SELECT conv_id, turn, role, score FROM ({_KEPT}) WHERE kept")
 def history_keep_top(conversations):
-    return chats.kept_turns(conversations)
+    return chats.kept_turns(conversations).where("kept").drop("text", "kept")
+
+
+_CLAUSE = "[^.!?\\n]*(?:" + "|".join(T.DIRECTIVES) + ")[^.!?\\n]*"
+_NOTES = f"""WITH s AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g')) t FROM ({_KEPT}) WHERE NOT kept),
+ f AS (SELECT conv_id, turn, role, trim(CASE WHEN regexp_matches(t, '(?i){_CLAUSE}') THEN regexp_extract(t, '(?i){_CLAUSE}') ELSE regexp_extract(t, '[^.!?\\n]+') END) c FROM s),
+ n AS (SELECT conv_id, turn, '- ' || upper(role[1]) || lower(role[2:]) || ': ' || CASE WHEN length(c) > 160 THEN rtrim(substr(c, 1, 157)) || '...' ELSE c END note FROM f WHERE length(c) > 0)
+SELECT conv_id, turn, note FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(note) ORDER BY turn) r FROM n) WHERE r = 1"""
+
+
+@_query("conversations", _NOTES)
+def history_notes(conversations):
+    return chats.notes(chats.kept_turns(conversations))
+
+
+@_query("conversations", f"""WITH k AS ({_KEPT}), o AS ({_NOTES}), l AS (SELECT conv_id, string_agg(role || ': ' || trim(text), chr(10) ORDER BY turn) t FROM k WHERE kept GROUP BY 1), m AS (SELECT conv_id, string_agg(note, chr(10) ORDER BY turn) t FROM o GROUP BY 1)
+SELECT conv_id, l.t || coalesce(chr(10) || 'Summary Notes:' || chr(10) || m.t, '') AS text FROM l LEFT JOIN m USING (conv_id)""")
+def history_summary(conversations):
+    return chats.transcript(chats.kept_turns(conversations))
+
+
+@_query("conversations", r"""SELECT conv_id, role, count(*) AS n, CAST(sum(length(t)) AS BIGINT) AS chars FROM (SELECT conv_id, role, trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')) t FROM conversations) GROUP BY 1, 2""")
+def chat_segments(conversations):
+    line = F.concat("role", F.lit(": "), F.btrim(F.regexp_replace("text", r"[ \t\n\r\f]+", " ")))
+    chats_ = conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+    s = chats_.select("conv_id", F.explode(chats.segments(F.col("text"))).alias("s"))
+    return s.groupBy("conv_id", F.col("s.role").alias("role")).agg(F.count("*").alias("n"), F.sum(F.length("s.content")).alias("chars"))
 
 
 @_query("conversations", f"SELECT conv_id, turn, {_CASE} AS kind FROM (SELECT conv_id, turn, text, {_HEAD} FROM conversations)")
@@ -454,8 +554,7 @@ def classify_conversations(conversations):
     return conversations.select("conv_id", "turn", T.content_class(F.col("text")).alias("kind"))
 
 
-@_query("conversations", """SELECT conv_id, n, round(greatest((CASE WHEN n > 50 THEN 0.25 WHEN n > 20 THEN 0.3 ELSE 0.4 END)::DOUBLE * (CASE WHEN mean < 50 THEN 1.2 ELSE 1 END)::DOUBLE, CASE WHEN system THEN 0.3 ELSE 0 END, CASE WHEN n > 8 THEN 8 / n::DOUBLE ELSE 0.5 END), 6) AS ratio
-FROM (SELECT conv_id, count(*) n, floor(avg(len(regexp_extract_all(text, '[^ \\t\\n]+')))) mean, bool_or(role = 'system') system FROM conversations GROUP BY 1)""")
+@_query("conversations", f"SELECT conv_id, n, round(ratio, 6) AS ratio FROM ({_RATIO})")
 def history_keep_ratio(conversations):
     return chats.keep_ratios(conversations).withColumn("ratio", F.round("ratio", 6))
 
@@ -474,7 +573,7 @@ def lexrank_rank(documents):
 
 @_query("embeddings", "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 20")
 def embedding_topk(embeddings):
-    return ranking.nearest_sections(embeddings, embeddings.where("vec_id = 0").first()["embedding"], 20)
+    return ranking.nearest_sections(embeddings, embeddings.where("vec_id = 0"), 20)
 
 
 @_query("documents", f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, round(CASE WHEN count(*) > 1 THEN least((ln(sum(c)) - sum(c * ln(c)) / sum(c)) / ln(count(*)), 1) ELSE 0 END, 6) AS entropy FROM (SELECT doc_id, pos, token, count(*) c FROM (SELECT doc_id, pos, unnest({_TOK.replace('text', 'x')}) token FROM (SELECT doc_id, unnest(range(0, len(s))) pos, unnest(s) x FROM (SELECT doc_id, {_SENT} s FROM documents))) GROUP BY 1, 2, 3) GROUP BY 1, 2")

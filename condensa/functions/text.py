@@ -5,15 +5,29 @@ Character classes are ASCII, so that other engines can give the same results.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The patterns of sentences, tokens and words.
-SENTENCE = r"[^.!?\n]+[.!?]*"
+#: Where sentences end (white space after the mark, so 3.14 is whole), and the patterns of tokens and words.
+SENTENCE_END = r"\n+|(?<=[.!?])[ \t\n\r\f]+"
 TOKEN = r"[a-z0-9']+"
 WORD = r"[A-Za-z0-9_']+"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row however often a lambda in use reads it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def replaced(text: Column, pattern: str, new: Callable[[Column], Column]) -> Column:
+    """text with every match m of the pattern as new(m), in one scan; the pattern matches no empty text."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    joined = let(F.transform(found, new), lambda f: F.array_join(F.zip_with(F.split(text, pattern), f, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), ""))
+    return F.when(text.rlike(pattern), joined).otherwise(text)
+
+
 def squeezed(text: Column) -> Column:
     """Lower case, runs of ASCII white space as one space, trimmed."""
     return F.btrim(F.regexp_replace(F.lower(text), r"[ \t\n\r\f]+", " "))
@@ -26,7 +40,7 @@ def signature(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Trimmed, non-empty sentences in order."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda s: F.btrim(s))
+    found = F.transform(F.split(text, SENTENCE_END), lambda s: F.btrim(s, F.lit(" \t\r\f")))
     return F.filter(found, lambda s: F.length(s) > 0)
 
 
@@ -53,15 +67,15 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / F.size(F.array_union(a, b)))
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """The smaller over the larger; 1 for two zeros."""
-    return F.when(F.greatest(a, b) == 0, F.lit(1.0)).otherwise(F.least(a, b).cast("double") / F.greatest(a, b))
-
-
-def similarity(a: Column, b: Column) -> Column:
-    """0.7 of token overlap, 0.15 of the ratio of lengths and 0.15 of that of sentence counts."""
-    ta, tb = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))
-    return 0.7 * jaccard(ta, tb) + 0.15 * ratio(F.length(a), F.length(b)) + 0.15 * ratio(F.size(sentences(a)), F.size(sentences(b)))
+def similarity(original: Column, rewritten: Column) -> Column:
+    """0.7 of word overlap, 0.15 of how much of the length and 0.15 of how many of the sentence
+    marks are left, neither above 1, to three digits; 0 where either has no word."""
+    words = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit("[a-z0-9_]+"), F.lit(0)))
+    marks = lambda t: F.greatest(F.regexp_count(t, F.lit("[.!?]")), F.lit(1))
+    left = lambda a, b: F.least(b / a, F.lit(1.0))
+    score = let(F.struct(words(original).alias("a"), words(rewritten).alias("b")), lambda w: F.when((F.size(w["a"]) == 0) | (F.size(w["b"]) == 0), F.lit(0.0)).otherwise(
+        0.7 * jaccard(w["a"], w["b"]) + 0.15 * left(F.length(original), F.length(rewritten)) + 0.15 * left(marks(original), marks(rewritten))))
+    return F.round(score + 1e-9, 3)
 
 
 def without_articles(text: Column) -> Column:
@@ -82,22 +96,110 @@ def tidy_space(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, "[ \t]{2,}", " "))
 
 
+#: Numbers with separators of thousands, decimals with three digits or more, and negation.
+THOUSANDS = r"\b[0-9]{1,3}(?:[ ,_][0-9]{3})+(?:\.[0-9]+)?\b"
+DECIMALS = r"-?\b[0-9]+\.[0-9]{3,}\b(?!\.[0-9])"
+NEGATION = r"(?i)\b(?:not|never|no|without|cannot|can't|don't|doesn't|won't|isn't|aren't|wasn't|weren't|shouldn't|wouldn't|couldn't)\b"
+
+
 def plain_numbers(text: Column) -> Column:
-    """1,234,567 becomes 1234567."""
-    for _ in range(3):
-        text = F.regexp_replace(text, r"\b([0-9]{1,9}),([0-9]{3})\b", "$1$2")
-    return text
+    """1,234,567 becomes 1234567, with spaces or underscores alike; leading zeros go."""
+    return replaced(text, THOUSANDS, lambda m: F.regexp_replace(F.regexp_replace(m, "[ ,_]", ""), "^0+([0-9])", "$1"))
+
+
+def short_decimals(text: Column) -> Column:
+    """Decimals of three digits or more: whole ones as integers, those below 1000 to two digits unless
+    nothing would be left, larger ones as integers; ties go to the even digit."""
+
+    def new(m: Column) -> Column:
+        x = m.cast("double")
+        two = F.bround(x, 2)
+        plain = lambda v: F.regexp_replace(v.cast("decimal(30,2)").cast("string"), r"\.?0+$", "")
+        return F.when(x == F.floor(x), F.floor(x).cast("string")).when((F.abs(x) < 1000) & (two == 0), m).when(F.abs(x) < 1000, plain(two)).otherwise(F.bround(x, 0).cast("long").cast("string"))
+
+    return replaced(text, DECIMALS, new)
+
+
+def prose_may_change(segment: Column) -> Column:
+    """Whether extra replacements may be made in a segment: not empty, no question, no negation."""
+    return F.coalesce((F.length(segment) > 0) & ~segment.contains("?") & ~segment.rlike(NEGATION), F.lit(False))
+
+
+def char_entropy(token: Column) -> Column:
+    """0.35 of the share of distinct characters, 0.3 of symbols, 0.2 of digits, 0.15 of capitals, less 0.2 of
+    the share of repeated ones, within 0 to 1; 0 for the empty token."""
+    n = F.length(token)
+    part = lambda pattern: F.regexp_count(token, F.lit(pattern)) / n
+    unique = F.size(F.array_distinct(F.regexp_extract_all(token, F.lit("(?s)."), F.lit(0)))) / n
+    score = 0.35 * unique + 0.3 * part("(?s)[^A-Za-z0-9_]") + 0.2 * part("[0-9]") + 0.15 * part("[A-Z]") - 0.2 * F.greatest(1 - unique, F.lit(0.0))
+    return F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).otherwise(0.0)
+
+
+#: What keeps a token before any model is asked.
+CODE_SIGNS = r"[`{}\[\]()=;:#<>]|->"
+KEPT_WORDS = r"\b(?:must|should|ensure|required|never|always|only|import|return|def|class)\b"
+
+
+def sure_to_stay(token: Column, least: float = 0.62) -> Column:
+    return token.rlike(CODE_SIGNS) | F.lower(token).rlike(KEPT_WORDS) | (char_entropy(token) >= least)
 
 
-#: Short forms of common phrases, and of digits and signs in words.
+def tokens_after(before: Column, after: Column, tokens: Column) -> Column:
+    """Tokens of a rewritten text, from the characters that one of the original's has, 1.5 at least."""
+    n = F.length(before)
+    each = F.when(n > 0, F.greatest(n / F.greatest(tokens, F.lit(1)), F.lit(1.5))).otherwise(4.0)
+    return F.greatest(F.lit(0), tokens + F.bround((F.length(after) - n) / each).cast("long"))
+
+
+def low_quality(text: Column) -> Column:
+    """Whether a rewrite is empty or speaks of the task instead of doing it."""
+    t = F.lower(F.btrim(text, F.lit(" \t\r\n")))
+    phrases = "to make it easier|please use|step-by-step guide|use the exact wording"
+    return F.coalesce((F.length(t) == 0) | t.rlike(phrases) | (F.regexp_count(t, F.lit("please")) >= 3), F.lit(True))
+
+
+#: Values that a rewrite must keep: settings, instance ids and dates.
+HARD_VALUES = (r"\b[A-Z][A-Z0-9_]{2,}=[^ \t\n\r\f,;|<>\"']+", r"(?i)\bi-[0-9a-f]{17}\b", r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b")
+
+
+def hard_values(text: Column, most: int = 64) -> Column:
+    """Distinct settings, instance ids and dates of a text, kind by kind, each in order."""
+    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in HARD_VALUES]))
+    return F.slice(F.array_distinct(found), 1, most)
+
+
+def with_values(text: Column, values: Column) -> Column:
+    """The text, with a sentence that names the values missing in it."""
+    missing = F.filter(values, lambda v: ~F.contains(text, v))
+    joint = F.when(F.rtrim(text).rlike("[.!?]$"), F.lit(" ")).otherwise(F.lit(". "))
+
+    def named(m: Column) -> Column:
+        n = F.size(m)
+        listed = F.when(n == 1, m[0]).when(n == 2, F.concat(m[0], F.lit(" and "), m[1])).otherwise(F.concat(F.array_join(F.slice(m, F.lit(1), F.greatest(n - 1, F.lit(1))), ", "), F.lit(", and "), F.get(m, n - 1)))
+        return F.when(n == 0, text).otherwise(F.btrim(F.concat(F.rtrim(text), joint, F.lit("Include "), listed, F.lit("."))))
+
+    return let(missing, named)
+
+
+#: Rules that shorten English prose, a choice of this library's own; callers pass their own table.
 SHORT = {"do not": "don't", "cannot": "can't", "will not": "won't", "it is": "it's", "in order to": "to", "due to the fact that": "because", "at this point in time": "now", "a large number of": "many", "is able to": "can", "prior to": "before", "percent": "%", "greater than": ">", "less than": "<", "and so on": "etc."}
 
 
-def shortened(text: Column) -> Column:
-    """Phrases by their short forms, longest first."""
-    for phrase, short in sorted(SHORT.items(), key=lambda x: -len(x[0])):
-        text = F.regexp_replace(text, rf"\b{phrase}\b", short)
-    return text
+def literal(phrase: str) -> str:
+    """The phrase as a pattern, for Java's and RE2's regular expressions alike."""
+    return "".join("\\" + c if c in r".^$*+?()[]{}|\-" else c for c in phrase)
+
+
+def alternation(phrases) -> str:
+    """Any of the phrases as whole words, longer ones first."""
+    return r"\b(?:" + "|".join(literal(p) for p in sorted(phrases, key=lambda x: (-len(x), x))) + r")\b"
+
+
+def shortened(text: Column, rules: Mapping[str, str] = SHORT) -> Column:
+    """Phrases by the rules' short forms, longer phrases first, in one scan: the text is cut at all
+    matches and joined with what they become."""
+    table = F.create_map(*[F.lit(x) for kv in rules.items() for x in kv])
+    return replaced(text, alternation(rules), lambda m: F.element_at(table, m))
 
 
 def no_echo(text: Column) -> Column:
@@ -105,14 +207,33 @@ def no_echo(text: Column) -> Column:
     return F.regexp_replace(text, r"\b([A-Za-z]+)(?:[ \t]+\1\b)+", "$1")
 
 
-#: Words that name a constraint.
-CONSTRAINT = r"(?i)\b(?:must|never|always|shall|required|only|at least|at most|do not|should)\b"
+#: Words of directives, wherever they stand.
+DIRECTIVES = [
+    "do not", "never", "always", "must", "required", "critical", "important", "warning", "error", "failure", "success", "avoid", "prevent", "should", "need to",
+    "ensure", "remember", "follow", "enforce", "constraint", "policy", "safety", "security", "limit", "without", "include", "exclude", "format", "json",
+]
+#: Further markers of constraints, as whole words.
+CONSTRAINT_MARKERS = ["must", "must not", "never", "always", "exactly", "required", "need to", "has to", "shall", "do not", "don't", "cannot", "can't", "without"]
+#: Words with which an instruction begins.
+INSTRUCTION_HEADS = ["ensure", "include", "exclude", "follow", "output", "return", "format", "write", "provide", "use", "avoid", "keep", "list", "answer", "respond"]
+#: Words that protect a sentence under a budget.
+CONSTRAINT = r"(?i)\b(?:must|shall|required|never|do not|don't|cannot|only|exactly)\b"
+CUE = f"(?i){'|'.join(DIRECTIVES)}|\\b(?:{'|'.join(CONSTRAINT_MARKERS)})\\b|^[ \\t\\n]*(?:{'|'.join(INSTRUCTION_HEADS)})(?:[^a-zA-Z'-]|$)"
+
+
+def has_cue(sentence: Column) -> Column:
+    """Whether it names a directive anywhere or a constraint, or begins as an instruction does."""
+    return sentence.rlike(CUE)
 
 
 def has_constraint(text: Column) -> Column:
     return text.rlike(CONSTRAINT)
 
 
+def n_directives(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("(?i)" + alternation(DIRECTIVES)))
+
+
 def content_class(text: Column) -> Column:
     """The kind of a text, by the first rule that fits."""
     t = F.when(F.length(text) > 2000, F.concat(F.substring(text, 1, 666), F.substring(text, F.floor(F.length(text) / 2).cast("int") - 333, F.lit(666)), F.substring(text, F.length(text) - 665, F.lit(666)))).otherwise(text)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -15,31 +17,50 @@ def _postings(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return tf, t.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
 
 
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    """The k best documents of each query. A rank within parts of the documents goes before the
+    last one, so that a query whose tokens stand in most documents isn't ranked in one task."""
+    order = (F.desc("score"), F.col("doc_id"))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(64))
+    near = scored.withColumn("rank", F.row_number().over(Window.partitionBy("item_id", part).orderBy(*order))).where(F.col("rank") <= k)
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(*order))).where(F.col("rank") <= k)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """The k best documents of each query by BM25."""
-    tf, stats = _postings(docs, "doc_id")
-    asked = queries.select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
-    df = tf.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    """The k best documents of each query by BM25, a token that the query has q times weighing q / (q + 1).
+
+    Only postings of the queries' tokens are counted: the distinct tokens of the queries
+    meet the documents' tokens before anything is grouped. Null texts and texts without
+    tokens have no score."""
+    asked = queries.select("item_id", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("item_id", "token").agg(F.count("*").alias("q"))
+    t = docs.select("doc_id", T.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    stats = t.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
+    wanted = asked.select("token").distinct()
+    tf = t.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("token")).join(wanted, "token", "left_semi").groupBy("doc_id", "token", "len").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("token").agg(F.count("*").alias("df"))
     scored = asked.join(df, "token").join(tf, "token").join(F.broadcast(stats))  # stats is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    total = scored.groupBy("item_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
-    return total.withColumn("rank", rank).where(F.col("rank") <= k)
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean"))) * F.col("q") / (F.col("q") + 1)
+    return _best(scored.groupBy("item_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")), k)
 
 
 def tfidf(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """The k best documents of each query by the cosine of tf-idf vectors."""
+    """The k best documents of each query by the cosine of tf-idf vectors; a query counts as one more
+    document of its own corpus, as do its tokens."""
     tf, stats = _postings(docs, "doc_id")
-    df = tf.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(stats)).select("token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    d = tf.join(df, "token").select("doc_id", "token", (F.col("tf") / F.col("len") * F.col("idf")).alias("w"))
     q, _ = _postings(queries, "item_id")
-    q = q.join(df, "token").select("item_id", "token", (F.col("tf") / F.col("len") * F.col("idf")).alias("v"))
-    norm = lambda rows, key, w: rows.groupBy(key).agg(F.sqrt(F.sum(F.col(w) * F.col(w))).alias(f"{w}_norm"))
-    dots = q.join(d, "token").groupBy("item_id", "doc_id").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    scored = dots.join(norm(d, "doc_id", "w"), "doc_id").join(norm(q, "item_id", "v"), "item_id").select("item_id", "doc_id", F.round(F.col("dot") / (F.col("w_norm") * F.col("v_norm")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    counts = tf.groupBy("token").agg(F.count("*").alias("df"))
+    # n documents and the query; a token of the query has one document more
+    idf = lambda more: F.log((F.col("n") + 2) / (F.coalesce("df", F.lit(0)) + more + 1)) + 1
+    own = q.join(counts, "token", "left").join(F.broadcast(stats)).select("item_id", "token", "df", (F.col("tf") / F.col("len") * idf(1)).alias("v"), idf(1).alias("idf"), idf(0).alias("plain"))
+    d = tf.join(counts, "token").join(F.broadcast(stats)).select("doc_id", "token", (F.col("tf") / F.col("len")).alias("f"), idf(0).alias("plain"))
+    squares = d.groupBy("doc_id").agg(F.sum((F.col("f") * F.col("plain")) ** 2).alias("square"))
+    # the document's norm for this query: tokens they share weigh otherwise than in the corpus alone
+    shared = own.join(d.select("doc_id", "token", "f"), "token").groupBy("item_id", "doc_id").agg(
+        F.sum(F.col("v") * F.col("f") * F.col("idf")).alias("dot"), F.sum(F.col("f") ** 2 * (F.col("idf") ** 2 - F.col("plain") ** 2)).alias("change"))
+    norm = own.groupBy("item_id").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("v_norm"))
+    scored = shared.join(squares, "doc_id").join(norm, "item_id")
+    return _best(scored.select("item_id", "doc_id", F.round(F.col("dot") / (F.sqrt(F.col("square") + F.col("change")) * F.col("v_norm")), 6).alias("score")), k)
 
 
 def luhn(docs: DataFrame, top: int = 12) -> DataFrame:
@@ -49,16 +70,24 @@ def luhn(docs: DataFrame, top: int = 12) -> DataFrame:
     return t.withColumn("rank", rank).groupBy("doc_id").agg((F.sum(F.when(F.col("rank") <= top, F.col("n")).otherwise(0)) / F.sum("n")).alias("score"))
 
 
-def adjacent_groups(vectors: DataFrame, threshold: float = 0.1, lanes: int = 64) -> DataFrame:
-    """Runs of neighbouring vectors, cut where the cosine of two in a row falls below the threshold.
+def adjacent_groups(vectors: DataFrame, threshold: float = 0.6, lanes: int = 256) -> DataFrame:
+    """vec_id and run: runs of neighbouring vectors by id, cut where the cosine of two in a row, of unit
+    vectors, falls below the threshold. Runs are numbered from 1 over the whole table.
 
-    Runs are kept within lanes of ids, so that no task orders the whole table."""
-    lane = F.floor(F.col("vec_id") / lanes).alias("lane")
+    Rows are dealt into `lanes` ranges of ids; each lane's last vector goes to the next lane
+    that has rows, and cuts are counted over lanes, so no task orders the whole table."""
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    bounds = rows.agg(F.min("vec_id").alias("low"), (F.max("vec_id") - F.min("vec_id") + 1).alias("wide"))  # one row
+    rows = rows.join(F.broadcast(bounds)).select("vec_id", "v", F.expr(f"cast((vec_id - low) * {lanes} / wide as int)").alias("lane"))
     w = Window.partitionBy("lane").orderBy("vec_id")
-    rows = vectors.select("vec_id", lane, F.col("embedding").cast("array<double>").alias("v")).withColumn("p", F.lag("v").over(w))
+    carry = rows.groupBy("lane").agg(F.max_by("v", "vec_id").alias("carry"))  # a row a lane
+    before = carry.select("lane", F.lag("carry").over(Window.orderBy("lane")).alias("carry"))
+    rows = rows.withColumn("p", F.lag("v").over(w)).join(before, "lane").withColumn("p", F.coalesce("p", "carry"))
     dot = F.expr("aggregate(zip_with(v, p, (a, b) -> a * b), 0D, (s, x) -> s + x)")
-    cut = F.when(F.col("p").isNull() | (dot < threshold), 1).otherwise(0)
-    return rows.withColumn("cut", cut).select("vec_id", "lane", F.sum("cut").over(w).alias("run"))
+    rows = rows.select("vec_id", "lane", F.when(F.col("p").isNull() | (dot < threshold), 1).otherwise(0).alias("cut"))
+    cuts = rows.groupBy("lane").agg(F.sum("cut").alias("cuts"))
+    start = cuts.select("lane", F.coalesce(F.sum("cuts").over(Window.orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    return rows.join(start, "lane").select("vec_id", (F.col("start") + F.sum("cut").over(w)).alias("run"))
 
 
 def packed_chunks(docs: DataFrame, size: int = 200) -> DataFrame:
@@ -79,20 +108,93 @@ def fixed_chunks(docs: DataFrame, size: int = 200, overlap: float = 0.1) -> Data
     return rows.select("doc_id", "t", F.posexplode(F.expr(f"sequence(0, size(t) - 1, {step})")).alias("chunk", "at")).select("doc_id", "chunk", F.array_join(F.slice("t", F.col("at") + 1, size), " ").alias("text"))
 
 
-def sentence_scores(docs: DataFrame) -> DataFrame:
-    """Scores by which sentences are chosen under a budget: position, rarity in the text, constraints."""
-    s = docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
-    n = F.count("*").over(Window.partitionBy("doc_id"))
-    same = F.count("*").over(Window.partitionBy("doc_id", T.signature(F.col("sentence"))))
-    score = 0.45 * (1 - F.col("pos") / n) + 0.15 / same + 0.3 * T.has_constraint(F.col("sentence")).cast("int")
-    return s.select("doc_id", "pos", T.n_tokens(F.col("sentence")).alias("n_tokens"), F.round(score + 1e-9, 6).alias("score"))
+#: The budget's share of the tokens, its bounds, the most sentences, and what must be saved.
+BUDGET, LEAST, MOST, SENTENCES, SAVED = 0.7, 0.2, 0.95, 120, 0.08
+
 
+def sentence_scores(docs: DataFrame, query: str | None = None) -> DataFrame:
+    """doc_id, pos, n_tokens, protected and score of each sentence.
 
-def within_budget(scored: DataFrame, share: float = 0.55) -> DataFrame:
-    """Sentences, best first, while they fit the budget; one that doesn't fit is skipped and the rest still tried."""
-    rows = scored.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("key"), "pos", "n_tokens"))).alias("s"), F.sum("n_tokens").alias("total"))
-    kept = F.expr(f"aggregate(s, struct(cast(array() as array<int>) as pos, 0L as used), (acc, x) -> if(acc.used + x.n_tokens <= floor({share} * total), struct(array_append(acc.pos, x.pos) as pos, acc.used + x.n_tokens as used), acc))")
-    return rows.withColumn("k", kept).select("doc_id", F.explode(F.sort_array("k.pos")).alias("pos"))
+    The score is 0.45 of the share of the query's tokens it has (0 without a query), 0.3 if it
+    names a constraint or holds a placeholder, 0.15 over the number of sentences with its
+    set of tokens, and 0.1 of its tokens' entropy over the largest possible."""
+    s = docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+    s = s.withColumn("t", T.tokens(F.col("sentence"))).withColumn("set", F.array_sort(F.array_distinct("t")))
+    same = F.count("*").over(Window.partitionBy("doc_id", "set"))
+    protected = T.has_constraint(F.col("sentence")) | F.col("sentence").rlike(r"__[A-Za-z0-9_]+_[0-9]+__")
+    counts = F.expr("transform(set, x -> size(filter(t, y -> y = x)) / size(t))")
+    entropy = F.when(F.size("set") > 1, F.least(F.aggregate(counts, F.lit(0.0), lambda a, p: a - p * F.log(p)) / F.log(F.size("set")), F.lit(1.0))).otherwise(0.0)
+    asked = F.array(*[F.lit(x) for x in sorted(set(re.findall(T.TOKEN, (query or "").lower())))]).cast("array<string>")
+    relevance = F.size(F.array_intersect("set", asked)) / F.greatest(F.size(asked), F.lit(1))
+    score = 0.45 * relevance + 0.3 * protected.cast("int") + 0.15 / same + 0.1 * entropy
+    return s.select("doc_id", "pos", T.n_tokens(F.col("sentence")).alias("n_tokens"), protected.alias("protected"), F.size("t").alias("size"), "set", F.round(score + 1e-9, 6).alias("score"))
+
+
+def budget_ratios(scored: DataFrame, asked: bool = False) -> DataFrame:
+    """doc_id, n_sentences, total and ratio: the share of its tokens a text may keep, from how many of its
+    sentences are protected and how many repeat an earlier one's set of tokens."""
+    rows = scored.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.sum("n_tokens").alias("total"), F.count_if("protected").alias("hits"), F.countDistinct("set").alias("kinds"))
+    dense, again = F.col("hits") / F.col("n_sentences"), 1 - F.col("kinds") / F.col("n_sentences")
+    more = F.when(dense >= 0.2, 0.1).when(dense >= 0.1, 0.05).otherwise(0.0)
+    less = F.when((again >= 0.35) & (dense <= 0.18), 0.12).when((again >= 0.22) & (dense <= 0.12), 0.07).otherwise(0.0)
+    ratio = F.least(F.lit(MOST), F.greatest(F.lit(LEAST), F.lit(BUDGET) + more - less))
+    floor = F.when(dense >= 0.15, 0.6).when(again < 0.2, 0.58).otherwise(0.5)
+    return rows.select("doc_id", "n_sentences", "total", F.round(ratio if asked else F.greatest(ratio, floor), 6).alias("ratio"))
+
+
+def within_budget(scored: DataFrame, ratios: DataFrame) -> DataFrame:
+    """doc_id, pos of the sentences kept: the protected ones, then the best while they fit the budget; one
+    that doesn't fit is skipped and the rest still tried, until SENTENCES are kept or the budget is met.
+
+    A text that would save less than SAVED of its tokens keeps all, as does one of a single sentence."""
+    order = F.struct((~F.col("protected")).alias("open"), (-F.col("score")).alias("key"), "pos", F.col("n_tokens").alias("n"))
+    rows = scored.groupBy("doc_id").agg(F.sort_array(F.collect_list(order)).alias("s")).join(ratios, "doc_id")
+    kept = F.expr(f"""aggregate(s, struct(cast(array() as array<int>) as pos, 0L as used), (acc, x) -> if(
+        not x.open or size(acc.pos) < {SENTENCES} and acc.used < goal and (size(acc.pos) = 0 or acc.used + x.n <= goal),
+        struct(array_append(acc.pos, x.pos) as pos, acc.used + x.n as used), acc))""")
+    rows = rows.withColumn("goal", F.greatest(F.floor(F.col("total") * F.col("ratio")), F.lit(1))).withColumn("k", kept)
+    whole = (F.col("n_sentences") < 2) | (F.col("goal") >= F.col("total")) | ((F.col("total") - F.col("k.used")) / F.col("total") < SAVED)
+    return rows.select("doc_id", F.explode(F.when(whole, F.array_sort(F.col("s.pos"))).otherwise(F.array_sort("k.pos"))).alias("pos"))
+
+
+def mmr_order(scored: DataFrame, key: str = "doc_id", share: float = 0.7) -> DataFrame:
+    """key, pos, place: sections in the order of most marginal relevance, for rows of key, pos, score and set
+    (distinct tokens).
+
+    The next is the one with the largest share x score - (1 - share) x its largest overlap with those
+    taken, ties to the better score, then the first. Fewer than four sections go by score."""
+    rows = scored.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("key"), "pos", "set"))).alias("s"))
+    # overlaps of every section with those taken are carried along, so a step reads each section once
+    fold = F.expr(f"""aggregate(sequence(1, size(s)), struct(cast(array() as array<int>) as out, transform(s, x -> 0D) as near), (acc, step) -> transform(array(
+        aggregate(sequence(0, size(s) - 1), struct(-1 as i, -1e300D as v), (best, i) -> if(array_contains(acc.out, i), best, if(
+          {share}D * -s[i].key - {1 - share}D * if(size(s) < 4, 0D, acc.near[i]) > best.v, struct(i as i, {share}D * -s[i].key - {1 - share}D * if(size(s) < 4, 0D, acc.near[i]) as v), best)))),
+        best -> struct(array_append(acc.out, best.i) as out, transform(acc.near, (n, i) -> greatest(n, if(size(s[i].set) = 0 or size(s[best.i].set) = 0, 0D, size(array_intersect(s[i].set, s[best.i].set)) / size(array_union(s[i].set, s[best.i].set))))) as near))[0])""")
+    return rows.withColumn("o", fold["out"]).select(key, F.posexplode(F.expr("transform(o, i -> s[i].pos)")).alias("place", "pos"))
+
+
+def attention_order(ranked: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, pos, place: of sections by place, those of the best third go in front and behind in turn, and
+    the rest in between, in order."""
+    n = F.count("*").over(Window.partitionBy(key))
+    rows = ranked.withColumn("top", F.greatest(F.lit(1), F.floor(n / 3)))
+    # in front go the places 0, 2, 4, each before the last, behind 1, 3, 5; the middle of these is where the rest goes
+    spot = F.when(F.col("place") % 2 == 0, F.ceil(F.col("top") / 2) - 1 - F.col("place") / 2).otherwise(F.ceil(F.col("top") / 2) + (F.col("place") - 1) / 2)
+    where = F.when(F.col("place") >= F.col("top"), F.col("place") * 1.0).when(spot < F.floor(F.col("top") / 2), spot - 1e9).otherwise(spot + 1e9)
+    rows = rows.select(key, "pos", where.alias("at"))
+    return rows.select(key, "pos", (F.row_number().over(Window.partitionBy(key).orderBy("at")) - 1).alias("place"))
+
+
+def auto_budget(total: Column, candidate: Column, share: float = 0.7) -> Column:
+    """The larger of candidate and a share of total; null where that isn't below total."""
+    budget = F.greatest(candidate, F.floor(total * share).cast("long"))
+    return F.when((total > 0) & (total > candidate) & (budget < total), F.greatest(budget, F.lit(1)))
+
+
+def recall_at(ranked: DataFrame, relevant: DataFrame, k: int, key: str, item: str) -> DataFrame:
+    """key, hits, n, recall: how many of each key's relevant items are among its first k."""
+    found = ranked.where(F.col("rank") <= k).select(key, item, F.lit(1).alias("hit"))
+    rows = relevant.select(key, item).distinct().join(found, [key, item], "left").groupBy(key).agg(F.count("hit").alias("hits"), F.count("*").alias("n"))
+    return rows.withColumn("recall", F.col("hits") / F.col("n"))
 
 
 def lexrank(docs: DataFrame) -> DataFrame:
@@ -109,9 +211,10 @@ def lexrank(docs: DataFrame) -> DataFrame:
     return u.withColumn("all", F.sum("u").over(same)).groupBy("doc_id", "pos").agg(F.greatest(F.sum(F.col("u") * F.col("all")) - 1, F.lit(0.0)).alias("score"))
 
 
-def nearest_sections(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
-    """The k vectors of largest cosine to one query vector; those without a length are left out."""
-    v, q = F.col("embedding").cast("array<double>"), F.array(*map(F.lit, map(float, query)))
+def nearest_sections(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
+    """The k vectors of largest cosine to the embedding of query's one row; those without a length are left out."""
+    v, q = F.col("embedding").cast("array<double>"), F.col("q")
+    vectors = vectors.join(F.broadcast(query.limit(1).select(F.col("embedding").cast("array<double>").alias("q"))))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     size = F.sqrt(dot(v, v) * dot(q, q))
     return vectors.select("vec_id", F.round(F.when(size > 0, dot(v, q) / size), 6).alias("score")).where("score is not null").orderBy(F.desc("score"), "vec_id").limit(k)
@@ -128,5 +231,5 @@ def sentence_entropy(docs: DataFrame) -> DataFrame:
 def idf_weights(docs: DataFrame) -> DataFrame:
     """token and ln((1 + n) / (1 + df)) + 1, over texts with a token."""
     tf, stats = _postings(docs, "doc_id")
-    n = stats.first()["n"]
-    return tf.groupBy("token").agg(F.count("*").alias("df")).select("token", (F.log((F.lit(float(n)) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    df = tf.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(stats))  # stats is one row
+    return df.select("token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))

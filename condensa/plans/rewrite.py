@@ -5,28 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import profiles
 from ..functions import text as T
 
 #: Least similarity of a rewrite that is kept, and the latency and savings guards.
 SIMILARITY, LATENCY_MS, SAVED_TOKENS = 0.82, 600, 20
-#: Passes a kind of text goes without.
-DISABLED = {"code": ["articles", "phrases", "punctuation"], "json": ["articles", "phrases", "punctuation", "space"], "markdown": ["space"], "dialogue": ["articles"], "technical_doc": ["phrases"]}
-PASSES = {"space": T.tidy_space, "phrases": T.shortened, "articles": T.without_articles, "punctuation": T.tight_punctuation, "numbers": T.plain_numbers}
+#: The passes by the names that profiles and modes know them under, in order.
+PASSES = {
+    "normalize_whitespace": T.tidy_space,
+    "shorten_synonyms": T.shortened,
+    "remove_articles": T.without_articles,
+    "compress_punctuation": T.tight_punctuation,
+    "standardize_numbers": T.plain_numbers,
+}
 
 
-def disabled_passes(kind):
-    """The passes that the kind of text goes without; unknown kinds lose none."""
-    table = F.create_map(*[x for k, v in DISABLED.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    return F.coalesce(F.element_at(table, kind), F.array().cast("array<string>"))
+def rewrite(docs: DataFrame, mode: str = "maximum") -> DataFrame:
+    """doc_id, kind, tokens before and after and text: every pass that the kind and the mode allow, and
+    the original text where the rewrite isn't similar enough or loses a constraint.
 
-
-def rewrite(docs: DataFrame) -> DataFrame:
-    """doc_id, kind, tokens before and after and text: every pass that the kind allows, and the
-    original text where the rewrite isn't similar enough or loses a constraint."""
+    The guards look only at texts that changed. Null texts stay null, empty ones empty."""
     rows = docs.select("doc_id", "text", T.content_class(F.col("text")).alias("kind"))
-    rows = rows.withColumn("off", disabled_passes(F.col("kind"))).withColumn("after", F.col("text"))
+    rows = rows.withColumn("off", profiles.disabled_passes(F.col("kind"), profiles.mode(F.lit(mode)))).withColumn("after", F.col("text"))
     for name, apply in PASSES.items():
         rows = rows.withColumn("after", F.when(F.array_contains("off", name), F.col("after")).otherwise(apply(F.col("after"))))
-    good = (T.similarity(F.col("text"), F.col("after")) >= SIMILARITY) & (F.regexp_count("text", F.lit(T.CONSTRAINT)) == F.regexp_count("after", F.lit(T.CONSTRAINT)))
-    rows = rows.withColumn("after", F.when(good, F.col("after")).otherwise(F.col("text")))
+    kept = F.regexp_count("text", F.lit(T.CONSTRAINT)) == F.regexp_count("after", F.lit(T.CONSTRAINT))
+    bad = (F.col("text") != F.col("after")) & ~(kept & (T.similarity(F.col("text"), F.col("after")) >= SIMILARITY))
+    rows = rows.withColumn("after", F.when(bad, F.col("text")).otherwise(F.col("after")))
     return rows.select("doc_id", "kind", T.n_tokens(F.col("text")).alias("tokens_before"), T.n_tokens(F.col("after")).alias("tokens_after"), F.col("after").alias("text"))
