@@ -622,6 +622,180 @@ def range_merge(events):
     return structure.merged_ranges(rows, "user_id", "first", "last")
 
 
+# --- content routing, discourse and weights
+
+_FIRST = "CASE WHEN length(text) > 0 THEN text ELSE '' END"
+_LABEL = """CASE WHEN regexp_matches(lower(x), '^instructions?:') THEN 'instruction' WHEN regexp_matches(x, '{c}') THEN 'constraint' WHEN regexp_matches(x, '{e}') AND NOT regexp_matches(x, '{i}') THEN 'example'
+ WHEN regexp_matches(x, '{i}') THEN 'instruction' ELSE 'background' END""".format(c=discourse.CONSTRAINT.replace("'", "''"), e=discourse.EXAMPLE, i=discourse.INSTRUCTION)
+
+
+@_query("conversations", f"""SELECT conv_id, turn, label, CASE label WHEN 'instruction' THEN 0.9 WHEN 'constraint' THEN 0.85 WHEN 'example' THEN 0.6 ELSE 0.4 END::DOUBLE AS weight, CASE WHEN label = 'constraint' THEN 0.75 WHEN label = 'example' THEN 0.65
+ WHEN label = 'instruction' THEN CASE WHEN regexp_matches(lower(x), '^instructions?:') THEN 0.9 WHEN regexp_matches(x, '{discourse.EXAMPLE}') THEN 0.55 ELSE 0.6 END WHEN regexp_matches(x, '{discourse.BACKGROUND}') THEN 0.65 ELSE 0.3 END::DOUBLE AS confidence
+FROM (SELECT conv_id, turn, x, {_LABEL} AS label FROM (SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'Instructions: ' WHEN 1 THEN 'For example: ' WHEN 2 THEN 'Background. ' WHEN 3 THEN 'You must ' WHEN 4 THEN 'Please return, e.g. ' ELSE '' END || text AS x FROM conversations))""")
+def discourse_labels(conversations):
+    head = F.expr("element_at(array('Instructions: ', 'For example: ', 'Background. ', 'You must ', 'Please return, e.g. ', ''), cast(turn % 6 as int) + 1)")
+    rows = conversations.select("conv_id", "turn", discourse.label(F.concat(head, "text")).alias("l"))
+    return rows.select("conv_id", "turn", "l.label", discourse.label_weight(F.col("l.label")).alias("weight"), "l.confidence")
+
+
+@_query("conversations", r"""WITH c AS (SELECT conv_id, string_agg(upper(role[1]) || role[2:] || ': ' || regexp_replace(text, '[:\n]', ' ', 'g'), ' / ' ORDER BY turn) AS text FROM conversations GROUP BY 1),
+ s AS (SELECT conv_id, string_split(regexp_replace(text, '(^|[^A-Za-z0-9_])([A-Z][A-Za-z0-9 ]{0,40}:)', '\1' || chr(1) || '\2', 'g'), chr(1)) p FROM c), b AS (SELECT conv_id, list_filter(list_transform(p, lambda x: trim(x, e' \t\r\n\f')), lambda x: length(x) > 0) p FROM s)
+SELECT conv_id, CAST(unnest(range(0, len(p))) AS INTEGER) AS pos, unnest(p) AS block FROM b""")
+def heading_blocks(conversations):
+    line = F.concat(F.upper(F.substring("role", 1, 1)), F.substring("role", 2, 100), F.lit(": "), F.regexp_replace("text", r"[:\n]", " "))
+    text = conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), " / ").alias("text"))
+    return text.select("conv_id", F.posexplode(discourse.blocks(F.col("text"))).alias("pos", "block"))
+
+
+_SPANS = "[(CAST(doc_id % 50 AS INTEGER), CAST(doc_id % 50 + 40 AS INTEGER), 'Instruction', NULL), (CAST(n_chars - 20 AS INTEGER), CAST(n_chars + 30 AS INTEGER), 'example', 1.7), (10, 5, NULL, NULL), (-3, 8, 'other', NULL), (CAST(n_chars AS INTEGER), CAST(n_chars + 1 AS INTEGER), NULL, 0.5)]"
+
+
+def _spans(documents):
+    one = "named_struct('start', cast({0} as int), 'end', cast({1} as int), 'label', {2}, 'weight', {3})"
+    spans = [("doc_id % 50", "doc_id % 50 + 40", "'Instruction'", "cast(null as double)"), ("n_chars - 20", "n_chars + 30", "'example'", "1.7D"), ("10", "5", "cast(null as string)", "cast(null as double)"), ("-3", "8", "'other'", "cast(null as double)"), ("n_chars", "n_chars + 1", "cast(null as string)", "0.5D")]
+    return documents.select("doc_id", "n_chars", discourse.clipped(F.expr(f"array({', '.join(one.format(*x) for x in spans)})"), F.col("n_chars").cast("int")).alias("spans"))
+
+
+_CLIPPED = f"""SELECT doc_id, n_chars, i, greatest(s[1], 0) a, least(s[2], n_chars) z, s[3] label, CASE WHEN s[4] IS NULL THEN CASE lower(s[3]) WHEN 'instruction' THEN 0.9 WHEN 'constraint' THEN 0.85 WHEN 'example' THEN 0.6 WHEN 'background' THEN 0.4 ELSE 0.6 END ELSE least(greatest(s[4], 0), 1) END::DOUBLE w
+ FROM (SELECT doc_id, n_chars, unnest(range(0, 5)) i, unnest({_SPANS}) s FROM documents) WHERE s[2] > s[1] AND s[1] < n_chars"""
+
+
+@_query("documents", f"SELECT doc_id, CAST(a AS INTEGER) AS start, CAST(z AS INTEGER) AS until, label, w AS weight FROM ({_CLIPPED})")
+def clipped_spans(documents):
+    return _spans(documents).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", F.col("s.end").alias("until"), "s.label", "s.weight")
+
+
+@_query("documents", f"SELECT d.doc_id, coalesce(arg_min(w, i) FILTER (a < 30 AND z > 0), 1) AS head, coalesce(arg_min(w, i) FILTER (a < d.n_chars AND z > d.n_chars - 10), 1) AS tail, 1.0::DOUBLE AS none FROM documents d LEFT JOIN ({_CLIPPED}) c USING (doc_id) GROUP BY 1")
+def range_weights(documents):
+    weight = lambda a, z: discourse.range_weight(a, z, F.col("spans"))
+    n = F.col("n_chars").cast("int")
+    return _spans(documents).select("doc_id", weight(F.lit(0), F.lit(30)).alias("head"), weight(n - 10, n).alias("tail"), weight(F.lit(5), F.lit(5)).alias("none"))
+
+
+@_query("documents", f"""WITH k AS (SELECT doc_id, text, {_CASE} AS kind FROM (SELECT doc_id, text, {_HEAD} FROM documents))
+SELECT doc_id, kind IN ('dialogue', 'markdown', 'technical_doc', 'heavy_document', 'general_prose') AND length(text) > 2000 AS learn_phrases, kind NOT IN ('code', 'json') AS weigh_discourse,
+ CASE WHEN kind IN ('code', 'json') THEN 'fixed' WHEN kind IN ('dialogue', 'markdown', 'technical_doc') THEN 'structured' WHEN kind = 'short' THEN 'off' ELSE 'semantic' END AS chunking,
+ length(text) // 4 > 10000 AND kind IN ('heavy_document', 'technical_doc', 'markdown') AS rank_sections,
+ kind IN ('code', 'json', 'technical_doc') OR (kind = 'general_prose' AND regexp_matches(CASE WHEN length(text) > 4000 THEN substr(text, 1, 2000) || substr(text, length(text) // 2 - 499, 1000) || substr(text, length(text) - 1999, 2000) ELSE text END, '{profiles.NUMBERS}')) AS keep_digits FROM k""")
+def smart_context(documents):
+    rows = documents.select("doc_id", "text", T.content_class(F.col("text")).alias("kind"))
+    return rows.select("doc_id", profiles.smart_context(F.col("text"), F.col("kind"), F.lit(0)).alias("c")).select("doc_id", "c.*")
+
+
+@_query("documents", f"""SELECT doc_id, kind, CASE kind WHEN 'code' THEN 0.985 WHEN 'json' THEN 0.99 WHEN 'markdown' THEN 0.93 WHEN 'technical_doc' THEN 0.96 ELSE 1 END::DOUBLE AS semantic_guard,
+ CASE kind WHEN 'code' THEN 0.4 WHEN 'json' THEN 0.35 WHEN 'dialogue' THEN 1.35 WHEN 'markdown' THEN 1.1 WHEN 'technical_doc' THEN 1.05 WHEN 'heavy_document' THEN 1.5 WHEN 'short' THEN 1 ELSE 1.15 END::DOUBLE AS entropy_budget,
+ CAST(len(list_distinct(list_concat(['alias_json_keys', 'compress_examples', 'summarize_history', 'remove_articles', 'apply_symbolic_replacements', 'apply_macro_dictionary'],
+  CASE kind WHEN 'short' THEN ['compress_repeated_fragments', 'prune_low_entropy', 'summarize_history', 'compress_examples'] WHEN 'heavy_document' THEN ['clean_instruction_noise'] WHEN 'markdown' THEN ['compress_clauses'] WHEN 'technical_doc' THEN ['shorten_synonyms', 'compress_clauses'] ELSE [] END))) AS INTEGER) AS n_disabled
+FROM (SELECT doc_id, {_CASE} AS kind FROM (SELECT doc_id, text, {_HEAD} FROM documents)) WHERE kind NOT IN ('code', 'json')""")
+def profile_settings(documents):
+    rows = documents.select("doc_id", T.content_class(F.col("text")).alias("kind")).where("kind not in ('code', 'json')")
+    off = profiles.disabled_passes(F.col("kind"), profiles.mode(F.lit(" Normal ")))
+    return rows.select("doc_id", "kind", profiles.modifier(F.col("kind"), "semantic_guard").alias("semantic_guard"), profiles.modifier(F.col("kind"), "entropy_budget").alias("entropy_budget"), F.size(off).alias("n_disabled"))
+
+
+# --- phrases, numbers and values
+
+#: Rules of the queries below, over words that the test tables have.
+_FORMS = {"in the": "within", "from": "per", "that": "it", "stupid": "unwise", "worthless": "Poor", "of the": "of"}
+_PHRASE = "(?i)" + T.alternation(_FORMS)
+_FORM = "CASE lower(m) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _FORMS.items()) + " END"
+_CASED = "CASE WHEN {f} <> lower({f}) THEN {f} WHEN m = upper(m) AND upper(m) <> lower(m) THEN upper({f}) WHEN m = lower(m) THEN {f} WHEN m[1] = upper(m[1]) AND m[2:] = lower(m[2:]) THEN upper({f}[1]) || {f}[2:] ELSE {f} END".format(f=_FORM)
+
+
+@_query("documents", f"SELECT doc_id, {_REPLACED.format(t='text', p=_PHRASE, new=_CASED.replace('(m)', '(z[2])').replace(' m ', ' z[2] ').replace('m[1]', 'z[2][1]').replace('m[2:]', 'z[2][2:]'))} AS text FROM documents")
+def canonical_forms(documents):
+    return documents.select("doc_id", phrases.canonical(F.col("text"), _FORMS).alias("text"))
+
+
+@_query("documents")
+def phrase_dictionary(documents):
+    return documents.select("doc_id", phrases.with_dictionary(F.col("text"), {k: v[:1] for k, v in _FORMS.items()}).alias("d")).select("doc_id", "d.*")
+
+
+@_query("documents", f"SELECT doc_id, regexp_matches(text, '(?i)stupid|from|that|in|of|worthless') AS hinted, length(text) > 0 AND NOT contains(text, '?') AND NOT regexp_matches(text, '{T.NEGATION.replace(chr(39), chr(39) * 2)}') AS allowed FROM documents")
+def canonical_gate(documents):
+    return documents.select("doc_id", F.col("text").rlike(phrases.hint(_FORMS)).alias("hinted"), T.prose_may_change(F.col("text")).alias("allowed"))
+
+
+@_query("lineitem")
+def numeric_precision(lineitem):
+    text = F.concat_ws(" and ", (F.col("l_extendedprice") / 7).cast("decimal(20,6)").cast("string"), (F.col("l_discount") / 9).cast("decimal(20,7)").cast("string"), F.col("l_quantity").cast("decimal(20,4)").cast("string"))
+    return lineitem.select("l_orderkey", "l_linenumber", T.short_decimals(text).alias("text"))
+
+
+_ENTROPY = "0.35::DOUBLE * len(list_distinct(string_split(w, ''))) / length(w) + 0.3::DOUBLE * len(regexp_extract_all(w, '[^A-Za-z0-9_]')) / length(w) + 0.2::DOUBLE * len(regexp_extract_all(w, '[0-9]')) / length(w) + 0.15::DOUBLE * len(regexp_extract_all(w, '[A-Z]')) / length(w) - 0.2::DOUBLE * (1 - len(list_distinct(string_split(w, ''))) / CAST(length(w) AS DOUBLE))"
+
+
+@_query("conversations", f"SELECT conv_id, turn, count(*) AS n, count(*) FILTER (keep) AS kept, round(avg(e), 6) AS entropy FROM (SELECT conv_id, turn, e, regexp_matches(w, '{T.CODE_SIGNS}') OR regexp_matches(lower(w), '{T.KEPT_WORDS}') OR e >= 0.62 keep FROM (SELECT conv_id, turn, w, greatest(0, least(1, {_ENTROPY})) e FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')) w FROM conversations))) GROUP BY 1, 2")
+def token_prefilter(conversations):
+    w = conversations.select("conv_id", "turn", F.explode(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r\f]+"), F.lit(0))).alias("w"))
+    rows = w.select("conv_id", "turn", T.sure_to_stay(F.col("w")).alias("keep"), T.char_entropy(F.col("w")).alias("e"))
+    return rows.groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.count_if("keep").alias("kept"), F.round(F.avg("e"), 6).alias("entropy"))
+
+
+@_query("documents", f"""SELECT doc_id, CAST(greatest(0, t + round_even((length(b) - length(a)) / CASE WHEN length(a) > 0 THEN greatest(length(a) / CAST(greatest(t, 1) AS DOUBLE), 1.5) ELSE 4 END, 0)) AS BIGINT) AS tokens FROM (SELECT doc_id, text a, substr(text, 1, 3 * length(text) // 5) b, {_NTOK.format('text')} t FROM documents)""")
+def token_delta(documents):
+    shorter = F.expr("substring(text, 1, cast(3 * length(text) div 5 as int))")
+    return documents.select("doc_id", T.tokens_after(F.col("text"), shorter, T.n_tokens(F.col("text"))).alias("tokens"))
+
+
+_VALUED = "text || ' AWS_REGION=eu-' || (doc_id % 3) || ' since 2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') || CASE WHEN doc_id % 2 = 0 THEN ' on i-0123456789abcdef0' ELSE '' END"
+
+
+@_query("documents", f"""WITH v AS (SELECT doc_id, text, list_distinct(list_concat(regexp_extract_all(t, '\\b[A-Z][A-Z0-9_]{{2,}}=[^ \\t\\n\\r\\f,;|<>"'']+'), regexp_extract_all(t, '(?i)\\bi-[0-9a-f]{{17}}\\b'), regexp_extract_all(t, '\\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\\b'))) d FROM (SELECT doc_id, text, {_VALUED} t FROM documents))
+SELECT doc_id, CAST(len(d) AS INTEGER) AS n, CASE WHEN regexp_matches(rtrim(text), '[.!?]$') THEN ' ' ELSE '. ' END || 'Include AWS_REGION=eu-' || (doc_id % 3) || CASE WHEN doc_id % 2 = 0 THEN ', i-0123456789abcdef0, and ' ELSE ' and ' END || '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') || '.' AS tail FROM v WHERE len(d) = 3 - doc_id % 2 AND text = trim(text)""")
+def hard_constraints(documents):
+    text = F.expr("concat(text, ' AWS_REGION=eu-', doc_id % 3, ' since 2024-01-', lpad(doc_id % 28 + 1, 2, '0'), if(doc_id % 2 = 0, ' on i-0123456789abcdef0', ''))")
+    rows = documents.select("doc_id", "text", T.hard_values(text).alias("v")).where("size(v) = 3 - doc_id % 2 and text = trim(text)")
+    out = T.with_values(F.col("text"), F.col("v"))
+    return rows.select("doc_id", F.size("v").alias("n"), F.substring(out, F.length(F.rtrim("text")) + 1, F.lit(1 << 20)).alias("tail"))
+
+
+@_query("conversations", "SELECT conv_id, turn, length(trim(text, e' \\t\\r\\n')) = 0 OR regexp_matches(lower(text), 'to make it easier|please use|step-by-step guide|use the exact wording') OR len(regexp_extract_all(lower(text), 'please')) >= 3 AS low FROM conversations")
+def low_quality_rewrites(conversations):
+    return conversations.select("conv_id", "turn", T.low_quality(F.col("text")).alias("low"))
+
+
+@_query("orders", "SELECT o_orderkey, length(o_orderstatus) AS before, try_cast(o_orderpriority[1:1] AS DOUBLE) AS level, coalesce(try_cast(o_orderpriority AS DOUBLE), -1) AS safe FROM orders")
+def safe_numbers(orders):
+    return orders.select("o_orderkey", F.length("o_orderstatus").cast("long").alias("before"), F.expr("try_cast(substring(o_orderpriority, 1, 1) as double)").alias("level"), F.coalesce(F.expr("try_cast(o_orderpriority as double)"), F.lit(-1.0)).alias("safe"))
+
+
+# --- structure
+
+
+@_query("orders", """WITH r AS (SELECT o_custkey, count(*) n, string_agg('    ' || o_orderkey || ',' || o_orderstatus, chr(10) ORDER BY o_orderkey) t, any_value(o_orderkey) k, any_value(o_orderstatus) s FROM orders GROUP BY 1)
+SELECT o_custkey, 'customer' || chr(10) || '  key: ' || o_custkey || chr(10) || CASE WHEN n > 1 THEN '  orders[' || n || '] id,status' || chr(10) || t ELSE '  orders[1]' || chr(10) || '    -' || chr(10) || '      id: ' || k || chr(10) || '      status: ' || s END AS value FROM r""")
+def structured_notation(orders):
+    one = F.transform(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")))), lambda x: x)
+    rows = orders.groupBy("o_custkey").agg(one.alias("orders"))
+    value = F.to_json(F.struct(F.struct(F.col("o_custkey").alias("key"), F.col("orders").alias("orders")).alias("customer")))
+    return notation.notated(rows.select("o_custkey", value.alias("value")), "o_custkey", "value")
+
+
+@_query("documents", r"""WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\n]+[.!?]*')) x FROM documents) SELECT doc_id, count(*) AS n, CAST(sum(length(trim(x, e' \t\r\f'))) AS BIGINT) AS chars FROM s WHERE length(trim(x, e' \t\r\f')) > 0 GROUP BY 1""")
+def sentence_spans(documents):
+    s = documents.select("doc_id", F.explode(structure.sentence_spans(F.col("text"))).alias("s"), "text")
+    return s.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("s.end") - F.col("s.start")).alias("chars"))
+
+
+@_query("conversations", r"""WITH t AS (SELECT conv_id, turn, 'Never delay.' || chr(10) || text || chr(10) || CASE WHEN turn % 2 = 0 THEN '- Never delay.' ELSE 'Be well.' END AS text FROM conversations)
+SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Global constraints (applies to all sections below):' || chr(10) || '- Never delay.' || chr(10) || chr(10) || regexp_replace(text[14:], '\n- Never delay\.$', '') ELSE text END AS text FROM t WHERE NOT contains(text[14:], chr(10) || chr(10)) AND text[14:15] NOT IN (' ', chr(10))""")
+def hoisted_constraints(conversations):
+    tail = F.when(F.col("turn") % 2 == 0, "- Never delay.").otherwise("Be well.")
+    rows = conversations.select("conv_id", "turn", F.concat_ws("\n", F.lit("Never delay."), "text", tail).alias("text"))
+    rows = rows.where("not contains(substring(text, 14), '\n\n') and substring(text, 14, 1) not in (' ', '\n') and substring(text, 14, 2) <> ' '")
+    return rows.select("conv_id", "turn", structure.hoisted(F.col("text")).alias("text"))
+
+
+@_query("documents", "SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 'unclosed' ELSE '' END AS error, CASE WHEN doc_id % 4 = 3 THEN 0 ELSE length(text) END AS protected FROM documents WHERE length(text) > 0")
+def protect_tags(documents):
+    text = F.concat(F.lit("a <protect>"), F.substring("text", 1, 1), F.lit("<PROTECT>"), F.expr("substring(text, 2)"), F.lit("</protect>"), F.when(F.col("doc_id") % 4 == 3, "").otherwise("</protect> b"))
+    rows = documents.where("length(text) > 0").select("doc_id", structure.protected_chunks(text).alias("p"))
+    size = F.aggregate(F.filter("p.chunks", lambda c: c["kind"] == "protected"), F.lit(0), lambda a, c: a + F.length(c["value"]))
+    return rows.select("doc_id", F.coalesce("p.error", F.lit("")).alias("error"), F.when(F.col("p.error").isNull(), size).otherwise(0).cast("long").alias("protected"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
