@@ -47,7 +47,8 @@ def twinned(docs: DataFrame) -> DataFrame:
     ids = docs.where("doc_id is not null").select("doc_id", digest.alias("digest"))
     several = checkpoint(ids.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high"))
     if several.isEmpty():
-        return docs.withColumn("twin", F.lit(0).cast("long"))
+        # 0 for all, but no literal: joins are then dealt out by both columns, as groups by both are
+        return docs.withColumn("twin", F.coalesce(F.col("doc_id").bitwiseAND(0), F.lit(0)).cast("long"))
     texts = ids.join(several.select("doc_id"), "doc_id", "left_semi").distinct()
     numbers = texts.withColumn("number", F.expr("row_number() over (partition by doc_id order by digest) - 1L"))
     rows = docs.withColumn("digest", digest).join(numbers, ["doc_id", "digest"], "left").withColumn("twin", F.coalesce("number", F.lit(0)).cast("long"))
