@@ -1,14 +1,15 @@
 """N-gram Jaccard join by chosen paths.
 
 Texts are sets of hashed runs of five words. A set chooses a token when the token's
-hash is below SHARED / (threshold * size): similar sets choose alike, and a pair at the
-threshold expects to share SHARED choices. Sets that share a choice are a bucket; a
-bucket over the size limit is split on further shared tokens, and its parts again,
-LEVELS steps deep. Buckets that are small are compared within themselves, those still
-large at the end, groups alike in nearly all tokens, block against block, so that
-nothing is dropped. All of it is repeated with other hashes, RUNS times, until a pair at
-the threshold is missed less than once in a thousand: a run finds it with probability
-0.71 in a bucket of the first step, 0.59, 0.52 and 0.48 in those of the next.
+hash is below 1 / (threshold * size): similar sets choose alike, and a pair at the
+threshold expects to share one choice. Sets that share a choice are a bucket; a bucket
+over the size limit is split on further shared tokens, and its parts again, up to LEVELS
+steps deep. A part that keeps half of its bucket or more is a group of sets alike in most
+tokens, which no split takes apart: it is compared block against block, as is what is
+still large at the end, so that nothing is dropped. Buckets that are small are compared
+within themselves. All of it is repeated with other hashes, RUNS times: a run finds a
+pair at the threshold with probability 0.63 in a bucket of the first step and 0.4 in one
+of the second, so 12 runs miss it less than once in a hundred thousand or in four hundred.
 
 Equal sets are one class from the start. A pair of classes that shares several
 buckets is compared only in the smallest-numbered of them.
@@ -28,7 +29,7 @@ from .common import checkpoint, mix, packed, shingles, table, twinned, utf8
 from .components import components
 
 WORDS, THRESHOLD, RUNS = 5, 0.8, 12
-LEVELS, SHARED = 4, 1.25
+LEVELS = 4
 #: Members above which a bucket is split, about as many as a block of a larger one has, and hashes
 #: of the sketch that rules out pairs far apart.
 LIMIT, BLOCK, SKETCH = 128, 256, 32
@@ -43,7 +44,7 @@ _OTHERS = 1 << 62
 
 def choices(tokens: np.ndarray, threshold: float) -> list[np.ndarray]:
     """Tokens chosen on each step, numbered by their run in the low four bits."""
-    limit = np.uint64(min(2**64 - 1, int(SHARED * 2**64 / (threshold * len(tokens)))))
+    limit = np.uint64(min(2**64 - 1, int(2**64 / (threshold * len(tokens)))))
     at, run = [], []
     for k in range(0, len(tokens), 4096):
         i, r = np.nonzero(tokens[k : k + 4096, None] * _ODD[None] < limit)
@@ -84,18 +85,21 @@ def sets(docs: DataFrame, words: int, threshold: float) -> DataFrame:
 
 def buckets(reps: DataFrame, limit: int) -> DataFrame:
     """bucket, id and n (members) of the buckets that are left to compare."""
-    at = reps.select("id", F.explode(F.col("chosen")[0]).alias("bucket"))
+    at = reps.select("id", F.explode(F.col("chosen")[0]).alias("bucket"), F.lit(1 << 62).alias("of"))
     out = None
     for level in range(LEVELS):
         n = at.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
         met = checkpoint(at.join(n, "bucket"))
-        small = met if level == LEVELS - 1 else met.where(F.col("n") <= limit)
-        out = small if out is None else out.unionByName(small)
-        if level == LEVELS - 1 or met.where(F.col("n") > limit).isEmpty():
+        done = F.lit(level == LEVELS - 1) | (F.col("n") <= limit) | (2 * F.col("n") >= F.col("of"))
+        found = met.where(done).select("bucket", "id", "n")
+        out = found if out is None else out.unionByName(found)
+        large = met.where(~done)
+        if large.isEmpty():
             return out
-        large = met.where(F.col("n") > limit).select("id", "bucket").join(reps.select("id", F.col("chosen")[level + 1].alias("step")), "id")
-        # a part keeps its run's number in the low four bits
-        at = large.select("id", F.explode(F.expr("transform(filter(step, x -> x & 15 = bucket & 15), x -> xxhash64(bucket, x) & -16 | bucket & 15)")).alias("bucket"))
+        steps = reps.select("id", F.col("chosen")[min(level + 1, LEVELS - 1)].alias("step"))
+        # a part keeps its run's number in the low four bits, and its bucket's size
+        at = large.join(steps, "id").select("id", F.explode(F.expr("transform(filter(step, x -> x & 15 = bucket & 15), x -> xxhash64(bucket, x) & -16 | bucket & 15)")).alias("bucket"), F.col("n").alias("of"))
+    return out
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
