@@ -2,8 +2,12 @@
 
 A page becomes a flat list of text blocks, cut where block elements begin or end. A
 block is described by its number of words and its link density, by those of the
-blocks before and after it, and by the place that the elements around it claim. A
-decision tree, trained on the small labelled table below, tells article from the rest.
+blocks before and after it, and by four signals of the elements around it, each a
+feature of its own: inside an article element, under a name that articles have, inside
+what frames or fills pages at times (forms, boxes, layout names), inside what never is
+article (menus, footers, asides, reader comments, hidden parts). An article element
+starts anew: what is around it says nothing about what is in it. A decision tree,
+trained on the small labelled table below, tells article from the rest.
 """
 
 from __future__ import annotations
@@ -29,38 +33,50 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose end tags are often left out; they hold no other blocks worth a place of their own.
 _LEAF = frozenset("p li dt dd tr td th thead tbody tfoot option h1 h2 h3 h4 h5 h6".split())
-_ASIDE = frozenset("nav aside footer form menu dialog fieldset".split())
+#: Elements that aren't article, those that may hold an article though they seldom do, and articles.
+_ASIDE = frozenset("nav aside footer menu dialog".split())
+_BOX = frozenset("form fieldset".split())
 _ARTICLE = frozenset("article main".split())
 _NAMED = re.compile(r"\b(?:class|id|role|aria-label|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|side-?bar|widget|menu|nav(?:bar|igation)?|breadcrumbs?|footer|masthead|"
-    r"comments?|comment-?list|respond|repl(?:y|ies)|disqus|cookies?|consent|notice|alert|popup|modal|overlay|newsletter|subscri(?:be|ption)|signup|login|search|share|sharing|social|related|recommend(?:ed|ations)?|pagination|pager|toolbar|skip|copyright|legal|disclaimer|contentinfo|complementary)(?:$|[\s_-])",
-    re.I,
-)
+#: Names of what isn't article, of what may be part of a page's layout, and of articles; names that
+#: say what a page has ("has-sidebar", "with-comments") name no part of it.
+_STRONG = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?list|respond|repl(?:y|ies)|disqus|cookies?|consent|menu|navbar|navigation|breadcrumbs?|footer|masthead|contentinfo|pagination|pager|skip|popup|modal|copyright|login|signup|ads?|adverts?|advertisements?|adsense|sponsor(?:ed)?)(?:$|[\s_-])", re.I)
+_WEAK = re.compile(r"(?:^|[\s_-])(?:nav|side-?bar|banner|promo(?:tion)?|widget|notice|alert|overlay|newsletter|subscri(?:be|ption)|search|share|sharing|social|related|recommend(?:ed|ations)?|toolbar|legal|disclaimer|complementary)(?:$|[\s_-])", re.I)
 _BODY = re.compile(r"(?:^|[\s_-])(?:article|articlebody|main|story|post|entry)(?:$|[\s_-](?:body|content|text|inner)?)", re.I)
+_HAS = re.compile(r"(?:^|(?<=\s))(?:has|with|no|is|not)-\S+", re.I)
+
+#: article, body, weak, strong
+Signals = tuple[bool, bool, bool, bool]
+_NONE: Signals = (False, False, False, False)
 
 
-def _place(name: str, attributes: str, around: int) -> int:
-    """1 inside an article, -1 in what surrounds articles, 0 unclaimed."""
-    if name in _ASIDE or around < 0 or name == "header" and around <= 0:
-        return -1
+def _signals(name: str, attributes: str, around: Signals) -> Signals:
+    """The signals inside an element, from those around it."""
+    article, body, weak, strong = around
+    if name in _ARTICLE and not strong or name == "article":
+        article, body, weak, strong = True, body, False, False
+    strong = strong or name in _ASIDE or name == "header" and not article
+    weak = weak or name in _BOX
     if attributes and name not in ("html", "body"):
         names = " ".join(x.strip("\"'") for x in _NAMED.findall(attributes))
-        if _HIDDEN.search(attributes) or names and name not in _ARTICLE and _NOISE.search(names):
-            return -1
-        if names and _BODY.search(names):
-            return 1
-    return 1 if name in _ARTICLE else around
-
-
-def blocks(page: str) -> list[tuple[str, int, int, int]]:
-    """(text, words, words in links, place) of the text blocks of a page, in order."""
-    out: list[tuple[str, int, int, int]] = []
+        if names:
+            names = _HAS.sub(" ", names)
+        if _HIDDEN.search(attributes):
+            strong = True
+        elif names and name not in _ARTICLE:
+            strong, weak = strong or bool(_STRONG.search(names)), weak or bool(_WEAK.search(names))
+            body = body or bool(_BODY.search(names))
+    return article, body, weak, strong
+
+
+def blocks(page: str) -> list[tuple[str, int, int, Signals]]:
+    """(text, words, words in links, signals) of the text blocks of a page, in order."""
+    out: list[tuple[str, int, int, Signals]] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, int]] = []
-    leaf: int | None = None
+    stack: list[tuple[str, Signals]] = []
+    leaf: Signals | None = None
     link = False
     at = 0
 
@@ -69,7 +85,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
         if parts:
             words = html.unescape("".join(parts)).split()
             if words:
-                out.append((" ".join(words), len(words), min(linked, len(words)), leaf if leaf is not None else stack[-1][1] if stack else 0))
+                out.append((" ".join(words), len(words), min(linked, len(words)), leaf if leaf is not None else stack[-1][1] if stack else _NONE))
             parts.clear()
         linked = 0
 
@@ -91,9 +107,9 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
         link = False
         if name in _VOID:
             continue
-        around = stack[-1][1] if stack else 0
+        around = stack[-1][1] if stack else _NONE
         if name in _LEAF:
-            leaf = None if m[2] else _place(name, m[4], around)
+            leaf = None if m[2] else _signals(name, m[4], around)
         elif m[2]:
             leaf = None
             if any(x[0] == name for x in stack):
@@ -101,43 +117,60 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
                     pass
         elif not m[4].endswith("/"):
             leaf = None
-            stack.append((name, _place(name, m[4], around)))
+            stack.append((name, _signals(name, m[4], around)))
     if at < len(page):
         parts.append(page[at:])
     close()
     return out
 
 
-def features(rows: list[tuple[str, int, int, int]]) -> np.ndarray:
-    """place, and words and link density of the block, of the one before and of the one after."""
+#: Names of the columns of the features; the last six look at text, four of them at the neighbours'.
+FEATURES = ("article", "body", "weak", "strong", "words", "links", "words before", "links before", "words after", "links after")
+
+
+def features(rows: list[tuple[str, int, int, Signals]]) -> np.ndarray:
+    """The signals, and words and link density of the block, of the one before and of the one after."""
     n = len(rows)
-    out = np.zeros((n, 7))
+    out = np.zeros((n, len(FEATURES)))
     if n:
         words = np.array([r[1] for r in rows], float)
         link = np.array([r[2] for r in rows], float) / words
-        out[:, 0], out[:, 1], out[:, 2] = [r[3] for r in rows], words, link
-        out[1:, 3], out[1:, 4], out[:-1, 5], out[:-1, 6] = words[:-1], link[:-1], words[1:], link[1:]
+        out[:, :4], out[:, 4], out[:, 5] = [r[3] for r in rows], words, link
+        out[1:, 6], out[1:, 7], out[:-1, 8], out[:-1, 9] = words[:-1], link[:-1], words[1:], link[1:]
     return out
 
 
-#: The labelled table: place, words, link density, words before, link density before,
-#: words after, link density after; 1 for article.
+#: The labelled table: the features in order, and 1 for article.
 LABELLED = np.array([
-    (1, 9, 0, 0, 0, 80, 0, 1), (1, 120, 0, 9, 0, 60, 0, 1), (1, 60, 0.1, 120, 0, 1, 0, 1), (1, 1, 0, 60, 0, 45, 0, 1),
-    (1, 2, 0, 1, 1, 1, 1, 1), (1, 45, 0.3, 1, 0, 6, 0, 1), (1, 6, 0, 45, 0.3, 30, 0, 1), (1, 30, 0, 6, 0, 9, 1, 1),
-    (1, 1, 0, 0, 0, 0, 0, 1), (1, 5, 0.2, 20, 0, 20, 0, 1), (1, 12, 0.45, 30, 0, 30, 0, 1), (1, 300, 0, 1, 1, 12, 0, 1),
-    (1, 9, 1, 30, 0, 8, 1, 0), (1, 8, 1, 9, 1, 7, 1, 0), (1, 3, 1, 50, 0, 3, 1, 0), (1, 20, 0.9, 90, 0, 15, 0.95, 0),
-    (1, 2, 1, 70, 0, 70, 0, 0), (1, 4, 0.8, 10, 0, 4, 0.8, 0),
-    (-1, 1, 1, 1, 1, 1, 1, 0), (-1, 12, 0, 1, 1, 9, 0, 0), (-1, 60, 0, 1, 1, 9, 0, 0), (-1, 14, 0, 80, 0, 0, 0, 0),
-    (-1, 200, 0, 40, 0, 30, 0, 0), (-1, 30, 0.1, 200, 0, 10, 0, 0), (-1, 4, 0, 30, 0, 120, 0, 0), (-1, 90, 0, 90, 0, 90, 0, 0),
-    (-1, 2, 0.5, 14, 0, 3, 1, 0), (-1, 25, 1, 5, 1, 0, 0, 0),
-    (0, 60, 0, 8, 0, 70, 0, 1), (0, 70, 0.05, 60, 0, 20, 0, 1), (0, 25, 0, 70, 0, 60, 0, 1), (0, 8, 0, 3, 1, 60, 0, 1),
-    (0, 12, 0, 60, 0, 50, 0, 1), (0, 5, 0, 40, 0, 80, 0, 1), (0, 150, 0.2, 4, 1, 5, 0, 1), (0, 40, 0, 2, 1, 3, 1, 1),
-    (0, 30, 0.1, 90, 0, 6, 0, 1), (0, 18, 0, 45, 0, 22, 0, 1),
-    (0, 1, 1, 1, 1, 1, 1, 0), (0, 2, 1, 1, 1, 9, 0, 0), (0, 3, 1, 0, 0, 3, 1, 0), (0, 10, 0.8, 5, 1, 5, 1, 0),
-    (0, 4, 0, 2, 1, 3, 1, 0), (0, 6, 0, 5, 0, 4, 0, 0), (0, 9, 0, 1, 1, 2, 0, 0), (0, 3, 0, 6, 0, 0, 0, 0),
-    (0, 40, 0.7, 3, 1, 6, 1, 0), (0, 7, 0.3, 2, 1, 4, 1, 0), (0, 2, 0, 9, 0, 3, 0, 0), (0, 60, 0.9, 60, 0, 8, 0, 0),
-])
+    # inside an article element: all but runs of links
+    (1, 0, 0, 0, 9, 0, 0, 0, 80, 0, 1), (1, 0, 0, 0, 120, 0, 9, 0, 60, 0, 1), (1, 1, 0, 0, 60, 0.1, 120, 0, 1, 0, 1), (1, 0, 0, 0, 1, 0, 60, 0, 45, 0, 1),
+    (1, 0, 0, 0, 2, 0, 1, 1, 1, 1, 1), (1, 1, 0, 0, 45, 0.3, 1, 0, 6, 0, 1), (1, 0, 0, 0, 6, 0, 45, 0.3, 30, 0, 1), (1, 0, 0, 0, 30, 0, 6, 0, 9, 1, 1),
+    (1, 0, 0, 0, 1, 0, 0, 0, 0, 0, 1), (1, 0, 0, 0, 5, 0.2, 20, 0, 20, 0, 1), (1, 0, 0, 0, 12, 0.45, 30, 0, 30, 0, 1), (1, 0, 0, 0, 300, 0, 1, 1, 12, 0, 1),
+    (1, 0, 0, 0, 4, 0, 2, 1, 3, 1, 1), (1, 1, 0, 0, 3, 0, 3, 0, 2, 0, 1), (1, 0, 0, 0, 7, 0.3, 2, 1, 4, 1, 1), (1, 0, 0, 0, 25, 0.2, 3, 1, 2, 1, 1),
+    (1, 0, 0, 0, 9, 1, 30, 0, 8, 1, 0), (1, 0, 0, 0, 8, 1, 9, 1, 7, 1, 0), (1, 0, 0, 0, 3, 1, 50, 0, 3, 1, 0), (1, 1, 0, 0, 20, 0.9, 90, 0, 15, 0.95, 0),
+    (1, 0, 0, 0, 2, 1, 70, 0, 70, 0, 0), (1, 0, 0, 0, 4, 0.8, 10, 0, 4, 0.8, 0), (1, 0, 0, 0, 60, 0.9, 60, 0, 8, 0, 0),
+    # boxes and comments inside an article
+    (1, 0, 1, 0, 3, 0, 40, 0, 2, 0, 0), (1, 0, 1, 0, 2, 0, 3, 0, 50, 0, 0), (1, 0, 1, 0, 12, 0.2, 60, 0, 4, 1, 0), (1, 1, 1, 0, 8, 1, 40, 0, 9, 1, 0), (1, 0, 1, 0, 18, 0, 70, 0, 60, 0, 0),
+    (1, 0, 0, 1, 40, 0, 80, 0, 35, 0, 0), (1, 0, 0, 1, 3, 0.5, 40, 0, 20, 0, 0), (1, 1, 0, 1, 90, 0, 60, 0, 70, 0, 0),
+    # menus, footers, asides and reader comments, however long
+    (0, 0, 0, 1, 1, 1, 1, 1, 1, 1, 0), (0, 0, 0, 1, 12, 0, 1, 1, 9, 0, 0), (0, 0, 0, 1, 60, 0, 1, 1, 9, 0, 0), (0, 0, 0, 1, 14, 0, 80, 0, 0, 0, 0), (0, 1, 0, 1, 45, 0, 30, 0, 40, 0, 0),
+    (0, 0, 0, 1, 200, 0, 40, 0, 30, 0, 0), (0, 0, 0, 1, 30, 0.1, 200, 0, 10, 0, 0), (0, 0, 1, 1, 4, 0, 30, 0, 120, 0, 0), (0, 0, 0, 1, 90, 0, 90, 0, 90, 0, 0), (0, 1, 1, 1, 25, 1, 5, 1, 0, 0, 0),
+    # boxes and layout names: long prose between long prose is article, as where one form or layout is around the page
+    (0, 0, 1, 0, 60, 0, 8, 0, 70, 0, 1), (0, 0, 1, 0, 70, 0.05, 60, 0, 45, 0, 1), (0, 0, 1, 0, 45, 0, 70, 0, 60, 0.1, 1), (0, 1, 1, 0, 90, 0.1, 45, 0, 3, 1, 1), (0, 0, 1, 0, 150, 0.1, 60, 0, 5, 0, 1),
+    (0, 0, 1, 0, 2, 0, 1, 0, 3, 0, 0), (0, 0, 1, 0, 10, 0, 3, 0, 2, 0, 0), (0, 0, 1, 0, 22, 0, 5, 0, 3, 1, 0), (0, 0, 1, 0, 30, 0.1, 2, 1, 4, 0, 0), (0, 0, 1, 0, 6, 1, 5, 1, 7, 1, 0),
+    (0, 0, 1, 0, 18, 0.2, 60, 0, 3, 1, 0), (0, 1, 1, 0, 4, 0, 50, 0, 4, 0, 0), (0, 0, 1, 0, 28, 0, 30, 0, 6, 0, 0), (0, 0, 1, 0, 40, 0.8, 9, 1, 60, 0, 0),
+    # no element says anything: words and links of the block and its neighbours decide
+    (0, 0, 0, 0, 60, 0, 8, 0, 70, 0, 1), (0, 0, 0, 0, 70, 0.05, 60, 0, 20, 0, 1), (0, 0, 0, 0, 25, 0, 70, 0, 60, 0, 1), (0, 0, 0, 0, 8, 0, 3, 1, 60, 0, 1), (0, 0, 0, 0, 6, 0, 2, 1, 35, 0, 1),
+    (0, 0, 0, 0, 12, 0, 60, 0, 50, 0, 1), (0, 0, 0, 0, 5, 0, 40, 0, 80, 0, 1), (0, 0, 0, 0, 150, 0.2, 4, 1, 5, 0, 1), (0, 0, 0, 0, 40, 0, 2, 1, 3, 1, 1), (0, 0, 0, 0, 3, 0, 55, 0, 40, 0, 1),
+    (0, 0, 0, 0, 30, 0.1, 90, 0, 6, 0, 1), (0, 0, 0, 0, 18, 0, 45, 0, 22, 0, 1), (0, 0, 0, 0, 24, 0, 50, 0, 3, 0, 1), (0, 0, 0, 0, 20, 0, 60, 0, 2, 1, 1), (0, 0, 0, 0, 15, 0, 40, 0, 4, 0, 1),
+    (0, 0, 0, 0, 10, 0, 25, 0, 30, 0, 1), (0, 0, 0, 0, 35, 0.25, 6, 0, 4, 0, 1), (0, 0, 0, 0, 2, 0, 80, 0, 60, 0, 1), (0, 0, 0, 0, 9, 0, 30, 0, 18, 0, 1),
+    (0, 1, 0, 0, 9, 0, 0, 0, 60, 0, 1), (0, 1, 0, 0, 5, 0, 30, 0, 4, 0, 1), (0, 1, 0, 0, 14, 0.1, 8, 0, 6, 0, 1), (0, 1, 0, 0, 40, 0.3, 20, 0, 3, 1, 1), (0, 1, 0, 0, 3, 0, 4, 1, 25, 0, 1), (0, 1, 0, 0, 2, 0, 12, 0, 0, 0, 1),
+    (0, 1, 0, 0, 4, 1, 40, 0, 5, 1, 0), (0, 1, 0, 0, 9, 0.9, 8, 1, 7, 1, 0), (0, 1, 0, 0, 2, 1, 2, 1, 50, 0, 0),
+    (0, 0, 0, 0, 1, 1, 1, 1, 1, 1, 0), (0, 0, 0, 0, 2, 1, 1, 1, 9, 0, 0), (0, 0, 0, 0, 3, 1, 0, 0, 3, 1, 0), (0, 0, 0, 0, 10, 0.8, 5, 1, 5, 1, 0), (0, 0, 0, 0, 2, 1, 3, 1, 60, 0, 0),
+    (0, 0, 0, 0, 4, 0, 2, 1, 3, 1, 0), (0, 0, 0, 0, 6, 0, 5, 0, 4, 0, 0), (0, 0, 0, 0, 9, 0, 1, 1, 2, 0, 0), (0, 0, 0, 0, 3, 0, 6, 0, 0, 0, 0), (0, 0, 0, 0, 8, 0, 2, 1, 4, 1, 0),
+    (0, 0, 0, 0, 40, 0.7, 3, 1, 6, 1, 0), (0, 0, 0, 0, 7, 0.3, 2, 1, 4, 1, 0), (0, 0, 0, 0, 2, 0, 9, 0, 3, 0, 0), (0, 0, 0, 0, 60, 0.9, 60, 0, 8, 0, 0), (0, 0, 0, 0, 12, 0, 3, 1, 2, 1, 0),
+    (0, 0, 0, 0, 9, 0, 22, 0, 0, 0, 0), (0, 0, 0, 0, 5, 0.5, 70, 0, 3, 1, 0), (0, 0, 0, 0, 3, 1, 50, 0, 2, 1, 0), (0, 0, 0, 0, 7, 0, 1, 1, 0, 0, 0), (0, 0, 0, 0, 1, 0, 3, 0, 1, 0, 0),
+], float)
 
 
 def train(rows: np.ndarray, least: int = 1) -> tuple:
@@ -163,6 +196,18 @@ def train(rows: np.ndarray, least: int = 1) -> tuple:
     return f, cut, train(rows[low], least), train(rows[~low], least)
 
 
+def used(tree: tuple, rows: np.ndarray) -> np.ndarray:
+    """Which features the tree asks for each row, one column each."""
+    out = np.zeros((len(rows), len(FEATURES)), bool)
+    if len(tree) > 1:
+        f, cut, below, above = tree
+        low = rows[:, f] <= cut
+        out[:, f] = True
+        out[low] |= used(below, rows[low])
+        out[~low] |= used(above, rows[~low])
+    return out
+
+
 def classify(tree: tuple, rows: np.ndarray) -> np.ndarray:
     if len(tree) == 1:
         return np.full(len(rows), bool(tree[0]))
