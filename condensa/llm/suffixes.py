@@ -183,19 +183,10 @@ def repeated(docs: DataFrame) -> DataFrame:
     return runs.join(again, "minimiser")
 
 
-def removed_windows(docs: DataFrame, carry: Column | None = None) -> DataFrame:
-    """doc_id, packed (text), runs and firsts, the windows met again and those of them that are the
-    first of their kind, each as start * 256 + number, copy, and carry if given."""
-    named = twinned(docs.select(F.col("doc_id").cast("long"), "text", *([] if carry is None else [carry.alias("carry")])))
-    usable = named.where("doc_id is not null and text is not null").select("doc_id", "text", "twin")
-    same = usable.select("doc_id", "twin", F.xxhash64("text").alias("a"), F.md5(F.col("text").cast("binary")).alias("b"))
-    # of equal texts the first stays and the others go whole: their strings needn't travel
-    original = checkpoint(same.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "twin")).alias("original")).where("n > 1").drop("n"))
-    copies = same.join(original, ["a", "b"]).where("struct(doc_id, twin) <> original").select("doc_id", "twin").distinct().withColumn("copy", F.lit(True))
-    # sets, since equal rows of one document give the same runs
-    by_doc = repeated(usable).groupBy("doc_id", F.shiftright("place", _PLACE).alias("twin")).agg(F.collect_set(F.struct("place", "minimiser", "hot")).alias("runs"))
-    document = ["doc_id", "twin"]
-    rows = packed(named).join(by_doc, document, "left").join(copies, document, "left").select("doc_id", "packed", "runs", "copy", "twin", *([] if carry is None else ["carry"]))
+def strings_of(rows: DataFrame, first_only: bool) -> DataFrame:
+    """bucket, text, doc_id and start (twin and place as bits) of the strings of rows of doc_id, packed, runs,
+    copy and twin; whole copies have none. Of equal strings of a bucket, first_only leaves the first of
+    every thousand documents."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -203,6 +194,7 @@ def removed_windows(docs: DataFrame, carry: Column | None = None) -> DataFrame:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
                 earliest: dict[tuple[int, bytes], tuple[int, int]] = {}
+                every: list[tuple[int, bytes, int, int]] = []
                 lists = part.column(2)
                 at = np.concatenate(([0], np.cumsum(np.array(lists.value_lengths().fill_null(0)))))
                 flat = lists.flatten()
@@ -220,13 +212,107 @@ def removed_windows(docs: DataFrame, carry: Column | None = None) -> DataFrame:
                         for q in (place[own][hot[own]] & _START).tolist():
                             found += [(int(hashes[s]), text[s : s + LENGTH], s) for s in range(q >> 8, (q >> 8) + (q & 255))]
                     for bucket, string, s in found:
+                        if not first_only:
+                            every.append((bucket, string, doc, twin + s))
+                            continue
                         old = earliest.get((bucket, string))
                         if old is None or (doc, twin + s) < old:
                             earliest[bucket, string] = (doc, twin + s)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in earliest], pa.int64()), pa.array([x[1] for x in earliest], pa.binary()), pa.array([x[0] for x in earliest.values()], pa.int64()), pa.array([x[1] for x in earliest.values()], pa.int64())],
-                    ["bucket", "text", "doc_id", "start"],
-                )
+                every += [(*k, *v) for k, v in earliest.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in every], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.int64()))], ["bucket", "text", "doc_id", "start"])
+
+    return rows.mapInArrow(cut, "bucket bigint, text binary, doc_id bigint, start bigint")
+
+
+def groups_of(occurrences: dict[bytes, list[tuple[int, int]]], least: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(length, all occurrences as (document, place)) of the maximal repeats of some distinct strings, each
+    with the occurrences of its first byte."""
+    texts = list(occurrences)
+    for text, places in occurrences.items():
+        if len(places) > 1:
+            yield len(text), sorted(places)
+    if len(texts) < 2 and (not texts or len(texts[0]) <= least):
+        return
+    size = np.array([len(t) for t in texts])
+    begin = np.cumsum(size) - size
+    for depth, members, _ in _copies(texts, np.arange(len(texts)), np.zeros(len(texts), np.int64), least):
+        own = np.searchsorted(begin, members, "right") - 1
+        offset = members - begin[own]
+        if depth == size[own[0]] and (own == own[0]).all():
+            continue
+        yield depth, sorted((doc, start + int(o)) for k, o in zip(own.tolist(), offset) for doc, start in occurrences[texts[k]])
+
+
+def repeat_groups(docs: DataFrame) -> DataFrame:
+    """group, length, doc_id, twin and start: every occurrence (in bytes) of each maximal repeat.
+
+    A group is the occurrences of one string of LENGTH bytes or more that differ in the byte
+    before or after it, as far as the strings of its bucket reach (176 bytes at most; single
+    windows where a minimiser has more than HOT strings): longer repeats are chains of
+    overlapping groups. A group is named by a number. Equal rows are one document, texts
+    under LENGTH bytes and null doc_ids have no part; an empty table gives no rows. Windows
+    that stand in very many documents stream through their task, so that no group is
+    collected."""
+    named = twinned(docs.select(F.col("doc_id").cast("long"), "text")).where("doc_id is not null and text is not null").distinct()
+    by_doc = repeated(named).groupBy("doc_id", F.shiftright("place", _PLACE).alias("twin")).agg(F.collect_set(F.struct("place", "minimiser", "hot")).alias("runs"))
+    rows = packed(named).join(by_doc, ["doc_id", "twin"]).select("doc_id", "packed", "runs", F.lit(None).cast("boolean").alias("copy"), "twin")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int, int, int]] = []
+        held: dict[bytes, list[tuple[int, int]]] = {}
+        now: int | None = None
+        text_now: bytes | None = None
+        streaming = False
+
+        def flushed() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], ["group", "length", "doc_id", "start"])
+            out.clear()
+            return batch
+
+        def closed() -> None:
+            for k, (length, places) in enumerate(groups_of(held, LENGTH)):
+                out.extend(((now * 31 + k) % (1 << 63), length, doc, start) for doc, start in places)
+            held.clear()
+
+        for batch in batches:
+            for bucket, text, doc, start in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if bucket != now:
+                    closed()
+                    now, text_now, streaming = bucket, None, False
+                if streaming and text == text_now:
+                    out.append((now * 31 % (1 << 63), LENGTH, doc, start))
+                    continue
+                places = held.setdefault(text, [])
+                places.append((doc, start))
+                if len(text) == LENGTH and len(held) == 1 and len(places) > HOT:
+                    # one window over and over: its group is all there is, so it needn't be held
+                    out.extend((now * 31 % (1 << 63), LENGTH, *x) for x in places)
+                    held.clear()
+                    streaming, text_now = True, text
+                if len(out) > 50_000:
+                    yield flushed()
+        closed()
+        yield flushed()
+
+    strings = strings_of(rows, False).repartition("bucket").sortWithinPartitions("bucket", "text")
+    found = strings.mapInArrow(scan, "group bigint, length bigint, doc_id bigint, start bigint")
+    bits = _PLACE - 8
+    return found.select("group", "length", "doc_id", F.shiftright("start", bits).alias("twin"), F.col("start").bitwiseAND((1 << bits) - 1).alias("start"))
+
+
+def removed_windows(docs: DataFrame, carry: Column | None = None) -> DataFrame:
+    """doc_id, packed (text), runs and firsts, the windows met again and those of them that are the
+    first of their kind, each as start * 256 + number, copy, and carry if given."""
+    named = twinned(docs.select(F.col("doc_id").cast("long"), "text", *([] if carry is None else [carry.alias("carry")])))
+    usable = named.where("doc_id is not null and text is not null").select("doc_id", "text", "twin")
+    same = usable.select("doc_id", "twin", F.xxhash64("text").alias("a"), F.md5(F.col("text").cast("binary")).alias("b"))
+    # of equal texts the first stays and the others go whole: their strings needn't travel
+    original = checkpoint(same.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "twin")).alias("original")).where("n > 1").drop("n"))
+    copies = same.join(original, ["a", "b"]).where("struct(doc_id, twin) <> original").select("doc_id", "twin").distinct().withColumn("copy", F.lit(True))
+    # sets, since equal rows of one document give the same runs
+    by_doc = repeated(usable).groupBy("doc_id", F.shiftright("place", _PLACE).alias("twin")).agg(F.collect_set(F.struct("place", "minimiser", "hot")).alias("runs"))
+    document = ["doc_id", "twin"]
+    rows = packed(named).join(by_doc, document, "left").join(copies, document, "left").select("doc_id", "packed", "runs", "copy", "twin", *([] if carry is None else ["carry"]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int]] = []
@@ -271,8 +357,7 @@ def removed_windows(docs: DataFrame, carry: Column | None = None) -> DataFrame:
             out.extend(_first_windows(wait, LENGTH))
         yield flushed()
 
-    strings = rows.mapInArrow(cut, "bucket bigint, text binary, doc_id bigint, start bigint")
-    firsts = strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(scan, "doc_id bigint, place bigint")
+    firsts = strings_of(rows, True).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(scan, "doc_id bigint, place bigint")
     firsts = firsts.groupBy("doc_id", F.shiftright("place", _PLACE).alias("twin")).agg(F.collect_set(F.col("place").bitwiseAND(_START)).alias("firsts"))
     starts = F.transform("runs", lambda r: r["place"].bitwiseAND(_START))
     # the texts stay where the first join dealt them out by document
