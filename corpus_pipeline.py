@@ -6,12 +6,11 @@ of documents.
 
 from __future__ import annotations
 
-import tempfile
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from condensa.llm import bpe, chosenpath, langid, mixing, suffixes
+from condensa.llm.common import shared_folder
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,14 +46,13 @@ STAGES = [
     ("byte-level BPE encoding and decoding", encode),
 ]
 
-#: Models and block merges aren't SQL; tests hold run() against a brute-force version.
+#: Models and block merges aren't SQL; a test holds run() against the stages done in plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-")
-    folder = f"{shared}/pipeline-{spark.sparkContext.applicationId}-{spark.sql('select uuid()').first()[0]}"
+    folder = f"{shared_folder(spark)}/pipeline-{spark.sparkContext.applicationId}-{spark.sql('select uuid()').first()[0]}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
