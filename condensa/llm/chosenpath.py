@@ -4,8 +4,8 @@ Texts are sets of hashed runs of five words. A set chooses a token when the toke
 hash is below 1 / (threshold * size): similar sets choose alike, and a pair at the
 threshold expects to share one choice. Sets that share a choice are a bucket; a bucket
 over the size limit is split on further shared tokens, and its parts again, up to LEVELS
-steps deep. A part that keeps half of its bucket or more is a group of sets alike in most
-tokens, which no split takes apart: it is compared block against block, as is what is
+steps deep. A part that keeps a third of its bucket or more is a group of sets alike in
+their tokens, which no split takes apart: it is compared block against block, as is what is
 still large at the end, so that nothing is dropped. Buckets that are small are compared
 within themselves. All of it is repeated with other hashes, RUNS times: a run finds a
 pair at the threshold with probability 0.63 in a bucket of the first step and 0.4 in one
@@ -29,7 +29,7 @@ from .common import checkpoint, mix, packed, shingles, table, twinned, utf8
 from .components import components
 
 WORDS, THRESHOLD, RUNS = 5, 0.8, 12
-LEVELS = 4
+LEVELS = 3
 #: Members above which a bucket is split, about as many as a block of a larger one has, and hashes
 #: of the sketch that rules out pairs far apart.
 LIMIT, BLOCK, SKETCH = 128, 256, 32
@@ -90,7 +90,7 @@ def buckets(reps: DataFrame, limit: int) -> DataFrame:
     for level in range(LEVELS):
         n = at.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
         met = checkpoint(at.join(n, "bucket"))
-        done = F.lit(level == LEVELS - 1) | (F.col("n") <= limit) | (2 * F.col("n") >= F.col("of"))
+        done = F.lit(level == LEVELS - 1) | (F.col("n") <= limit) | (3 * F.col("n") >= F.col("of"))
         found = met.where(done).select("bucket", "id", "n")
         out = found if out is None else out.unionByName(found)
         large = met.where(~done)
