@@ -586,7 +586,7 @@ def idf_weights(documents):
     return ranking.idf_weights(documents).withColumn("idf", F.round("idf", 6))
 
 
-_PARA = r"list_filter(list_transform(regexp_split_to_array(text, '\n[ \t]*\n'), lambda x: trim(x, ' ')), lambda x: length(x) > 0)"
+_PARA = r"list_filter(list_transform(regexp_split_to_array(text, '\n[ \t]*\n'), lambda x: trim(x, e' \t\r\f\n')), lambda x: length(x) > 0)"
 
 
 @_query("documents", f"SELECT doc_id, CASE WHEN len(f) < len(p) THEN array_to_string(f, e'\\n\\n') ELSE text END AS text FROM (SELECT doc_id, text, p, list_filter(p, lambda x, i: length(x) < 100 OR list_position(k, {_SQUEEZE.format('x')}) = i) f FROM (SELECT doc_id, text, p, list_transform(p, lambda x: CASE WHEN length(x) >= 100 THEN {_SQUEEZE.format('x')} ELSE '' END) k FROM (SELECT doc_id, text, {_PARA} p FROM documents)))")
@@ -796,6 +796,90 @@ def protect_tags(documents):
     return rows.select("doc_id", F.coalesce("p.error", F.lit("")).alias("error"), F.when(F.col("p.error").isNull(), size).otherwise(0).cast("long").alias("protected"))
 
 
+# --- requests, pages, costs and jobs
+
+
+@_query("benchmark documents", f"SELECT doc_id AS request, CAST(i AS INTEGER) AS item, CASE WHEN doc_id % 5 >= 3 THEN NULL ELSE trim(text[1:40], e' \\t\\n\\r') END AS text, CASE doc_id % 3 WHEN 0 THEN 'maximum' WHEN 1 THEN 'conservative' ELSE 'balanced' END AS mode, CASE doc_id % 5 WHEN 3 THEN 'both' WHEN 4 THEN 'neither' END AS error FROM (SELECT *, unnest(range(0, CASE WHEN doc_id % 5 = 1 THEN 2 ELSE 1 END)) i FROM documents) WHERE length(trim(text[1:40], e' \\t\\n\\r')) > 0")
+def request_items(benchmark, documents):
+    rows = documents.withColumn("t", F.substring("text", 1, 40)).where("length(btrim(t, ' \t\n\r')) > 0")
+    rows = rows.selectExpr("doc_id request", "if(doc_id % 5 in (0, 2, 3), t, null) prompt", "if(doc_id % 5 in (1, 3), array(t, t), null) prompts", "element_at(array('MAX ', 'safe', 'normal'), cast(doc_id % 3 as int) + 1) mode")
+    return io.requests(rows)
+
+
+@_query("customer", "SELECT c_custkey, c_name, total FROM (SELECT c_custkey, c_name, count(*) OVER () AS total FROM customer WHERE c_acctbal > 0 ORDER BY lower(c_name), c_custkey LIMIT 20 OFFSET 40)")
+def counted_page(customer):
+    rows = customer.where("c_acctbal > 0").select("c_custkey", "c_name")
+    page = rows.orderBy(F.lower("c_name"), "c_custkey").offset(40).limit(20)
+    return page.join(F.broadcast(rows.agg(F.count("*").alias("total"))))  # one row
+
+
+@_query("part", "SELECT p_partkey, CASE WHEN lower(p_type) = lower('standard POLISHED tin') THEN 'changed' ELSE p_brand END AS p_brand FROM part")
+def nocase_update(part):
+    return part.select("p_partkey", F.when(F.lower("p_type") == F.lower(F.lit("standard POLISHED tin")), "changed").otherwise(F.col("p_brand")).alias("p_brand"))
+
+
+@_query("events", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) r FROM events WHERE ts >= TIMESTAMP '2024-01-16') WHERE r <= 3")
+def ttl_evict(events):
+    live = events.where("ts >= timestamp '2024-01-16'")
+    return R.evict(live, "user_id", 3, "ts", "event_id").select("user_id", "event_type", "event_id")
+
+
+@_query("orders", "WITH k AS (SELECT o_orderpriority AS kind, round(avg(o_totalprice), 4) a, count(*) b, round(min(o_totalprice), 4) c, round(max(o_totalprice), 4) d FROM orders GROUP BY 1) SELECT kind, a, b, c, d FROM k x WHERE NOT EXISTS (SELECT 1 FROM k y WHERE y.a >= x.a AND y.b >= x.b AND y.c <= x.c AND y.d <= x.d AND (y.a > x.a OR y.b > x.b OR y.c < x.c OR y.d < x.d))")
+def pareto_front(orders):
+    k = orders.groupBy(F.col("o_orderpriority").alias("kind")).agg(F.round(F.avg("o_totalprice"), 4).alias("a"), F.count("*").alias("b"), F.round(F.min("o_totalprice"), 4).alias("c"), F.round(F.max("o_totalprice"), 4).alias("d"))
+    return R.pareto(k, ["a", "b"], ["c", "d"])
+
+
+@_query("events", "SELECT s, count(*) AS n FROM (SELECT CASE WHEN event_type = 'click' AND value > 50 THEN 'click' WHEN event_type = 'view' AND value > 80 THEN 'view' END s FROM events) WHERE s IS NOT NULL GROUP BY 1")
+def reaped_counts(events):
+    stale = R.reaped(events, F.col("event_type"), F.col("value"), {"click": 50, "view": 80}).where("status = 'failed' and event_type <> 'failed'")
+    return stale.groupBy(F.col("event_type").alias("s")).agg(F.count("*").alias("n"))
+
+
+@_query("lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS tokens, list_sort(list(l_quantity))[CAST(floor(count(*) * 0.99) AS INTEGER) + 1] AS p99, round(sum(l_quantity) / (sum(l_tax) + 1), 4) AS per_second FROM lineitem GROUP BY 1, 2")
+def benchmark_throughput(lineitem):
+    keys = ["l_returnflag", "l_linestatus"]
+    total = lineitem.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("tokens"), F.round(F.sum("l_quantity") / (F.sum("l_tax") + 1), 4).alias("per_second"))
+    return total.join(R.grouped_percentile(lineitem, keys, "l_quantity", 0.99).withColumnRenamed("value", "p99"), keys)
+
+
+@_query("documents", "SELECT d.doc_id, f.first_id, f.n, f.chars FROM documents d JOIN (SELECT md5(text) h, min(doc_id) first_id, count(*) n, any_value(length(text)) chars FROM documents GROUP BY 1) f ON md5(d.text) = f.h")
+def batch_fan_out(documents):
+    return dedup.fanned_out(documents, lambda d: d.select("digest", F.length("text").alias("chars")))
+
+
+@_query("orders customer", "SELECT o_custkey AS batch, count(*) AS n, round(sum(o_totalprice * (o_orderkey % 10)) / sum(o_totalprice), 6) AS weighted FROM orders WHERE o_totalprice > 0 GROUP BY 1")
+def batch_summary(orders, customer):
+    return R.weighted_mean(orders.where("o_totalprice > 0").withColumn("x", F.col("o_orderkey") % 10), F.col("o_custkey").alias("batch"), "x", "o_totalprice").withColumn("weighted", F.round("weighted", 6))
+
+
+@_query("documents", f"SELECT doc_id, round(t / 1000.0 * 0.5, 9) AS cost_before, round(s / 1000.0 * 0.5, 9) AS cost_after, round(greatest(t - s, 0) / 1000.0 * 0.5, 9) AS cost_saved, CASE WHEN n > 0 THEN round(100.0 * (n - m) / n, 2) ELSE 0 END AS compression FROM (SELECT doc_id, {_NTOK.format('text')} t, {_NTOK.format('x')} s, length(text) n, length(x) m FROM (SELECT doc_id, text, substr(text, 1, length(text) // 2) x FROM documents))")
+def cost_estimate(documents):
+    x = F.expr("substring(text, 1, cast(length(text) div 2 as int))")
+    before, after, n = T.n_tokens(F.col("text")), T.n_tokens(x), F.length("text")
+    cost = lambda t: F.round(t / 1000 * 0.5, 9)
+    return documents.select("doc_id", cost(before).alias("cost_before"), cost(after).alias("cost_after"), cost(F.greatest(before - after, F.lit(0))).alias("cost_saved"), F.when(n > 0, F.round(100 * (n - F.length(x)) / n, 2)).otherwise(0.0).alias("compression"))
+
+
+@_query("events", "SELECT user_id, event_id, (SELECT count(*) FROM events b WHERE b.user_id = a.user_id AND b.ts <= a.ts AND b.ts + to_seconds(CAST(floor(b.value * 1000) AS BIGINT)) > a.ts) AS slots FROM events a")
+def concurrency_slots(events):
+    return R.in_flight(events, "user_id", "event_id", F.col("ts"), F.timestamp_add("SECOND", F.floor(F.col("value") * 1000), "ts"))
+
+
+@_query("embeddings", "SELECT a.vec_id, b.vec_id AS other, round(greatest(-1, least(1, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def adjacent_cosine(embeddings):
+    other = embeddings.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("other"), F.col("embedding").alias("e"))
+    return embeddings.join(other, "vec_id").select("vec_id", "other", F.round(T.cosine(F.col("embedding").cast("array<double>"), F.col("e").cast("array<double>")), 6).alias("cosine"))
+
+
+@_query("documents benchmark", f"""WITH i AS (SELECT token, ln((1 + n) / CAST(1 + count(*) AS DOUBLE)) + 1 w FROM (SELECT doc_id, unnest(list_distinct({_TOK})) token FROM documents), (SELECT count(*) n FROM documents WHERE len({_TOK}) > 0) GROUP BY token, n),
+ p AS (SELECT doc_id, list_distinct({_TOK}) a, list_distinct({_TOK.replace('text', 'substr(text, 1, length(text) // 2)')}) b FROM documents),
+ u AS (SELECT doc_id, token, list_contains(a, token) AND list_contains(b, token) hit FROM (SELECT doc_id, a, b, unnest(list_distinct(list_concat(a, b))) token FROM p))
+SELECT doc_id, round(coalesce(sum(CASE WHEN hit THEN coalesce(w, 1) ELSE 0 END) / sum(coalesce(w, 1)), 0), 6) AS score FROM u LEFT JOIN i USING (token) GROUP BY 1""")
+def weighted_overlap(documents, benchmark):
+    return dedup.weighted_overlap(documents.select("doc_id", T.tokens(F.col("text")).alias("a"), T.tokens(F.expr("substring(text, 1, cast(length(text) div 2 as int))")).alias("b")), ranking.idf_weights(documents)).withColumn("score", F.round("score", 6))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -45,7 +45,7 @@ def sentences(text: Column) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\n[ \t]*\n"), lambda p: F.btrim(p)), lambda p: F.length(p) > 0)
+    return F.filter(F.transform(F.split(text, r"\n[ \t]*\n"), lambda p: F.btrim(p, F.lit(" \t\r\f\n"))), lambda p: F.length(p) > 0)
 
 
 def tokens(text: Column) -> Column:
@@ -250,3 +250,10 @@ def content_class(text: Column) -> Column:
         .when(F.length(text) > 15000, "heavy_document")
         .otherwise("general_prose")
     )
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """The cosine of two arrays of doubles, within -1 and 1; -1 where one is null or has no length."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
+    size = F.sqrt(dot(a, a) * dot(b, b))
+    return F.coalesce(F.when(size > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / size))), F.lit(-1.0))

@@ -74,3 +74,44 @@ def windowed_count(rows: DataFrame, key: str, ts: str, seconds: int) -> DataFram
     """For each row, the rows of its key in the seconds up to it."""
     frame = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(1 - seconds * 1_000_000, 0)
     return rows.withColumn("n", F.count("*").over(frame))
+
+
+def pareto(rows: DataFrame, more: list[str], less: list[str]) -> DataFrame:
+    """Rows that no other beats: one that is as good in every column and better in one. rows are a small
+    aggregate, a row a kind, which is broadcast only if Spark finds it small."""
+    a, b = rows.alias("a"), rows.alias("b")
+    as_good = [F.col(f"b.{c}") >= F.col(f"a.{c}") for c in more] + [F.col(f"b.{c}") <= F.col(f"a.{c}") for c in less]
+    better = [F.col(f"b.{c}") > F.col(f"a.{c}") for c in more] + [F.col(f"b.{c}") < F.col(f"a.{c}") for c in less]
+    every, some = F.lit(True), F.lit(False)
+    for x in as_good:
+        every = every & x
+    for x in better:
+        some = some | x
+    return a.join(b, every & some, "left_anti")
+
+
+def grouped_percentile(rows: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:
+    """keys and value: the value at floor(n * p) of each group's sorted ones, from counts of each value, so
+    that a group's rows never meet in one place."""
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(*keys)
+    upto = counts.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
+    return upto.groupBy(*keys).agg(F.min(F.when(F.col("upto") > F.floor(F.col("n") * p), F.col(value))).alias("value"))
+
+
+def weighted_mean(rows: DataFrame, key: Column, value: str, weight: str) -> DataFrame:
+    """The key, n, and the mean of the values by weight; null where the weights add up to nothing."""
+    total = F.sum(weight)
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.when(total != 0, F.sum(F.col(value) * F.col(weight)) / total).alias("weighted"))
+
+
+def in_flight(rows: DataFrame, key: str, item: str, start: Column, end: Column) -> DataFrame:
+    """key, item, slots: how many of the key's rows run when a row starts, itself included, each from its
+    start up to its end.
+
+    Starts and ends are events in one order, so the count is a running sum and no two rows are joined."""
+    begins = rows.select(key, item, start.alias("at"), F.lit(1).alias("kind"))
+    ends = rows.select(key, F.lit(None).cast(dict(rows.dtypes)[item]).alias(item), end.alias("at"), F.lit(-1).alias("kind"))
+    w = Window.partitionBy(key).orderBy("at")  # by range: all events of one time count together
+    both = begins.unionByName(ends).withColumn("slots", F.sum("kind").over(w))
+    return both.where("kind = 1").select(key, item, "slots")

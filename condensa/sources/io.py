@@ -2,29 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import profiles
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def requests(docs: DataFrame) -> DataFrame:
-    """Rows with text other than white space, trimmed."""
-    return docs.withColumn("text", F.btrim("text")).where(F.length("text") > 0)
+def requests(rows: DataFrame) -> DataFrame:
+    """request, item, text, mode and error of each prompt of rows of request, prompt, prompts and mode.
+
+    A request has a prompt or a list of prompts, not both and not neither; else error says
+    so and there is no text. Prompts are trimmed; blank ones are an error. Modes are
+    normalised, other names included."""
+    one, many = F.col("prompt").isNotNull(), F.coalesce(F.size("prompts") > 0, F.lit(False))
+    error = F.when(one & many, "both").when(~one & ~many, "neither")
+    items = F.when(error.isNotNull(), F.array(F.lit(None).cast("string"))).when(one, F.array("prompt")).otherwise(F.col("prompts"))
+    out = rows.select("request", profiles.mode(F.coalesce("mode", F.lit("balanced"))).alias("mode"), error.alias("error"), F.posexplode(items).alias("item", "text"))
+    text = F.btrim("text", F.lit(" \t\n\r"))
+    return out.select("request", "item", text.alias("text"), "mode", F.coalesce("error", F.when(F.coalesce(F.length(text), F.lit(0)) == 0, "blank")).alias("error"))
 
 
 def phrase_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """phrase, symbol from a JSON map of one or more lines; blank keys and values are dropped."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("phrase", "symbol"))
-    return canonical_map(rows, "phrase", "symbol")
+    """phrase, symbol from a JSON map, or from lines of phrase=symbol or phrase<tab>symbol in files of other
+    names; comments (#), blank lines, keys and values are dropped, and of equal phrases the last stays."""
+    if path.endswith(".json"):
+        rows = spark.read.text(path, wholetext=True).select(F.map_entries(F.from_json("value", "map<string,string>")).alias("e"))
+        rows = rows.select(F.posexplode("e").alias("pos", "e")).select("pos", F.col("e.key").alias("phrase"), F.col("e.value").alias("symbol"))
+    else:
+        lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")).where("not startswith(ltrim(line), '#')")
+        rows = lines.select("pos", F.regexp_extract("line", r"^([^=\t]*)[=\t]", 1).alias("phrase"), F.regexp_extract("line", r"^[^=\t]*[=\t](.*)$", 1).alias("symbol"))
+    return canonical_map(rows, "phrase", "symbol", "pos")
 
 
-def canonical_map(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Trimmed pairs, keys in lower case, without blanks; of equal keys the last value by order."""
-    pairs = rows.select(F.lower(F.btrim(key)).alias(key), F.btrim(value).alias(value)).where((F.length(key) > 0) & (F.length(value) > 0))
-    return pairs.groupBy(key).agg(F.max(value).alias(value))
+def canonical_map(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """Trimmed pairs, keys in lower case, without blanks; of equal keys the last value by order, then by value."""
+    pairs = rows.select(F.lower(F.btrim(key)).alias(key), F.btrim(value).alias(value), F.col(order).alias("at")).where((F.length(key) > 0) & (F.length(value) > 0))
+    return pairs.groupBy(key).agg(F.max_by(value, F.struct("at", value)).alias(value))
 
 
 def benchmark_samples(spark: SparkSession, path: str) -> DataFrame:
@@ -33,6 +50,38 @@ def benchmark_samples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True).select("name", F.explode("samples").alias("s")).select("name", "s.*")
 
 
+def training_records(history: DataFrame, n: int, *order: str) -> DataFrame:
+    """The n last rows by order whose raw and rewritten prompts aren't blank."""
+    filled = lambda c: F.length(F.btrim(c, F.lit(" \t\n\r"))) > 0
+    return history.where(filled("raw_prompt") & filled("optimized_prompt")).orderBy(*[F.desc(c) for c in order]).limit(n)
+
+
+def keep_labels(original: Column, kept: Column) -> Column:
+    """1 or 0 for each token of original: whether it is, in order, among the tokens of the rewritten text.
+
+    From left to right a token is kept if the rest of the rewritten text still has it."""
+    step = lambda acc, t: F.struct(
+        F.array_append(acc["out"], (F.array_position(acc["rest"], t) > 0).cast("int")).alias("out"),
+        F.when(F.array_position(acc["rest"], t) > 0, F.slice(acc["rest"], F.array_position(acc["rest"], t).cast("int") + 1, F.greatest(F.size(acc["rest"]), F.lit(1)))).otherwise(acc["rest"]).alias("rest"),
+    )
+    return F.aggregate(original, F.struct(F.array().cast("array<int>").alias("out"), kept.alias("rest")), step, lambda acc: acc["out"])
+
+
+def settings(spark: SparkSession, prefix: str, defaults: dict[str, float | int | bool | str]) -> dict[str, float | int | bool | str]:
+    """The session's settings below the prefix, in the types of their defaults; a default where one is
+    missing or can't be read."""
+    out = dict(defaults)
+    for name, default in defaults.items():
+        raw = spark.conf.get(f"{prefix}.{name}", None)
+        if raw is None or not raw.strip():
+            continue
+        try:
+            out[name] = raw.strip().lower() in ("1", "true", "yes", "on") if isinstance(default, bool) else type(default)(raw.strip())
+        except ValueError:
+            pass
+    return out
+
+
 def training_split(rows: DataFrame, key: str, held_out: float = 0.1) -> DataFrame:
     """Adds split (train or eval) by a hash of the key."""
     return rows.withColumn("split", F.when(F.pmod(F.xxhash64(key), F.lit(10_000)) < held_out * 10_000, "eval").otherwise("train"))

@@ -29,8 +29,9 @@ def test_chunks_and_budget(spark):
     docs = spark.createDataFrame([(1, "a b c. d e f. g h i. " + "w " * 12 + ".")], "doc_id long, text string")
     chunks = ranking.packed_chunks(docs, 6).orderBy("chunk").collect()
     assert [c["n_tokens"] for c in chunks] == [6, 3, 12]
-    scored = spark.createDataFrame([(1, 0, 5, 0.9), (1, 1, 50, 0.8), (1, 2, 5, 0.1)], "doc_id long, pos int, n_tokens long, score double")
-    assert [r["pos"] for r in ranking.within_budget(scored, 0.5).collect()] == [0, 2]  # the long one is skipped
+    scored = spark.createDataFrame([(1, 0, 5, False, 0.9), (1, 1, 50, False, 0.8), (1, 2, 5, True, 0.1)], "doc_id long, pos int, n_tokens long, protected boolean, score double")
+    ratios = spark.createDataFrame([(1, 3, 60, 0.5)], "doc_id long, n_sentences long, total long, ratio double")
+    assert [r["pos"] for r in ranking.within_budget(scored, ratios).collect()] == [0, 2]  # the long one is skipped
 
 
 def test_line_dedup_keeps_short_texts(spark):
