@@ -4,8 +4,8 @@ Texts are sets of hashed runs of five words. A set chooses a token when the toke
 hash is below 1 / (threshold * size): similar sets choose alike, and a pair at the
 threshold expects to share one choice. Sets that share a choice are a bucket; a bucket
 over the size limit is split on further shared tokens, and its parts again, up to LEVELS
-steps deep. A part that keeps a third of its bucket or more is a group of sets alike in
-their tokens, which no split takes apart: it is compared block against block, as is what is
+steps deep. A bucket of sets alike, as sketches against its first member tell, is a group
+that no split takes apart: it isn't split but compared block against block, as is what is
 still large at the end, so that nothing is dropped. Buckets that are small are compared
 within themselves. All of it is repeated with other hashes, RUNS times: a run finds a
 pair at the threshold with probability 0.63 in a bucket of the first step and 0.4 in one
@@ -30,6 +30,8 @@ from .components import components
 
 WORDS, THRESHOLD, RUNS = 5, 0.8, 12
 LEVELS = 3
+#: Share of a bucket's sketches that its first member has, on average, from which it counts as a group of sets alike.
+ALIKE = 0.5
 #: Members above which a bucket is split, about as many as a block of a larger one has, and hashes
 #: of the sketch that rules out pairs far apart.
 LIMIT, BLOCK, SKETCH = 128, 256, 32
@@ -85,23 +87,34 @@ def sets(docs: DataFrame, words: int, threshold: float) -> DataFrame:
 
 def buckets(reps: DataFrame, limit: int) -> DataFrame:
     """bucket, id and n (members) of the buckets that are left to compare."""
-    at = reps.select("id", F.explode(F.col("chosen")[0]).alias("bucket"), F.lit(1 << 62).alias("of"))
+    at = reps.select("id", F.explode(F.col("chosen")[0]).alias("bucket"))
     out = None
     for level in range(LEVELS):
         n = at.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
         met = checkpoint(at.join(n, "bucket"))
-        done = F.lit(level == LEVELS - 1) | (F.col("n") <= limit) | (3 * F.col("n") >= F.col("of"))
-        found = met.where(done).select("bucket", "id", "n")
+        large = met.where(F.col("n") > limit)
+        last = level == LEVELS - 1 or large.isEmpty()
+        found = met if last else met.where(F.col("n") <= limit)
         out = found if out is None else out.unionByName(found)
-        large = met.where(~done)
-        if large.isEmpty():
+        if last:
             return out
-        steps = reps.select("id", F.col("chosen")[min(level + 1, LEVELS - 1)].alias("step"))
-        # a part keeps its run's number in the low four bits, and its bucket's size
-        at = large.join(steps, "id").select("id", F.explode(F.expr("transform(filter(step, x -> x & 15 = bucket & 15), x -> xxhash64(bucket, x) & -16 | bucket & 15)")).alias("bucket"), F.col("n").alias("of"))
+        marked = checkpoint(large.join(alike(large, reps), "bucket", "left"))
+        out = out.unionByName(marked.where("alike").drop("alike"))
+        steps = reps.select("id", F.col("chosen")[level + 1].alias("step"))
+        # a part keeps its run's number in the low four bits
+        at = marked.where("not alike").select("id", "bucket").join(steps, "id").select("id", F.explode(F.expr("transform(filter(step, x -> x & 15 = bucket & 15), x -> xxhash64(bucket, x) & -16 | bucket & 15)")).alias("bucket"))
     return out
 
 
+def alike(large: DataFrame, reps: DataFrame) -> DataFrame:
+    """bucket, alike: whether the members of a bucket have, on average, ALIKE of the smallest hashes of its
+    first member; sums that are added up before they meet, so that a hot bucket is no hot task."""
+    rows = large.select("bucket", "id").join(reps.select("id", F.slice("sketch", 1, 16).alias("s")), "id")
+    first = rows.groupBy("bucket").agg(F.min_by("s", "id").alias("leader"))
+    share = F.size(F.array_intersect("s", "leader")) / F.greatest(F.size("s"), F.size("leader"), F.lit(1))
+    return rows.join(first, "bucket").groupBy("bucket").agg((F.avg(share) >= ALIKE).alias("alike"))
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Rows of each task, from batches sorted by the first columns."""
     rest: pa.Table | None = None
