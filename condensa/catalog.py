@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import discourse, profiles
 from .functions import text as T
-from .operators import chats, dedup, notation, phrases, ranking, relational as R, structure
+from .operators import aliases, chats, dedup, notation, phrases, ranking, relational as R, structure
 from .plans import rewrite as plan
 from .sources import io
 
@@ -880,6 +880,60 @@ def weighted_overlap(documents, benchmark):
     return dedup.weighted_overlap(documents.select("doc_id", T.tokens(F.col("text")).alias("a"), T.tokens(F.expr("substring(text, 1, cast(length(text) div 2 as int))")).alias("b")), ranking.idf_weights(documents)).withColumn("score", F.round("score", 6))
 
 
+# --- aliases, signatures and chunks
+
+_URLS = "concat(text, ' see https://example.org/path/', doc_id % 7, '/index and https://example.org/path/', doc_id % 7, '/index or https://example.org/other/', doc_id)"
+
+
+@_query("documents", "SELECT doc_id, 'R1=https://example.org/path/' || (doc_id % 7) || '/index' AS legend, text || ' see R1 and R1 or https://example.org/other/' || doc_id AS text, text || ' see https://example.org/path/' || (doc_id % 7) || '/index and https://example.org/path/' || (doc_id % 7) || '/index or https://example.org/other/' || doc_id AS restored FROM documents WHERE NOT contains(text, 'http') AND NOT regexp_matches(text, '\\b[A-Z][0-9]+\\b')")
+def aliased_references(documents):
+    rows = documents.where("not contains(text, 'http')").where(~F.col("text").rlike(r"\b[A-Z][0-9]+\b"))
+    rows = rows.select("doc_id", aliases.aliased(F.expr(_URLS), "reference").alias("a")).select("doc_id", "a.*")
+    return rows.select("doc_id", F.array_join("legend", "; ").alias("legend"), "text", aliases.restored(F.col("text"), F.col("legend")).alias("restored"))
+
+
+@_query("documents", f"SELECT doc_id, CASE WHEN len(f) < len(p) THEN array_to_string(f, ' ') ELSE text END AS text FROM (SELECT doc_id, text, p, list_filter(p, lambda x, i: length(k[i]) = 0 OR list_position(k, k[i]) = i) f FROM (SELECT doc_id, text, p, list_transform(p, lambda x: CASE WHEN len(regexp_extract_all(x, '[A-Za-z0-9_]+')) >= 6 AND regexp_matches(x, '[.!?]$') THEN {_SIG.format('x')} ELSE '' END) k FROM (SELECT doc_id, text, {_SENT} p FROM documents)))")
+def normalised_sentence_dedup(documents):
+    return dedup.normalised_sentences(documents).select("doc_id", "text")
+
+
+@_query("documents")
+def only_deduplicated(documents):
+    after = dedup.sentences(documents).select("doc_id", F.col("text").alias("after"))
+    return documents.join(after, "doc_id").select("doc_id", dedup.only_deduplicated(F.col("text"), F.col("after")).alias("only"))
+
+
+@_query("conversations")
+def chat_chunks(conversations):
+    return ranking.chat_chunks(conversations, 60)
+
+
+@_query("benchmark")
+def gzip_rank(benchmark):
+    return ranking.ranked("gzip", benchmark.select("item_id", "text"), "the and from with that")
+
+
+@_query("documents", f"""WITH c AS (SELECT doc_id, 'articles' AS name, text o, regexp_replace(text, '(^|[ \t\n])(?:(?:[Tt]he|[Aa]n?)[ \t]+)+', '\\1', 'g') t FROM documents UNION ALL SELECT doc_id, 'none', text, text FROM documents),
+ s AS (SELECT *, {_NTOK.format('t')} n, list_distinct(regexp_extract_all(lower(o), '[a-z0-9_]+')) ta, list_distinct(regexp_extract_all(lower(t), '[a-z0-9_]+')) tb FROM c),
+ r AS (SELECT *, round(CASE WHEN len(ta) = 0 OR len(tb) = 0 THEN 0 ELSE 0.7::DOUBLE * len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) + 0.15::DOUBLE * least(length(t) / CAST(length(o) AS DOUBLE), 1) + 0.15::DOUBLE * least(greatest(len(regexp_extract_all(t, '[.!?]')), 1) / CAST(greatest(len(regexp_extract_all(o, '[.!?]')), 1) AS DOUBLE), 1) END + 1e-9, 3) similarity FROM s)
+SELECT doc_id, name, similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n, similarity DESC, name) k FROM r WHERE similarity >= 0.9 AND len(regexp_extract_all(o, '{_CON}')) = len(regexp_extract_all(t, '{_CON}'))) WHERE k = 1""")
+def guarded_candidates(documents):
+    none = documents.select("doc_id", F.lit("none").alias("name"), F.col("text").alias("original"), "text")
+    short = documents.select("doc_id", F.lit("articles").alias("name"), F.col("text").alias("original"), T.without_articles(F.col("text")).alias("text"))
+    return ranking.fewest_tokens(none.unionByName(short), "doc_id", 0.9).drop("text")
+
+
+@_query("documents", f"SELECT doc_id, CASE WHEN t > 0 AND t > 200 AND greatest(200, CAST(floor(t * 0.7::DOUBLE) AS BIGINT)) < t THEN greatest(200, CAST(floor(t * 0.7::DOUBLE) AS BIGINT), 1) ELSE -1 END AS budget FROM (SELECT doc_id, {_NTOK.format('text')} t FROM documents)")
+def auto_budget(documents):
+    return documents.select("doc_id", F.coalesce(ranking.auto_budget(T.n_tokens(F.col("text")), F.lit(200)).cast("long"), F.lit(-1)).alias("budget"))
+
+
+@_query("conversations")
+def section_ranking(conversations):
+    text = conversations.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+    return ranking.section_ranking(text, "the and from", 20)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

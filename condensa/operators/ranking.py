@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import gzip
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import text as T
+from . import structure
 
 
 def _postings(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -233,3 +238,85 @@ def idf_weights(docs: DataFrame) -> DataFrame:
     tf, stats = _postings(docs, "doc_id")
     df = tf.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(stats))  # stats is one row
     return df.select("token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+
+
+def chat_chunks(turns: DataFrame, size: int = 200) -> DataFrame:
+    """conv_id, chunk, text and n_tokens: lines of turns packed in order into chunks of at most `size` tokens, a
+    longer line alone."""
+    line = F.concat("role", F.lit(": "), F.regexp_replace(F.btrim(F.coalesce("text", F.lit(""))), "[\\n\\r]+", " "))
+    lines = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))).alias("s"))
+    rows = lines.select(F.col("conv_id").alias("doc_id"), F.transform("s", lambda x: F.struct(x["l"].alias("s"), T.n_tokens(x["l"]).alias("n"))).alias("parts"))
+    packed = F.expr(f"""aggregate(parts, struct(cast(array() as array<struct<text:string,n:bigint>>) as done, '' as text, 0L as n),
+        (acc, x) -> if(acc.n > 0 and acc.n + x.n > {size},
+            struct(array_append(acc.done, struct(acc.text, acc.n)) as done, x.s as text, x.n as n),
+            struct(acc.done as done, if(acc.n = 0, x.s, acc.text || '\\n' || x.s) as text, acc.n + x.n as n)),
+        acc -> if(acc.n > 0, array_append(acc.done, struct(acc.text, acc.n)), acc.done))""")
+    return rows.select(F.col("doc_id").alias("conv_id"), F.posexplode(packed).alias("chunk", "c")).select("conv_id", "chunk", "c.text", F.col("c.n").alias("n_tokens"))
+
+
+def gzip_scores(rows: DataFrame, query: str) -> DataFrame:
+    """Adds score: 1 less the compression distance of text and query, 0 at the least; 0 for null and empty texts.
+
+    Each text is compressed by itself, in Arrow batches; there is no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = lambda data: len(gzip.compress(data, mtime=0))
+        asked = query.encode()
+        own = size(asked)
+        for batch in batches:
+            out = []
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                if not text:
+                    out.append(0.0)
+                    continue
+                n = size(text)
+                out.append(max(0.0, 1 - (size(text + asked) - min(own, n)) / max(own, n)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "score"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
+
+
+#: The ways of ranking sections, by name; each gives rows with a score.
+MODES = {"bm25": bm25, "tfidf": tfidf, "lexrank": lexrank, "luhn": luhn, "gzip": gzip_scores}
+
+
+def ranked(mode: str, *args, **options) -> DataFrame:
+    """What the named way of ranking gives; an unknown name is an error."""
+    if mode not in MODES:
+        raise ValueError(f"unknown ranking {mode!r}; known are {', '.join(sorted(MODES))}")
+    return MODES[mode](*args, **options)
+
+
+def chunked(docs: DataFrame, strategy: str, size: int = 200, overlap: float = 0.1) -> DataFrame:
+    """doc_id, chunk, text by a strategy: off (whole texts), fixed (windows of words) or structured (sentences)."""
+    if strategy == "fixed":
+        return fixed_chunks(docs, size, overlap)
+    if strategy == "structured":
+        return packed_chunks(docs, size).select("doc_id", "chunk", "text")
+    if strategy == "off":
+        return docs.select("doc_id", F.lit(0).alias("chunk"), "text")
+    raise ValueError(f"unknown strategy {strategy!r}")
+
+
+def fewest_tokens(candidates: DataFrame, key: str, threshold: float) -> DataFrame:
+    """The candidate of each key with the fewest tokens, of those at least so similar to the original that keep
+    its constraints; ties go to the more similar, then the first name. Keys without one have no row.
+
+    Rows are of key, name, text, original."""
+    keeps = F.regexp_count("original", F.lit(T.CONSTRAINT)) == F.regexp_count("text", F.lit(T.CONSTRAINT))
+    rows = candidates.withColumn("similarity", T.similarity(F.col("original"), F.col("text"))).where((F.col("similarity") >= threshold) & keeps)
+    best = F.min_by(F.struct("name", "text", "similarity"), F.struct(T.n_tokens(F.col("text")), -F.col("similarity"), "name"))
+    return rows.groupBy(key).agg(best.alias("b")).select(key, "b.name", "b.text", "b.similarity")
+
+
+def section_ranking(docs: DataFrame, query: str, candidate: int = 200, share: float = 0.7) -> DataFrame:
+    """doc_id, pos of the paragraphs kept: headed ones first, then by how many of the query's tokens they have,
+    while they fit a share of the text's tokens; one that doesn't fit is skipped and the rest still tried.
+
+    Texts that the budget holds keep all."""
+    asked = F.array(*[F.lit(x) for x in sorted(set(re.findall(T.TOKEN, query.lower())))]).cast("array<string>")
+    facts = F.transform(T.paragraphs(F.col("text")), lambda p, i: F.struct(
+        F.when(p.rlike(structure.HEADER), 0).otherwise(1).alias("open"), (-F.size(F.array_intersect(F.array_distinct(T.tokens(p)), asked)) / F.greatest(F.size(asked), F.lit(1))).alias("key"), i.alias("pos"), T.n_tokens(p).alias("n")))
+    rows = docs.select("doc_id", F.array_sort(facts).alias("s"), auto_budget(T.n_tokens(F.col("text")), F.lit(candidate), share).alias("goal")).where("size(s) > 0")
+    kept = F.expr("aggregate(s, struct(cast(array() as array<int>) as pos, 0L as used), (acc, x) -> if(acc.used + x.n <= goal or size(acc.pos) = 0, struct(array_append(acc.pos, x.pos) as pos, acc.used + x.n as used), acc)).pos")
+    return rows.select("doc_id", F.explode(F.array_sort(F.when(F.col("goal").isNull(), F.col("s.pos")).otherwise(kept))).alias("pos"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from condensa import catalog
 from condensa.functions import discourse, profiles
 from condensa.functions import text as T
-from condensa.operators import chats, dedup, notation, phrases, ranking, relational, structure
+from condensa.operators import aliases, chats, dedup, notation, phrases, ranking, relational, structure
 from condensa.sources import io
 from condensa.streaming import sinks
 
@@ -273,6 +273,51 @@ def test_sources_and_settings(spark, tmp_path):
     assert row == [0, 1, 0, 1]
 
 
+def test_only_deduplicated(spark, texts):
+    sign = lambda t: [re.sub("[^a-z0-9]+", " ", s.lower()).strip(" ") for s in split(t)]
+
+    def plain(before, after):
+        x, y = sign(before), sign(after)
+        rest = iter(x)
+        return 0 < len(y) < len(x) and all(s in rest for s in y) and len(set(x)) < len(x)
+
+    after = {r["doc_id"]: r["text"] for r in catalog.queries()["exact_sentence_dedup"](spark, DATA).collect()}
+    got = {r["doc_id"]: r["only"] for r in catalog.queries()["only_deduplicated"](spark, DATA).collect()}
+    assert got == {i: plain(texts[i], after[i]) for i in got} and any(got.values())
+    for a, b in (("A b. A b. C.", "A b. C."), ("A b. A b. C.", "C. A b."), ("A. B.", "A."), ("A. A.", ""), ("", "A")):
+        assert one(spark, dedup.only_deduplicated, a, b) == plain(a, b)
+
+
+def test_aliases(spark):
+    url = "https://example.org/a/long/path"
+    for text in (f"see {url} and {url} now", f"see {url}", "", "Note: a\nNote: b\nNote: c\nNote: d", "Ada Lovelace met Ada Lovelace. Ada Lovelace left. R1"):
+        for kind in aliases.KINDS:
+            got = one(spark, lambda t: aliases.aliased(t, kind), text)
+            assert got["legend"] is None and got["text"] == text or len(got["text"]) < len(text)
+    got = one(spark, lambda t: aliases.aliased(t, "reference"), f"see {url} and {url} now")
+    assert got["text"] == "see R1 and R1 now" and got["legend"] == [f"R1={url}"]
+    assert one(spark, lambda t: aliases.restored(t, F.array(F.lit(f"R1={url}"))), "R1, R1 or R12") == f"{url}, {url} or R12"
+    assert one(spark, lambda t: aliases.with_legend(t, F.array(F.lit("R1=x")), F.lit(None).cast("array<string>")), "R1") == "R1\nLegend: R1=x"
+    assert [tuple(x) for x in spark.createDataFrame([(["b", "a", "b"],)], "x array<string>").select(aliases.counts(F.col("x")).alias("c")).first()["c"]] == [("a", 1), ("b", 2)]
+
+
+def test_paragraphs_sections_and_gzip(spark):
+    text = "one two three four five\n\none two three four five six\n\nother words here\n\none two three four five"
+    docs = spark.createDataFrame([(1, text), (2, "a\n\na"), (3, None)], "doc_id long, text string")
+    assert [r["kept"] for r in dedup.paragraphs_by_query(docs, "six").orderBy("pos").collect()] == [False, True, True, False]
+    assert [r["kept"] for r in dedup.paragraphs_by_query(docs, "zero").orderBy("pos").collect()] == [True, False, True, False]
+    long = "# Head\n\n" + "\n\n".join(f"p{k} " + "word " * 20 + ("query" if k == 3 else "") for k in range(6))
+    kept = [r["pos"] for r in ranking.section_ranking(spark.createDataFrame([(1, long)], "doc_id long, text string"), "query", 10, 0.4).collect()]
+    assert kept[0] == 0 and 4 in kept and len(kept) < 7
+    rows = {r["item_id"]: r["score"] for r in ranking.gzip_scores(spark.createDataFrame([(1, "abc " * 50), (2, None), (3, "zq")], "item_id long, text string"), "abc " * 50).collect()}
+    assert rows[2] == 0.0 and rows[1] > rows[3]
+    with pytest.raises(ValueError):
+        ranking.ranked("none")
+    with pytest.raises(ValueError):
+        ranking.chunked(docs, "none")
+    assert ranking.chunked(docs, "off").count() == 3 and ranking.chunked(docs, "fixed").count() == 2
+
+
 def test_rate_limit_by_a_plain_loop():
     rng = np.random.default_rng(3)
     for most in (0, 1, 3):
