@@ -624,7 +624,6 @@ def range_merge(events):
 
 # --- content routing, discourse and weights
 
-_FIRST = "CASE WHEN length(text) > 0 THEN text ELSE '' END"
 _LABEL = """CASE WHEN regexp_matches(lower(x), '^instructions?:') THEN 'instruction' WHEN regexp_matches(x, '{c}') THEN 'constraint' WHEN regexp_matches(x, '{e}') AND NOT regexp_matches(x, '{i}') THEN 'example'
  WHEN regexp_matches(x, '{i}') THEN 'instruction' ELSE 'background' END""".format(c=discourse.CONSTRAINT.replace("'", "''"), e=discourse.EXAMPLE, i=discourse.INSTRUCTION)
 
