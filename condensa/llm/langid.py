@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -184,26 +185,31 @@ _CHUNK = 1 << 20
 
 
 def predicted(docs: DataFrame, carry: Column, sample: int = SAMPLE) -> DataFrame:
-    """carry (a struct of columns of docs), lang_pred, score and langs of each row of docs."""
+    """carry (a struct of columns of docs), lang_pred, score and langs of each row of docs.
+
+    A text that carry has travels in it only, and texts become Python strings a chunk at a time."""
     langs, logp = learn(docs, sample)
     model = docs.sparkSession.sparkContext.broadcast((langs, logp))
+    rows = docs.select(carry.alias("carry"))
+    own = [i for i, f in enumerate(rows.schema["carry"].dataType.fields) if f.name == "text"][:1]
+    if not own:
+        rows = docs.select(carry.alias("carry"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixture = Mixture(*model.value)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            end = np.cumsum([len(x) for x in texts])
-            got: list[tuple[str, float, list[str]]] = []
-            while len(got) < len(texts):
-                a = len(got)
+            text = batch.column(0).field(own[0]) if own else batch.column(1)
+            end = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False))
+            a = 0
+            while a < batch.num_rows:
                 b = max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + _CHUNK, "right")))
-                got += mixture.infer(texts[a:b])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.list_(pa.string()))],
-                ["carry", "lang_pred", "score", "langs"],
-            )
+                got = mixture.infer([x or "" for x in text.slice(a, b - a).to_pylist()])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.list_(pa.string()))],
+                    ["carry", "lang_pred", "score", "langs"],
+                )
+                a = b
 
-    rows = docs.select(carry.alias("carry"), "text")
     schema = StructType([rows.schema["carry"], *StructType.fromDDL("lang_pred string, score double, langs array<string>").fields])
     return rows.mapInArrow(run, schema)
 
