@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import release, table
 
 _NONE = np.int64(2**62)
 #: A space beside other white space, and the place before a space that stands alone.
@@ -42,9 +43,11 @@ class Bpe:
         self.by_space = pattern.endswith(r"|\s+(?!\S)|\s+") and " ?" in pattern
         self.n = max(ranks.values()) + 1
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        pairs = sorted({(ranks[t[:k]] * self.n + ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks})
-        self.key, self.rank = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
-        self._known: dict[int, int] | None = None
+        # plain arrays, so that a worker doesn't keep the room of hundreds of thousands of objects
+        pairs = array("q", (x for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks for x in (ranks[t[:k]] * self.n + ranks[t[k:]], r)))
+        key, rank = np.frombuffer(pairs, np.int64).reshape(-1, 2).T
+        order = np.argsort(key)
+        self.key, self.rank = key[order], rank[order]
         self.token_len = np.zeros(self.n, np.int64)
         for t, r in ranks.items():
             self.token_len[r] = len(t)
@@ -135,7 +138,8 @@ class Bpe:
             level = np.minimum(level[::2], level[1::2])
             levels.append(level)
         tree = [none, *np.concatenate(levels[::-1]).tolist()]
-        token, after, before, known = own.tolist(), list(range(1, n + 1)), list(range(-1, n - 1)), self.known
+        token, after, before = own.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        key, last = self.key, len(self.key) - 1
 
         def put(place: int, value: int) -> None:
             k = place + size
@@ -150,8 +154,9 @@ class Bpe:
                 tree[k] = value
 
         def pair_at(left: int, right: int) -> int:
-            found = known.get(token[left] * self.n + token[right])
-            return none if found is None else found * size + left
+            want = token[left] * self.n + token[right]
+            k = min(int(key.searchsorted(want)), last)
+            return int(self.rank[k]) * size + left if key[k] == want else none
 
         while (best := tree[1]) < none:
             p = best % size
@@ -168,13 +173,6 @@ class Bpe:
                 put(before[p], pair_at(before[p], p))
         return np.array([t for t in token if t >= 0], np.int32)
 
-    @property
-    def known(self) -> dict[int, int]:
-        """Ranks by pair, made when the first long word comes."""
-        if self._known is None:
-            self._known = dict(zip(self.key.tolist(), self.rank.tolist()))
-        return self._known
-
     def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all words, and where each word's begin and how many they are."""
         raw = [w.encode("utf-8") for w in words]
@@ -293,6 +291,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
                 at = end
+        release()
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema)

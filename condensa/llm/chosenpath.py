@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, mix, packed, shingles, table, twinned, utf8
+from .common import checkpoint, mix, packed, release, shingles, table, twinned, utf8
 from .components import components
 
 WORDS, THRESHOLD, RUNS = 5, 0.8, 12
@@ -253,6 +253,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, threshold: float) ->
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b", "links"])
                 out = [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b", "links"])
+        release()
 
     rows = pairs.join(packed(docs.select("id", "text")), "id").select("bucket", "i", "j", "id", "partners", "packed")
     ordered = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")

@@ -80,6 +80,11 @@ def n_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+def release() -> None:
+    """Gives Arrow's unused memory back at the end of a task, as its Python worker goes on to others."""
+    pa.default_memory_pool().release_unused()
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The column's strings as UTF-8; null becomes empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

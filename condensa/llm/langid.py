@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import table
+from .common import release, table
 
 #: Documents a language is learned from, about: those with the smallest hashes.
 SAMPLE = 2000
@@ -209,6 +209,7 @@ def predicted(docs: DataFrame, carry: Column, sample: int = SAMPLE) -> DataFrame
                     ["carry", "lang_pred", "score", "langs"],
                 )
                 a = b
+        release()
 
     schema = StructType([rows.schema["carry"], *StructType.fromDDL("lang_pred string, score double, langs array<string>").fields])
     return rows.mapInArrow(run, schema)

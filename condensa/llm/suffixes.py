@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Hashes, checkpoint, packed, table, twinned, utf8
+from .common import Hashes, checkpoint, packed, release, table, twinned, utf8
 
 LENGTH, ANCHOR = 100, 24
 #: Strings of a minimiser above which its windows go by their own hash instead.
@@ -356,6 +356,7 @@ def removed_windows(docs: DataFrame, carry: Column | None = None) -> DataFrame:
         if wait:
             out.extend(_first_windows(wait, LENGTH))
         yield flushed()
+        release()
 
     firsts = strings_of(rows, True).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(scan, "doc_id bigint, place bigint")
     firsts = firsts.groupBy("doc_id", F.shiftright("place", _PLACE).alias("twin")).agg(F.collect_set(F.col("place").bitwiseAND(_START)).alias("firsts"))
