@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chosenpath, extraction, hashing, langid, maxscore, mixing, phraseindex, sharding, spans, suffixes
+from . import bpe, chosenpath, extraction, hashing, langid, maxscore, mixing, phraseindex, prefixtrie, sharding, spans, suffixes, variants
 
 _MODULES = {
     "op1_html_extraction": extraction,
@@ -19,6 +19,8 @@ _MODULES = {
     "op8_mixing": mixing,
     "op9_jaccard_join": chosenpath,
     "op10_language_id": langid,
+    "op11_spelling_variants": variants,
+    "op12_prefix_trie": prefixtrie,
     "op13_benchmark_decontamination": phraseindex,
 }
 

@@ -80,6 +80,13 @@ def n_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+def crc32_sql(x: str) -> str:
+    """DuckDB SQL for the crc32 of a string's UTF-8 bytes, four bits at a time; what 16 table values would hold is computed."""
+    bits = f"list_transform(range(0, length(hex({x}))), lambda i: instr('0123456789ABCDEF', substr(hex({x}), 2 * (i // 2) + 2 - i % 2, 1)) - 1)"
+    step = "xor(c >> 4, list_reduce([xor(c, b) & 15, 0, 0, 0, 0], lambda p, q: xor(p >> 1, (p & 1) * 3988292384)))"
+    return f"xor(list_reduce(list_prepend(4294967295, {bits}), lambda c, b: {step}), 4294967295)"
+
+
 def release() -> None:
     """Gives Arrow's unused memory back at the end of a task, as its Python worker goes on to others."""
     pa.default_memory_pool().release_unused()
