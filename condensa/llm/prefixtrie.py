@@ -4,7 +4,8 @@ All conversations start in one class. In each round a class goes on over the tur
 its members share, and is then split by the next turn; a class of one conversation
 retires, and the rest of it is a chain of nodes. Afterwards leaves and savings are folded
 back from the last round to the first. A round goes on to the next place where members differ,
-so there are as many rounds as branchings on one way from the root, not as many as turns.
+so there are as many rounds as branchings on one way from the root, not as many as turns; and a
+class that has few turns left is refined to its end in one task.
 
 Equal conversations are one with a weight. Turns travel as digests of 128 bits with their
 sizes; texts don't.
@@ -24,6 +25,8 @@ from .common import checkpoint, crc32_sql, release, table
 
 #: Ids of a range of conv_id so many bits wide are joined to one text before they are hashed.
 RANGE = 12
+#: Most turns left in a class that one task finishes; larger classes are split by turn all over the cluster.
+LOCAL = 20_000
 #: Fixed values of the rebuilding: conversations share the first turns of the one whose number is the
 #: next lower multiple of FAMILY, so many as the crc32 of their number leaves modulo HEAD.
 FAMILY, HEAD = 5, 9
@@ -99,54 +102,104 @@ def _ends(groups: DataFrame) -> DataFrame:
     return lanes.repartition("rep").sortWithinPartitions("rep", "lane").select("rep", "ids").mapInArrow(run, "rep bigint, ends string")
 
 
-def _refined(rest: DataFrame, reps: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+def _refined(rest: DataFrame, reps: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFrame] | None:
     """The chains of each round: conv_id (smallest member), top and bottom (depths), n (members), parent and parent_top
-    (its parent's chain); and rep, conv_id and d: the node at which a conversation ends.
+    (its parent's chain); the ends: rep, conv_id and d, the node at which a conversation ends; and the members of
+    classes that one task can finish. None, if there is no conversation.
 
     rest has the turns (conv_id, d, label) of reps(conv_id, n, weight), all different."""
-    root = reps.agg(F.min("conv_id").alias("class"), F.count("*").alias("k"), F.sum("weight").alias("n")).where("k > 0")
-    classes = checkpoint(root.selectExpr("class", "0L as top", "k", "n", "cast(null as bigint) as parent", "cast(null as bigint) as parent_top"))
+    root = reps.agg(F.min("conv_id").alias("class"), F.count("*").alias("k"), F.sum("weight").alias("n"), F.sum(F.col("n") + 1).alias("turns")).where("k > 0")
+    classes = checkpoint(root.selectExpr("class", "0L as top", "k", "n", "turns", "cast(null as bigint) as parent", "cast(null as bigint) as parent_top"))
     if classes.isEmpty():
-        return [], None
-    one = classes.select("class", "top", "k")
-    members, rounds, ends = checkpoint(reps.selectExpr("conv_id", "weight", "n as last").join(F.broadcast(one))), [], []  # one row
+        return None
+    known = "class", "top", "k", "n", "turns", "parent", "parent_top"
+    members, rounds, ends, small = reps.selectExpr("conv_id", "weight", "n as last").join(F.broadcast(classes)), [], [], []  # one row
+    members = checkpoint(members)
     while True:
         alone = members.where("k = 1")
         ends.append(alone.selectExpr("conv_id as rep", "class as conv_id", "last as d"))
-        chains = alone.select("class", "last").join(classes, "class").selectExpr("class as conv_id", "top", "last as bottom", "n", "parent", "parent_top")
-        mine = members.where("k > 1")
-        if mine.isEmpty():
-            rounds.append(checkpoint(chains))
-            return rounds, reduce(DataFrame.union, ends)
-        # what active classes still have; the others' turns aren't read again
-        rest = checkpoint(rest.select("conv_id", "d", "label").join(mine.drop("last"), "conv_id").where("d > top"))
+        small.append(members.where(f"k > 1 and turns <= {LOCAL}").withColumn("round", F.lit(len(rounds))))
+        chains = alone.selectExpr("class as conv_id", "top", "last as bottom", "n", "parent", "parent_top")
+        large = members.where(f"k > 1 and turns > {LOCAL}")
+        if large.isEmpty():
+            return [*rounds, chains], reduce(DataFrame.union, ends), reduce(DataFrame.union, small)
+        # what large classes still have; the others' turns aren't read again
+        rest = checkpoint(rest.select("conv_id", "d", "label").join(large, "conv_id").where("d > top"))
         agreed = rest.groupBy("class", "d").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("k").alias("k"))
         # members differ, so there is a turn that not all of them have alike
         split = checkpoint(agreed.where("m < k or low <> high").groupBy("class").agg(F.min("d").alias("next")))
-        ends.append(mine.join(split, "class").where("last = next - 1").selectExpr("conv_id as rep", "class as conv_id", "last as d"))
-        rounds.append(checkpoint(chains.union(classes.join(split, "class").selectExpr("class as conv_id", "top", "next - 1 as bottom", "n", "parent", "parent_top"))))
-        here = rest.join(split, "class").where("d = next").select("conv_id", "class", "label", "weight", "top", "next")
-        parts = checkpoint(here.groupBy("class", "label").agg(F.min("conv_id").alias("new"), F.count("*").alias("k"), F.sum("weight").alias("n"), F.max("top").alias("parent_top"), F.max("next").alias("top")))
-        moved = here.select("conv_id", "class", "label").join(parts.select("class", "label", "new", "k", "top"), ["class", "label"]).selectExpr("conv_id", "new as class", "top", "k")
-        members = checkpoint(mine.select("conv_id", "weight", "last").join(moved, "conv_id"))
-        classes = parts.selectExpr("new as class", "top", "k", "n", "class as parent", "parent_top")
-
-
-def _folded(rounds: list[DataFrame], upto: DataFrame) -> DataFrame:
-    """The chains of all rounds with children (of their last node), leaves, start and end (bytes up to before the top and up to
-    the bottom) and saved_below (of the subtrees under the last node). upto has conv_id, d and upto."""
-    below, out = None, []
-    for chains in reversed(rounds):
-        at = lambda name, d: upto.select("conv_id", F.col("d").alias(d), F.col("upto").alias(name))
-        rows = chains.withColumn("before", F.col("top") - 1).join(at("start", "before"), ["conv_id", "before"], "left").join(at("end", "bottom"), ["conv_id", "bottom"], "left")
-        # a chain from the root or the first turn on starts at 0, the root's own text is empty
-        rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("start", "end")})
-        # a chain's top hangs on another conversation's turn: equal to its own, so its own bytes count
-        rows = rows.join(below, ["conv_id", "top"], "left") if below is not None else rows.selectExpr("*", "cast(null as bigint) as children", "cast(null as bigint) as leaves", "cast(null as bigint) as saved_below")
-        rows = checkpoint(rows.withColumns({"children": F.coalesce("children", F.lit(0)), "leaves": F.coalesce("leaves", F.lit(1)), "saved_below": F.coalesce("saved_below", F.lit(0))}))
-        below = rows.where("parent is not null").groupBy(F.col("parent").alias("conv_id"), F.col("parent_top").alias("top")).agg(F.count("*").alias("children"), F.sum("leaves").alias("leaves"), F.sum(F.expr("(n - 1) * (end - start) + saved_below")).alias("saved_below"))
+        ends.append(large.join(split, "class").where("last = next - 1").selectExpr("conv_id as rep", "class as conv_id", "last as d"))
+        through = classes.where(f"k > 1 and turns > {LOCAL}").join(split, "class").selectExpr("class as conv_id", "top", "next - 1 as bottom", "n", "parent", "parent_top")
+        rounds.append(chains.union(through))
+        here = rest.join(split, "class").where("d = next").select("conv_id", "class", "label", "weight", "last", "top", "next")
+        parts = here.groupBy("class", "label").agg(F.min("conv_id").alias("new"), F.count("*").alias("k"), F.sum("weight").alias("n"), F.sum(F.col("last") - F.col("next") + 1).alias("turns"), F.max("top").alias("parent_top"), F.max("next").alias("top"))
+        parts = checkpoint(parts)
+        members = checkpoint(here.select("conv_id", "weight", "last", "class", "label").join(parts, ["class", "label"]).selectExpr("conv_id", "weight", "last", "new as class", "top", "k", "n", "turns", "class as parent", "parent_top"))
+        classes = parts.selectExpr("new as class", "top", "k", "n", "turns", "class as parent", "parent_top").select(*known)
+
+
+#: Columns of finished chains: start and end are bytes up to before the top and up to the bottom, saved_below is of the subtrees under it.
+_CHAIN = "conv_id bigint, top bigint, bottom bigint, n bigint, parent bigint, parent_top bigint, start bigint, end bigint, children bigint, leaves bigint, saved_below bigint"
+
+
+def _finished(small: DataFrame, own: DataFrame) -> DataFrame:
+    """Chains and ends of small classes, refined in one task each: kind 0 is a class's first chain, 1 a further one, 2 an end (of
+    conversation n at conv_id and bottom); and the round the class comes from; checkpointed."""
+    turns = small.select("conv_id", "weight", "last", "class", "top", "parent", "parent_top", "round").join(own.select("conv_id", "d", "label", "bytes", "upto"), "conv_id", "left").where("d is null or d >= least(top, last)")
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        _, top, parent, parent_top, level = (k.as_py() for k in key)
+        weight, last, label, bytes_upto = {}, {}, {}, {}
+        for conv, w, n, d, x, size, upto in zip(*(rows[c].to_pylist() for c in ("conv_id", "weight", "last", "d", "label", "bytes", "upto"))):
+            weight[conv], last[conv] = w, n
+            if d is not None:
+                label[conv, d], bytes_upto[conv, d] = x, (size, upto)
+        chains, ends, todo = [], [], [(sorted(weight), top, parent, parent_top)]
+        while todo:
+            members, at, above, above_top = todo.pop()
+            lead, bottom = members[0], at
+            while bottom < last[lead] and all(label.get((c, bottom + 1)) == label[lead, bottom + 1] for c in members[1:]):
+                bottom += 1
+            ends += [(c, lead, bottom) for c in members if last[c] == bottom]
+            parts: dict[bytes, list[int]] = {}
+            for c in members:
+                if last[c] > bottom:
+                    parts.setdefault(label[c, bottom + 1], []).append(c)
+            todo += [(m, bottom + 1, lead, at) for m in parts.values()]
+            size, upto = bytes_upto.get((lead, at), (0, 0))
+            chains.append([lead, at, bottom, sum(weight[c] for c in members), above, above_top, upto - size, bytes_upto.get((lead, bottom), (0, 0))[1], len(parts), 0, 0])
+        place = {(c[0], c[1]): c for c in chains}
+        for c in reversed(chains):
+            c[9] = c[9] or 1
+            if c is not chains[0]:
+                up = place[c[4], c[5]]
+                up[9] += c[9]
+                up[10] += (c[3] - 1) * (c[7] - c[6]) + c[10]
+        out = [[int(k > 0), *c] for k, c in enumerate(chains)] + [[2, node, 0, d, c, None, None, 0, 0, 0, 0, 0] for c, node, d in ends]
+        columns = [pa.array(x, pa.int64()) for x in zip(*out)]
+        return pa.Table.from_arrays([*columns, pa.array([level] * len(out), pa.int32())], names)
+
+    schema = f"kind bigint, {_CHAIN}, round int"
+    names = [x.split()[0] for x in schema.split(", ")]
+    return checkpoint(turns.groupBy("class", "top", "parent", "parent_top", "round").applyInArrow(run, schema))
+
+
+def _folded(rounds: list[DataFrame], finished: DataFrame, upto: DataFrame) -> DataFrame:
+    """The chains of all rounds and of finished classes, as _CHAIN has them. upto has conv_id, d and upto."""
+    names = [x.split()[0] for x in _CHAIN.split(", ")]
+    at = lambda name, d: upto.select("conv_id", F.col("d").alias(d), F.col("upto").alias(name))
+    below, out = None, [finished.where("kind < 2").select(*names)]
+    for level in range(len(rounds) - 1, -1, -1):
+        # what comes before the top and up to the bottom; nothing does at the root
+        rows = rounds[level].withColumn("before", F.col("top") - 1).join(at("start", "before"), ["conv_id", "before"], "left").join(at("end", "bottom"), ["conv_id", "bottom"], "left")
+        if below is not None:
+            rows = rows.join(below, ["conv_id", "top"], "left")
+        zero = {"start": 0, "end": 0, "children": 0, "leaves": 1, "saved_below": 0}
+        rows = checkpoint(rows.withColumns({c: F.coalesce(*([F.col(c)] if c in rows.columns else []), F.lit(v)).cast("long") for c, v in zero.items()}).select(*names))
         out.append(rows)
-    return reduce(DataFrame.unionByName, out)
+        every = rows.union(finished.where(f"kind = 0 and round = {level}").select(*names)).where("parent is not null")
+        below = every.groupBy(F.col("parent").alias("conv_id"), F.col("parent_top").alias("top")).agg(F.count("*").alias("children"), F.sum("leaves").alias("leaves"), F.sum(F.expr("(n - 1) * (end - start) + saved_below")).alias("saved_below"))
+    return reduce(DataFrame.union, out)
 
 
 def prefix_tree(turns: DataFrame, convs: DataFrame) -> DataFrame:
@@ -164,14 +217,17 @@ def prefix_tree(turns: DataFrame, convs: DataFrame) -> DataFrame:
     same = checkpoint(marked.groupBy("n", "x", "y").agg(F.min("conv_id").alias("rep"), F.count("*").alias("weight")))
     reps = same.selectExpr("rep as conv_id", "n", "weight")
     own = checkpoint(turns.join(reps.select("conv_id"), "conv_id", "left_semi"))
-    rounds, last = _refined(own, reps)
-    if last is None:
+    refined = _refined(own, reps)
+    if refined is None:
         return reps.selectExpr("conv_id", "n as depth", "n as parent_conv_id", "n as n_convs", "n as n_children", "n as n_leaves", "n as saved_tokens", "'' as ends_sha256")
-    chains = _folded(rounds, own.select("conv_id", "d", "upto"))
+    rounds, last, small = refined
+    finished = _finished(small, own)
+    chains = _folded(rounds, finished, own.select("conv_id", "d", "upto"))
+    last = last.union(finished.where("kind = 2").selectExpr("n as rep", "conv_id", "bottom as d"))
     groups = marked.join(same, ["n", "x", "y"]).select("rep", "conv_id", "weight")
     ends = groups.where("weight = 1").select("rep", F.sha2(F.col("conv_id").cast("string"), 256).alias("ends")).union(_ends(groups.where("weight > 1").select("rep", "conv_id")))
     root = chains.where("top = 0").selectExpr("conv_id", "0L as d", "0L as bytes", "0L as upto")
-    nodes = own.select("conv_id", "d", "bytes", "upto").union(root).join(chains.drop("before"), "conv_id").where("d between top and bottom")
+    nodes = own.select("conv_id", "d", "bytes", "upto").union(root).join(chains, "conv_id").where("d between top and bottom")
     nodes = nodes.join(last.join(ends, "rep").select("conv_id", "d", "ends"), ["conv_id", "d"], "left")
     children = F.when(F.col("d") < F.col("bottom"), 1).otherwise(F.col("children")).cast("long")
     saved = F.expr("(n - 1) * (end - upto + bytes) + saved_below").cast("long")

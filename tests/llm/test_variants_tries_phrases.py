@@ -120,8 +120,10 @@ def tree_of(spark, rows):
     return sorted(map(tuple, prefixtrie.prefix_tree(*prefixtrie.rebuilt(table)).collect()), key=str)
 
 
-def test_tree_by_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("local", [20_000, 100, 0])
+def test_tree_by_brute_force(spark, monkeypatch, local):
     monkeypatch.setattr(prefixtrie, "RANGE", 2)
+    monkeypatch.setattr(prefixtrie, "LOCAL", local)
     rng = random.Random(7)
     rows = [(None, 0, "user", "nobody"), (3, None, "user", "before all"), (3, 0, None, None), (3, 1, "a", "same"), (3, 1, "a", "same"), (3, 1, "b", "tie"), (-7, 0, "user", "é"), (-5, 0, "user", "minus five"), (1007, 0, "user", "one turn only")]
     for c in range(10, 60):
