@@ -2,18 +2,17 @@
 
 Every run of several consecutive sentences is hashed, runs are joined over the whole
 table, and a sentence goes where any run over it also stands earlier: in a document
-with a smaller id, or earlier in the same document.
-
-A sentence is text up to a full stop, exclamation or question mark, comma, semicolon,
-colon or line end (ASCII, full-width and some other scripts' marks), with the marks
-and blank lines that follow. Commas count since a passage pasted into running text
-continues a sentence: only the part up to its first mark is then not its own. Runs
-compare without those marks and without white space at sentence ends.
-
-The run at a sentence is the shortest of two sentences or more that has WORDS words, or
-BYTES bytes for scripts without spaces; as every sentence has a word, no run is longer
-than WORDS sentences. The last run of a text is the shortest that ends with it. A
-text without such a run is one run, whole, however short.
+with a smaller id, or earlier in the same document. A longer run repeats just where all runs
+of two in it repeat, so runs of two sentences stand for all; a text of one sentence is
+one run.
+
+A sentence is text up to a full stop, exclamation or question mark or line end (ASCII, full-width
+and some other scripts' marks), with the marks and blank lines that follow. A passage
+pasted into running text continues a sentence, and another goes on behind it, so there is a second
+level: sentences are cut into clauses at commas, semicolons and colons, and from each clause that
+doesn't begin a sentence, and up to each that doesn't end one, the shortest run of WORDS
+words, or BYTES bytes for scripts without spaces, is hashed too. Runs compare without the
+marks and white space at their parts' ends.
 """
 
 from __future__ import annotations
@@ -28,21 +27,21 @@ from pyspark.sql import functions as F
 
 from .common import Hashes, checkpoint, mix, packed, table, twinned, utf8
 
-RUN, WORDS, BYTES = 2, 16, 120
-#: The marks that end a sentence.
-MARKS = "\n.!?,;:。！？，、；：।؟،"
+#: Least clauses, words and bytes of a run of clauses. Runs of sentences have no least size.
+RUN, WORDS, BYTES = 2, 24, 180
+#: The marks that end a sentence, and those that only end a clause.
+STOPS, COMMAS = "\n.!?。！？।؟", ",;:，、；：،"
 _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
-_ONE_BYTE = np.zeros(256, bool)
-_ONE_BYTE[[ord(c) for c in MARKS if ord(c) < 128]] = True
-_LONGER = [c.encode() for c in MARKS if ord(c) > 127]
 
 
-def _marked(data: np.ndarray) -> np.ndarray:
-    """Which bytes belong to marks."""
-    mark = _ONE_BYTE[data]
+def _marked(data: np.ndarray, marks: str) -> np.ndarray:
+    """Which bytes belong to the marks."""
+    one = np.zeros(256, bool)
+    one[[ord(c) for c in marks if ord(c) < 128]] = True
+    mark = one[data]
     if (data > 127).any():
-        for code in _LONGER:
+        for code in (c.encode() for c in marks if ord(c) > 127):
             k = len(code)
             if len(data) >= k:
                 at = np.flatnonzero(data[: len(data) - k + 1] == code[0])
@@ -53,9 +52,10 @@ def _marked(data: np.ndarray) -> np.ndarray:
     return mark
 
 
-def sentences(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start of each sentence (the first is 0), begin and end of what is compared, and its words."""
-    mark = _marked(data)
+def clauses(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start of each clause (the first is 0), begin and end of what is compared, its words, and whether its sentence ends with it."""
+    stop = _marked(data, STOPS)
+    mark = stop | _marked(data, COMMAS)
     gap = _GAP[data]
     solid = ~(mark | gap)
     edge = np.flatnonzero(np.diff(np.concatenate(([True], mark, [True])).astype(np.int8)))
@@ -66,51 +66,59 @@ def sentences(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     place = np.flatnonzero(solid)
     first, last = place[count[begin]], place[count[end] - 1] + 1
     starts = np.concatenate(([True], gap[:-1] | mark[:-1])) & solid if len(data) else solid
-    words = np.concatenate(([0], np.cumsum(starts)))
+    words, stops = np.concatenate(([0], np.cumsum(starts))), np.concatenate(([0], np.cumsum(stop)))
+    closes = np.ones(len(begin), bool)
+    closes[:-1] = stops[begin[1:]] > stops[end[:-1]]
     start = begin.copy()
     if len(start):
         start[0] = 0
-    return start, first, last, words[end] - words[begin]
+    return start, first, last, words[end] - words[begin], closes
 
 
-def run_ends(words: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First sentence of each run, and the one after its last, for sentences of so many words and bytes."""
+def clause_runs(words: np.ndarray, size: np.ndarray, closes: np.ndarray) -> np.ndarray:
+    """First clause and the one after the last of each run of clauses, for clauses of so many words and bytes."""
     n = len(words)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     w, b = (np.concatenate(([0], np.cumsum(x))) for x in (words, size))
-    reach = lambda total, least: np.searchsorted(total, total[:-1] + least)
-    end = np.maximum(np.minimum(reach(w, WORDS), reach(b, BYTES)), np.arange(n) + RUN)
-    first = np.flatnonzero(end <= n)
-    end = end[first]
-    if not len(first):
-        return np.zeros(1, np.int64), np.full(1, n)
-    # the shortest run that ends the text, if it isn't there
-    last = min(n - RUN, max(int(np.searchsorted(w, w[n] - WORDS, "right")), int(np.searchsorted(b, b[n] - BYTES, "right"))) - 1)
-    if not ((first == last) & (end == n)).any():
-        first, end = np.append(first, last), np.append(end, n)
-    return first, end
+    torn = np.flatnonzero(~closes) + 1  # where a clause ends, but no sentence
+    end = np.maximum(np.minimum(np.searchsorted(w, w[torn] + WORDS), np.searchsorted(b, b[torn] + BYTES)), torn + RUN)
+    first = np.minimum(np.maximum(np.searchsorted(w, w[torn] - WORDS, "right"), np.searchsorted(b, b[torn] - BYTES, "right")) - 1, torn - RUN)
+    ahead, back = np.stack((torn, end), 1)[end <= n], np.stack((first, torn), 1)[first >= 0]
+    return np.unique(np.concatenate((ahead, back)), axis=0)
 
 
-def runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes of each run, and its first sentence and number of sentences as first * 32 + number;
-    a longer run, a whole text, has the number 0."""
-    _, first, last, words = sentences(data)
-    start, end = run_ends(words, last - first)
-    if not len(start):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    one, size = Hashes(data).of(first, last), end - start
-    a, b = size.astype(np.uint64), np.zeros(len(start), np.uint64)
-    for k in range(int(size.max())):
+def _joined(parts: np.ndarray, first: np.ndarray, size: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of runs of parts, from the parts' hashes."""
+    a, b = size.astype(np.uint64) + np.uint64(salt), np.zeros(len(first), np.uint64)
+    for k in range(int(size.max(initial=0))):
         more = np.flatnonzero(size > k)
-        part = one[start[more] + k]
+        part = parts[first[more] + k]
         a[more] = mix(a[more] + part)
         b[more] = mix(b[more] * np.uint64(0x9E3779B97F4A7C15) + (part ^ np.uint64(0xD6E8FEB86659FD93)))
-    return a.view(np.int64), b.view(np.int64), start * 32 + np.where(size < 32, size, 0)
+    return a.view(np.int64), b.view(np.int64)
+
+
+def runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each run, and its first clause and number of clauses as first * 65536 + number; a run of that many
+    or more goes to the text's end and has the number 0."""
+    _, first, last, words, closes = clauses(data)
+    n = len(first)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hashes, stop = Hashes(data), np.flatnonzero(closes)
+    begin = np.concatenate(([0], stop[:-1] + 1))
+    sentences, k = hashes.of(first[begin], last[stop]), min(2, len(stop))
+    at = np.arange(len(stop) - k + 1)
+    a1, b1 = _joined(sentences, at, np.full(len(at), k), 1 << 32)
+    span1 = np.stack((begin[at], stop[at + k - 1] + 1), 1)
+    span2 = clause_runs(words, last - first, closes)
+    a2, b2 = _joined(hashes.of(first, last), span2[:, 0], span2[:, 1] - span2[:, 0], 0)
+    span = np.concatenate((span1, span2))
+    size = span[:, 1] - span[:, 0]
+    return np.concatenate((a1, a2)), np.concatenate((b1, b2)), (span[:, 0] << 16) + np.where(size < 1 << 16, size, 0)
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
-    """doc_id, twin and span (first sentence and number) of each run that stands earlier too, for
+    """doc_id, twin and span (first clause and number) of each run that stands earlier too, for
     rows of doc_id, text and twin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,18 +127,18 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
             if found:
                 n = [len(f[0]) for f in found]
                 a, b, span = (np.concatenate([f[k] for f in found]) for k in range(3))
-                place = np.repeat(batch.column(2).to_numpy(), n) << 40 | span
+                place = np.repeat(batch.column(2).to_numpy(), n) << 44 | span
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(place)], ["a", "b", "doc_id", "place"])
 
     spans = rows.where("doc_id is not null and text is not null").select("doc_id", "text", "twin").mapInArrow(run, "a bigint, b bigint, doc_id bigint, place bigint")
     # written, so that both sides of the join are dealt out for it, and a hot side can be split
     origin = spans.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("origin")).where("n > 1").select("a", "b", "origin")
     again = spans.join(checkpoint(origin), ["a", "b"]).where("struct(doc_id, place) <> origin")
-    return again.selectExpr("doc_id", "place >> 40 as twin", "place & 1099511627775 as span")
+    return again.selectExpr("doc_id", "place >> 44 as twin", "place & 17592186044415 as span")
 
 
 def remove_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, n_sentences, n_removed and the text left, of each row of docs.
+    """doc_id, n_sentences, n_removed (sentences of which nothing is left) and the text left, of each row of docs.
 
     Null and empty texts, and texts of marks alone, have no sentences and stay. Equal rows
     are one document and stay alike; different texts under one doc_id are documents in
@@ -150,13 +158,14 @@ def remove_spans(docs: DataFrame) -> DataFrame:
             for pack, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 text = None if pack is None else unpack(pack)
                 data = np.frombuffer(text or b"", np.uint8)
-                start = sentences(data)[0]
+                start, *_, closes = clauses(data)
                 cut = np.zeros(len(start), bool)
                 for span in spans or ():
-                    cut[span >> 5 : (span >> 5) + (span & 31) if span & 31 else None] = True
-                bounds = np.append(start, len(data)).tolist()
-                total.append(len(start))
-                gone.append(int(cut.sum()))
+                    cut[span >> 16 : (span >> 16) + (span & 65535) if span & 65535 else None] = True
+                bounds, stop = np.append(start, len(data)).tolist(), np.flatnonzero(closes) + 1
+                total.append(len(stop))
+                left_of = np.concatenate(([0], np.cumsum(~cut)))[np.concatenate(([0], stop))]
+                gone.append(int((np.diff(left_of) == 0).sum()))
                 left.append(text if text is None or not cut.any() else b"".join(text[bounds[k] : bounds[k + 1]] for k in np.flatnonzero(~cut).tolist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.binary()).cast(pa.string())], ["doc_id", "n_sentences", "n_removed", "text"])
 
@@ -168,33 +177,47 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_spans(table(spark, sf_dir, "documents"))
 
 
-_M = "".join(MARKS).replace("\n", r"\n")
+_S, _M = STOPS.replace("\n", r"\n"), (STOPS + COMMAS).replace("\n", r"\n")
 _FRAME = "PARTITION BY doc_id ORDER BY i ROWS BETWEEN {0} PRECEDING AND {1} FOLLOWING"
 _ENOUGH = f"(sum(w) OVER ({_FRAME}) >= {WORDS} OR sum(b) OVER ({_FRAME}) >= {BYTES})"
 _AHEAD = " ".join(f"WHEN i + {k - 1} <= n AND {_ENOUGH.format(0, k - 1)} THEN {k}" for k in range(RUN, WORDS + 1))
-_BACK = " ".join(f"WHEN n - {k} >= 0 AND {_ENOUGH.format(k - 1, 0)} THEN {k}" for k in range(RUN, WORDS + 1))
+_BACK = " ".join(f"WHEN i - {k} >= 0 AND {_ENOUGH.format(k - 1, 0)} THEN {k}" for k in range(RUN, WORDS + 1))
 
 SQL = rf"""
 WITH p AS (
   SELECT doc_id, text, regexp_extract_all(text, '[^{_M}]*[^{_M}\s][^{_M}]*[{_M}]*(?:\s*[{_M}]+)*') parts FROM documents
 ), c AS (
-  SELECT doc_id, text, parts, len(parts) n, list_transform(parts, lambda x: trim(regexp_extract(x, '[^{_M}]*[^{_M}\s][^{_M}]*'), e' \t\r\f\x0b')) cores FROM p
+  SELECT doc_id, text, parts, len(parts) n, list_transform(parts, lambda x: trim(regexp_extract(x, '[^{_M}]*[^{_M}\s][^{_M}]*'), e' \t\r\f\x0b')) cores,
+    list_transform(parts, lambda x: regexp_matches(x, '[{_S}]')) stops FROM p
 ), u AS (
-  SELECT doc_id, n, cores, unnest(range(1, n + 1)) i, unnest(list_transform(cores, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))) w, unnest(list_transform(cores, lambda x: strlen(x))) b FROM c
+  SELECT doc_id, n, unnest(range(1, n + 1)) i, unnest(parts) part, unnest(list_transform(cores, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))) w, unnest(list_transform(cores, lambda x: strlen(x))) b,
+    unnest(list_transform(stops, lambda x, i: x OR i = n)) stop FROM c
+), v AS (
+  SELECT *, coalesce(sum(CAST(stop AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) j FROM u
+), e AS (
+  SELECT doc_id, j, min(i) i, count(*) k, trim(regexp_replace(string_agg(part, '' ORDER BY i), '[{_M}\s]+$', ''), e' \t\r\n\f\x0b') s  FROM v GROUP BY doc_id, j
+), t AS (
+  SELECT doc_id, j, i, k, s, lead(k) OVER x k2, lead(s) OVER x s2, count(*) OVER (PARTITION BY doc_id) m FROM e WINDOW x AS (PARTITION BY doc_id ORDER BY j)
 ), r AS (
-  SELECT doc_id, n, i, cores, CASE {_AHEAD} END k, CASE WHEN i = n THEN CASE {_BACK} END END z FROM u
+  SELECT doc_id, n, i, CASE WHEN i > 1 AND NOT lag(stop) OVER (PARTITION BY doc_id ORDER BY i) THEN CASE {_AHEAD} END END k, CASE WHEN NOT stop THEN CASE {_BACK} END END z FROM v
 ), a AS (
-  SELECT doc_id, i, k, cores FROM r WHERE k IS NOT NULL
+  SELECT doc_id, i, k + k2 k, 'p' || s || e'\x01' || s2 g FROM t WHERE s2 IS NOT NULL
+  UNION
+  SELECT doc_id, i, k, 'w' || s FROM t WHERE m = 1
   UNION
-  SELECT doc_id, i - z + 1, z, cores FROM r WHERE z IS NOT NULL
+  SELECT r.doc_id, i, k, 'c' || array_to_string(cores[i : i + k - 1], e'\x01') FROM r JOIN c ON c.doc_id = r.doc_id WHERE k IS NOT NULL
   UNION
-  SELECT doc_id, 1, n, cores FROM r WHERE i = n AND z IS NULL
+  SELECT r.doc_id, i - z + 1, z, 'c' || array_to_string(cores[i - z + 1 : i], e'\x01') FROM r JOIN c ON c.doc_id = r.doc_id WHERE z IS NOT NULL
 ), s AS (
-  SELECT doc_id, i, k, row_number() OVER (PARTITION BY array_to_string(cores[i : i + k - 1], e'\x01') ORDER BY doc_id, i, k) place FROM a
+  SELECT doc_id, i, k, row_number() OVER (PARTITION BY g ORDER BY doc_id, i, k) place FROM a
 ), g AS (
   SELECT doc_id, list_distinct(flatten(list(range(i, i + k)))) gone FROM s WHERE place > 1 GROUP BY doc_id
+), q AS (
+  SELECT v.doc_id, j, bool_and(coalesce(list_contains(gone, i), false)) lost FROM v LEFT JOIN g ON g.doc_id = v.doc_id GROUP BY v.doc_id, j
+), y AS (
+  SELECT doc_id, count(*) n_sentences, CAST(sum(CAST(lost AS INT)) AS BIGINT) n_removed FROM q GROUP BY 1
 )
-SELECT c.doc_id, CAST(n AS BIGINT) n_sentences, CAST(coalesce(len(gone), 0) AS BIGINT) n_removed,
+SELECT c.doc_id, coalesce(y.n_sentences, 0) n_sentences, coalesce(y.n_removed, 0) n_removed,
   CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_filter(parts, lambda x, i: NOT list_contains(gone, i)), ''), '') END AS text
-FROM c LEFT JOIN g ON c.doc_id = g.doc_id
+FROM c LEFT JOIN g ON c.doc_id = g.doc_id LEFT JOIN y ON y.doc_id = c.doc_id
 """
