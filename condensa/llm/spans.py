@@ -8,11 +8,11 @@ one run.
 
 A sentence is text up to a full stop, exclamation or question mark or line end (ASCII, full-width
 and some other scripts' marks), with the marks and blank lines that follow. A passage
-pasted into running text continues a sentence, and another goes on behind it, so there is a second
-level: sentences are cut into clauses at commas, semicolons and colons, and from each clause that
-doesn't begin a sentence, and up to each that doesn't end one, the shortest run of WORDS
-words, or BYTES bytes for scripts without spaces, is hashed too. Runs compare without the
-marks and white space at their parts' ends.
+pasted into running text continues a sentence, and another goes on behind it, so sentences are cut
+into clauses at commas, semicolons and colons: the rest of a sentence from any of its clauses on counts as
+a sentence before the next one, and its beginning up to any clause as one behind the one before. Where
+a sentence is long, the shortest runs of its clauses that have WORDS words, or BYTES bytes for scripts
+without spaces, are hashed too. Runs compare without the marks and white space at their parts' ends.
 """
 
 from __future__ import annotations
@@ -27,94 +27,126 @@ from pyspark.sql import functions as F
 
 from .common import Hashes, checkpoint, mix, packed, table, twinned, utf8
 
-#: Least clauses, words and bytes of a run of clauses. Runs of sentences have no least size.
-RUN, WORDS, BYTES = 2, 24, 180
+#: Least clauses, words and bytes of a run of clauses inside a sentence, and how many times as long the sentence is at least.
+#: Runs of sentences have no least size.
+RUN, WORDS, BYTES, LONG = 2, 16, 120, 2
 #: The marks that end a sentence, and those that only end a clause.
 STOPS, COMMAS = "\n.!?。！？।؟", ",;:，、；：،"
 _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _marked(data: np.ndarray, marks: str) -> np.ndarray:
-    """Which bytes belong to the marks."""
-    one = np.zeros(256, bool)
-    one[[ord(c) for c in marks if ord(c) < 128]] = True
-    mark = one[data]
-    if (data > 127).any():
-        for code in (c.encode() for c in marks if ord(c) > 127):
-            k = len(code)
-            if len(data) >= k:
-                at = np.flatnonzero(data[: len(data) - k + 1] == code[0])
-                for i in range(1, k):
-                    at = at[data[at + i] == code[i]]
-                for i in range(k):
-                    mark[at + i] = True
+#: Bytes of texts that are cut and hashed together.
+TOGETHER = 1 << 20
+_ONE = {}
+for _name, _marks in (("stop", STOPS), ("mark", STOPS + COMMAS)):
+    _ONE[_name] = np.zeros(256, bool)
+    _ONE[_name][[ord(c) for c in _marks if ord(c) < 128]] = True
+
+
+def _marked(data: np.ndarray, name: str, marks: str, high: np.ndarray) -> np.ndarray:
+    """Which bytes belong to the marks. high: where bytes begin a longer code."""
+    mark = _ONE[name][data]
+    for code in (c.encode() for c in marks if ord(c) > 127) if len(high) else ():
+        at = high[data[high] == code[0]]
+        at = at[at + len(code) <= len(data)]
+        for i in range(1, len(code)):
+            at = at[data[at + i] == code[i]]
+        for i in range(len(code)):
+            mark[at + i] = True
     return mark
 
 
-def clauses(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start of each clause (the first is 0), begin and end of what is compared, its words, and whether its sentence ends with it."""
-    stop = _marked(data, STOPS)
-    mark = stop | _marked(data, COMMAS)
-    gap = _GAP[data]
-    solid = ~(mark | gap)
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], mark, [True])).astype(np.int8)))
-    begin, end = edge[0::2], edge[1::2]
-    count = np.concatenate(([0], np.cumsum(solid)))
-    real = count[end] > count[begin]
-    begin, end = begin[real], end[real]
-    place = np.flatnonzero(solid)
-    first, last = place[count[begin]], place[count[end] - 1] + 1
-    starts = np.concatenate(([True], gap[:-1] | mark[:-1])) & solid if len(data) else solid
-    words, stops = np.concatenate(([0], np.cumsum(starts))), np.concatenate(([0], np.cumsum(stop)))
-    closes = np.ones(len(begin), bool)
-    closes[:-1] = stops[begin[1:]] > stops[end[:-1]]
-    start = begin.copy()
-    if len(start):
-        start[0] = 0
-    return start, first, last, words[end] - words[begin], closes
-
-
-def clause_runs(words: np.ndarray, size: np.ndarray, closes: np.ndarray) -> np.ndarray:
-    """First clause and the one after the last of each run of clauses, for clauses of so many words and bytes."""
-    n = len(words)
-    w, b = (np.concatenate(([0], np.cumsum(x))) for x in (words, size))
-    torn = np.flatnonzero(~closes) + 1  # where a clause ends, but no sentence
-    end = np.maximum(np.minimum(np.searchsorted(w, w[torn] + WORDS), np.searchsorted(b, b[torn] + BYTES)), torn + RUN)
-    first = np.minimum(np.maximum(np.searchsorted(w, w[torn] - WORDS, "right"), np.searchsorted(b, b[torn] - BYTES, "right")) - 1, torn - RUN)
-    ahead, back = np.stack((torn, end), 1)[end <= n], np.stack((first, torn), 1)[first >= 0]
-    return np.unique(np.concatenate((ahead, back)), axis=0)
-
-
-def _joined(parts: np.ndarray, first: np.ndarray, size: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of runs of parts, from the parts' hashes."""
-    a, b = size.astype(np.uint64) + np.uint64(salt), np.zeros(len(first), np.uint64)
-    for k in range(int(size.max(initial=0))):
-        more = np.flatnonzero(size > k)
-        part = parts[first[more] + k]
-        a[more] = mix(a[more] + part)
-        b[more] = mix(b[more] * np.uint64(0x9E3779B97F4A7C15) + (part ^ np.uint64(0xD6E8FEB86659FD93)))
-    return a.view(np.int64), b.view(np.int64)
-
-
-def runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes of each run, and its first clause and number of clauses as first * 65536 + number; a run of that many
-    or more goes to the text's end and has the number 0."""
-    _, first, last, words, closes = clauses(data)
-    n = len(first)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    hashes, stop = Hashes(data), np.flatnonzero(closes)
-    begin = np.concatenate(([0], stop[:-1] + 1))
-    sentences, k = hashes.of(first[begin], last[stop]), min(2, len(stop))
-    at = np.arange(len(stop) - k + 1)
-    a1, b1 = _joined(sentences, at, np.full(len(at), k), 1 << 32)
-    span1 = np.stack((begin[at], stop[at + k - 1] + 1), 1)
-    span2 = clause_runs(words, last - first, closes)
-    a2, b2 = _joined(hashes.of(first, last), span2[:, 0], span2[:, 1] - span2[:, 0], 0)
-    span = np.concatenate((span1, span2))
-    size = span[:, 1] - span[:, 0]
-    return np.concatenate((a1, a2)), np.concatenate((b1, b2)), (span[:, 0] << 16) + np.where(size < 1 << 16, size, 0)
+class Clauses:
+    """The clauses of several texts, one text after the other.
+
+    start (in its text, 0 for the first), first and last (begin and end of what is compared), words, closes (whether the
+    sentence ends with it) and text (its number); own is where each text's clauses begin, and their number at the end."""
+
+    def __init__(self, texts: list[bytes]):
+        # a line end behind each text ends its last sentence
+        self.data = data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        size = np.array([len(t) + 1 for t in texts], np.int64)
+        offset = np.concatenate(([0], np.cumsum(size)))
+        high = np.flatnonzero(data > 0xC1)
+        stop, mark = _marked(data, "stop", STOPS, high), _marked(data, "mark", STOPS + COMMAS, high)
+        gap = _GAP[data]
+        solid = ~(mark | gap)
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], mark, [True])).astype(np.int8)))
+        begin, end = edge[0::2], edge[1::2]
+        place = np.flatnonzero(solid)
+        low, high = np.searchsorted(place, begin), np.searchsorted(place, end)
+        real = high > low
+        begin, end, low, high = begin[real], end[real], low[real], high[real]
+        self.first, self.last = place[low], place[high - 1] + 1
+        heads = np.flatnonzero(solid & np.concatenate(([True], ~solid[:-1])))
+        self.words = np.searchsorted(heads, end) - np.searchsorted(heads, begin)
+        at = np.flatnonzero(stop)
+        self.closes = np.ones(len(begin), bool)
+        self.closes[:-1] = np.searchsorted(at, begin[1:]) > np.searchsorted(at, end[:-1])
+        self.text = np.searchsorted(offset, self.first, "right") - 1
+        self.own = np.searchsorted(self.text, np.arange(len(texts) + 1))
+        self.start = begin - offset[self.text]
+        self.start[self.own[:-1][self.own[:-1] < self.own[1:]]] = 0
+
+
+def inside_runs(c: Clauses, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First clause and the one after the last of the shortest run of enough words or bytes from each clause of a long sentence on
+    that goes on so far; begin and stop are the first and last clause of each clause's sentence."""
+    w, b = (np.concatenate(([0], np.cumsum(x))) for x in (c.words, c.last - c.first))
+    at = np.flatnonzero((w[stop + 1] - w[begin] >= LONG * WORDS) | (b[stop + 1] - b[begin] >= LONG * BYTES))
+    end = np.maximum(np.minimum(np.searchsorted(w, w[at] + WORDS), np.searchsorted(b, b[at] + BYTES)), at + RUN)
+    fits = end <= stop[at] + 1
+    return at[fits], end[fits]
+
+
+def _joined(parts: list[np.ndarray], salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of 64 and 32 bits of runs of parts, from the parts' hashes."""
+    a, b = np.full(len(parts[0]), salt, np.uint64), np.zeros(len(parts[0]), np.uint64)
+    for part in parts:
+        a = (a ^ (a >> np.uint64(31))) * np.uint64(0xFF51AFD7ED558CCD) + part
+        b = (b ^ (b >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + (part ^ np.uint64(0xD6E8FEB86659FD93))
+    return mix(a).view(np.int64), mix(b).view(np.int64).astype(np.int32)
+
+
+def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each run, its text, and its first clause there and number of clauses as first * 65536 + number; a run of that
+    many or more goes to the text's end and has the number 0."""
+    c = Clauses(texts)
+    if not len(c.first):
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    of, ends = Hashes(c.data).of, np.flatnonzero(c.closes)
+    begins, text = np.concatenate(([0], ends[:-1] + 1)), c.text[ends]
+    sentence = np.repeat(np.arange(len(ends)), ends + 1 - begins)
+    begin, stop, whole = begins[sentence], ends[sentence], of(c.first[begins], c.last[ends])
+    follows, clause = np.concatenate((text[1:] == text[:-1], [False])), np.arange(len(sentence))
+    # the rest of a sentence and the next one; the one before and the beginning of a sentence; a sentence alone; clauses
+    ahead = clause[follows[sentence]]
+    back = clause[~c.closes & (begin > 0) & follows[sentence - 1]]
+    alone = np.flatnonzero(~follows & np.concatenate(([True], ~follows[:-1])))
+    inner, upto = inside_runs(c, begin, stop)
+    keys = [
+        _joined([of(c.first[ahead], c.last[stop[ahead]]), whole[sentence[ahead] + 1]], 2),
+        _joined([whole[sentence[back] - 1], of(c.first[begin[back]], c.last[back])], 2),
+        _joined([whole[alone]], 1),
+        _joined([of(c.first[inner], c.last[upto - 1])], 3),
+    ]
+    first = np.concatenate((ahead, begins[sentence[back] - 1], begins[alone], inner))
+    end = np.concatenate((ends[sentence[ahead] + 1] + 1, back + 1, ends[alone] + 1, upto))
+    text, size = c.text[first], end - first
+    return np.concatenate([k[0] for k in keys]), np.concatenate([k[1] for k in keys]), text, (first - c.own[text] << 16) + np.where(size < 1 << 16, size, 0)
+
+
+def _together(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that are cut together."""
+    first = total = 0
+    for i, size in enumerate(sizes):
+        if total and total + size > TOGETHER:
+            yield first, i
+            first, total = i, 0
+        total += size
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
@@ -123,14 +155,12 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [runs(np.frombuffer(t, np.uint8)) for t in utf8(batch.column(1))]
-            if found:
-                n = [len(f[0]) for f in found]
-                a, b, span = (np.concatenate([f[k] for f in found]) for k in range(3))
-                place = np.repeat(batch.column(2).to_numpy(), n) << 44 | span
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(place)], ["a", "b", "doc_id", "place"])
-
-    spans = rows.where("doc_id is not null and text is not null").select("doc_id", "text", "twin").mapInArrow(run, "a bigint, b bigint, doc_id bigint, place bigint")
+            texts, ids, twins = utf8(batch.column(1)), batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for first, end in _together([len(t) for t in texts]):
+                a, b, text, span = runs(texts[first:end])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(ids[first:end][text]), pa.array(twins[first:end][text] << 44 | span)], ["a", "b", "doc_id", "place"])
+
+    spans = rows.where("doc_id is not null and text is not null").select("doc_id", "text", "twin").mapInArrow(run, "a bigint, b int, doc_id bigint, place bigint")
     # written, so that both sides of the join are dealt out for it, and a hot side can be split
     origin = spans.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("origin")).where("n > 1").select("a", "b", "origin")
     again = spans.join(checkpoint(origin), ["a", "b"]).where("struct(doc_id, place) <> origin")
@@ -154,20 +184,27 @@ def remove_spans(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            total, gone, left = [], [], []
-            for pack, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                text = None if pack is None else unpack(pack)
-                data = np.frombuffer(text or b"", np.uint8)
-                start, *_, closes = clauses(data)
-                cut = np.zeros(len(start), bool)
-                for span in spans or ():
-                    cut[span >> 16 : (span >> 16) + (span & 65535) if span & 65535 else None] = True
-                bounds, stop = np.append(start, len(data)).tolist(), np.flatnonzero(closes) + 1
-                total.append(len(stop))
-                left_of = np.concatenate(([0], np.cumsum(~cut)))[np.concatenate(([0], stop))]
-                gone.append(int((np.diff(left_of) == 0).sum()))
-                left.append(text if text is None or not cut.any() else b"".join(text[bounds[k] : bounds[k + 1]] for k in np.flatnonzero(~cut).tolist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.binary()).cast(pa.string())], ["doc_id", "n_sentences", "n_removed", "text"])
+            packs, found = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for low, high in _together([zstandard.frame_content_size(p) if p else 0 for p in packs]):
+                texts = [None if p is None else unpack(p) for p in packs[low:high]]
+                c = Clauses([t or b"" for t in texts])
+                cut = np.zeros(len(c.first), bool)
+                for i, spans in enumerate(found[low:high]):
+                    for span in spans or ():
+                        cut[c.own[i] + (span >> 16) : c.own[i] + (span >> 16) + (span & 65535) if span & 65535 else c.own[i + 1]] = True
+                stop = np.flatnonzero(c.closes) + 1
+                kept = np.concatenate(([0], np.cumsum(~cut)))
+                gone = np.diff(kept[np.concatenate(([0], stop))]) == 0
+                upto = np.searchsorted(c.text[stop - 1], np.arange(len(texts) + 1))
+                n_gone = np.concatenate(([0], np.cumsum(gone)))[upto]
+                left = []
+                for i, text in enumerate(texts):
+                    mine = slice(c.own[i], c.own[i + 1])
+                    if text is not None and cut[mine].any():
+                        bounds = np.append(c.start[mine], len(text)).tolist()
+                        text = b"".join(text[bounds[k] : bounds[k + 1]] for k in np.flatnonzero(~cut[mine]).tolist())
+                    left.append(text)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], pa.array(np.diff(upto)), pa.array(np.diff(n_gone)), pa.array(left, pa.binary()).cast(pa.string())], ["doc_id", "n_sentences", "n_removed", "text"])
 
     out = packed(rows).join(removed, ["doc_id", "twin"], "left").select("doc_id", "packed", "spans")
     return out.mapInArrow(run, "doc_id bigint, n_sentences bigint, n_removed bigint, text string")
@@ -178,46 +215,44 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _S, _M = STOPS.replace("\n", r"\n"), (STOPS + COMMAS).replace("\n", r"\n")
-_FRAME = "PARTITION BY doc_id ORDER BY i ROWS BETWEEN {0} PRECEDING AND {1} FOLLOWING"
-_ENOUGH = f"(sum(w) OVER ({_FRAME}) >= {WORDS} OR sum(b) OVER ({_FRAME}) >= {BYTES})"
-_AHEAD = " ".join(f"WHEN i + {k - 1} <= n AND {_ENOUGH.format(0, k - 1)} THEN {k}" for k in range(RUN, WORDS + 1))
-_BACK = " ".join(f"WHEN i - {k} >= 0 AND {_ENOUGH.format(k - 1, 0)} THEN {k}" for k in range(RUN, WORDS + 1))
+_FRAME = "PARTITION BY doc_id, j ORDER BY i ROWS BETWEEN CURRENT ROW AND {0} FOLLOWING"
+_LONG = " ".join(f"WHEN count(*) OVER ({_FRAME.format(k - 1)}) = {k} AND (sum(w) OVER ({_FRAME.format(k - 1)}) >= {WORDS} OR sum(b) OVER ({_FRAME.format(k - 1)}) >= {BYTES}) THEN {k}" for k in range(RUN, WORDS + 1))
+#: A text without marks and white space at its ends.
+_CORE = f"regexp_replace(regexp_replace({{0}}, '[{_M}\\s]+$', ''), '^[{_M}\\s]+', '')"
 
 SQL = rf"""
-WITH p AS (
+WITH c AS (
   SELECT doc_id, text, regexp_extract_all(text, '[^{_M}]*[^{_M}\s][^{_M}]*[{_M}]*(?:\s*[{_M}]+)*') parts FROM documents
-), c AS (
-  SELECT doc_id, text, parts, len(parts) n, list_transform(parts, lambda x: trim(regexp_extract(x, '[^{_M}]*[^{_M}\s][^{_M}]*'), e' \t\r\f\x0b')) cores,
-    list_transform(parts, lambda x: regexp_matches(x, '[{_S}]')) stops FROM p
 ), u AS (
-  SELECT doc_id, n, unnest(range(1, n + 1)) i, unnest(parts) part, unnest(list_transform(cores, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))) w, unnest(list_transform(cores, lambda x: strlen(x))) b,
-    unnest(list_transform(stops, lambda x, i: x OR i = n)) stop FROM c
+  SELECT doc_id, len(parts) n, unnest(range(1, len(parts) + 1)) i, unnest(parts) part, unnest(list_transform(parts, lambda x, i: i = len(parts) OR regexp_matches(x, '[{_S}]'))) stop FROM c
 ), v AS (
   SELECT *, coalesce(sum(CAST(stop AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) j FROM u
+), x AS (
+  SELECT doc_id, j, i, stop, len(regexp_extract_all({_CORE.format("part")}, '[^\x20\x09-\x0D]+')) w, strlen({_CORE.format("part")}) b,
+    {_CORE.format("string_agg(part, '') OVER (PARTITION BY doc_id, j ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")} rest,
+    {_CORE.format("string_agg(part, '') OVER (PARTITION BY doc_id, j ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")} head FROM v
+), y AS (
+  SELECT *, CASE WHEN sum(w) OVER (PARTITION BY doc_id, j) >= {LONG * WORDS} OR sum(b) OVER (PARTITION BY doc_id, j) >= {LONG * BYTES} THEN CASE {_LONG} END END k FROM x
 ), e AS (
-  SELECT doc_id, j, min(i) i, count(*) k, trim(regexp_replace(string_agg(part, '' ORDER BY i), '[{_M}\s]+$', ''), e' \t\r\n\f\x0b') s  FROM v GROUP BY doc_id, j
-), t AS (
-  SELECT doc_id, j, i, k, s, lead(k) OVER x k2, lead(s) OVER x s2, count(*) OVER (PARTITION BY doc_id) m FROM e WINDOW x AS (PARTITION BY doc_id ORDER BY j)
-), r AS (
-  SELECT doc_id, n, i, CASE WHEN i > 1 AND NOT lag(stop) OVER (PARTITION BY doc_id ORDER BY i) THEN CASE {_AHEAD} END END k, CASE WHEN NOT stop THEN CASE {_BACK} END END z FROM v
+  SELECT doc_id, j, min(i) i, max(i) z, arg_min(rest, i) s, count(*) OVER (PARTITION BY doc_id) m FROM x GROUP BY doc_id, j
 ), a AS (
-  SELECT doc_id, i, k + k2 k, 'p' || s || e'\x01' || s2 g FROM t WHERE s2 IS NOT NULL
-  UNION
-  SELECT doc_id, i, k, 'w' || s FROM t WHERE m = 1
-  UNION
-  SELECT r.doc_id, i, k, 'c' || array_to_string(cores[i : i + k - 1], e'\x01') FROM r JOIN c ON c.doc_id = r.doc_id WHERE k IS NOT NULL
-  UNION
-  SELECT r.doc_id, i - z + 1, z, 'c' || array_to_string(cores[i - z + 1 : i], e'\x01') FROM r JOIN c ON c.doc_id = r.doc_id WHERE z IS NOT NULL
+  SELECT x.doc_id, x.i, e.z - x.i + 1 k, 'p' || x.rest || e'\x01' || e.s g FROM x JOIN e ON e.doc_id = x.doc_id AND e.j = x.j + 1
+  UNION ALL
+  SELECT x.doc_id, e.i, x.i - e.i + 1, 'p' || e.s || e'\x01' || x.head FROM x JOIN e ON e.doc_id = x.doc_id AND e.j = x.j - 1 WHERE NOT x.stop
+  UNION ALL
+  SELECT doc_id, i, z - i + 1, 'w' || s FROM e WHERE m = 1
+  UNION ALL
+  SELECT y.doc_id, i, k, 'c' || {_CORE.format("array_to_string(parts[i : i + k - 1], '')")} FROM y JOIN c ON c.doc_id = y.doc_id WHERE k IS NOT NULL
 ), s AS (
   SELECT doc_id, i, k, row_number() OVER (PARTITION BY g ORDER BY doc_id, i, k) place FROM a
 ), g AS (
   SELECT doc_id, list_distinct(flatten(list(range(i, i + k)))) gone FROM s WHERE place > 1 GROUP BY doc_id
 ), q AS (
   SELECT v.doc_id, j, bool_and(coalesce(list_contains(gone, i), false)) lost FROM v LEFT JOIN g ON g.doc_id = v.doc_id GROUP BY v.doc_id, j
-), y AS (
+), t AS (
   SELECT doc_id, count(*) n_sentences, CAST(sum(CAST(lost AS INT)) AS BIGINT) n_removed FROM q GROUP BY 1
 )
-SELECT c.doc_id, coalesce(y.n_sentences, 0) n_sentences, coalesce(y.n_removed, 0) n_removed,
+SELECT c.doc_id, coalesce(n_sentences, 0) n_sentences, coalesce(n_removed, 0) n_removed,
   CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_filter(parts, lambda x, i: NOT list_contains(gone, i)), ''), '') END AS text
-FROM c LEFT JOIN g ON c.doc_id = g.doc_id LEFT JOIN y ON y.doc_id = c.doc_id
+FROM c LEFT JOIN g ON c.doc_id = g.doc_id LEFT JOIN t ON t.doc_id = c.doc_id
 """

@@ -441,10 +441,28 @@ def test_spans_of_odd_rows(odd):
 def test_spans_of_two_sentences_and_of_scripts_without_spaces(spark):
     shared = "Kept words stand in this sentence about a thing. And more words come in the next one of it."
     cjk = "这是第一个很长的句子里面有很多不同的字。第二个句子也有足够多的字可以算作重复的内容。"
-    docs = [(1, f"Some start of the first text. {shared} The first text ends."), (2, f"Another start goes on: {shared} Another end."), (3, cjk), (4, "前面的话。" + cjk), (5, "In. Of. It."), (6, "Of. It. No.")]
+    short = "A cat sat there now. The dog ran off home. No bird sang a song."  # fifteen words
+    long = "it went on, as all of us had seen it go on, with many a word, and then a further one, of which none was new, until the night came, and we left"
+    docs = [(1, f"Some start of the first text. {shared} The first text ends."), (2, f"Another start goes on: {shared} Another end."), (3, cjk), (4, "前面的话。" + cjk), (5, "In. Of. It."), (6, "Of. No. It."), (7, f"Before it. {short} Behind it."), (8, f"Other words first. {short} Other words last.")]
+    docs += [(9, f"Nobody had thought that {long}, said one."), (10, f"They wrote, in a letter, that {long} for ever. No more.")]
     got = {r["doc_id"]: r for r in spans.remove_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got[1]["n_removed"] == 0 and got[2]["text"] == "Another start goes on:  Another end." or got[2]["text"].split() == "Another start goes on: Another end.".split()
+    assert got[1]["n_removed"] == 0 and got[2]["text"].split() == "Another start goes on: Another end.".split() and got[2]["n_removed"] == 1
     assert got[4]["text"] == "前面的话。" and got[3]["n_removed"] == got[5]["n_removed"] == got[6]["n_removed"] == 0
+    assert got[7]["n_removed"] == 0 and got[8]["n_removed"] == 3 and got[8]["text"].split() == "Other words first. Other words last.".split()
+    # of a passage inside a sentence the torn clauses at both ends stay
+    assert got[9]["n_removed"] == 0 and got[10]["text"].split() == "They wrote, in a letter, that it went on, and we left for ever. No more.".split()
+
+
+def test_spans_cut_alike_together_and_alone(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("ab c. ,!\n。é"), int(rng.integers(0, 60)))).encode() for _ in range(300)]
+    whole = spans.Clauses(texts)
+    together = sorted(zip(*(x.tolist() for x in spans.runs(texts))))
+    alone = sorted((a, b, i, s) for i, t in enumerate(texts) for a, b, _, s in zip(*(x.tolist() for x in spans.runs([t]))))
+    assert together == alone and len(together) > 500
+    for i, t in enumerate(texts):
+        one = spans.Clauses([t])
+        assert one.start.tolist() == whole.start[whole.own[i] : whole.own[i + 1]].tolist()
 
 
 def test_classes_of_odd_rows(spark):
