@@ -10,9 +10,9 @@ A sentence is text up to a full stop, exclamation or question mark or line end (
 and some other scripts' marks), with the marks and blank lines that follow. A passage
 pasted into running text continues a sentence, and another goes on behind it, so sentences are cut
 into clauses at commas, semicolons and colons: the rest of a sentence from any of its clauses on counts as
-a sentence before the next one, and its beginning up to any clause as one behind the one before. Where
-a sentence is long, the shortest runs of its clauses that have WORDS words, or BYTES bytes for scripts
-without spaces, are hashed too. Runs compare without the marks and white space at their parts' ends.
+a sentence before the next one, and its beginning up to any clause as one behind the one before, if both together
+have TORN_WORDS words, or TORN_BYTES bytes for scripts without spaces. Where a sentence is long, the shortest runs of its clauses that have WORDS words or BYTES bytes
+are hashed too. Runs compare without the marks and white space at their parts' ends.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from .common import Hashes, checkpoint, mix, packed, table, twinned, utf8
 
 #: Least clauses, words and bytes of a run of clauses inside a sentence, and how many times as long the sentence is at least.
-#: Runs of sentences have no least size.
 RUN, WORDS, BYTES, LONG = 2, 16, 120, 2
+#: Least words or bytes of a part of a sentence and the sentence beside it. Runs of whole sentences have no least size.
+TORN_WORDS, TORN_BYTES = 12, 90
 #: The marks that end a sentence, and those that only end a clause.
 STOPS, COMMAS = "\n.!?。！？।؟", ",;:，、；：،"
 _GAP = np.zeros(256, bool)
@@ -88,13 +89,19 @@ class Clauses:
         self.own = np.searchsorted(self.text, np.arange(len(texts) + 1))
         self.start = begin - offset[self.text]
         self.start[self.own[:-1][self.own[:-1] < self.own[1:]]] = 0
+        self.upto = [np.concatenate(([0], np.cumsum(x))) for x in (self.words, self.last - self.first)]
+
+    def enough(self, first: np.ndarray, end: np.ndarray, words: int, size: int) -> np.ndarray:
+        """Whether the clauses from first to before end have so many words or bytes."""
+        w, b = self.upto
+        return (w[end] - w[first] >= words) | (b[end] - b[first] >= size)
 
 
 def inside_runs(c: Clauses, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First clause and the one after the last of the shortest run of enough words or bytes from each clause of a long sentence on
     that goes on so far; begin and stop are the first and last clause of each clause's sentence."""
-    w, b = (np.concatenate(([0], np.cumsum(x))) for x in (c.words, c.last - c.first))
-    at = np.flatnonzero((w[stop + 1] - w[begin] >= LONG * WORDS) | (b[stop + 1] - b[begin] >= LONG * BYTES))
+    w, b = c.upto
+    at = np.flatnonzero(c.enough(begin, stop + 1, LONG * WORDS, LONG * BYTES))
     end = np.maximum(np.minimum(np.searchsorted(w, w[at] + WORDS), np.searchsorted(b, b[at] + BYTES)), at + RUN)
     fits = end <= stop[at] + 1
     return at[fits], end[fits]
@@ -122,7 +129,9 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     follows, clause = np.concatenate((text[1:] == text[:-1], [False])), np.arange(len(sentence))
     # the rest of a sentence and the next one; the one before and the beginning of a sentence; a sentence alone; clauses
     ahead = clause[follows[sentence]]
+    ahead = ahead[(ahead == begin[ahead]) | c.enough(ahead, ends[sentence[ahead] + 1] + 1, TORN_WORDS, TORN_BYTES)]
     back = clause[~c.closes & (begin > 0) & follows[sentence - 1]]
+    back = back[c.enough(begins[sentence[back] - 1], back + 1, TORN_WORDS, TORN_BYTES)]
     alone = np.flatnonzero(~follows & np.concatenate(([True], ~follows[:-1])))
     inner, upto = inside_runs(c, begin, stop)
     keys = [
@@ -234,11 +243,13 @@ WITH c AS (
 ), y AS (
   SELECT *, CASE WHEN sum(w) OVER (PARTITION BY doc_id, j) >= {LONG * WORDS} OR sum(b) OVER (PARTITION BY doc_id, j) >= {LONG * BYTES} THEN CASE {_LONG} END END k FROM x
 ), e AS (
-  SELECT doc_id, j, min(i) i, max(i) z, arg_min(rest, i) s, count(*) OVER (PARTITION BY doc_id) m FROM x GROUP BY doc_id, j
+  SELECT doc_id, j, min(i) i, max(i) z, arg_min(rest, i) s, sum(w) w, sum(b) b, count(*) OVER (PARTITION BY doc_id) m FROM x GROUP BY doc_id, j
+), l AS (
+  SELECT *, sum(w) OVER r w1, sum(b) OVER r b1, sum(w) OVER h w2, sum(b) OVER h b2 FROM x WINDOW r AS (PARTITION BY doc_id, j ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), h AS (PARTITION BY doc_id, j ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 ), a AS (
-  SELECT x.doc_id, x.i, e.z - x.i + 1 k, 'p' || x.rest || e'\x01' || e.s g FROM x JOIN e ON e.doc_id = x.doc_id AND e.j = x.j + 1
+  SELECT x.doc_id, x.i, e.z - x.i + 1 k, 'p' || x.rest || e'\x01' || e.s g FROM l x JOIN e ON e.doc_id = x.doc_id AND e.j = x.j + 1 JOIN e o ON o.doc_id = x.doc_id AND o.j = x.j WHERE x.i = o.i OR x.w1 + e.w >= {TORN_WORDS} OR x.b1 + e.b >= {TORN_BYTES}
   UNION ALL
-  SELECT x.doc_id, e.i, x.i - e.i + 1, 'p' || e.s || e'\x01' || x.head FROM x JOIN e ON e.doc_id = x.doc_id AND e.j = x.j - 1 WHERE NOT x.stop
+  SELECT x.doc_id, e.i, x.i - e.i + 1, 'p' || e.s || e'\x01' || x.head FROM l x JOIN e ON e.doc_id = x.doc_id AND e.j = x.j - 1 WHERE NOT x.stop AND (x.w2 + e.w >= {TORN_WORDS} OR x.b2 + e.b >= {TORN_BYTES})
   UNION ALL
   SELECT doc_id, i, z - i + 1, 'w' || s FROM e WHERE m = 1
   UNION ALL
