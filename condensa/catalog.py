@@ -939,3 +939,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from . import catalog_texts  # noqa: E402,F401  registers its queries above

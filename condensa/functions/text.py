@@ -181,8 +181,14 @@ def with_values(text: Column, values: Column) -> Column:
     return let(missing, named)
 
 
-#: Rules that shorten English prose, a choice of this library's own; callers pass their own table.
-SHORT = {"do not": "don't", "cannot": "can't", "will not": "won't", "it is": "it's", "in order to": "to", "due to the fact that": "because", "at this point in time": "now", "a large number of": "many", "is able to": "can", "prior to": "before", "percent": "%", "greater than": ">", "less than": "<", "and so on": "etc."}
+#: Contractions: auxiliary verbs with a negation, by rule, and those that change their form.
+CONTRACTIONS = {f"{v} not": f"{v}n't" for v in ("do", "does", "did", "is", "are", "was", "were", "has", "have", "had", "would", "should", "could")} | {"cannot": "can't", "will not": "won't", "it is": "it's"}
+#: Words for which a sign stands.
+SYMBOLS = {"percent": "%", "greater than": ">", "less than": "<", "and so on": "etc."}
+#: Long-winded phrases of general English and what says the same; this library's own list.
+PHRASES = {"in the event that": "if", "by means of": "by", "despite the fact that": "though", "in the near future": "soon", "a great deal of": "much", "for the reason that": "because", "take into consideration": "consider", "make a decision": "decide", "on two occasions": "twice", "in a timely manner": "promptly"}
+#: What `shortened` replaces unless the caller has a table of its own.
+SHORT = CONTRACTIONS | SYMBOLS | PHRASES
 
 
 def literal(phrase: str) -> str:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,15 +59,45 @@ def training_records(history: DataFrame, n: int, *order: str) -> DataFrame:
     return history.where(filled("raw_prompt") & filled("optimized_prompt")).orderBy(*[F.desc(c) for c in order]).limit(n)
 
 
-def keep_labels(original: Column, kept: Column) -> Column:
-    """1 or 0 for each token of original: whether it is, in order, among the tokens of the rewritten text.
-
-    From left to right a token is kept if the rest of the rewritten text still has it."""
-    step = lambda acc, t: F.struct(
-        F.array_append(acc["out"], (F.array_position(acc["rest"], t) > 0).cast("int")).alias("out"),
-        F.when(F.array_position(acc["rest"], t) > 0, F.slice(acc["rest"], F.array_position(acc["rest"], t).cast("int") + 1, F.greatest(F.size(acc["rest"]), F.lit(1)))).otherwise(acc["rest"]).alias("rest"),
-    )
-    return F.aggregate(original, F.struct(F.array().cast("array<int>").alias("out"), kept.alias("rest")), step, lambda acc: acc["out"])
+def longest_common(a: list[str], b: list[str]) -> list[int]:
+    """1 or 0 for each token of a: whether it is in one longest common subsequence of a and b.
+
+    Rows of the usual table are single integers with a bit a token of b, so n and m tokens take n operations on m
+    bits; the way back through the rows picks the tokens."""
+    full = (1 << len(b)) - 1
+    where: dict[str, int] = {}
+    for j, token in enumerate(b):
+        where[token] = where.get(token, 0) | 1 << j
+    # a bit of a row that isn't set is a place at which the subsequence gets longer
+    rows = [full]
+    for token in a:
+        row = rows[-1]
+        both = row & where.get(token, 0)
+        rows.append(((row + both) | (row - both)) & full)
+    length = lambda i, j: j - (rows[i] & ((1 << j) - 1)).bit_count()
+    keep, i, j = [0] * len(a), len(a), len(b)
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1 == rows[i] >> (j - 1) & 1 == 1:
+            j -= 1  # the token of b adds nothing
+        elif length(i - 1, j) == length(i, j):
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            keep[i] = 1
+    return keep
+
+
+def keep_labels(rows: DataFrame, key: str) -> DataFrame:
+    """key, tokens and labels of rows of key, original and kept (arrays of tokens): 1 for each token of the original
+    that a longest common subsequence with the kept ones has, else 0. Null arrays are empty. A row is labelled by itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [(a or [], b or []) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            labels = pa.array([longest_common(a, b) for a, b in pairs], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in pairs], pa.list_(pa.string())), labels], [key, "tokens", "labels"])
+
+    return rows.select(key, "original", "kept").mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, tokens array<string>, labels array<int>")
 
 
 def settings(spark: SparkSession, prefix: str, defaults: dict[str, float | int | bool | str]) -> dict[str, float | int | bool | str]:

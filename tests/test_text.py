@@ -16,7 +16,7 @@ def test_scalar_functions(spark):
     assert one(spark, T.plain_numbers, "1,234,567 and 12,3") == "1234567 and 12,3"
     assert one(spark, T.tight_punctuation, "a , b... c") == "a, b. c"
     assert one(spark, T.no_echo, "the the cat cat sat") == "the cat sat"
-    assert one(spark, T.shortened, "in order to go, it is due") == "to go, it's due"
+    assert one(spark, T.shortened, "in the event that it is due") == "if it's due"
     assert one(spark, T.paragraphs, "a\n\n b \n \nc") == ["a", "b", "c"]
     assert one(spark, T.content_class, '{"a": 1}') == "json"
     assert one(spark, T.content_class, "def f():\n    return {};\nimport os\n" * 5) == "code"
