@@ -6,7 +6,8 @@ blocks before and after it, and by four signals of the elements around it, each
 feature of its own: inside an article element, under a name that articles have, inside
 what frames or fills pages at times (forms, boxes, layout names), inside what never is
 article (menus, footers, asides, reader comments, hidden parts). An article element
-starts anew: what is around it says nothing about what is in it. A decision tree,
+starts anew in boxes and under layout names, but not in what never is article: a card in
+a sidebar and a reader's comment are articles of their own. A decision tree,
 trained on the small labelled table below, tells article from the rest.
 """
 
@@ -44,30 +45,33 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|d
 _STRONG = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?list|respond|repl(?:y|ies)|disqus|cookies?|consent|menu|navbar|navigation|breadcrumbs?|footer|masthead|contentinfo|pagination|pager|skip|popup|modal|copyright|login|signup|ads?|adverts?|advertisements?|adsense|sponsor(?:ed)?)(?:$|[\s_-])", re.I)
 _WEAK = re.compile(r"(?:^|[\s_-])(?:nav|side-?bar|banner|promo(?:tion)?|widget|notice|alert|overlay|newsletter|subscri(?:be|ption)|search|share|sharing|social|related|recommend(?:ed|ations)?|toolbar|legal|disclaimer|complementary)(?:$|[\s_-])", re.I)
 _BODY = re.compile(r"(?:^|[\s_-])(?:article|articlebody|main|story|post|entry)(?:$|[\s_-](?:body|content|text|inner)?)", re.I)
+#: Whole names of parts that no article element inside makes main text.
+_FIRM = re.compile(r"(?:^|\s)(?:comments?|comment-?list|comments-area|respond|repl(?:y|ies)|disqus|side-?bars?|footer|menu|nav|navbar|navigation|related|related-(?:posts|articles)|recommended|recommendations|widgets?|promo)(?=\s|$)", re.I)
 _HAS = re.compile(r"(?:^|(?<=\s))(?:has|with|no|is|not)-\S+", re.I)
 
-#: article, body, weak, strong
-Signals = tuple[bool, bool, bool, bool]
-_NONE: Signals = (False, False, False, False)
+#: article, body, weak, strong; and firm: strong whatever is inside
+Signals = tuple[bool, bool, bool, bool, bool]
+_NONE: Signals = (False, False, False, False, False)
 
 
 def _signals(name: str, attributes: str, around: Signals) -> Signals:
     """The signals inside an element, from those around it."""
-    article, body, weak, strong = around
+    article, body, weak, strong, firm = around
     if name in _ARTICLE and not strong or name == "article":
-        article, body, weak, strong = True, body, False, False
-    strong = strong or name in _ASIDE or name == "header" and not article
+        article, body, weak, strong = True, body, False, firm
+    firm = firm or name in _ASIDE
+    strong = strong or firm or name == "header" and not article
     weak = weak or name in _BOX
     if attributes and name not in ("html", "body"):
         names = " ".join(x.strip("\"'") for x in _NAMED.findall(attributes))
         if names:
             names = _HAS.sub(" ", names)
-        if _HIDDEN.search(attributes):
-            strong = True
+        if _HIDDEN.search(attributes) or names and _FIRM.search(names):
+            firm = strong = True
         elif names and name not in _ARTICLE:
             strong, weak = strong or bool(_STRONG.search(names)), weak or bool(_WEAK.search(names))
             body = body or bool(_BODY.search(names))
-    return article, body, weak, strong
+    return article, body, weak, strong, firm
 
 
 def blocks(page: str) -> list[tuple[str, int, int, Signals]]:
@@ -135,7 +139,7 @@ def features(rows: list[tuple[str, int, int, Signals]]) -> np.ndarray:
     if n:
         words = np.array([r[1] for r in rows], float)
         link = np.array([r[2] for r in rows], float) / words
-        out[:, :4], out[:, 4], out[:, 5] = [r[3] for r in rows], words, link
+        out[:, :4], out[:, 4], out[:, 5] = [r[3][:4] for r in rows], words, link
         out[1:, 6], out[1:, 7], out[:-1, 8], out[:-1, 9] = words[:-1], link[:-1], words[1:], link[1:]
     return out
 

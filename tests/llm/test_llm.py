@@ -151,11 +151,38 @@ def test_extraction_of_an_article_in_what_surrounds_pages():
     assert "Nice" not in article_of(inside + "<div class='post-comments'><p>" + "Nice reading, I liked this very much. " * 9 + "</p></div>")
 
 
-def test_the_tree_asks_for_words_and_links(spark):
-    pages = [r["html"] for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<aside class='related'><article class='card'><h4>Card title</h4><p>Card words stand here.</p></article></aside>", "<footer><article><p>Foot words of an article.</p></article></footer>",
+        "<section class='comments'><article><p>A reader's comment of some length, which goes on and on about it.</p></article></section>", "<div class='sidebar'><article><p>Card words stand here too.</p></article></div>",
+        "<div id='comments'><ol><li><article class='comment'><p>Another reader's words.</p></article></li></ol></div>", "<nav><article>Menu words.</article></nav>", "<div hidden><article><p>Nobody sees it.</p></article></div>",
+        "<article class='comment'><p>A comment on its own.</p></article>",
+    ],
+)
+def test_articles_inside_other_parts_are_not_main_text(part):
+    main = "<article><h1>Head words</h1><p>" + "Plain words of the article. " * 9 + "</p></article>"
+    for page in (f"<body>{main}{part}</body>", f"<body>{part}{main}</body>", f"<body><form class='layout'>{main}{part}</form></body>"):
+        assert article_of(page) == ("Head words " + "Plain words of the article. " * 9).strip()
+
+
+def test_words_links_and_neighbours_decide_where_no_element_tells():
+    """Share of the blocks of plain pages whose class changes when features are taken away from the fitted tree."""
+    rng = np.random.default_rng(2)
+    words = lambda n: " ".join("".join(rng.choice(list("aeinrst"), int(rng.integers(2, 8)))) for _ in range(n))
+    rows = []
+    for _ in range(100):
+        menu = "".join(f"<div><a href='#'>{words(int(rng.integers(1, 4)))}</a></div>" for _ in range(int(rng.integers(3, 9))))
+        short = "".join(f"<p>{words(int(rng.choice([3, 6, 12, 30, 60])))}</p>" for _ in range(int(rng.integers(2, 9))))
+        rows.append(extraction.features(extraction.blocks(f"<body>{menu}<div>{short}</div>{menu}<div>{words(3)}</div></body>")))
+    rows, changed = np.concatenate(rows), {}
     tree = extraction.train(extraction.LABELLED)
-    asked = np.concatenate([extraction.used(tree, extraction.features(extraction.blocks(p))) for p in pages])
-    assert asked[:, 5].mean() > 0.9 and asked[:, 6:].any(1).mean() > 0.3
+    whole = extraction.classify(tree, rows)
+    for name, columns in {"words": [4], "links": [5], "neighbours": [6, 7, 8, 9]}.items():
+        without = rows.copy()
+        without[:, columns] = rows[:, columns].mean(0)
+        changed[name] = float((extraction.classify(tree, without) != whole).mean())
+    assert changed["words"] > 0.02 and changed["links"] > 0.2 and changed["neighbours"] > 0.02, changed
 
 
 @pytest.mark.parametrize("shards", [1, 3, 16])
