@@ -17,16 +17,17 @@ _WORDS = r"regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+')"
 @_query("documents benchmark", rf"""
 WITH RECURSIVE b AS (SELECT lower(concat_ws(' ', w[i], w[i + 1], CASE WHEN i % 3 = 0 THEN w[i + 2] END)) p, lower(w[i]) c FROM (SELECT w, unnest(range(1, len(w))) i FROM (SELECT {_WORDS} w FROM benchmark))),
 g AS (SELECT trim(p, ' ') p, min(c) || '-' c, len({_UNITS.format("trim(p, ' ')")}) k FROM b GROUP BY 1, 3),
-u AS (SELECT doc_id, {_UNITS.format("text")} u FROM documents),
-e AS (SELECT doc_id, u, unnest(range(1, len(u) + 1)) i FROM u),
-m AS (SELECT doc_id, i, max(struct_pack(k := k, p := p, c := c)) x FROM (SELECT doc_id, i, k, array_to_string(u[i : i + k - 1], '') t FROM e, (SELECT DISTINCT k FROM g) WHERE i + k - 1 <= len(u)) JOIN g USING (k) WHERE lower(t) = p GROUP BY doc_id, i),
-o AS (SELECT doc_id, list(struct_pack(i := i, k := x.k, c := x.c) ORDER BY i) l FROM m GROUP BY 1),
+w AS (SELECT doc_id, generate_subscripts(u, 1) i, unnest(u) w FROM (SELECT doc_id, {_UNITS.format("text")} u FROM documents)),
+e AS (SELECT doc_id, i, w, string_agg(w, '') OVER x3 t3, string_agg(w, '') OVER x5 t5 FROM w WINDOW x3 AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), x5 AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+-- the longest phrase at each place: two words and a space, or three and two
+m AS (SELECT doc_id, i, coalesce(b.k, a.k) k, coalesce(b.c, a.c) c, CASE WHEN b.k IS NULL THEN t3 ELSE t5 END f FROM e LEFT JOIN g a ON lower(t3) = a.p AND a.k = 3 LEFT JOIN g b ON lower(t5) = b.p AND b.k = 5 WHERE a.k IS NOT NULL OR b.k IS NOT NULL),
+o AS (SELECT doc_id, list(struct_pack(i := i, k := k, c := c, f := f) ORDER BY i) l FROM m GROUP BY 1),
 -- what is taken from left to right
-t AS (SELECT doc_id, list_reduce(list_prepend([struct_pack(i := 0::BIGINT, k := 1::BIGINT, c := '')], list_transform(l, lambda x: [x])), lambda a, x: CASE WHEN x[1].i >= a[-1].i + a[-1].k THEN list_concat(a, x) ELSE a END)[2:] l FROM o),
-r AS (SELECT u.doc_id, u, coalesce(l, []) l FROM u LEFT JOIN t USING (doc_id)),
-f AS (SELECT doc_id, u, l, list_transform(l, lambda x: array_to_string(u[x.i : x.i + x.k - 1], '')) s FROM r)
-SELECT doc_id, CAST(len(l) AS BIGINT) n_replaced, CASE WHEN len(l) = 0 THEN array_to_string(u, '') ELSE array_to_string(list_transform(l, lambda x, j: array_to_string(u[coalesce(l[j - 1].i + l[j - 1].k, 1) : x.i - 1], '') ||
-  CASE WHEN s[j] = upper(s[j]) AND s[j] <> lower(s[j]) THEN upper(x.c) WHEN s[j] <> lower(s[j]) AND s[j][1] = upper(s[j][1]) AND s[j][2:] = lower(s[j][2:]) THEN upper(x.c[1]) || x.c[2:] ELSE x.c END), '') || array_to_string(u[l[-1].i + l[-1].k :], '') END AS text FROM f""")
+t AS (SELECT doc_id, unnest(list_reduce(list_transform(l, lambda x: [x]), lambda a, x: CASE WHEN x[1].i >= a[-1].i + a[-1].k THEN list_concat(a, x) ELSE a END)) x FROM o),
+r AS (SELECT doc_id, x.i i, CASE WHEN x.f = upper(x.f) AND x.f <> lower(x.f) THEN upper(x.c) WHEN x.f <> lower(x.f) AND x.f[1] = upper(x.f[1]) AND x.f[2:] = lower(x.f[2:]) THEN upper(x.c[1]) || x.c[2:] ELSE x.c END c FROM t),
+h AS (SELECT doc_id, unnest(range(x.i + 1, x.i + x.k)) i FROM t),
+z AS (SELECT doc_id, count(r.c) n, string_agg(CASE WHEN h.i IS NOT NULL THEN '' ELSE coalesce(r.c, w) END, '' ORDER BY i) text FROM w LEFT JOIN r USING (doc_id, i) LEFT JOIN h USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_replaced, coalesce(z.text, d.text) AS text FROM documents d LEFT JOIN z USING (doc_id)""")
 def canonical_table(documents, benchmark):
     # every two or three neighbouring words of the benchmark are a phrase
     words = benchmark.select(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0)).alias("w")).where("size(w) > 1")
@@ -77,7 +78,7 @@ def forced_spans(documents):
 
 
 _SEG = f"SELECT doc_id, {_SQUEEZE.format('s')} said FROM (SELECT doc_id, unnest({_SENT}) s FROM documents)"
-_NEGATED, _MUST, _SHOULD, _DO_NOT = (p.replace("'", "''") for p in (constraints.NEGATED, constraints.MUST, constraints.SHOULD, constraints.DO_NOT))
+_NEGATED, _MUST, _SHOULD, _DO_NOT = (constraints.whole(p).replace("'", "''") for p in (constraints.NEGATIONS, constraints.MUST, constraints.SHOULD, constraints.DO_NOT))
 _SKIP = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted({*constraints.STOPWORDS, *constraints.NEGATIONS}))
 _PRINT = f"""s AS ({_SEG}), a AS (SELECT doc_id, said, list_filter(regexp_extract_all(said, '[a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN ({_SKIP}))[:8] anchors, regexp_extract_all(said, '{constraints.NUMBER}') numbers FROM s WHERE length(said) > 0),
 c AS (SELECT doc_id, unnest(list_filter([CASE WHEN regexp_matches(said, '{_NEGATED}') THEN 'negation' END, CASE WHEN regexp_matches(said, '[0-9]') THEN 'numeric' END, CASE WHEN regexp_matches(said, '{_MUST}') THEN 'must' WHEN regexp_matches(said, '{_SHOULD}') THEN 'should' END, CASE WHEN regexp_matches(said, '{_DO_NOT}') THEN 'do_not' END], lambda k: k IS NOT NULL)) kind, said, anchors, numbers FROM a

@@ -75,16 +75,21 @@ def forced_spans(docs: DataFrame, patterns: Mapping[str, str], digits: bool = Tr
 #: Terms that negate, words that aren't anchors, and what makes a segment a constraint of a kind.
 NEGATIONS = ["can't", "cannot", "do not", "don't", "must not", "never", "no", "not", "should not", "without"]
 STOPWORDS = ["a", "an", "and", "as", "at", "be", "by", "for", "from", "in", "into", "is", "it", "of", "on", "or", "our", "that", "the", "to", "we", "with", "you", "your"]
-MUST = r"\b(?:must|required to|need to|has to|shall)\b"
-SHOULD = r"\b(?:should|recommended to|ought to)\b"
-DO_NOT = r"\b(?:do not|don't|must not|should not|never|cannot|can't)\b"
+MUST = ["must", "required to", "need to", "has to", "shall"]
+SHOULD = ["should", "recommended to", "ought to"]
+DO_NOT = ["do not", "don't", "must not", "should not", "never", "cannot", "can't"]
 NUMBER = r"[0-9]+(?:\.[0-9]+)?"
 QUOTED = r'"[^"]{2,160}"|' + r"'[^']{2,160}'|`[^`]{2,160}`"
-NEGATED = rf"\b(?:{'|'.join(NEGATIONS)})\b"
 #: Anchors a constraint has, those looked for, and how far from one a negation may stand.
 ANCHORS, LOOKED_FOR, NEAR = 8, 4, 80
 
 
+def whole(terms: list[str]) -> str:
+    """Any of the terms between characters that aren't letters, digits or underscores, of any script."""
+    edge = r"[^\p{L}\p{M}\p{N}_]"
+    return f"(?:^|{edge})(?:{'|'.join(terms)})(?:$|{edge})"
+
+
 def _anchors(segment: Column) -> Column:
     words = F.regexp_extract_all(segment, F.lit("[a-z0-9]+"), F.lit(0))
     skip = F.array(*map(F.lit, sorted({*STOPWORDS, *NEGATIONS})))
@@ -99,7 +104,7 @@ def fingerprint(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     texts of 2 to 160 characters are `quoted`, each once. Null and empty texts have none. A segment is looked at by itself."""
     segment = docs.select(key, F.explode(F.transform(T.sentences(F.col("text")), T.squeezed)).alias("said")).where("length(said) > 0")
     has = lambda pattern: F.col("said").rlike(pattern)
-    tests = {"negation": has(NEGATED), "numeric": has("[0-9]"), "must": has(MUST), "should": has(SHOULD) & ~has(MUST), "do_not": has(DO_NOT)}
+    tests = {"negation": has(whole(NEGATIONS)), "numeric": has("[0-9]"), "must": has(whole(MUST)), "should": has(whole(SHOULD)) & ~has(whole(MUST)), "do_not": has(whole(DO_NOT))}
     kinds = F.filter(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()]), lambda k: k.isNotNull())
     rows = segment.select(key, F.explode(kinds).alias("kind"), "said", _anchors(F.col("said")).alias("anchors"), F.when(has("[0-9]"), F.regexp_extract_all("said", F.lit(NUMBER), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("numbers"))
     quoted = docs.select(key, F.explode(F.regexp_extract_all("text", F.lit(QUOTED), F.lit(0))).alias("q")).select(key, F.lit("quoted").alias("kind"), T.squeezed(F.expr("substring(q, 2, length(q) - 2)")).alias("said")).where("length(said) > 0")
@@ -118,7 +123,7 @@ def violations(constraints: DataFrame, rewrites: DataFrame, key: str = "doc_id")
     looked = F.slice("anchors", 1, LOOKED_FOR)
     stands = (F.size(looked) == 0) | F.exists(looked, lambda a: F.contains(F.col("now"), a))
     around = lambda a: F.substring("now", F.greatest(F.instr(F.col("now"), a) - NEAR, F.lit(1)), F.least(F.instr(F.col("now"), a) - 1, F.lit(NEAR)) + NEAR)
-    negated = F.when(F.size(looked) == 0, F.col("now").rlike(NEGATED)).otherwise(F.exists(looked, lambda a: F.contains(F.col("now"), a) & around(a).rlike(NEGATED)))
+    negated = F.when(F.size(looked) == 0, F.col("now").rlike(whole(NEGATIONS))).otherwise(F.exists(looked, lambda a: F.contains(F.col("now"), a) & around(a).rlike(whole(NEGATIONS))))
     kept = (
         F.when(F.col("kind") == "quoted", F.contains(F.col("now"), F.col("said")))
         .when(F.col("kind") == "numeric", F.forall("numbers", lambda n: F.contains(F.col("now"), n)) & stands)

@@ -18,12 +18,13 @@ JOINT = "ꞏ"
 MOST, WORDS, USES, SAVED, LEGEND = 4, 3, 2, 0.015, "Macros:"
 #: Pairs that become words in a round; least uses of one in the collection.
 PAIRS, COMMON = 16, 3
-_WORD = rf"[\p{{L}}\p{{M}}\p{{N}}{JOINT}]+"
+#: What parts runs of words with one space between them. (A repeated group would go as deep into the stack as a run has words.)
+_APART = rf"[^ \p{{L}}\p{{M}}\p{{N}}{JOINT}]+| {{2,}}"
 
 
 def pair_counts(texts: Column, docs: DataFrame) -> DataFrame:
     """a, b, n and saved: pairs of different words with one space between them, and the characters that all uses but one have."""
-    words = docs.select(F.explode(F.regexp_extract_all(texts, F.lit(rf"{_WORD}(?: {_WORD})+"), F.lit(0))).alias("run")).select(F.split("run", " ").alias("w"))
+    words = docs.select(F.explode(F.split(texts, _APART)).alias("run")).select(F.split(F.btrim("run"), " ").alias("w")).where("size(w) > 1")
     pairs = words.select(F.explode(F.expr("transform(sequence(0, size(w) - 2), i -> struct(w[i] as a, w[i + 1] as b))")).alias("p")).select("p.*").where("a <> b")
     counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     return counted.withColumn("saved", (F.col("n") - 1) * (F.length("a") + F.length("b") + 1))
