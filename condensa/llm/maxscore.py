@@ -73,19 +73,25 @@ class Postings:
         return live[keep], score[keep]
 
 
+#: With components below it, products of 2048 components at a scale of 1024 fit 64 bits.
+LARGEST = 65536.0
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k highest integer inner products.
 
     Components become floor(scale * x). Rows with the query's vec_id are not
     candidates; repeated rows are candidates each, repeated query ids ask once. Ties go
     to the smaller vec_id. Null vec_ids, and vectors null, empty or with null or
-    non-finite components, take no part; a shorter vector counts as filled with
+    non-finite components, take no part, nor do those with a component of LARGEST or more in
+    size, whose products 64-bit scores couldn't hold; of different vectors under one query id the least in
+    order asks; a shorter vector counts as filled with
     zeros; an empty table gives no rows; other columns are left out.
 
     A query's threshold starts from the k-th best of at most FIRST rows, one sample for
     all shards, so that none has to score its first rows without one.
     """
-    index, asked = usable(vectors), usable(queries)
+    index, asked = usable(vectors, most=LARGEST), usable(queries, most=LARGEST)
     n = index.count()
     first = vectors.sparkSession.sparkContext.broadcast(sampled(index, FIRST))
     whole = lambda a: np.floor(scale * a).astype(np.int64)
@@ -138,7 +144,7 @@ SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) e
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(x) >= 65536)) = 0
 ), s AS (
   SELECT q.vec_id query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0

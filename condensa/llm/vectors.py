@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(vectors: DataFrame, nonzero: bool = False) -> DataFrame:
+def usable(vectors: DataFrame, nonzero: bool = False, most: float = float("inf")) -> DataFrame:
     """vec_id and embedding (doubles), without null ids and vectors, empty vectors, and
-    null or non-finite components; nonzero leaves out all-zero vectors too."""
+    null or non-finite components or such of `most` or more; nonzero leaves out all-zero vectors too."""
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-    rows = rows.where("vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
+    rows = rows.where(f"vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('{most}'))")
     return rows.where("exists(embedding, x -> x <> 0)") if nonzero else rows
 
 
@@ -46,7 +46,8 @@ def grid_search(index: DataFrame, queries: DataFrame, k: int, score: str, n: int
     block, both of bounded size; the shards' lists are merged by rank. Up to BLOCK
     queries the index moves once. Higher scores go first, ties to the smaller vec_id.
     """
-    queries = queries.dropDuplicates(["vec_id"])
+    # of different vectors under one query id the least in order asks, in every run
+    queries = queries.groupBy("vec_id").agg(F.min(F.struct("embedding", "floor")).alias("q")).select("vec_id", "q.*")
     blocks = max(1, -(-queries.count() // BLOCK))
     tasks = 2 * index.sparkSession.sparkContext.defaultParallelism
     shards = max(1, -(-n // SHARD), min(tasks // blocks, -(-n // LEAST)))

@@ -215,3 +215,12 @@ def test_proximity_by_brute_force(spark):
     a = spark.createDataFrame([(d, t, 0, "x", 0, 0, 0) for d, t in docs], DOCS)
     b = spark.createDataFrame([(i, t, "x") for i, t in items], ITEMS)
     assert len(want) > 50 and set(map(tuple, phraseindex.proximity_matches(a, b, 7).collect())) == want
+
+
+def test_vectors_too_large_for_scores_and_ids_with_several_vectors(spark):
+    from condensa.llm import maxscore
+
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0]), (3, [1e300, 1.0]), (4, [65536.0, 0.0]), (5, [-65535.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in maxscore.top_k(vectors, vectors.where("vec_id % 100 = 0")).orderBy("rank").collect()]
+    assert got == [(100, 1, 2, 3 * 1024**2), (100, 2, 1, 0), (100, 3, 5, 0)]
