@@ -490,12 +490,14 @@ def attention_order(documents):
     return ranking.attention_order(s.withColumn("place", place))
 
 
-@_query("documents benchmark", f"""WITH r AS (SELECT item_id, item_id * 3 AS doc_id FROM benchmark UNION SELECT item_id, item_id + 7 FROM benchmark), f AS (SELECT item_id, unnest(range(item_id, item_id + 10)) doc_id FROM benchmark)
-SELECT item_id, count(f.doc_id) AS hits, count(*) AS n, count(f.doc_id) / CAST(count(*) AS DOUBLE) AS recall FROM r LEFT JOIN f USING (item_id, doc_id) GROUP BY 1""")
+@_query("documents benchmark", f"""WITH b AS ({_SQL["bm25_rank"]}), d AS (SELECT doc_id, {_TOK} t FROM documents), g AS (SELECT doc_id, array_to_string(t[i : i + 11], ' ') g FROM (SELECT doc_id, t, unnest(range(1, len(t) - 10)) i FROM d)),
+ p AS (SELECT item_id, array_to_string(t[6:17], ' ') g FROM (SELECT item_id, {_TOK} t FROM benchmark) WHERE len(t) >= 17), r AS (SELECT DISTINCT item_id, doc_id FROM p JOIN g USING (g))
+SELECT item_id, count(b.doc_id) AS hits, count(*) AS n, count(b.doc_id) / CAST(count(*) AS DOUBLE) AS recall FROM r LEFT JOIN b USING (item_id, doc_id) GROUP BY 1""")
 def ranking_recall(documents, benchmark):
-    ranked = benchmark.select("item_id", F.explode(F.expr("sequence(item_id, item_id + 11)")).alias("doc_id")).withColumn("rank", F.col("doc_id") - F.col("item_id") + 1)
-    relevant = benchmark.selectExpr("item_id", "item_id * 3 doc_id").unionByName(benchmark.selectExpr("item_id", "item_id + 7 doc_id"))
-    return ranking.recall_at(ranked, relevant, 10, "item_id", "doc_id")
+    """How many of the documents that hold a passage of an item are among the ten that BM25 ranks highest for it."""
+    grams = documents.select("doc_id", T.tokens(F.col("text")).alias("t")).where("size(t) >= 12").select("doc_id", F.explode(F.expr("transform(sequence(1, size(t) - 11), i -> array_join(slice(t, i, 12), ' '))")).alias("g"))
+    passages = benchmark.select("item_id", T.tokens(F.col("text")).alias("t")).where("size(t) >= 17").select("item_id", F.expr("array_join(slice(t, 6, 12), ' ')").alias("g"))
+    return ranking.recall_at(ranking.bm25(documents, benchmark), grams.join(passages, "g").select("item_id", "doc_id"), 10, "item_id", "doc_id")
 
 
 _WORDS = "|".join(T.literal(w) for w in sorted(T.DIRECTIVES, key=lambda x: (-len(x), x)))
@@ -798,9 +800,9 @@ def protect_tags(documents):
 # --- requests, pages, costs and jobs
 
 
-@_query("benchmark documents", f"SELECT doc_id AS request, CAST(i AS INTEGER) AS item, CASE WHEN doc_id % 5 >= 3 THEN NULL ELSE trim(text[1:40], e' \\t\\n\\r') END AS text, CASE doc_id % 3 WHEN 0 THEN 'maximum' WHEN 1 THEN 'conservative' ELSE 'balanced' END AS mode, CASE doc_id % 5 WHEN 3 THEN 'both' WHEN 4 THEN 'neither' END AS error FROM (SELECT *, unnest(range(0, CASE WHEN doc_id % 5 = 1 THEN 2 ELSE 1 END)) i FROM documents) WHERE length(trim(text[1:40], e' \\t\\n\\r')) > 0")
-def request_items(benchmark, documents):
-    rows = documents.withColumn("t", F.substring("text", 1, 40)).where("length(btrim(t, ' \t\n\r')) > 0")
+@_query("documents", f"SELECT doc_id AS request, CAST(i AS INTEGER) AS item, CASE WHEN doc_id % 5 >= 3 THEN NULL ELSE trim(text, e' \\t\\n\\r') END AS text, CASE doc_id % 3 WHEN 0 THEN 'maximum' WHEN 1 THEN 'conservative' ELSE 'balanced' END AS mode, CASE doc_id % 5 WHEN 3 THEN 'both' WHEN 4 THEN 'neither' END AS error FROM (SELECT *, unnest(range(0, CASE WHEN doc_id % 5 = 1 THEN 2 ELSE 1 END)) i FROM documents) WHERE length(trim(text, e' \\t\\n\\r')) > 0")
+def request_items(documents):
+    rows = documents.withColumn("t", F.col("text")).where("length(btrim(t, ' \t\n\r')) > 0")
     rows = rows.selectExpr("doc_id request", "if(doc_id % 5 in (0, 2, 3), t, null) prompt", "if(doc_id % 5 in (1, 3), array(t, t), null) prompts", "element_at(array('MAX ', 'safe', 'normal'), cast(doc_id % 3 as int) + 1) mode")
     return io.requests(rows)
 
@@ -847,8 +849,8 @@ def batch_fan_out(documents):
     return dedup.fanned_out(documents, lambda d: d.select("digest", F.length("text").alias("chars")))
 
 
-@_query("orders customer", "SELECT o_custkey AS batch, count(*) AS n, round(sum(o_totalprice * (o_orderkey % 10)) / sum(o_totalprice), 6) AS weighted FROM orders WHERE o_totalprice > 0 GROUP BY 1")
-def batch_summary(orders, customer):
+@_query("orders", "SELECT o_custkey AS batch, count(*) AS n, round(sum(o_totalprice * (o_orderkey % 10)) / sum(o_totalprice), 6) AS weighted FROM orders WHERE o_totalprice > 0 GROUP BY 1")
+def batch_summary(orders):
     return R.weighted_mean(orders.where("o_totalprice > 0").withColumn("x", F.col("o_orderkey") % 10), F.col("o_custkey").alias("batch"), "x", "o_totalprice").withColumn("weighted", F.round("weighted", 6))
 
 
@@ -871,11 +873,11 @@ def adjacent_cosine(embeddings):
     return embeddings.join(other, "vec_id").select("vec_id", "other", F.round(T.cosine(F.col("embedding").cast("array<double>"), F.col("e").cast("array<double>")), 6).alias("cosine"))
 
 
-@_query("documents benchmark", f"""WITH i AS (SELECT token, ln((1 + n) / CAST(1 + count(*) AS DOUBLE)) + 1 w FROM (SELECT doc_id, unnest(list_distinct({_TOK})) token FROM documents), (SELECT count(*) n FROM documents WHERE len({_TOK}) > 0) GROUP BY token, n),
+@_query("documents", f"""WITH i AS (SELECT token, ln((1 + n) / CAST(1 + count(*) AS DOUBLE)) + 1 w FROM (SELECT doc_id, unnest(list_distinct({_TOK})) token FROM documents), (SELECT count(*) n FROM documents WHERE len({_TOK}) > 0) GROUP BY token, n),
  p AS (SELECT doc_id, list_distinct({_TOK}) a, list_distinct({_TOK.replace('text', 'substr(text, 1, length(text) // 2)')}) b FROM documents),
  u AS (SELECT doc_id, token, list_contains(a, token) AND list_contains(b, token) hit FROM (SELECT doc_id, a, b, unnest(list_distinct(list_concat(a, b))) token FROM p))
 SELECT doc_id, round(coalesce(sum(CASE WHEN hit THEN coalesce(w, 1) ELSE 0 END) / sum(coalesce(w, 1)), 0), 6) AS score FROM u LEFT JOIN i USING (token) GROUP BY 1""")
-def weighted_overlap(documents, benchmark):
+def weighted_overlap(documents):
     return dedup.weighted_overlap(documents.select("doc_id", T.tokens(F.col("text")).alias("a"), T.tokens(F.expr("substring(text, 1, cast(length(text) div 2 as int))")).alias("b")), ranking.idf_weights(documents)).withColumn("score", F.round("score", 6))
 
 

@@ -169,11 +169,11 @@ def mmr_order(scored: DataFrame, key: str = "doc_id", share: float = 0.7) -> Dat
     The next is the one with the largest share x score - (1 - share) x its largest overlap with those
     taken, ties to the better score, then the first. Fewer than four sections go by score."""
     rows = scored.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("key"), "pos", "set"))).alias("s"))
-    # overlaps of every section with those taken are carried along, so a step reads each section once
+    # overlaps of every section with those taken are carried along (2 for a taken one), so a step reads each section once
     fold = F.expr(f"""aggregate(sequence(1, size(s)), struct(cast(array() as array<int>) as out, transform(s, x -> 0D) as near), (acc, step) -> transform(array(
-        aggregate(sequence(0, size(s) - 1), struct(-1 as i, -1e300D as v), (best, i) -> if(array_contains(acc.out, i), best, if(
+        aggregate(sequence(0, size(s) - 1), struct(-1 as i, -1e300D as v), (best, i) -> if(acc.near[i] > 1, best, if(
           {share}D * -s[i].key - {1 - share}D * if(size(s) < 4, 0D, acc.near[i]) > best.v, struct(i as i, {share}D * -s[i].key - {1 - share}D * if(size(s) < 4, 0D, acc.near[i]) as v), best)))),
-        best -> struct(array_append(acc.out, best.i) as out, transform(acc.near, (n, i) -> greatest(n, if(size(s[i].set) = 0 or size(s[best.i].set) = 0, 0D, size(array_intersect(s[i].set, s[best.i].set)) / size(array_union(s[i].set, s[best.i].set))))) as near))[0])""")
+        best -> struct(array_append(acc.out, best.i) as out, transform(acc.near, (n, i) -> if(i = best.i, 2D, greatest(n, if(size(s[i].set) = 0 or size(s[best.i].set) = 0, 0D, size(array_intersect(s[i].set, s[best.i].set)) / size(array_union(s[i].set, s[best.i].set)))))) as near))[0])""")
     return rows.withColumn("o", fold["out"]).select(key, F.posexplode(F.expr("transform(o, i -> s[i].pos)")).alias("place", "pos"))
 
 
