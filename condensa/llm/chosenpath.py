@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, mix, packed, release, shingles, table, twinned, utf8
+from .common import checkpoint, mix, packed, release, shingles, sliced, table, twinned, utf8
 from .components import components
 
 WORDS, THRESHOLD, RUNS = 5, 0.8, 12
@@ -62,7 +62,7 @@ def sets(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     doc_id, id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2):
             keys, sizes, chosen, sketch = [], [], [], []
             for text in utf8(batch.column(2)):
                 tokens = shingles(text, words)
@@ -81,6 +81,7 @@ def sets(docs: DataFrame, words: int, threshold: float) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(chosen, pa.list_(pa.list_(pa.int64()))), pa.array(sketch, pa.list_(pa.int32()))],
                 ["doc_id", "id", "key", "size", "chosen", "sketch"],
             )
+        release()
 
     return docs.mapInArrow(run, "doc_id bigint, id bigint, key string, size bigint, chosen array<array<bigint>>, sketch array<int>")
 
@@ -206,6 +207,7 @@ def candidates(reps: DataFrame, met: DataFrame, threshold: float, block: int) ->
                 yield flushed()
         if out[0]:
             yield flushed()
+        release()
 
     ordered = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return ordered.mapInArrow(run, "bucket bigint, i int, j int, id bigint, partners array<bigint>")

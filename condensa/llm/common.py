@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,16 +57,33 @@ def twinned(docs: DataFrame) -> DataFrame:
     return rows.select(*docs.columns, "twin")
 
 
+#: Bytes of text that become Python objects at once.
+CHUNK = 1 << 20
+
+
+def sliced(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in order, in slices of at most CHUNK bytes of column `at`, or of one row: a worker's
+    memory follows the slice, not Spark's batch of 10,000 texts."""
+    for batch in batches:
+        end = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + CHUNK, "right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def packed(rows: DataFrame) -> DataFrame:
     """rows with text compressed, as packed; null stays null."""
     at, names = rows.columns.index("text"), ["packed" if c == "text" else c for c in rows.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
+        for batch in sliced(batches, at):
             columns = list(batch.columns)
             columns[at] = pa.array([None if t is None else pack(t) for t in batch.column(at).cast(pa.binary()).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays(columns, names)
+        release()
 
     kinds = [StructType.fromDDL("packed binary")[0] if f.name == "text" else f for f in rows.schema.fields]
     return rows.mapInArrow(run, StructType(kinds))
@@ -88,8 +107,10 @@ def crc32_sql(x: str) -> str:
 
 
 def release() -> None:
-    """Gives Arrow's unused memory back at the end of a task, as its Python worker goes on to others."""
+    """Gives unused memory back at the end of a task, Arrow's and the C library's, as its Python worker goes on to others."""
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Hashes, checkpoint, packed, release, table, twinned, utf8
+from .common import Hashes, checkpoint, packed, release, sliced, table, twinned, utf8
 
 LENGTH, ANCHOR = 100, 24
 #: Strings of a minimiser above which its windows go by their own hash instead.
@@ -169,13 +169,13 @@ def repeated(docs: DataFrame) -> DataFrame:
     occurs again, for rows of doc_id, text and twin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             found = [windows(np.frombuffer(t, np.uint8)) for t in utf8(batch.column(1))]
-            if found:
-                count = [len(f[0]) for f in found]
-                ids, twin = (np.repeat(batch.column(k).to_numpy(), count) for k in (0, 2))
-                m, start, n = (np.concatenate([f[k] for f in found]) for k in range(3))
-                yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(ids), pa.array((twin << _PLACE) | (start << 8) | n)], ["minimiser", "doc_id", "place"])
+            count = [len(f[0]) for f in found]
+            ids, twin = (np.repeat(batch.column(k).to_numpy(), count) for k in (0, 2))
+            m, start, n = (np.concatenate([f[k] for f in found]) for k in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(ids), pa.array((twin << _PLACE) | (start << 8) | n)], ["minimiser", "doc_id", "place"])
+        release()
 
     runs = docs.mapInArrow(run, "minimiser bigint, doc_id bigint, place bigint")
     # written, so that both sides of the join are dealt out for it, and a hot side can be split
@@ -433,7 +433,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in sliced(batches, 1):
             texts: list[str | None] = []
             lost = []
             for text, runs, firsts, copy in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4))):
@@ -443,6 +443,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
                 texts.append(left)
                 lost.append(bool(gone.any()) and not (left or "").strip())
             yield pa.RecordBatch.from_arrays([batch.column(5), pa.array(texts, pa.string()), pa.array(lost, pa.bool_())], ["carry", "text", "lost"])
+        release()
 
     rows = removed_windows(docs, carry)
     schema = StructType([rows.schema["carry"], *StructType.fromDDL("text string, lost boolean").fields])

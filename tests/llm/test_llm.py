@@ -2,17 +2,19 @@ import base64
 import hashlib
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from conftest import DATA
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from condensa.llm import bpe, catalog, chosenpath, components, extraction, hashing, langid, maxscore, mixing, sharding, spans, suffixes
+from condensa.llm import bpe, catalog, chosenpath, common, components, extraction, hashing, langid, maxscore, mixing, sharding, spans, suffixes
 
 LONG = "word " * 30_000
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row string"
@@ -631,3 +633,25 @@ def test_pipeline(spark, tmp_path):
         sizes.append(docs.count())
         assert k == 4 or docs.columns == columns
     assert 0 < sizes[1] < sizes[0] <= 200 and sizes[4] == sizes[3]
+
+
+@pytest.mark.parametrize("name", ["sets", "packed", "repeated"])
+def test_tasks_hold_a_slice_of_a_batch(spark, name):
+    """30 MB of texts in one batch: the task never holds as much, and all rows come."""
+    n, captured = 3000, []
+    frame = spark.createDataFrame([], "doc_id long, id long, text string, twin long")
+    columns = {"sets": ["doc_id", "id", "text"], "packed": ["id", "text"], "repeated": ["doc_id", "text", "twin"]}[name]
+    frame = frame.select(*columns)
+    frame.mapInArrow = lambda run, schema: captured.append(run) or spark.createDataFrame([], schema)
+    {"sets": lambda d: chosenpath.sets(d, 5, 0.8), "packed": common.packed, "repeated": suffixes.repeated}[name](frame)
+    texts = [None if i % 100 == 0 else f"text {i} of words {i * 7} " + "again " * 1700 for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else pa.array(range(n) if c != "twin" else [0] * n, pa.int64()) for c in columns], columns)
+    del texts
+    tracemalloc.start()
+    ids = []
+    for out in captured[0](iter([batch, batch.slice(0, 0)])):
+        ids += [] if name == "repeated" else out.column("id").to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6
+    assert name == "repeated" or ids == list(range(n))
