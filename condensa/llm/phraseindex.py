@@ -24,6 +24,8 @@ STRETCH = 64
 SMALL = 50_000
 #: A word, once A-Z are lower case.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before A-Z are lower case.
+WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What names a document: its id and a digest of its text, as rows of one id may differ.
 DOC = ["id", "digest"]
@@ -34,6 +36,11 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+def n_words(text: Column) -> Column:
+    """How many words(text) has; counting needs no lower case."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long")
+
+
 def small(rows: DataFrame) -> DataFrame:
     """rows, a checkpointed table, marked for broadcast if they are few."""
     return F.broadcast(rows) if rows.limit(SMALL + 1).count() <= SMALL else rows
@@ -77,6 +84,15 @@ def _rarest(tests: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     return rows.groupBy("test", "p", "q").agg(F.first("w").alias("w"), F.first("k").alias("k"), F.min("s").alias("low"), F.max("s").alias("high")).selectExpr("*", "w[p] as a", "w[q] as b")
 
 
+def stretches(docs: DataFrame, found: DataFrame, size: int) -> DataFrame:
+    """id, digest, b, base and d: the words d from place base on around stretch b of the documents in found, a
+    checkpointed table of documents that have words. Spark would move a filter on words below the join, and cut the
+    texts of all documents for it, so there is none."""
+    texts = named(docs).join(small(found), DOC, "left_semi").distinct()
+    cut = F.expr(f"transform(sequence(0, (size(w) - 1) div {STRETCH}), b -> struct(b as b, greatest(0, b * {STRETCH} - {size - 1}) as base, slice(w, greatest(0, b * {STRETCH} - {size - 1}) + 1, {STRETCH + 2 * (size - 1)}) as d))")
+    return texts.select(*DOC, words(F.col("text")).alias("w")).select(*DOC, F.inline(cut))
+
+
 def phrase_matches(docs: DataFrame, tests: DataFrame, size: int = SIZE) -> DataFrame:
     """id, digest, test, first and end: stretches of documents that phrases of a test cover, each of one run of phrases.
 
@@ -90,10 +106,7 @@ def phrase_matches(docs: DataFrame, tests: DataFrame, size: int = SIZE) -> DataF
         return index.join(lists, "term").select("run", *DOC, (F.col("pos") - F.col("place")).alias("at"))
 
     both = checkpoint(shifted("a", "p").join(shifted("b", "q"), ["run", *DOC, "at"], "left_semi"))
-    texts = named(docs).join(small(checkpoint(both.select(*DOC).distinct())), DOC, "left_semi").distinct()
-    cut = F.expr(f"transform(sequence(0, (size(w) - 1) div {STRETCH}), b -> struct(b as b, greatest(0, b * {STRETCH} - {size - 1}) as base, slice(w, greatest(0, b * {STRETCH} - {size - 1}) + 1, {STRETCH + 2 * (size - 1)}) as d))")
-    stretches = texts.select(*DOC, words(F.col("text")).alias("w")).where("size(w) > 0").select(*DOC, F.inline(cut))
-    rows = both.join(small(look), "run").withColumn("b", F.expr(f"(at + p) div {STRETCH}").cast("int")).join(stretches, [*DOC, "b"])
+    rows = both.join(small(look), "run").withColumn("b", F.expr(f"(at + p) div {STRETCH}").cast("int")).join(stretches(docs, checkpoint(both.select(*DOC).distinct()), size), [*DOC, "b"])
     same = F.expr("filter(sequence(low, high), s -> at + s >= base and slice(d, greatest(1, at + s - base + 1), k) = slice(w, s + 1, k))")
     rows = rows.withColumn("s", same).where("size(s) > 0")
     return rows.select(*DOC, "test", (F.col("at") + F.array_min("s")).alias("first"), (F.col("at") + F.array_max("s") + F.col("k")).alias("end"))
@@ -136,7 +149,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFr
     hit = found.select(*DOC, "first", "end").distinct().withColumn("before", before).groupBy(*DOC).agg(F.sum(F.expr("greatest(0, end - greatest(first, before))")).alias("n_hit"))
     listed = found.select(*DOC, "test").distinct().join(small(members), "test").groupBy(*DOC).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     marked = hit.join(listed, DOC, "left")
-    rows = docs.withColumn("n_words", F.coalesce(F.regexp_count(F.translate("text", _UPPER, _LOWER), F.lit(WORD)), F.lit(0)).cast("long"))
+    rows = docs.withColumn("n_words", n_words(F.col("text")))
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("digest"), "n_words").join(marked, DOC, "left")
     hits, names = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
     return rows.select("doc_id", "n_words", hits.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (hits > 0).alias("contaminated"))

@@ -9,8 +9,9 @@ from collections import Counter, defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from condensa.llm import phraseindex, prefixtrie, variants
+from condensa.llm import common, phraseindex, prefixtrie, variants
 
 DOCS = "doc_id long, text string, n long, word string, id long, digest long, n_words long"
 ITEMS = "item_id long, text string, w string"
@@ -224,3 +225,22 @@ def test_vectors_too_large_for_scores_and_ids_with_several_vectors(spark):
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [tuple(r) for r in maxscore.top_k(vectors, vectors.where("vec_id % 100 = 0")).orderBy("rank").collect()]
     assert got == [(100, 1, 2, 3 * 1024**2), (100, 2, 1, 0), (100, 3, 5, 0)]
+
+
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_only_texts_with_candidates_are_cut_into_stretches(spark, monkeypatch, few):
+    monkeypatch.setattr(phraseindex, "SMALL", few)
+    cut = spark.sparkContext.accumulator(0)
+    words, marked = phraseindex.words, F.udf(lambda t: cut.add(1) or t)
+    monkeypatch.setattr(phraseindex, "words", lambda text: words(marked(text)))
+    docs = spark.createDataFrame([(i, f"Words of text {i}") for i in range(100)], "doc_id long, text string")
+    found = phraseindex.named(docs.where("doc_id in (3, 5)")).select("id", "digest")
+    rows = phraseindex.stretches(docs, common.checkpoint(found), 10).collect()
+    assert sorted((r.id, r.b, r.base, r.d) for r in rows) == [(i, 0, 0, ["words", "of", "text", str(i)]) for i in (3, 5)]
+    assert cut.value <= 4
+
+
+def test_words_are_counted_without_lower_case(spark):
+    texts = [None, "", " \n", "One two2THREE", "@A[Z`z{0/9:", "É Àß naïve—ok", "日本 ABC　x y"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.size(phraseindex.words(F.col("t"))).alias("a"), phraseindex.n_words(F.col("t")).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and rows[3].b == 2 and rows[4].b == 5
