@@ -22,23 +22,25 @@ SIZE = 10
 STRETCH = 64
 #: Most rows that are broadcast; beyond, both sides of a join are shuffled. Rows have at most a few hundred bytes.
 SMALL = 50_000
-#: A word, once A-Z are lower case.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same before A-Z are lower case.
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A word is a run of ASCII letters, digits and all code points from 0x80 on. Java tests a class of ranges range
+#: by range for each character, several times as long as its classes of ASCII characters take.
+WORD = r"[\p{Alnum}[^\x00-\x7F]]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The ASCII characters between words.
+_BETWEEN = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 #: What names a document: its id and a digest of its text, as rows of one id may differ.
 DOC = ["id", "digest"]
 
 
 def words(text: Column) -> Column:
     """The words of a text in order; null has none."""
-    return F.coalesce(F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    apart = F.translate(text, _UPPER + _BETWEEN, _LOWER + " " * len(_BETWEEN))
+    return F.coalesce(F.array_remove(F.split(apart, " "), ""), F.array().cast("array<string>"))
 
 
 def n_words(text: Column) -> Column:
     """How many words(text) has; counting needs no lower case."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def small(rows: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -244,3 +245,27 @@ def test_words_are_counted_without_lower_case(spark):
     texts = [None, "", " \n", "One two2THREE", "@A[Z`z{0/9:", "É Àß naïve—ok", "日本 ABC　x y"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.size(phraseindex.words(F.col("t"))).alias("a"), phraseindex.n_words(F.col("t")).alias("b")).collect()
     assert [r.a for r in rows] == [r.b for r in rows] and rows[3].b == 2 and rows[4].b == 5
+
+
+def test_words_of_all_ascii_and_other_code_points(spark):
+    each = [chr(c) for c in range(0x250)] + list("\u2003\u212a\ufeff\ud7ff\uffff日😀\U0010ffff")
+    rng = random.Random(5)
+    texts = each + ["".join(each), "x".join(each)] + ["".join(rng.choices(each + [*"aZ09 .\0"] * 40, k=60)) for _ in range(500)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", phraseindex.words(F.col("t")).alias("w"), phraseindex.n_words(F.col("t")).alias("n")).collect()
+    assert len(got) == len(texts) and all(r.w == plain_words(r.t) and r.n == len(r.w) for r in got)
+
+
+def test_words_take_little_more_than_reading_each_character(spark):
+    docs = common.checkpoint(spark.range(4000).select(F.repeat(F.lit("Some words of a text, its 2 sentences; naïve ones. "), 60).alias("text")).repartition(4))
+
+    def seconds(column):
+        def once():
+            began = time.perf_counter()
+            docs.agg(F.sum(column)).collect()
+            return time.perf_counter() - began
+
+        return min(once() for _ in range(4))
+
+    text = F.col("text")
+    base = seconds(F.length(F.translate(text, "ABC", "abc")))
+    assert seconds(F.size(phraseindex.words(text))) < 2 * base and seconds(phraseindex.n_words(text)) < 2 * base
