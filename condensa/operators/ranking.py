@@ -6,11 +6,14 @@ import gzip
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..functions import batches as B
 from ..functions import text as T
 from . import structure
 
@@ -162,19 +165,129 @@ def within_budget(scored: DataFrame, ratios: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.explode(F.when(whole, F.array_sort(F.col("s.pos"))).otherwise(F.array_sort("k.pos"))).alias("pos"))
 
 
+#: Bounds of memory: texts go through the selection together up to so many pairs of sections, and so many that share a token.
+TOGETHER = 1 << 20
+
+
+def _in_step(score: np.ndarray, near: np.ndarray, share: float) -> np.ndarray:
+    """The order of the sections of texts of one shape, a step for all of them at once. score (texts x sections) is -inf
+    where a text has no more sections, near (texts x sections x sections) the overlaps."""
+    value, most, every = share * score, np.zeros_like(score), np.arange(len(score))
+    out = np.zeros(score.shape, np.int64)
+    for step in range(score.shape[1]):
+        best = np.argmax(value - (1 - share) * most, axis=1)
+        out[:, step] = best
+        value[every, best] = -np.inf
+        np.maximum(most, near[every, best], out=most)
+    return out
+
+
+def _one_by_one(score: np.ndarray, size: np.ndarray, token: np.ndarray, share: float) -> np.ndarray:
+    """The order of the sections of one text; a section taken meets only those that it shares a token with."""
+    n = len(score)
+    start = np.concatenate(([0], np.cumsum(size)))
+    section = np.repeat(np.arange(n), size)
+    order = np.argsort(token, kind="stable")
+    holders, first = section[order], np.concatenate(([0], np.cumsum(np.bincount(token))))
+    value, most, out = share * score, np.zeros(n), np.zeros(n, np.int64)
+    for step in range(n):
+        best = int(np.argmax(value - (1 - share) * most))
+        out[step] = best
+        value[best] = -np.inf
+        if size[best]:
+            both = np.zeros(n, np.int64)
+            for t in token[start[best] : start[best + 1]].tolist():
+                both[holders[first[t] : first[t + 1]]] += 1  # a section has a token once
+            np.maximum(most, both / (size + size[best] - both), out=most)
+    return out
+
+
+def _selected(score: np.ndarray, sections: np.ndarray, size: np.ndarray, token: np.ndarray, share: float) -> np.ndarray:
+    """For texts one after another the places of their sections in the order in which they are taken.
+
+    sections counts each text's sections, size each section's tokens, token numbers them. Scores fall within a text."""
+    first, upto = np.concatenate(([0], np.cumsum(sections))), np.concatenate(([0], np.cumsum(size)))
+    out = np.arange(len(score)) - np.repeat(first[:-1], sections)
+    text = np.repeat(np.repeat(np.arange(len(sections)), sections), size)
+    # runs of one token of a text; what meets in a run shares it
+    kinds = int(token.max()) + 1 if len(token) else 1
+    order = np.argsort(text * kinds + token, kind="stable")
+    section, key = np.repeat(np.arange(len(score)), size)[order], (text * kinds + token)[order]
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    run = np.diff(np.concatenate((edge, [len(key)])))
+    met = np.bincount(text[order][edge], run * run, len(sections)).astype(np.int64)
+    run_of, begin = np.repeat(run, run), np.repeat(edge, run)
+    many = np.flatnonzero(sections > 3)
+    small = (met[many] <= TOGETHER >> 2) & (sections[many] <= 512)
+    for i in many[~small].tolist():
+        a, b = first[i], first[i + 1]
+        own = np.unique(token[upto[a] : upto[b]], return_inverse=True)[1]
+        out[a:b] = _one_by_one(score[a:b], size[a:b], own, share)
+    many = many[small][np.argsort(sections[many[small]], kind="stable")]
+    at = 0
+    while at < len(many):
+        # the largest text comes last, so its number of sections is the width of all
+        end = at + 1
+        pairs = met[many[at]]
+        while end < len(many) and (end + 1 - at) * sections[many[end]] ** 2 <= TOGETHER and pairs + met[many[end]] <= TOGETHER:
+            pairs += met[many[end]]
+            end += 1
+        group, width = many[at:end], int(sections[many[end - 1]])
+        n = sections[group]
+        row = np.repeat(np.arange(len(group)), n)
+        column = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        member = np.repeat(first[group], n) + column
+        held, sizes = np.full((len(group), width), -np.inf), np.zeros((len(group), width))
+        held[row, column], sizes[row, column] = score[member], size[member]
+        tokens = upto[first[group + 1]] - upto[first[group]]
+        entry = np.repeat(upto[first[group]], tokens) + np.arange(tokens.sum()) - np.repeat(np.cumsum(tokens) - tokens, tokens)
+        width_of, own = run_of[entry], np.repeat(np.arange(len(group)), tokens)
+        # each section beside all those of its run
+        left = np.repeat(entry, width_of)
+        right = np.repeat(begin[entry], width_of) + np.arange(len(left)) - np.repeat(np.cumsum(width_of) - width_of, width_of)
+        base = np.repeat(first[group], tokens)
+        x, y = np.repeat(section[entry] - base, width_of), section[right] - np.repeat(base, width_of)
+        both = np.bincount((np.repeat(own, width_of) * width + x) * width + y, minlength=len(group) * width * width).reshape(len(group), width, width)
+        either = sizes[:, :, None] + sizes[:, None, :] - both
+        near = np.divide(both, either, out=np.zeros(both.shape), where=either > 0)
+        out[member] = _in_step(held, near, share)[row, column]
+        at = end
+    return out
+
+
 def mmr_order(scored: DataFrame, key: str = "doc_id", share: float = 0.7) -> DataFrame:
     """key, pos, place: sections in the order of most marginal relevance, for rows of key, pos, score and set
-    (distinct tokens).
+    (distinct tokens); see mmr_sections."""
+    return mmr_sections(scored.groupBy(key).agg(F.collect_list(F.struct("pos", "score", "set")).alias("s")), key, share)
+
+
+def mmr_sections(rows: DataFrame, key: str = "doc_id", share: float = 0.7) -> DataFrame:
+    """key, pos, place: sections in the order of most marginal relevance, for rows of key and s, a text's sections (pos,
+    score and set, its distinct tokens).
 
     The next is the one with the largest share x score - (1 - share) x its largest overlap with those
-    taken, ties to the better score, then the first. Fewer than four sections go by score."""
-    rows = scored.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("key"), "pos", "set"))).alias("s"))
-    # overlaps of every section with those taken are carried along (2 for a taken one), so a step reads each section once
-    fold = F.expr(f"""aggregate(sequence(1, size(s)), struct(cast(array() as array<int>) as out, transform(s, x -> 0D) as near), (acc, step) -> transform(array(
-        aggregate(sequence(0, size(s) - 1), struct(-1 as i, -1e300D as v), (best, i) -> if(acc.near[i] > 1, best, if(
-          {share}D * -s[i].key - {1 - share}D * if(size(s) < 4, 0D, acc.near[i]) > best.v, struct(i as i, {share}D * -s[i].key - {1 - share}D * if(size(s) < 4, 0D, acc.near[i]) as v), best)))),
-        best -> struct(array_append(acc.out, best.i) as out, transform(acc.near, (n, i) -> if(i = best.i, 2D, greatest(n, if(size(s[i].set) = 0 or size(s[best.i].set) = 0, 0D, size(array_intersect(s[i].set, s[best.i].set)) / size(array_union(s[i].set, s[best.i].set)))))) as near))[0])""")
-    return rows.withColumn("o", fold["out"]).select(key, F.posexplode(F.expr("transform(o, i -> s[i].pos)")).alias("place", "pos"))
+    taken, ties to the better score, then the first. Fewer than four sections go by score. Texts with few
+    sections are selected from together, longer ones alone; there is no shuffle."""
+    ordered = F.array_sort(F.transform("s", lambda x: F.struct((-x["score"]).alias("key"), x["pos"].alias("pos"), x["set"].alias("set"))))
+    rows = rows.select(key, ordered.alias("s")).where("size(s) > 0").select(key, F.col("s.pos").alias("pos"), F.col("s.key").alias("score"), F.col("s.set").alias("set"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a section counts as a token more
+        tokens = lambda b: np.diff(b.column(3).values.offsets.to_numpy()[b.column(3).offsets.to_numpy()]) + np.diff(b.column(3).offsets.to_numpy())
+        for batch in B.sliced(batches, tokens, B.CHUNK >> 2):
+            sections, sets = pc.list_value_length(batch.column(3)).to_numpy(), batch.column(3).flatten()
+            size = pc.fill_null(pc.list_value_length(sets), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            token = pc.fill_null(sets.flatten().dictionary_encode().indices, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            score = -batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            taken = _selected(score, sections.astype(np.int64), size, token, share)
+            first = np.repeat(np.cumsum(sections) - sections, sections)
+            place = np.arange(len(taken)) - first
+            pos = batch.column(1).flatten().take(pa.array(first + taken))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), sections))), pos, pa.array(place, pa.int32())], [key, "pos", "place"])
+        B.release()
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, f"{key} {kinds[key]}, pos {kinds['pos'].removeprefix('array<').removesuffix('>')}, place int")
 
 
 def attention_order(ranked: DataFrame, key: str = "doc_id") -> DataFrame:
