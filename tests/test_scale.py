@@ -52,3 +52,23 @@ def test_marginal_relevance_is_the_same_by_both_ways(monkeypatch):
     together = ranking._selected(score, sections, size, token, 0.7)
     monkeypatch.setattr(ranking, "TOGETHER", 0)
     assert (ranking._selected(score, sections, size, token, 0.7) == together).all()
+
+
+RUN = "So " + "the a an The\t" * 30000 + "end. " + "a " * 20 + "b"
+
+
+def test_long_runs_of_articles_take_no_stack(spark):
+    # each article took stack: the whole of Spark ended with these
+    got = {name: catalog_rows(spark, name, ["The cat", RUN, None, ""]) for name in ("article_removal", "lexical_similarity_guard", "guarded_candidates", "rewrite_documents")}
+    assert [r["text"] for r in got["article_removal"]] == ["cat", "So end. b", None, ""]
+    assert [r["kept"] for r in got["lexical_similarity_guard"]] == [False, False, None, False]
+    assert [(r["doc_id"], r["name"]) for r in got["guarded_candidates"]] == [(0, "none"), (1, "none")]
+    assert [r["tokens_after"] for r in got["rewrite_documents"]][:2] == [2, 120023]
+
+
+def catalog_rows(spark, name, texts):
+    """The rows of a query of documents alone, over these texts."""
+    from unittest import mock
+
+    with mock.patch("condensa.sources.io.table", lambda *_: docs(spark, texts)):
+        return catalog.queries()[name](spark, "").orderBy("doc_id").collect()
