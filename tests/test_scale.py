@@ -2,6 +2,7 @@
 
 import time
 
+import duckdb
 import numpy as np
 from conftest import DATA
 
@@ -72,3 +73,12 @@ def catalog_rows(spark, name, texts):
 
     with mock.patch("condensa.sources.io.table", lambda *_: docs(spark, texts)):
         return catalog.queries()[name](spark, "").orderBy("doc_id").collect()
+
+
+def test_canonical_gate_reads_words_as_its_sql(spark, tmp_path):
+    texts = ["camino señ no", "aéno b", "ño", "año nö", "übernot.", "énot", "it iſn't so", "ſtupid", "aın İn", "IN", None, "", "a no_b", "never?", "Worthleſs", "éno", "nó x", "not٠ y"]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.queries()["canonical_gate"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert [tuple(r) for r in got] == con.execute(catalog.oracle_sql()["canonical_gate"] + " ORDER BY doc_id").fetchall()
