@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import batches as B
 from ..functions import text as T
-from . import structure
+from . import scoring, structure
 
 
 def _postings(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -37,10 +37,13 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """The k best documents of each query by BM25, a token that the query has q times weighing q / (q + 1).
 
-    Only postings of the queries' tokens are counted: the distinct tokens of the queries
-    meet the documents' tokens before anything is grouped. Null texts and texts without
-    tokens have no score."""
+    Queries of up to scoring.MOST_ASKED tokens go to the tasks, each of which keeps its best documents; more
+    are joined, token by token, with the documents' tokens. Null texts and texts without tokens have no score."""
     asked = queries.select("item_id", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("item_id", "token").agg(F.count("*").alias("q"))
+    rows = scoring.held(asked, scoring.MOST_ASKED) if scoring.suits(docs, queries) else None
+    if rows:
+        found = scoring.bm25(docs, [tuple(r) for r in rows], k, k1, b)
+        return _best(found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)), k)
     t = docs.select("doc_id", T.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
     stats = t.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
     wanted = asked.select("token").distinct()
@@ -54,9 +57,15 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: f
 
 def tfidf(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The k best documents of each query by the cosine of tf-idf vectors; a query counts as one more
-    document of its own corpus, as do its tokens."""
-    tf, stats = _postings(docs, "doc_id")
+    document of its own corpus, as do its tokens.
+
+    Queries of up to scoring.MOST_ASKED tokens go to the tasks, and only candidates are shuffled; more are joined."""
     q, _ = _postings(queries, "item_id")
+    rows = scoring.held(q.select("item_id", "token", F.col("tf") / F.col("len")), scoring.MOST_ASKED) if scoring.suits(docs, queries) else None
+    if rows:
+        found = scoring.tfidf(docs, [tuple(r) for r in rows], k)
+        return _best(found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)), k)
+    tf, stats = _postings(docs, "doc_id")
     counts = tf.groupBy("token").agg(F.count("*").alias("df"))
     # n documents and the query; a token of the query has one document more
     idf = lambda more: F.log((F.col("n") + 2) / (F.coalesce("df", F.lit(0)) + more + 1)) + 1
@@ -315,6 +324,17 @@ def recall_at(ranked: DataFrame, relevant: DataFrame, k: int, key: str, item: st
     return rows.withColumn("recall", F.col("hits") / F.col("n"))
 
 
+def holders(docs: DataFrame, passages: DataFrame, words: int) -> DataFrame:
+    """item_id and doc_id of documents that hold a passage of an item, for rows of item_id and t, a run of so many tokens.
+
+    Up to scoring.MOST_ASKED tokens of passages go to the tasks; more meet the documents' runs in a join."""
+    rows = scoring.held(passages.select("item_id", "t"), scoring.MOST_ASKED // words) if scoring.suits(docs, passages) else None
+    if rows is not None:
+        return scoring.holders(docs, [tuple(r) for r in rows], words).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+    grams = docs.select("doc_id", T.tokens(F.col("text")).alias("t")).where(F.size("t") >= words).select("doc_id", F.explode(F.expr(f"transform(sequence(1, size(t) - {words - 1}), i -> array_join(slice(t, i, {words}), ' '))")).alias("g"))
+    return grams.join(passages.select("item_id", F.array_join("t", " ").alias("g")), "g").select("item_id", "doc_id")
+
+
 def lexrank(docs: DataFrame) -> DataFrame:
     """Each sentence's sum of tf-idf cosines to the other sentences of its document.
 

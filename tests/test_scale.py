@@ -7,7 +7,7 @@ import numpy as np
 from conftest import DATA
 
 from condensa import catalog
-from condensa.operators import ranking
+from condensa.operators import ranking, scoring
 
 
 def shuffles(df):
@@ -82,3 +82,32 @@ def test_canonical_gate_reads_words_as_its_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert [tuple(r) for r in got] == con.execute(catalog.oracle_sql()["canonical_gate"] + " ORDER BY doc_id").fetchall()
+
+
+def ranked_rows(df):
+    return sorted(map(tuple, df.select("item_id", "doc_id", "score", "rank").collect()))
+
+
+def test_ranking_by_tasks_is_that_by_joins(spark, monkeypatch):
+    documents, benchmark = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
+    documents = documents.unionByName(documents.selectExpr(*[f"{c} + 1000 doc_id" if c == "doc_id" else c for c in documents.columns])).unionByName(spark.createDataFrame([(5000, None), (5001, "?!"), (5002, "")], "doc_id long, text string"), True)
+    bm25, tfidf = ranking.bm25(documents, benchmark), ranking.tfidf(documents, benchmark)
+    # the plan has neither the documents' tokens nor pairs of documents and items as rows
+    assert all("Generate" not in x._jdf.queryExecution().executedPlan().toString() for x in (bm25,))
+    got = ranked_rows(bm25), ranked_rows(tfidf)
+    monkeypatch.setattr(scoring, "MOST_KNOWN", 40)
+    assert ranked_rows(ranking.tfidf(documents, benchmark)) == got[1]  # most tokens' df is joined to candidates
+    monkeypatch.setattr(scoring, "AT_ONCE", 64)
+    assert (ranked_rows(ranking.bm25(documents, benchmark)), ranked_rows(ranking.tfidf(documents, benchmark, 10))) == got
+    monkeypatch.setattr(scoring, "MOST_ASKED", 0)
+    assert (ranked_rows(ranking.bm25(documents, benchmark)), ranked_rows(ranking.tfidf(documents, benchmark))) == got
+
+
+def test_passages_by_tasks_are_those_by_joins(spark, monkeypatch):
+    documents = docs(spark, ["a b c d", "x a B C", "b c", "a b", "c", None, "d'a b; c", "a b c a b c"])
+    passages = spark.createDataFrame([("p", ["a", "b", "c"]), ("q", ["b", "c", "d"]), ("r", ["a", "b", "c"]), ("s", ["b", "c", "z"])], "item_id string, t array<string>")
+    rows = lambda: sorted({tuple(r) for r in ranking.holders(documents, passages, 3).collect()})
+    got = rows()
+    assert got == [("p", 0), ("p", 1), ("p", 7), ("q", 0), ("r", 0), ("r", 1), ("r", 7)]
+    monkeypatch.setattr(scoring, "MOST_ASKED", 0)
+    assert rows() == got
