@@ -1,6 +1,8 @@
 """What large tables and odd texts brought to light: work that grows too fast, texts that broke a query, rows that SQL gives otherwise."""
 
+import math
 import time
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -111,3 +113,17 @@ def test_passages_by_tasks_are_those_by_joins(spark, monkeypatch):
     assert got == [("p", 0), ("p", 1), ("p", 7), ("q", 0), ("r", 0), ("r", 1), ("r", 7)]
     monkeypatch.setattr(scoring, "MOST_ASKED", 0)
     assert rows() == got
+
+
+def test_bigram_entropy_counts_pairs_where_texts_lie(spark, tmp_path):
+    texts = ["aa", "ab", "a", "", None, "abab\nba", "é😀é😀x", "a\u0000b\U0010ffff", "x" * 3000, "ab" * 700000]
+    docs(spark, texts).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    df = catalog.queries()["char_bigram_entropy"](spark, str(tmp_path))
+    got = {r["doc_id"]: r["entropy"] for r in df.collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        if t and len(t) > 1:
+            n = Counter(zip(t, t[1:]))
+            want[i] = -sum(c / (len(t) - 1) * math.log2(c / (len(t) - 1)) for c in n.values())
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    assert shuffles(df) == 0
