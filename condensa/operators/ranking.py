@@ -278,17 +278,17 @@ def mmr_sections(rows: DataFrame, key: str = "doc_id", share: float = 0.7) -> Da
     taken, ties to the better score, then the first. Fewer than four sections go by score. Texts with few
     sections are selected from together, longer ones alone; there is no shuffle."""
     ordered = F.array_sort(F.transform("s", lambda x: F.struct((-x["score"]).alias("key"), x["pos"].alias("pos"), x["set"].alias("set"))))
-    rows = rows.select(key, ordered.alias("s")).where("size(s) > 0").select(key, F.col("s.pos").alias("pos"), F.col("s.key").alias("score"), F.col("s.set").alias("set"))
+    rows = rows.select(key, ordered.alias("s")).select(key, F.col("s.pos").alias("pos"), F.col("s.key").alias("score"), F.col("s.set").alias("set"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a section counts as a token more
         tokens = lambda b: np.diff(b.column(3).values.offsets.to_numpy()[b.column(3).offsets.to_numpy()]) + np.diff(b.column(3).offsets.to_numpy())
         for batch in B.sliced(batches, tokens, B.CHUNK >> 2):
-            sections, sets = pc.list_value_length(batch.column(3)).to_numpy(), batch.column(3).flatten()
+            sections, sets = B.list_sizes(batch, 3), batch.column(3).flatten()
             size = pc.fill_null(pc.list_value_length(sets), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             token = pc.fill_null(sets.flatten().dictionary_encode().indices, 0).to_numpy(zero_copy_only=False).astype(np.int64)
             score = -batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            taken = _selected(score, sections.astype(np.int64), size, token, share)
+            taken = _selected(score, sections, size, token, share)
             first = np.repeat(np.cumsum(sections) - sections, sections)
             place = np.arange(len(taken)) - first
             pos = batch.column(1).flatten().take(pa.array(first + taken))

@@ -9,7 +9,7 @@ import numpy as np
 from conftest import DATA
 
 from condensa import catalog
-from condensa.operators import ranking, scoring
+from condensa.operators import dedup, ranking, scoring
 
 
 def shuffles(df):
@@ -127,3 +127,30 @@ def test_bigram_entropy_counts_pairs_where_texts_lie(spark, tmp_path):
             want[i] = -sum(c / (len(t) - 1) * math.log2(c / (len(t) - 1)) for c in n.values())
     assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-6 for i in want)
     assert shuffles(df) == 0
+
+
+def test_lookback_reads_each_sentence_once(spark):
+    line = "the quick brown fox number {} went over the hill to see what was there today."
+    # many near sentences of one text: the first stays, and its followers within eight places go
+    texts = [" ".join(line.format(i % 7) for i in range(20000)), "One fox ran. one fox ran. ONE FOX RAN!", None, "", "é b c. é b c.", "?! ?!"]
+    start = time.time()
+    found = dedup.kept_sentences(docs(spark, texts)).collect()
+    assert time.time() - start < 30
+    got = {}
+    for r in sorted(found):
+        got.setdefault(r["doc_id"], []).append(r["kept"])
+    assert got[1] == [True, False, False] and got[4] == [True, False] and got[5] == [True, True] and set(got) == {0, 1, 4, 5}
+    assert len(got[0]) == 20000 and got[0][:9] == [True] + [False] * 8 and got[0].count(True) == 2223
+    assert shuffles(catalog.queries()["near_dup_lookback"](spark, DATA)) == 0
+
+
+def test_edit_distance():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        a, b = ("".join(rng.choice(list("abé "), rng.integers(0, 80))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        assert dedup._edits(a, b) == row[-1]
