@@ -1,6 +1,7 @@
 """What large tables and odd texts brought to light: work that grows too fast, texts that broke a query, rows that SQL gives otherwise."""
 
 import math
+import re
 import time
 from collections import Counter
 
@@ -154,3 +155,33 @@ def test_edit_distance():
             for j, y in enumerate(b, 1):
                 last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
         assert dedup._edits(a, b) == row[-1]
+
+
+def test_near_pairs_shuffle_no_whole_sets(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(60)]
+    texts = [None, "", "one", "?!"]
+    for _ in range(40):
+        base = rng.choice(words, rng.integers(2, 60)).tolist()
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.integers(0, 4)):
+                copy[rng.integers(0, len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    texts.append(texts[-1] + " ! ")
+    want, sets = set(), {}
+    for i, t in enumerate(texts):
+        t = re.findall("[a-z0-9']+", (t or "").lower())
+        if len(t) > 1:
+            sets.setdefault(frozenset(zip(t, t[1:])), i)
+    rows = [(i, s) for s, i in sets.items()]
+    for i, x in rows:
+        want |= {(i, j, len(x & y) / len(x | y)) for j, y in rows if i < j and len(x & y) / len(x | y) >= 0.8}
+    pairs = lambda: {tuple(r) for r in dedup.bigram_pairs(docs(spark, texts)).collect()}
+    assert pairs() == want and len(want) > 30
+    monkeypatch.setattr(dedup, "GROUP", 1)
+    monkeypatch.setattr(dedup, "IDS", 0)
+    assert pairs() == want
+    # rows of word pairs that travel: those of the first that stand in several sets, of all of a set before
+    many = docs(spark, [" ".join(f"x{i}y{j}" for j in range(200)) for i in range(50)])
+    assert dedup.bigram_pairs(many).count() == 0
